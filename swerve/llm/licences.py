@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 # The base phrases, and what is no word character once A-Z are lower-cased.
 PHRASES = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: label, names as regexes, keyword that every name holds (lower case), identifiers
 FAMILIES = [
@@ -77,9 +79,12 @@ STATEMENTS = [
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 50, 0.8),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", "unauthori", 45, 0.6),
     ("proprietary", r"may not be (?:reproduced|redistributed|copied|republished)", "may not be", 45, 0.6),
-    ("licensed", r"licen[cs]ed (?:under|to|by) ", "licen", 10, 0.3),
+    ("licensed", r"licen[cs]ed (?:under|to|by)", "licen", 10, 0.3),
     ("terms", r"subject to (?:the )?(?:licen[cs]e|terms)", "subject to", 10, 0.3),
 ]
+#: Every rule's match holds one of these as a whole word (or the sign): the first gate.
+GATE = ["license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "unlicence", "apache", "bsd", "gpl", "gplv2", "gplv3", "gpl2", "gpl3", "lgpl", "lgplv2", "lgplv3", "lgpl2", "lgpl3", "agpl", "agplv3", "agpl3", "gnu", "wtfpl", "cc", "cc0", "creative", "rail", "openrail", "openrailm", "openrails", "spdx", "rights", "copyright", "copyrighted", "copr", "domain", "permission", "redistribution", "provided", "distributed", "warranty", "warranties", "proprietary", "unauthorized", "unauthorised", "reproduced", "redistributed", "copied", "republished", "subject"]
+SIGN = "©"
 #: How a licence is named in running text: regex around the name, priority, confidence.
 FORMS = [
     (r"(?:released|licen[cs]ed|distributed|available|published|redistributed)(?: and/or modif(?:y|ied))? under (?:the )?(?:terms of )?(?:the )?{}", 90, 0.95),
@@ -89,16 +94,20 @@ FORMS = [
 ]
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, regex, label, priority, confidence): every family in every form, identifiers, statements."""
-    out = [(key, regex, label, priority, sure) for label, regex, key, priority, sure in STATEMENTS]
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """(keyword, name, regex, label, priority, confidence): every family in every form, identifiers, statements.
+
+    A rule is tried on texts that hold its keyword and its name, which is a part of its regex.
+    """
+    out = [(key, regex, regex, label, priority * 100, sure) for label, regex, key, priority, sure in STATEMENTS]
     for n, (label, names, key, ids) in enumerate(FAMILIES):
-        key = key if len(key) > 1 else {"g": "g", "l": "l", "a": "a", "c": "c"}[key]
         for name in names:
             word = key if len(key) > 1 else ("general public" if "general public" in name else "creative commons" if "creative" in name else name.split("[")[0].split(" ?")[0].split("(?")[0])
-            out += [(word, form.format(f"(?:{name})"), label, priority * 100 - n, sure) for form, priority, sure in FORMS]
-        out.append(("spdx", r"spdx-licen[cs]e-identifier:\s*(?:" + "|".join(i.replace(".", r"\.") for i in ids) + r")(?![\w.-])", label, 9900 - n, 0.99))
-    return [(k, rf"(?i)(?<![\w]){p}", label, priority, sure) for k, p, label, priority, sure in out]
+            out += [(word, name, form.format(f"(?:{name})"), label, priority * 100 - n, sure) for form, priority, sure in FORMS]
+        named = r"spdx-licen[cs]e-identifier:\s*(?:" + "|".join(i.replace(".", r"\.") for i in ids) + r")(?![\w.-])"
+        out.append(("spdx", named, named, label, 9900 - n, 0.99))
+    whole = r"(?i)(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
+    return [(k, whole.format(f"(?:{name})"), whole.format(p), label, priority, sure) for k, name, p, label, priority, sure in out]
 
 
 def places(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -117,21 +126,26 @@ def spans_of(text: Column, pattern: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["spans"])
 
 
-def detect(docs: DataFrame, text_col: str = "text", signatures: list[tuple[str, str, str, int, float]] | None = None) -> DataFrame:
+def detect(docs: DataFrame, text_col: str = "text", signatures: list[tuple[str, str, str, str, int, float]] | None = None) -> DataFrame:
     """(key, start, end, label, confidence) of each interval that no other suppresses.
 
-    key is the md5 of the text; equal texts are scanned once. Texts without a keyword, null and
+    key is the md5 of the text; equal texts are scanned once. signatures are rules as rules() gives them. Texts without a keyword, null and
     empty texts give no row.
     """
-    signatures = rules() if signatures is None else signatures
-    by: dict[str, list] = {}
-    for n, (key, regex, label, priority, sure) in enumerate(signatures):
-        by.setdefault(key, []).append(F.struct(F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(priority * 1000 - n).alias("priority"), F.lit(float(sure)).alias("sure")))
-    text = F.col(text_col).cast("string")
-    low = docs.select(text.alias("t"), F.lower(text).alias("low")).where(" or ".join(f"contains(low, '{k}')" for k in by))
-    once = low.groupBy(F.md5(F.col("t").cast("binary")).alias("key"), "t", "low").agg(F.count("*").alias("n"))
-    gated = F.flatten(F.array(*[F.when(F.contains("low", F.lit(k)), F.array(*r)).otherwise(F.array().cast("array<struct<regex:string,label:string,priority:int,sure:double>>")) for k, r in by.items()]))
-    hit = once.select("key", "t", F.explode(gated).alias("r")).select("key", "r", F.explode(spans_of(F.col("t"), F.col("r.regex"))).alias("s"))
+    own = signatures is None
+    by: dict[str, dict[str, list]] = {}
+    for n, (key, name, regex, label, priority, sure) in enumerate(rules() if own else signatures):
+        by.setdefault(key, {}).setdefault(name, []).append(F.struct(F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(priority * 1000 - n).alias("priority"), F.lit(float(sure)).alias("sure")))
+    kind = "array<struct<name:string,rules:array<struct<regex:string,label:string,priority:int,sure:double>>>>"
+    groups = {k: F.array(*[F.struct(F.lit(name).alias("name"), F.array(*r).alias("rules")) for name, r in g.items()]) for k, g in by.items()}
+    text = docs.select(F.col(text_col).cast("string").alias("t"))
+    if own:
+        text = text.where(F.arrays_overlap(F.split(F.lower("t"), NOT_WORD), F.lit(GATE)) | F.contains("t", F.lit(SIGN)))
+    once = text.groupBy("t").agg(F.md5(F.first("t").cast("binary")).alias("key")).withColumn("low", F.lower("t"))
+    gated = F.flatten(F.array(*[F.when(F.contains("low", F.lit(k)), g).otherwise(F.array().cast(kind)) for k, g in groups.items()]))
+    named = F.flatten(F.transform(F.filter(gated, lambda g: F.rlike("t", g["name"])), lambda g: g["rules"]))
+    hit = once.select("key", "t", F.explode(F.filter(named, lambda r: F.rlike("t", r["regex"]))).alias("r"))
+    hit = hit.select("key", "r", F.explode(spans_of(F.col("t"), F.col("r.regex"))).alias("s"))
     hit = hit.select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "r.label", "r.priority", F.col("r.sure").alias("confidence"))
     before = Window.partitionBy("key").orderBy("start", F.desc("end"), F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(before)

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from .common import batch_of
 
 #: Pre-tokens remembered by one worker.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 GROUP = 256
 #: The vocabulary's pre-token pattern for texts whose letters and digits re knows as the vocabulary does.
 PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Where re and Unicode's classes differ: numbers that are no decimal digits, and separators that
 #: only re takes for white space.
-UNUSUAL = re.compile("[\x1c-\x1f" + re.escape("".join(map(chr, (c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No"))))) + "]")
+UNUSUAL = frozenset("\x1c\x1d\x1e\x1f") | {c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No")}
 
 _state: dict = {}
 
@@ -50,7 +50,7 @@ def pre_tokens(text: str, state: dict) -> tuple[Counter, int]:
         added = len(parts) - 1
     found: Counter = Counter()
     for part in parts:
-        if UNUSUAL.search(part):
+        if not UNUSUAL.isdisjoint(part):
             found.update(part[a:b] for _, (a, b) in state["tok"].pre_tokenizer.pre_tokenize_str(part))
         else:
             found.update(PIECES.findall(part))
