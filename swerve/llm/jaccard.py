@@ -53,32 +53,66 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.append(s, U64(len(s))), 3).sum(dtype=U64).astype(np.int64)) if len(s) else 0
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """About four bits for each shingle, one set by each: what one bitmap has and another lacks are
+    shingles that the other set lacks, so a bound on the shared ones follows."""
+    size = 1 << min(16, max(6, int(4 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(s >> U64(40)).astype(np.int64) & (size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap as it is at a smaller size."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size // 8), axis=0)
+
+
+def _bound(num: int, den: int):
+    """Leave out pairs whose bitmaps prove that they can't reach the threshold."""
+    schema = {k: pa.int64() for k in ("a", "b", "rep_a", "rep_b")}
+
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(c) for c in batch.schema.names}
+            n_a, n_b = (cols[c].to_numpy() for c in ("n_a", "n_b"))
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (p, q) in enumerate(zip(cols["bits_a"].to_pylist(), cols["bits_b"].to_pylist(), strict=True)):
+                p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+                size = 8 * min(len(p), len(q))
+                p, q = folded(p, size), folded(q, size)
+                most = min(n_a[k] - int(np.bitwise_count(p & ~q).sum()), n_b[k] - int(np.bitwise_count(q & ~p).sum()))
+                keep[k] = den * most >= num * (n_a[k] + n_b[k] - most)
+            yield batch_of(schema, **{c: cols[c].to_numpy()[keep] for c in schema})
+
+    return run
+
+
 def _first_pass(size: int):
-    schema = {"kind": pa.int32(), "a": pa.int64(), "n": pa.int64(), "b": pa.int64()}
+    schema = {"kind": pa.int32(), "a": pa.int64(), "n": pa.int64(), "b": pa.int64(), "bits": pa.binary()}
 
     def run(batches):
         kept, total, seen, rows = [], 0, set(), []
 
         def counts():
             h, c = np.unique(np.concatenate(kept), return_counts=True)
-            return batch_of(schema, kind=np.ones((c > 1).sum(), np.int32), a=h[c > 1].view(np.int64), n=c[c > 1], b=np.zeros((c > 1).sum(), np.int64))
+            return batch_of(schema, kind=np.ones((c > 1).sum(), np.int32), a=h[c > 1].view(np.int64), n=c[c > 1], b=np.zeros((c > 1).sum(), np.int64), bits=[None] * int((c > 1).sum()))
 
         for i, s in sets_of(batches, size):
-            rows.append((i, len(s), sig := signature(s)))
+            rows.append((i, len(s), sig := signature(s), bitmap(s) if len(s) else None))
             if sig not in seen and len(s):
                 seen.add(sig)
                 kept.append(s)
                 total += len(s)
             if len(rows) == 8192:
-                a, n, b = zip(*rows, strict=True)
-                yield batch_of(schema, kind=[0] * len(a), a=a, n=n, b=b)
+                a, n, b, bits = zip(*rows, strict=True)
+                yield batch_of(schema, kind=[0] * len(a), a=a, n=n, b=b, bits=bits)
                 rows = []
             if total >= CHUNK:
                 yield counts()
                 kept, total, seen = [], 0, set()
         if rows:
-            a, n, b = zip(*rows, strict=True)
-            yield batch_of(schema, kind=[0] * len(a), a=a, n=n, b=b)
+            a, n, b, bits = zip(*rows, strict=True)
+            yield batch_of(schema, kind=[0] * len(a), a=a, n=n, b=b, bits=bits)
         if kept:
             yield counts()
 
@@ -226,9 +260,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     store, texts = Store(spark), keyed_text(docs, id_col, text_col)
-    scan = store.put(texts.mapInArrow(_first_pass(size), "kind int, a long, n long, b long"), "scan")
-    sets = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("n_shingles"), F.col("b").alias("sig"))
-    reps = store.put(sets.where("n_shingles > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")), "reps")
+    scan = store.put(texts.mapInArrow(_first_pass(size), "kind int, a long, n long, b long, bits binary"), "scan")
+    sets = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("n_shingles"), F.col("b").alias("sig"), "bits")
+    reps = store.put(sets.where("n_shingles > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "reps")
     frequent = scan.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "a").limit(MOST_FREQUENT).toPandas()
     hot, df = frequent["a"].to_numpy(np.int64).view(U64), frequent["c"].to_numpy(np.int64)
     order = np.argsort(hot)
@@ -245,8 +279,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        of = lambda k: reps.select(F.col("sig").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        of = lambda k, *more: reps.select(F.col("sig").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
+        pairs = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        pairs = pairs.join(of("a", "rep", "bits"), "a").join(of("b", "rep", "bits"), "b")
+        return pairs.mapInArrow(_bound(num, den), "a long, b long, rep_a long, rep_b long")
 
     def linked(cand: DataFrame) -> DataFrame:
         wanted = cand.select(F.col("rep_a").alias("id")).union(cand.select(F.col("rep_b").alias("id"))).distinct()
