@@ -1,0 +1,187 @@
+"""Queries of section 2.9: track kinematics on the frames of `events` (time in hours)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from swerve.functions import columns as X
+from swerve.operators import tracks as T
+from swerve.sources.tables import FRAMES, frames
+
+from .aggregating import STEP, R, steps
+from .ordering import TRACK, W
+from .registry import query
+
+c = F.col
+
+# one frame per track and time: the first by id
+ONE = f"{FRAMES}, o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY track, us ORDER BY id) = 1)"
+
+
+def one(spark: SparkSession, d: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("track", "us").orderBy("id"))
+    return frames(spark, d).withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def grad_sql(v: str, t: str = "h") -> str:
+    b, a = f"({t} - lag({t}) OVER w)", f"(lead({t}) OVER w - {t})"
+    return f"(CASE WHEN lag({t}) OVER w IS NULL THEN (lead({v}) OVER w - {v}) / {a} WHEN lead({t}) OVER w IS NULL THEN ({v} - lag({v}) OVER w) / {b} ELSE ({b} * {b} * lead({v}) OVER w + ({a} * {a} - {b} * {b}) * {v} - {a} * {a} * lag({v}) OVER w) / ({a} * {b} * ({a} + {b})) END)"
+
+
+@query("ts_gap_fill_linear", f"WITH {ONE}, p AS (SELECT *, lead(h) OVER w AS nh, lead(x) OVER w AS nx FROM o {W}), k AS (SELECT *, CASE WHEN nh - h <= 6 THEN greatest(CAST(round(nh - h) AS INTEGER), 1) ELSE 1 END AS k FROM p), r AS (SELECT *, unnest(range(0, k)) AS i FROM k) SELECT track, count(*) AS n, count(*) FILTER (WHERE i > 0) AS inserted, count(*) FILTER (WHERE i = 0 AND nh - h > 6) AS long_gaps, round(sum(CASE WHEN i = 0 THEN x ELSE x + (nx - x) * i / k END), 4) AS total FROM r GROUP BY 1")
+def ts_gap_fill_linear(spark: SparkSession, d: str) -> DataFrame:
+    f = T.fill_gaps(one(spark, d), ["track"], "h", ["x"], 1.0, 6.0)
+    return f.groupBy("track").agg(F.count("*").alias("n"), F.count_if("inserted").alias("inserted"), F.sum("n_long").alias("long_gaps"), R(F.sum("x"), 4).alias("total"))
+
+
+@query("ts_smooth_savgol", f"WITH {FRAMES}, s AS (SELECT track, id, row_number() OVER w AS i, count(*) OVER (PARTITION BY track) AS n, (-3 * lag(x, 2) OVER w + 12 * lag(x) OVER w + 17 * x + 12 * lead(x) OVER w - 3 * lead(x, 2) OVER w) / 35 AS smooth FROM e {W}) SELECT track, id, round(smooth, 5) AS smooth FROM s WHERE i > 2 AND i <= n - 2")
+def ts_smooth_savgol(spark: SparkSession, d: str) -> DataFrame:
+    i, n = F.row_number().over(TRACK), F.count("*").over(Window.partitionBy("track"))
+    s = T.savgol(frames(spark, d), ["track"], ["us", "id"], "x", 5, 2).withColumn("i", i).withColumn("n", n)
+    return s.where("i > 2 and i <= n - 2").select("track", "id", R("smooth", 5).alias("smooth"))
+
+
+@query("ts_smooth_kalman")
+def ts_smooth_kalman(spark: SparkSession, d: str) -> DataFrame:
+    return T.kalman(one(spark, d), ["track"], "h", "x", 0.5, 4.0).select("track", "h", R("smooth", 4).alias("smooth"), R("rate", 4).alias("rate"))
+
+
+@query("ts_gradient", f"WITH {ONE} SELECT track, id, round({grad_sql('x')}, 4) AS rate FROM o {W}")
+def ts_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return one(spark, d).select("track", "id", R(T.gradient(c("x"), c("h"), TRACK), 4).alias("rate"))
+
+
+HEAD = f"{ONE}, q AS (SELECT *, {grad_sql('x')} AS vx, {grad_sql('y')} AS vy FROM o {W}), hd AS (SELECT *, (degrees(atan2(vx, vy)) + 360) % 360 AS heading, sqrt(vx * vx + vy * vy) AS speed FROM q)"
+
+
+def headed(spark: SparkSession, d: str) -> DataFrame:
+    q = one(spark, d).withColumn("vx", T.gradient(c("x"), c("h"), TRACK)).withColumn("vy", T.gradient(c("y"), c("h"), TRACK))
+    return q.withColumn("heading", X.heading(c("vx"), c("vy"))).withColumn("speed", F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")))
+
+
+UNWRAP = "u AS (SELECT *, coalesce(((heading - lag(heading) OVER w + 180) % 360 + 360) % 360 - 180, 0) AS dh FROM hd WINDOW w AS (PARTITION BY track ORDER BY us, id))"
+
+
+def turned(spark: SparkSession, d: str) -> DataFrame:
+    return headed(spark, d).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(TRACK)), F.lit(0.0)))
+
+
+@query("ts_unwrap_rate", f"WITH {HEAD}, {UNWRAP} SELECT track, round(sum(dh), 3) AS net, round(sum(abs(dh)), 3) AS total FROM u GROUP BY 1")
+def ts_unwrap_rate(spark: SparkSession, d: str) -> DataFrame:
+    return turned(spark, d).groupBy("track").agg(R(F.sum("dh"), 3).alias("net"), R(F.sum(F.abs("dh")), 3).alias("total"))
+
+
+@query("ts_hold_below_floor", f"WITH {HEAD} SELECT track, id, round(coalesce(last_value(CASE WHEN speed >= 5 THEN heading END IGNORE NULLS) OVER w, first_value(heading) OVER w), 4) AS held FROM hd WINDOW w AS (PARTITION BY track ORDER BY us, id ROWS UNBOUNDED PRECEDING)")
+def ts_hold_below_floor(spark: SparkSession, d: str) -> DataFrame:
+    return headed(spark, d).select("track", "id", R(T.hold_below(c("heading"), c("speed"), 5.0, TRACK), 4).alias("held"))
+
+
+@query("ts_speed_qc_despike", f"WITH RECURSIVE {ONE}, n AS (SELECT track, us, h, x, y, row_number() OVER w AS i FROM o {W}), k AS (SELECT track, i, h, x, y, i AS kept FROM n WHERE i = 1 UNION ALL SELECT n.track, n.i, CASE WHEN ok THEN n.h ELSE k.h END, CASE WHEN ok THEN n.x ELSE k.x END, CASE WHEN ok THEN n.y ELSE k.y END, CASE WHEN ok THEN n.i ELSE k.kept END FROM k JOIN n ON n.track = k.track AND n.i = k.i + 1, LATERAL (SELECT sqrt(power(n.x - k.x, 2) + power(n.y - k.y, 2)) <= 20 * (n.h - k.h) AS ok)) SELECT track, count(DISTINCT kept) AS kept FROM k GROUP BY 1")
+def ts_speed_qc_despike(spark: SparkSession, d: str) -> DataFrame:
+    return T.despike(one(spark, d), ["track"], "h", "x", "y", 20.0).groupBy("track").agg(F.count("*").alias("kept"))
+
+
+@query("ts_peak_effort", f"WITH {HEAD} SELECT track, round(coalesce(max(speed) FILTER (WHERE speed <= 200), 0), 3) AS peak_speed FROM hd GROUP BY 1")
+def ts_peak_effort(spark: SparkSession, d: str) -> DataFrame:
+    return headed(spark, d).groupBy("track").agg(R(F.coalesce(F.max(F.when(c("speed") <= 200, c("speed"))), F.lit(0.0)), 3).alias("peak_speed"))
+
+
+@query("ts_cut_features", f"WITH {HEAD}, {UNWRAP}, k AS (SELECT track, arg_max(us, (round(abs(dh), 6), -us)) AS cut FROM u GROUP BY 1) SELECT u.track, cut, round(max(speed) FILTER (WHERE us < cut), 3) AS entry, round(min(speed) FILTER (WHERE us > cut), 3) AS exit FROM u JOIN k ON u.track = k.track GROUP BY 1, 2")
+def ts_cut_features(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("track")
+    u = turned(spark, d).withColumn("cut", F.max_by("us", F.struct(F.round(F.abs("dh"), 6).alias("a"), (-c("us")).alias("b"))).over(w))
+    return u.groupBy("track", "cut").agg(R(F.max(F.when(c("us") < c("cut"), c("speed"))), 3).alias("entry"), R(F.min(F.when(c("us") > c("cut"), c("speed"))), 3).alias("exit"))
+
+
+PATH = f"{FRAMES}, {STEP}, pa AS (SELECT track, us, id, h - min(h) OVER (PARTITION BY track) AS r, sum(coalesce(step, 0)) OVER (PARTITION BY track ORDER BY us, id) AS path FROM s)"
+
+
+def pathed(spark: SparkSession, d: str) -> DataFrame:
+    s = steps(frames(spark, d))
+    return s.withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("path", F.sum(F.coalesce("step", F.lit(0.0))).over(TRACK))
+
+
+@query("ts_straight_features", f"WITH {PATH} SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10 FROM pa GROUP BY 1")
+def ts_straight_features(spark: SparkSession, d: str) -> DataFrame:
+    return pathed(spark, d).groupBy("track").agg(R(F.max(F.when(c("r") <= 24, c("path"))), 4).alias("day1"), R(F.max(F.when(c("r") <= 240, c("path"))), 4).alias("day10"))
+
+
+@query("ts_crossing_time", f"WITH {PATH}, b AS (SELECT *, lag(r) OVER w AS pr, lag(path) OVER w AS pp FROM pa {W}) SELECT track, round(pr + (r - pr) * (500 - pp) / (path - pp), 4) AS crossed_at, CASE WHEN r - pr > 24 THEN 'too_long' ELSE 'bridged' END AS policy FROM b WHERE path >= 500 AND pp < 500")
+def ts_crossing_time(spark: SparkSession, d: str) -> DataFrame:
+    x = T.crossing(pathed(spark, d), ["track"], ["us", "id"], "r", "path", 500.0, 24.0)
+    return x.select("track", R("crossed_at", 4).alias("crossed_at"), "policy")
+
+
+@query("ts_travel_axis", f"WITH {FRAMES}, m AS (SELECT track, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM e GROUP BY 1) SELECT track, round(degrees(0.5 * atan2(2 * sxy, sxx - syy)), 4) AS axis FROM m")
+def ts_travel_axis(spark: SparkSession, d: str) -> DataFrame:
+    m = frames(spark, d).groupBy("track").agg(F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
+    return m.select("track", R(F.degrees(0.5 * F.atan2(2 * c("sxy"), c("sxx") - c("syy"))), 4).alias("axis"))
+
+
+@query("ts_power_integral", f"WITH {HEAD}, p AS (SELECT track, greatest(x * speed, 0) AS a, greatest(lead(x * speed) OVER w, 0) AS b, lead(h) OVER w - h AS dt FROM hd {W}) SELECT track, round(sum(CASE WHEN dt <= 12 THEN (a + b) / 2 * dt ELSE 0 END), 2) AS work FROM p GROUP BY 1")
+def ts_power_integral(spark: SparkSession, d: str) -> DataFrame:
+    p = headed(spark, d).withColumn("a", F.greatest(c("x") * c("speed"), F.lit(0.0)))
+    p = p.withColumn("b", F.lead("a").over(TRACK)).withColumn("dt", F.lead("h").over(TRACK) - c("h"))
+    return p.groupBy("track").agg(R(F.sum(F.when(c("dt") <= 12, (c("a") + c("b")) / 2 * c("dt")).otherwise(0.0)), 2).alias("work"))
+
+
+LAGS = range(-3, 4)
+LAG_SQL = ", ".join(f"corr(x, y{k + 3}) AS c{k + 3}" for k in LAGS)
+
+
+@query("ts_lag_of_max_xcorr", f"WITH {FRAMES}, l AS (SELECT track, x, {', '.join(f'lag(y, {k}) OVER w AS y{k + 3}' if k >= 0 else f'lead(y, {-k}) OVER w AS y{k + 3}' for k in LAGS)} FROM e {W}), k AS (SELECT track, {LAG_SQL} FROM l GROUP BY 1), u AS (UNPIVOT k ON c0, c1, c2, c3, c4, c5, c6 INTO NAME name VALUE r) SELECT track, arg_max(CAST(substr(name, 2) AS INTEGER) - 3, (round(r, 9), name)) AS best FROM u GROUP BY 1")
+def ts_lag_of_max_xcorr(spark: SparkSession, d: str) -> DataFrame:
+    l = frames(spark, d).select("track", "x", *[(F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(TRACK).alias(f"y{k + 3}") for k in LAGS])  # noqa: E741
+    k = l.groupBy("track").agg(F.array(*[F.struct(R(F.corr("x", f"y{k + 3}"), 9).alias("r"), F.lit(k).alias("k")) for k in LAGS]).alias("a"))
+    return k.select("track", F.array_max("a")["k"].alias("best"))
+
+
+TAUS = [20.0 * 1.25**k for k in range(16)]
+
+
+@query("ts_fit_exponential", f"WITH {PATH}, g AS (SELECT unnest({TAUS}) AS tau), f AS (SELECT track, tau, path AS v, 1 - exp(-r / tau) AS b FROM pa, g), m AS (SELECT track, tau, sum(v * b) / sum(b * b) AS vmax, sum(v * v) - sum(v * b) * sum(v * b) / sum(b * b) AS sse FROM f GROUP BY 1, 2) SELECT track, round(arg_min(tau, sse), 4) AS tau, round(arg_min(vmax, sse), 2) AS vmax FROM m GROUP BY 1")
+def ts_fit_exponential(spark: SparkSession, d: str) -> DataFrame:
+    f = pathed(spark, d).select("track", c("path").alias("v"), "r", F.explode(F.array(*map(F.lit, TAUS))).alias("tau")).withColumn("b", 1 - F.exp(-c("r") / c("tau")))
+    m = f.groupBy("track", "tau").agg((F.sum(c("v") * c("b")) / F.sum(c("b") * c("b"))).alias("vmax"), (F.sum(c("v") * c("v")) - F.sum(c("v") * c("b")) * F.sum(c("v") * c("b")) / F.sum(c("b") * c("b"))).alias("sse"))
+    return m.groupBy("track").agg(R(F.min_by("tau", "sse"), 4).alias("tau"), R(F.min_by("vmax", "sse"), 2).alias("vmax"))
+
+
+@query("ts_kinematics_crosscheck", f"WITH {HEAD}, b AS (SELECT *, CASE WHEN speed >= 20 THEN 'fast' WHEN speed >= 5 THEN 'mid' ELSE 'slow' END AS band, speed - x AS gap FROM hd) SELECT band, count(*) AS n, round(avg(gap), 3) AS bias, round(avg(abs(gap)), 3) AS mae FROM b GROUP BY 1")
+def ts_kinematics_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    band = F.when(c("speed") >= 20, "fast").when(c("speed") >= 5, "mid").otherwise("slow")
+    gap = c("speed") - c("x")
+    return headed(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), R(F.avg(gap), 3).alias("bias"), R(F.avg(F.abs(gap)), 3).alias("mae"))
+
+
+@query("ts_smoother_diagnostics")
+def ts_smoother_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    o = one(spark, d)
+    sg = T.savgol(o, ["track"], ["us", "id"], "x", 5, 2).select("track", "h", c("smooth").alias("savgol5"), "x")
+    s7 = T.savgol(o, ["track"], ["us", "id"], "x", 7, 2).select("track", "h", c("smooth").alias("savgol7"))
+    k = T.kalman(o, ["track"], "h", "x", 0.5, 4.0).select("track", "h", c("smooth").alias("kalman"))
+    wide = sg.join(s7, ["track", "h"]).join(k, ["track", "h"])
+    middle = F.array_sort(F.array("savgol5", "savgol7", "kalman"))[1]
+    long = wide.withColumn("ensemble", middle).unpivot(["track", "h", "x", "ensemble"], ["savgol5", "savgol7", "kalman"], "smoother", "value")
+    return long.groupBy("smoother").agg(R(F.sqrt(F.avg(F.pow(c("value") - c("ensemble"), 2))), 4).alias("rms_to_ensemble"), R(F.sqrt(F.avg(F.pow(c("value") - c("x"), 2))), 4).alias("rms_to_raw"))
+
+
+@query("ts_orientation_divergence", f"WITH {HEAD} SELECT label, round(avg(CASE WHEN abs((x * 7.2 - heading + 540) % 360 - 180) > 60 THEN 1.0 ELSE 0 END), 6) AS share FROM hd GROUP BY 1")
+def ts_orientation_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return headed(spark, d).groupBy("label").agg(R(F.avg((F.abs(X.wrap(c("x") * 7.2 - c("heading"))) > 60).cast("double"))).alias("share"))
+
+
+@query("ts_heading_break", f"WITH {HEAD}, {UNWRAP}, t AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r, abs(dh) + coalesce(abs(lead(dh) OVER w), 0) AS near, lead(h) OVER w - h AS gap FROM u {W}) SELECT track, min(us) AS broke_at FROM t WHERE r >= 24 AND near >= 120 AND gap <= 24 GROUP BY 1")
+def ts_heading_break(spark: SparkSession, d: str) -> DataFrame:
+    t = turned(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track")))
+    t = t.withColumn("near", F.abs("dh") + F.coalesce(F.abs(F.lead("dh").over(TRACK)), F.lit(0.0))).withColumn("gap", F.lead("h").over(TRACK) - c("h"))
+    return t.where("r >= 24 and near >= 120 and gap <= 24").groupBy("track").agg(F.min("us").alias("broke_at"))
+
+
+@query("ts_get_off_probe", f"WITH {HEAD}, s AS (SELECT track, min(us) AS snap FROM e WHERE label = (SELECT min(label) FROM e) GROUP BY 1), f AS (SELECT hd.track, min(us - snap) AS off FROM hd JOIN s ON hd.track = s.track WHERE us >= snap AND speed > 5 GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN off <= 3600000000 * 6 THEN 1.0 ELSE 0 END), 6) AS share FROM f")
+def ts_get_off_probe(spark: SparkSession, d: str) -> DataFrame:
+    e = frames(spark, d)
+    first = F.broadcast(e.agg(F.min("label").alias("m")))
+    snap = e.join(first, c("label") == c("m"), "left_semi").groupBy("track").agg(F.min("us").alias("snap"))
+    f = headed(spark, d).join(snap, "track").where("us >= snap and speed > 5").groupBy("track").agg(F.min(c("us") - c("snap")).alias("off"))
+    return f.agg(F.count("*").alias("n"), R(F.avg((c("off") <= 3_600_000_000 * 6).cast("double"))).alias("share"))
