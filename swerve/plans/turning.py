@@ -1 +1,176 @@
+"""Queries of section 2.10: turn events and geometry."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from swerve.operators import turns as U
+from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
+
+from .aggregating import R
+from .ordering import TRACK
+from .registry import query
+from .tracking import HEAD, UNWRAP, turned
+
+c = F.col
+RUN = f"{HEAD}, {UNWRAP}, r AS (SELECT *, row_number() OVER w - 1 AS i, sum(dh) OVER w AS turned FROM u WINDOW w AS (PARTITION BY track ORDER BY us, id))"
+TRIG = "tr AS (SELECT *, abs(lead(turned, 4) OVER w - turned) AS score, max(speed) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS top FROM r WINDOW w AS (PARTITION BY track ORDER BY i))"
+
+
+def running(spark: SparkSession, d: str) -> DataFrame:
+    return U.indexed(turned(spark, d).withColumn("turned", F.sum("dh").over(TRACK)), ["track"], ["us", "id"])
+
+
+@query("turn_trigger", f"WITH {RUN}, {TRIG} SELECT track, i::BIGINT AS i, round(score, 3) AS score FROM tr WHERE score >= 60 AND top >= 2")
+def turn_trigger(spark: SparkSession, d: str) -> DataFrame:
+    return U.triggers(running(spark, d), ["track"], 4, 60.0, 2.0).select("track", "i", R("score", 3).alias("score"))
+
+
+@query("turn_nms")
+def turn_nms(spark: SparkSession, d: str) -> DataFrame:
+    return U.accepted(U.triggers(running(spark, d), ["track"], 4, 60.0, 2.0), ["track"], 5).select("track", "i", R("score", 3).alias("score"))
+
+
+@query("turn_segment")
+def turn_segment(spark: SparkSession, d: str) -> DataFrame:
+    r = running(spark, d)
+    return U.segments(r, U.accepted(U.triggers(r, ["track"], 4, 60.0, 2.0), ["track"], 5), ["track"], 4, 6).select("track", "hit", "apex", "first", "last")
+
+
+@query("detect_turns")
+def detect_turns(spark: SparkSession, d: str) -> DataFrame:
+    return U.detect(running(spark, d), ["track"]).select("track", "hit", "apex", "first", "last", R("score", 3).alias("score"))
+
+
+@query("turn_metrics")
+def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
+    r = running(spark, d)
+    m = U.metrics(r, U.detect(r, ["track"]), ["track"])
+    return m.select("track", "hit", *[R(k, 3).alias(k) for k in ("entry", "slowest", "exit", "angle", "retention", "apex_retention")], "regain", "valid")
+
+
+CIRCLE = "g AS (SELECT *, avg(x) OVER (PARTITION BY track) AS mx, avg(y) OVER (PARTITION BY track) AS my FROM e), k AS (SELECT track, x - mx AS u, y - my AS v FROM g), z AS (SELECT track, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM k GROUP BY 1), q AS (SELECT track, n, uu, vv, uu*vv - uv*uv AS det, ((uuu+uvv)/2*vv - (vvv+vuu)/2*uv) AS a, ((vvv+vuu)/2*uu - (uuu+uvv)/2*uv) AS b FROM z)"
+
+
+@query("turn_circle_fit", f"WITH {FRAMES}, {CIRCLE} SELECT track, round(CASE WHEN abs(det) > 1e-9 THEN sqrt(power(a / det, 2) + power(b / det, 2) + (uu + vv) / n) END, 3) AS radius FROM q")
+def turn_circle_fit(spark: SparkSession, d: str) -> DataFrame:
+    return U.circle(frames(spark, d), ["track"], "x", "y").select("track", R("radius", 3).alias("radius"))
+
+
+@query("turn_plant_class")
+def turn_plant_class(spark: SparkSession, d: str) -> DataFrame:
+    r = running(spark, d)
+    m = U.metrics(r, U.detect(r, ["track"]), ["track"])
+    return m.groupBy(U.plant_class(m).alias("kind"), "valid").agg(F.count("*").alias("n"))
+
+
+def by_width(spark: SparkSession, d: str, widths: tuple[int, ...] = (3, 4, 6)) -> DataFrame:
+    r = running(spark, d)
+    out = None
+    for w in widths:
+        f = U.detect(r, ["track"], width=w).select(F.lit(w).alias("width"), "track", "apex", "score")
+        out = f if out is None else out.union(f)
+    return out
+
+
+@query("turn_smoother_range")
+def turn_smoother_range(spark: SparkSession, d: str) -> DataFrame:
+    a = by_width(spark, d)
+    main = a.where("width = 4").select("track", "apex")
+    other = a.where("width != 4").select("track", "width", c("apex").alias("oa"), "score")
+    near = main.join(other, "track").where(F.abs(c("apex") - c("oa")) <= 3).groupBy("track", "apex", "width").agg(F.min_by("score", F.struct(F.abs(c("apex") - c("oa")).alias("g"), "oa")).alias("score"))
+    span = near.groupBy("track", "apex").agg(F.count("*").alias("matched"), R(F.min("score"), 3).alias("lo"), R(F.max("score"), 3).alias("hi"))
+    return main.join(span, ["track", "apex"], "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+
+
+@query("turn_attempt_table")
+def turn_attempt_table(spark: SparkSession, d: str) -> DataFrame:
+    n = by_width(spark, d).groupBy("track").pivot("width", [3, 4, 6]).agg(F.count(F.lit(1)))
+    all_ = frames(spark, d).select("track").distinct().join(n, "track", "left")
+    return all_.select("track", *[F.coalesce(c(str(w)), F.lit(0).cast("long")).alias(f"turns_{w}") for w in (3, 4, 6)])
+
+
+def shuffled(r: DataFrame, seed: int = 7) -> DataFrame:
+    """Heading increments dealt anew within each track; speeds stay where they are."""
+    order = Window.partitionBy("track").orderBy(F.xxhash64(F.lit(seed), "track", "i"))
+    dealt = r.select("track", c("dh").alias("new_dh"), (F.row_number().over(order) - 1).cast("long").alias("i"))
+    return r.drop("turned").join(dealt, ["track", "i"]).withColumn("turned", F.sum("new_dh").over(Window.partitionBy("track").orderBy("i")))
+
+
+@query("turn_null_shuffle")
+def turn_null_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return U.detect(shuffled(running(spark, d)), ["track"]).groupBy("track").agg(F.count("*").alias("null_turns"))
+
+
+@query("turn_sanity_rates", f"WITH {RUN}, {TRIG} SELECT label, round(1000.0 * count(*) FILTER (WHERE score >= 60 AND top >= 2) / count(*), 4) AS per_1000 FROM tr GROUP BY ROLLUP (label)")
+def turn_sanity_rates(spark: SparkSession, d: str) -> DataFrame:
+    r = running(spark, d)
+    hit = U.triggers(r, ["track"], 4, 60.0, 2.0).select("track", "i", F.lit(1).alias("hit"))
+    return r.join(hit, ["track", "i"], "left").rollup("label").agg(R(1000.0 * F.count("hit") / F.count("*"), 4).alias("per_1000"))
+
+
+@query("turn_threshold_delta")
+def turn_threshold_delta(spark: SparkSession, d: str) -> DataFrame:
+    r = running(spark, d)
+    a, b = (U.detect(r, ["track"], least_turn=x).select("track", c("apex")) for x in (60.0, 90.0))
+    pairs = a.select("track", c("apex").alias("a")).join(b.select("track", c("apex").alias("b")), "track").where(F.abs(c("a") - c("b")) <= 3)
+    arrays = pairs.groupBy("track").agg(F.array_sort(F.collect_list(F.struct(F.abs(c("a") - c("b")).alias("g"), "a", "b"))).alias("p"))
+    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: (k["a"] == x["a"]) | (k["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x))))
+    m = arrays.select("track", F.size(kept).alias("matched"))
+    count = lambda df, n: df.groupBy("track").agg(F.count("*").alias(n))
+    out = count(a, "loose").join(count(b, "strict"), "track", "full").join(m, "track", "left").na.fill(0)
+    return out.select("track", "loose", "strict", c("matched").cast("long").alias("matched"), (c("loose") - c("matched")).alias("lost"), (c("strict") - c("matched")).alias("new"))
+
+
+def centres(spark: SparkSession, d: str, k: int = 4) -> list[tuple[float, float]]:
+    """Centres of the densest grid cells, at least 20 apart."""
+    g = frames(spark, d).groupBy(F.floor(c("x") / 10).alias("gx"), F.floor(c("y") / 10).alias("gy")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    out: list[tuple[float, float]] = []
+    for r in g.orderBy(F.desc("n"), "gx", "gy").limit(500).collect():
+        if len(out) < k and all((r["x"] - a) ** 2 + (r["y"] - b) ** 2 >= 400 for a, b in out):
+            out.append((r["x"], r["y"]))
+    return out
+
+
+def nearest_centre(df: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
+    each = F.array(*[F.struct((F.pow(c("x") - a, 2) + F.pow(c("y") - b, 2)).alias("d"), F.lit(k).alias("k")) for k, (a, b) in enumerate(points)])
+    return df.withColumn("centre", F.array_min(each)["k"]).withColumn("distance", F.sqrt(F.array_min(each)["d"]))
+
+
+@query("geo_density_cones")
+def geo_density_cones(spark: SparkSession, d: str) -> DataFrame:
+    points, e = centres(spark, d), frames(spark, d).select("x", "y")
+    for _ in range(5):
+        moved = nearest_centre(e, points).groupBy("centre").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("centre").collect()
+        new = {r["centre"]: (r["x"], r["y"]) for r in moved}
+        points = [new.get(k, p) for k, p in enumerate(points)]
+    return nearest_centre(e, points).groupBy("centre").agg(F.count("*").alias("n"), R(F.avg("x"), 4).alias("x"), R(F.avg("y"), 4).alias("y"))
+
+
+@query("geo_score")
+def geo_score(spark: SparkSession, d: str) -> DataFrame:
+    """Centres from the even tracks; the odd tracks' turns are scored against them."""
+    r = running(spark, d)
+    found = U.detect(r, ["track"]).where("track % 2 = 1").select("track", c("apex").alias("i"))
+    at = nearest_centre(found.join(r.select("track", "i", "x", "y"), ["track", "i"]), centres(spark, d))
+    return at.groupBy("centre").agg(F.count("*").alias("turns"), R(F.avg((c("distance") <= 15).cast("double")), 6).alias("precision"))
+
+
+@query("geo_sequence_angle", f"WITH {FRAMES}, v AS (SELECT *, floor(x / 25) AS z FROM e), f AS (SELECT *, z IS DISTINCT FROM lag(z) OVER w AS new FROM v WINDOW w AS (PARTITION BY track ORDER BY us, id)), p AS (SELECT track, us, id, x, y FROM f WHERE new), s AS (SELECT track, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS cx, lead(y) OVER w - y AS cy FROM p WINDOW w AS (PARTITION BY track ORDER BY us, id)) SELECT track, count(*) AS triples, round(avg(degrees(acos(greatest(-1, least(1, (ax * cx + ay * cy) / (sqrt(ax * ax + ay * ay) * sqrt(cx * cx + cy * cy))))))), 3) AS angle FROM s WHERE sqrt(ax * ax + ay * ay) > 0 AND sqrt(cx * cx + cy * cy) > 0 GROUP BY 1")
+def geo_sequence_angle(spark: SparkSession, d: str) -> DataFrame:
+    v = frames(spark, d).withColumn("z", F.floor(c("x") / 25))
+    p = v.withColumn("new", ~c("z").eqNullSafe(F.lag("z").over(TRACK))).where("new")
+    s = p.select("track", (c("x") - F.lag("x").over(TRACK)).alias("ax"), (c("y") - F.lag("y").over(TRACK)).alias("ay"), (F.lead("x").over(TRACK) - c("x")).alias("bx"), (F.lead("y").over(TRACK) - c("y")).alias("by"))
+    size = lambda a, b: F.sqrt(c(a) * c(a) + c(b) * c(b))
+    cos = (c("ax") * c("bx") + c("ay") * c("by")) / (size("ax", "ay") * size("bx", "by"))
+    return s.where((size("ax", "ay") > 0) & (size("bx", "by") > 0)).groupBy("track").agg(F.count("*").alias("triples"), R(F.avg(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))), 3).alias("angle"))
+
+
+@query("label_provenance_counts", f"WITH {TURNS} SELECT r_name AS family, count(DISTINCT player) AS players, count(DISTINCT play) AS plays, count(DISTINCT o_custkey) AS customers FROM t JOIN supplier ON player = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON play = o_orderkey GROUP BY 1")
+def label_provenance_counts(spark: SparkSession, d: str) -> DataFrame:
+    s, n, g, o = (read(spark, d, x) for x in ("supplier", "nation", "region", "orders"))
+    t = turns(spark, d).join(s, c("player") == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(g), n.n_regionkey == g.r_regionkey).join(o, c("play") == o.o_orderkey, "left")
+    return t.groupBy(c("r_name").alias("family")).agg(F.countDistinct("player").alias("players"), F.countDistinct("play").alias("plays"), F.countDistinct("o_custkey").alias("customers"))
+
 
