@@ -1 +1,351 @@
+"""Queries of section 2.12: statistics as distributed jobs on the turn rows."""
 
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import AFTSurvivalRegression
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from swerve.functions.columns import band, hash_uniform
+from swerve.operators import stats as S
+from swerve.sources.tables import TURNS, read, turns
+
+from .aggregating import R, cells
+from .columns import EDGES
+from .ordering import HALF, halves
+from .registry import query
+
+c = F.col
+REPS, SEED = 50, 17
+MOM = "m AS (SELECT grp, player, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss FROM t GROUP BY 1, 2)"
+ICC = "a AS (SELECT grp, count(*) AS j, sum(n) AS total, sum(n * n) AS n2, sum(n * mean) AS nm, sum(n * mean * mean) AS nm2, sum(ss) AS ssw FROM m GROUP BY 1), i AS (SELECT grp, (total - n2 / total::DOUBLE) / (j - 1) AS k0, (nm2 - nm * nm / total) / (j - 1) AS msb, ssw / (total - j) AS msw FROM a)"
+
+
+def moments(spark: SparkSession, d: str, by: tuple[str, ...] = ("grp", "player")) -> DataFrame:
+    return S.group_moments(turns(spark, d), list(by), "price")
+
+
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def coefficients(spark: SparkSession, fit: dict) -> DataFrame:
+    rows = [(n, round(float(b), 6), round(float(s), 6), fit["n"], round(float(fit["r2"]), 9)) for n, b, s in zip(fit["names"], fit["beta"], fit["se"], strict=True)]
+    return table_of(spark, rows, "term string, estimate double, se double, n long, r2 double")
+
+
+@query("stat_icc1", f"WITH {TURNS}, {MOM}, {ICC} SELECT grp, round(k0, 6) AS k0, (msb - msw) / (msb + (k0 - 1) * msw) < 0 AS clamped, round(greatest((msb - msw) / (msb + (k0 - 1) * msw), 0), 6) AS icc FROM i")
+def stat_icc1(spark: SparkSession, d: str) -> DataFrame:
+    return S.icc1(moments(spark, d), ["grp"]).select("grp", R("k0").alias("k0"), "clamped", R("icc").alias("icc"))
+
+
+@query("stat_split_half", f"WITH {TURNS}, {HALF}, p AS (SELECT player, avg(price) FILTER (WHERE odd = 1) AS a, avg(price) FILTER (WHERE odd = 0) AS b FROM half GROUP BY 1) SELECT round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS spearman_brown, count(*) AS players FROM p")
+def stat_split_half(spark: SparkSession, d: str) -> DataFrame:
+    p = halves(turns(spark, d)).groupBy("player").agg(F.avg(F.when(c("odd") == 1, c("price"))).alias("a"), F.avg(F.when(c("odd") == 0, c("price"))).alias("b"))
+    r = F.corr("a", "b")
+    return p.agg(R(r).alias("r"), R(2 * r / (1 + r)).alias("spearman_brown"), F.count("*").alias("players"))
+
+
+@query("stat_season_corr", f"WITH {TURNS}, s AS (SELECT player, season, avg(price) AS mean FROM t GROUP BY 1, 2 HAVING count(*) >= 20) SELECT round(corr(a.mean, b.mean), 6) AS r, count(*) AS n FROM s a JOIN s b ON a.player = b.player AND b.season = a.season + 1")
+def stat_season_corr(spark: SparkSession, d: str) -> DataFrame:
+    s = turns(spark, d).groupBy("player", "season").agg(F.avg("price").alias("mean"), F.count("*").alias("n")).where("n >= 20")
+    b = s.select("player", (c("season") - 1).alias("season"), c("mean").alias("later"))
+    return s.join(b, ["player", "season"]).agg(R(F.corr("mean", "later")).alias("r"), F.count("*").alias("n"))
+
+
+@query("stat_eta_squared", f"WITH {TURNS}, {MOM}, a AS (SELECT grp, sum(n) AS n, sum(n * mean) AS nm, sum(n * mean * mean) AS nm2, sum(ss) AS ssw FROM m GROUP BY 1) SELECT grp, round((nm2 - nm * nm / n) / (nm2 - nm * nm / n + ssw), 6) AS eta2 FROM a")
+def stat_eta_squared(spark: SparkSession, d: str) -> DataFrame:
+    n, m = c("n"), c("mean")
+    a = moments(spark, d).groupBy("grp").agg((F.sum(n * m * m) - F.pow(F.sum(n * m), 2) / F.sum(n)).alias("ssb"), F.sum("ss").alias("ssw"))
+    return a.select("grp", R(c("ssb") / (c("ssb") + c("ssw"))).alias("eta2"))
+
+
+@query("stat_reliability_of_mean", f"WITH {TURNS}, {MOM}, {ICC}, r AS (SELECT grp, greatest((msb - msw) / (msb + (k0 - 1) * msw), 0) AS rho, msw FROM i) SELECT m.grp, player, round(n * rho / (1 + (n - 1) * rho), 6) AS reliability, round(sqrt(msw / n), 4) AS se FROM m JOIN r ON m.grp = r.grp")
+def stat_reliability_of_mean(spark: SparkSession, d: str) -> DataFrame:
+    m = moments(spark, d)
+    j = m.join(F.broadcast(S.icc1(m, ["grp"])), "grp")
+    return j.select("grp", "player", R(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc"))).alias("reliability"), R(F.sqrt(c("msw") / c("n")), 4).alias("se"))
+
+
+@query("stat_adjusted_icc")
+def stat_adjusted_icc(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d).withColumn("angle2", c("angle") * c("angle")).withColumn("value2", c("value") * c("value"))
+    xs = ["angle", "angle2", "value", "value2"]
+    beta = S.solve(*S.unpack(S.gram(t, xs, "price").first(), 5)[:2])
+    rest = t.withColumn("rest", c("price") - S.linear(xs, beta))
+    return S.icc1(S.group_moments(rest, ["grp", "player"], "rest"), ["grp"]).select("grp", R("icc").alias("icc"), R("msw", 2).alias("msw"))
+
+
+@query("stat_two_way_icc", f"WITH {TURNS}, y AS (SELECT player, season, avg(price) AS v FROM t WHERE season BETWEEN 1993 AND 1997 GROUP BY 1, 2), k AS (SELECT * FROM y WHERE player IN (SELECT player FROM y GROUP BY 1 HAVING count(*) = 5)), w AS (SELECT *, avg(v) OVER (PARTITION BY player) AS r, avg(v) OVER (PARTITION BY season) AS s, avg(v) OVER () AS g FROM k), q AS (SELECT count(DISTINCT player) AS n, sum(power(r - g, 2)) / (count(DISTINCT player) - 1) AS msr, sum(power(s - g, 2)) / 4 AS msc, sum(power(v - r - s + g, 2)) / ((count(DISTINCT player) - 1) * 4) AS mse FROM w) SELECT n, round((msr - mse) / (msr + 4 * mse + 5 * (msc - mse) / n), 6) AS icc21 FROM q")
+def stat_two_way_icc(spark: SparkSession, d: str) -> DataFrame:
+    y = turns(spark, d).where("season between 1993 and 1997").groupBy("player", "season").agg(F.avg("price").alias("v"))
+    k = y.withColumn("full", F.count("*").over(Window.partitionBy("player"))).where("full = 5")
+    r, s, g = k.groupBy("player").agg(F.avg("v").alias("r")), k.groupBy("season").agg(F.avg("v").alias("s")), k.agg(F.avg("v").alias("g"))
+    w = k.join(r, "player").join(F.broadcast(s), "season").crossJoin(F.broadcast(g))
+    q = w.agg(F.countDistinct("player").alias("n"), F.sum(F.pow(c("r") - c("g"), 2)).alias("a"), (F.sum(F.pow(c("s") - c("g"), 2)) / 4).alias("msc"), F.sum(F.pow(c("v") - c("r") - c("s") + c("g"), 2)).alias("e"))
+    q = q.withColumn("msr", c("a") / (c("n") - 1)).withColumn("mse", c("e") / ((c("n") - 1) * 4))
+    return q.select("n", R((c("msr") - c("mse")) / (c("msr") + 4 * c("mse") + 5 * (c("msc") - c("mse")) / c("n"))).alias("icc21"))
+
+
+@query("stat_nested_variance", f"WITH {TURNS}, a AS (SELECT player, play, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss FROM t GROUP BY 1, 2), b AS (SELECT player, count(*) AS k, sum(n) AS n, sum(n * mean) / sum(n) AS mean, sum(ss) AS ssw, sum(n * mean * mean) - power(sum(n * mean), 2) / sum(n) AS ssg FROM a GROUP BY 1) SELECT round(sum(ssw) / (sum(n) - sum(k)), 2) AS within, round(sum(ssg) / (sum(k) - count(*)), 2) AS between_plays, round((sum(n * mean * mean) - power(sum(n * mean), 2) / sum(n)) / (count(*) - 1), 2) AS between_players FROM b")
+def stat_nested_variance(spark: SparkSession, d: str) -> DataFrame:
+    a = moments(spark, d, ("player", "play"))
+    n, m = c("n"), c("mean")
+    b = a.groupBy("player").agg(F.count("*").alias("k"), F.sum(n).alias("N"), (F.sum(n * m) / F.sum(n)).alias("M"), F.sum("ss").alias("ssw"), (F.sum(n * m * m) - F.pow(F.sum(n * m), 2) / F.sum(n)).alias("ssg"))
+    N, M = c("N"), c("M")
+    return b.agg(R(F.sum("ssw") / (F.sum(N) - F.sum("k")), 2).alias("within"), R(F.sum("ssg") / (F.sum("k") - F.count("*")), 2).alias("between_plays"), R((F.sum(N * M * M) - F.pow(F.sum(N * M), 2) / F.sum(N)) / (F.count("*") - 1), 2).alias("between_players"))
+
+
+@query("stat_eb_shrinkage", f"WITH {TURNS}, {MOM}, v AS (SELECT grp, sum(ss) / (sum(n) - count(*)) AS s2, sum(n * mean) / sum(n) AS mu, greatest(var_samp(mean) - avg(1.0 / n) * (sum(ss) / (sum(n) - count(*))), 0) AS t2 FROM m GROUP BY 1) SELECT m.grp, player, round(mu + (mean - mu) * t2 / (t2 + s2 / n), 3) AS posterior FROM m JOIN v ON m.grp = v.grp")
+def stat_eb_shrinkage(spark: SparkSession, d: str) -> DataFrame:
+    m = moments(spark, d)
+    s2 = F.sum("ss") / (F.sum("n") - F.count("*"))
+    v = m.groupBy("grp").agg(s2.alias("s2"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("mu"), F.greatest(F.var_samp("mean") - F.avg(1.0 / c("n")) * s2, F.lit(0.0)).alias("t2"))
+    return m.join(F.broadcast(v), "grp").select("grp", "player", R(c("mu") + (c("mean") - c("mu")) * c("t2") / (c("t2") + c("s2") / c("n")), 3).alias("posterior"))
+
+
+@query("stat_moment_tau2")
+def stat_moment_tau2(spark: SparkSession, d: str) -> DataFrame:
+    p = turns(spark, d).groupBy("grp", "player").agg(F.percentile("price", 0.9).alias("q"), F.stddev_samp("price").alias("sd"), F.count("*").alias("n"))
+    a = p.groupBy("grp").agg((F.var_samp("q") - F.avg(F.pow("sd", F.lit(2)) / c("n") * (0.9 * 0.1 / 0.0308))).alias("raw"))
+    return a.select("grp", R(F.greatest("raw", F.lit(0.0)), 2).alias("tau2"), F.when(c("raw") > 0, "positive").otherwise("zero").alias("status"))
+
+
+def boot(spark: SparkSession, d: str) -> DataFrame:
+    """Per replicate: the pooled mean, and the share of between-player variance."""
+    m = moments(spark, d, ("player",))
+    w = S.replicate_weights(m.select("player"), "player", REPS, SEED)
+    n, mean = c("n") * c("times"), c("mean")
+    return m.join(w, "player").groupBy("rep").agg((F.sum(n * mean) / F.sum(n)).alias("mean"), ((F.sum(n * mean * mean) - F.pow(F.sum(n * mean), 2) / F.sum(n)) / (F.sum(n * mean * mean) - F.pow(F.sum(n * mean), 2) / F.sum(n) + F.sum(c("ss") * c("times")))).alias("eta2"))
+
+
+@query("stat_cluster_bootstrap")
+def stat_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
+    return boot(spark, d).agg(F.count("*").alias("reps"), R(F.avg("mean"), 3).alias("mean"), R(q[0], 3).alias("lo"), R(q[1], 3).alias("hi"), R(F.avg("eta2")).alias("eta2"))
+
+
+@query("stat_bayes_bootstrap_weights")
+def stat_bayes_bootstrap_weights(spark: SparkSession, d: str) -> DataFrame:
+    m = moments(spark, d, ("player",)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("w", S.bayes_weight(SEED, "rep", "player"))
+    return m.groupBy("rep").agg(R(F.sum(c("w") * c("n") * c("mean")) / F.sum(c("w") * c("n")), 4).alias("mean"), R(F.avg("w")).alias("mean_weight"))
+
+
+@query("stat_bernoulli_draws")
+def stat_bernoulli_draws(spark: SparkSession, d: str) -> DataFrame:
+    g = cells(turns(spark, d)).groupBy("grp", "cell").agg(F.sum("price").alias("w"), F.avg((c("value") > 0.05).cast("double")).alias("p"))
+    g = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("hit", (hash_uniform(SEED, "rep", "grp", "cell") < c("p")).cast("double"))
+    r = g.groupBy("grp", "rep").agg((F.sum(c("w") * c("hit")) / F.sum("w")).alias("share"))
+    q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return r.groupBy("grp").agg(q.alias("q")).select("grp", R(c("q")[0]).alias("lo"), R(c("q")[1]).alias("mid"), R(c("q")[2]).alias("hi"))
+
+
+@query("stat_block_permutation")
+def stat_block_permutation(spark: SparkSession, d: str) -> DataFrame:
+    reps = 20
+    t = turns(spark, d).where("angle >= 40").select("play", "line", "player", "part", "value", "price")
+    key = ["play", "line", "player", "part"]
+    block = Window.partitionBy("player")
+    t = t.withColumn("i", F.row_number().over(block.orderBy(*key)))
+    each = t.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    order = Window.partitionBy("rep", "player").orderBy(F.when(c("rep") == 0, c("i").cast("long")).otherwise(F.xxhash64(F.lit(SEED), "rep", *key)), *key)
+    dealt = each.select("rep", "player", c("price").alias("dealt"), F.row_number().over(order).alias("i"))
+    r = each.select("rep", "player", "i", "value").join(dealt, ["rep", "player", "i"]).groupBy("rep").agg(F.corr("value", "dealt").alias("r"))
+    seen = F.max(F.when(c("rep") == 0, F.abs("r")))
+    wide = r.crossJoin(F.broadcast(r.agg(seen.alias("seen"), F.max(F.when(c("rep") == 0, c("r"))).alias("estimate"))))
+    return wide.groupBy("estimate").agg(R((F.count_if((c("rep") > 0) & (F.abs("r") >= c("seen"))) + 1) / (reps + 1)).alias("p")).select(R("estimate", 9).alias("estimate"), "p")
+
+
+X = ["angle", "value", "tax"]
+
+
+@query("stat_ols")
+def stat_ols(spark: SparkSession, d: str) -> DataFrame:
+    return coefficients(spark, S.ols(turns(spark, d), X, "price"))
+
+
+@query("stat_cluster_ols")
+def stat_cluster_ols(spark: SparkSession, d: str) -> DataFrame:
+    return coefficients(spark, S.ols(turns(spark, d), X, "price", "player"))
+
+
+@query("stat_wild_cluster")
+def stat_wild_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """Restricted wild bootstrap of the coefficient of value: signs per cluster on per-cluster cross products."""
+    t, xs, p = turns(spark, d), X, 4
+    full = S.ols(t, xs, "price", "player")
+    null = S.solve(*S.unpack(S.gram(t, ["angle", "tax"], "price").first(), 3)[:2])
+    rows = t.withColumn("e0", c("price") - S.linear(["angle", "tax"], null))
+    g = S.gram(rows, xs, "e0", ["player"])
+    reps = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(98)))).withColumn("sign", F.when(hash_uniform(SEED, "rep", "player") < 0.5, -1.0).otherwise(1.0))
+    sums = reps.groupBy("rep").agg(*[F.sum(f"g{i}_{j}").alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(c("sign") * c(f"g{i}_{p}")).alias(f"g{i}_{p}") for i in range(p + 1)]).collect()
+    null_betas = np.array([S.solve(*S.unpack(r, p)[:2])[2] for r in sums])
+    b = float(full["beta"][2])
+    return table_of(spark, [("value", round(b, 6), round(float((np.abs(null_betas) >= abs(b)).mean()), 6), len(sums))], "term string, estimate double, p double, reps long")
+
+
+@query("stat_identified_set")
+def stat_identified_set(spark: SparkSession, d: str) -> DataFrame:
+    """Least and largest slope on value over all choices of one outcome among each play's."""
+    e = turns(spark, d).groupBy("play").agg(F.avg("value").alias("x"), F.min("price").alias("lo"), F.max("price").alias("hi"))
+    m = e.agg(F.avg("x").alias("mx"), F.var_pop("x").alias("vx"), F.count("*").alias("n"))
+    w = e.crossJoin(F.broadcast(m)).withColumn("w", (c("x") - c("mx")) / (c("vx") * c("n")))
+    return w.agg(R(F.sum(F.least(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("least"), R(F.sum(F.greatest(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("largest"))
+
+
+def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFrame:
+    t = turns(spark, d)
+    sums = t.groupBy("player").agg(F.count("*").alias("n"), F.sum("angle").alias("sx"), F.sum(c("angle") * c("angle")).alias("sxx"), *[F.sum(y).alias(f"s_{y}") for y in ys], *[F.sum(c("angle") * c(y)).alias(f"x_{y}") for y in ys])
+    w = sums.join(S.replicate_weights(sums.select("player"), "player", REPS, SEED), "player")
+    tot = w.groupBy("rep").agg(*[F.sum(c(k) * c("times")).alias(k) for k in sums.columns if k != "player"])
+    return tot.select("rep", *[((c("n") * c(f"x_{y}") - c("sx") * c(f"s_{y}")) / (c("n") * c("sxx") - c("sx") * c("sx"))).alias(f"slope_{y}") for y in ys])
+
+
+@query("stat_paired_delta")
+def stat_paired_delta(spark: SparkSession, d: str) -> DataFrame:
+    delta = c("slope_value") - c("slope_tax")
+    q = F.percentile(delta, F.array(F.lit(0.025), F.lit(0.975)))
+    return replicate_slopes(spark, d, ("value", "tax")).agg(F.count("*").alias("reps"), R(F.avg(delta), 9).alias("delta"), R(q[0], 9).alias("lo"), R(q[1], 9).alias("hi"))
+
+
+@query("stat_quantile_regression")
+def stat_quantile_regression(spark: SparkSession, d: str) -> DataFrame:
+    b = S.quantile_regression(turns(spark, d), ["angle"], "price", 0.9)
+    return table_of(spark, [("intercept", round(float(b[0]), 2)), ("angle", round(float(b[1]), 3))], "term string, estimate double")
+
+
+@query("stat_feasible_region")
+def stat_feasible_region(spark: SparkSession, d: str) -> DataFrame:
+    m = S.gram(turns(spark, d), ["angle"], "price", ["player"])
+    n, sx, sy, sxx, sxy = (c(k) for k in ("g0_0", "g0_1", "g0_2", "g1_1", "g1_2"))
+    b1 = (n * sxy - sx * sy) / (n * sxx - sx * sx)
+    f = m.select("player", b1.alias("b1"), ((sy - b1 * sx) / n).alias("b0")).withColumn("cell", F.explode(F.array(*[F.lit(5.0 + 10 * k) for k in range(5)])))
+    return f.groupBy("cell").agg(R(F.avg((c("b0") + c("b1") * c("cell") >= 20000).cast("double"))).alias("feasible"), F.count("*").alias("players"))
+
+
+@query("stat_heldout_loss")
+def stat_heldout_loss(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d).withColumn("fold", F.pmod("player", F.lit(3)))
+    out = []
+    for k in range(3):
+        for name, xs in (("constant", []), ("angle", ["angle"]), ("all", X)):
+            b = S.solve(*S.unpack(S.gram(t.where(c("fold") != k), xs, "price").first(), len(xs) + 1)[:2])
+            loss = t.where(c("fold") == k).agg(F.avg(S.pinball(c("price") - S.linear(xs, b), 0.9))).first()[0]
+            out.append((k, name, round(float(loss), 3)))
+    return table_of(spark, out, "fold int, candidate string, loss double")
+
+
+@query("stat_correlation_matrix")
+def stat_correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["angle", "value", "tax", "price"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    r = turns(spark, d).agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
+    m = np.eye(4)
+    for a, b in pairs:
+        m[cols.index(a), cols.index(b)] = m[cols.index(b), cols.index(a)] = r[f"{a}_{b}"]
+    inv = np.linalg.pinv(m)
+    rows = [(a, b, round(float(m[i, j]), 6), round(float(-inv[i, j] / math.sqrt(inv[i, i] * inv[j, j])), 6), round(float(inv[i, i]), 6)) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return table_of(spark, rows, "a string, b string, pearson double, partial double, vif_a double")
+
+
+@query("stat_aft_survival")
+def stat_aft_survival(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d).select("angle", "tax", (c("price") / 1000 + 0.001).alias("label"), (c("value") < 0.08).cast("double").alias("censor"))
+    m = AFTSurvivalRegression(maxIter=20).fit(VectorAssembler(inputCols=["angle", "tax"], outputCol="features").transform(t))
+    return table_of(spark, [("intercept", float(m.intercept)), ("angle", float(m.coefficients[0])), ("tax", float(m.coefficients[1])), ("scale", float(m.scale))], "term string, estimate double")
+
+
+@query("stat_logistic")
+def stat_logistic(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", F.log(c("n_chars") + 1).alias("size"), (c("lang") == "en").cast("double").alias("english"))
+    t = docs.join(read(spark, d, "labels").select("doc_id", c("quality").cast("double").alias("label")), "doc_id")
+    t = VectorAssembler(inputCols=["size", "english"], outputCol="features").transform(t)
+    m = LogisticRegression(maxIter=30).fit(t)
+    p = m.transform(t).select("label", vector_to_array("probability")[1].alias("p"))
+    return p.agg(F.count("*").alias("n"), R(F.avg("p"), 4).alias("mean_p"), R(F.avg(F.when(c("label") == 1, 1 / c("p")).otherwise(1 / (1 - c("p")))), 3).alias("mean_ipw"))
+
+
+def normal_cdf(z: float) -> float:
+    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
+
+
+@query("stat_two_one_sided")
+def stat_two_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    f, margin = S.ols(turns(spark, d), X, "price", "player"), 5000.0
+    b, se = float(f["beta"][2]), float(f["se"][2])
+    p = max(1 - normal_cdf((b + margin) / se), normal_cdf((b - margin) / se))
+    return table_of(spark, [("value", round(b, 4), round(p, 6), p < 0.05)], "term string, estimate double, p double, equivalent boolean")
+
+
+@query("stat_wilson_interval", f"WITH {TURNS}, s AS (SELECT grp, count(*) AS n, avg(CASE WHEN angle >= 45 THEN 1.0 ELSE 0 END) AS p FROM t GROUP BY 1) SELECT grp, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS lo, round((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS hi FROM s")
+def stat_wilson_interval(spark: SparkSession, d: str) -> DataFrame:
+    s = turns(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.avg((c("angle") >= 45).cast("double")).alias("p"))
+    z2, n, p = 1.96 * 1.96, c("n"), c("p")
+    half = 1.96 * F.sqrt(p * (1 - p) / n + z2 / (4.0 * n * n))
+    return s.select("grp", R((p + z2 / (2 * n) - half) / (1 + z2 / n)).alias("lo"), R((p + z2 / (2 * n) + half) / (1 + z2 / n)).alias("hi"))
+
+
+@query("stat_concordance")
+def stat_concordance(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within a play, so that the work follows the rows; a pair counts where the earlier time is an event."""
+    t = turns(spark, d).select("play", "line", "player", "part", (c("price") / 1000).alias("time"), c("angle").alias("risk"), (c("value") >= 0.03).alias("event"))
+    b = t.select("play", c("time").alias("t2"), c("risk").alias("r2"))
+    j = t.join(b, "play").where("event and time < t2")
+    return j.agg(F.count("*").alias("pairs"), R(F.avg(F.when(c("risk") > c("r2"), 1.0).when(c("risk") == c("r2"), 0.5).otherwise(0.0))).alias("concordance"))
+
+
+@query("stat_dose_bins")
+def stat_dose_bins(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d)
+    names = ["b15", "b30", "b45"]
+    t = t.withColumn("band", F.coalesce(band(t.angle, EDGES), F.lit("low"))).withColumns({n: (c("band") == v).cast("double") for n, v in zip(names, ("15-30", "30-45", "45+"), strict=True)})
+    return coefficients(spark, S.ols(t, names, "price", "player"))
+
+
+@query("stat_leave_one_out")
+def stat_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    m = S.gram(turns(spark, d), ["angle"], "price", ["player"])
+    ks = [k for k in m.columns if k != "player"]
+    total = m.agg(*[F.sum(k).alias(f"t_{k}") for k in ks])
+    w = m.crossJoin(F.broadcast(total)).select("player", *[(c(f"t_{k}") - c(k)).alias(k) for k in ks])
+    slope = (c("g0_0") * c("g1_2") - c("g0_1") * c("g0_2")) / (c("g0_0") * c("g1_1") - c("g0_1") * c("g0_1"))
+    return w.agg(F.count("*").alias("players"), R(F.min(slope), 6).alias("least"), R(F.max(slope), 6).alias("largest"))
+
+
+@query("stat_spec_grid")
+def stat_spec_grid(spark: SparkSession, d: str) -> DataFrame:
+    specs = F.array_compact(F.array(F.lit("all"), F.when(c("angle") >= 10, "angle10"), F.when(c("angle") >= 25, "angle25"), F.when(c("tax") >= 0.04, "taxed"), F.when(c("setting") == "F", "setting_f")))
+    m = S.gram(turns(spark, d).withColumn("spec", F.explode(specs)), ["value"], "price", ["spec"])
+    slope = (c("g0_0") * c("g1_2") - c("g0_1") * c("g0_2")) / (c("g0_0") * c("g1_1") - c("g0_1") * c("g0_1"))
+    return m.select("spec", c("g0_0").cast("long").alias("n"), R(slope, 4).alias("slope"))
+
+
+def within(t: DataFrame, cols: list[str]) -> DataFrame:
+    w = Window.partitionBy("player")
+    return t.select("player", *[(c(k) - F.avg(k).over(w)).alias(k) for k in cols])
+
+
+@query("stat_fwl_orthogonalise")
+def stat_fwl_orthogonalise(spark: SparkSession, d: str) -> DataFrame:
+    t = within(turns(spark, d), ["angle", "value", "tax", "price"])
+    first = S.ols(t, ["tax", "angle"], "value")
+    rest = t.withColumn("rest", c("value") - S.linear(["tax", "angle"], first["beta"]))
+    second = S.ols(rest, ["rest"], "price", "player")
+    return table_of(spark, [("value", round(float(second["beta"][1]), 4), round(float(second["se"][1]), 4), round(float(first["r2"]), 9))], "term string, estimate double, se double, first_r2 double")
+
+
+@query("stat_placebo_outcome")
+def stat_placebo_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return coefficients(spark, S.ols(turns(spark, d).withColumn("placebo", (c("part") % 97).cast("double")), X, "placebo", "player"))
+
+
+@query("stat_effective_n", f"WITH {TURNS}, r AS (SELECT grp, player, count(*) AS r FROM t GROUP BY 1, 2) SELECT grp, round(power(sum(r), 2) / sum(r * r), 6) AS effective FROM r GROUP BY 1")
+def stat_effective_n(spark: SparkSession, d: str) -> DataFrame:
+    r = turns(spark, d).groupBy("grp", "player").agg(F.count("*").alias("r"))
+    return r.groupBy("grp").agg(R(F.pow(F.sum("r"), 2) / F.sum(c("r") * c("r"))).alias("effective"))
