@@ -12,13 +12,17 @@ from .registry import query
 
 c = F.col
 K = ["play", "line", "player", "part"]
-TRACK = Window.partitionBy("track").orderBy("us", "id")
 W = "WINDOW w AS (PARTITION BY track ORDER BY us, id)"
 
 
+def in_track() -> Window:
+    """The order of frames in their track."""
+    return Window.partitionBy("track").orderBy("us", "id")
+
+
 @query("win_lag_dt", f"WITH {FRAMES}, s AS (SELECT track, h - lag(h) OVER w AS dt FROM e {W}) SELECT track, count(*) FILTER (WHERE abs(dt - round(dt)) < 0.05) AS on_grid, count(*) FILTER (WHERE dt > 24) AS gaps, count(dt) AS n FROM s GROUP BY 1")
 def win_lag_dt(spark: SparkSession, d: str) -> DataFrame:
-    s = frames(spark, d).withColumn("dt", c("h") - F.lag("h").over(TRACK))
+    s = frames(spark, d).withColumn("dt", c("h") - F.lag("h").over(in_track()))
     return s.groupBy("track").agg(F.count_if(F.abs(c("dt") - F.round("dt")) < 0.05).alias("on_grid"), F.count_if(c("dt") > 24).alias("gaps"), F.count("dt").alias("n"))
 
 
@@ -40,27 +44,27 @@ def win_drive_sequence(spark: SparkSession, d: str) -> DataFrame:
     e = frames(spark, d)
     last = F.broadcast(e.agg(F.max("label").alias("last")))
     p = e.crossJoin(last).withColumn("who", F.nullif("label", c("last")))
-    new = F.when(c("who").eqNullSafe(F.lag("who").over(TRACK)) & (F.row_number().over(TRACK) > 1), 0).otherwise(1)
+    new = F.when(c("who").eqNullSafe(F.lag("who").over(in_track())) & (F.row_number().over(in_track()) > 1), 0).otherwise(1)
     p = p.withColumn("new", new)
-    return p.select("track", "id", F.when(c("who").isNotNull(), F.sum("new").over(TRACK) - 1).alias("drive"))
+    return p.select("track", "id", F.when(c("who").isNotNull(), F.sum("new").over(in_track()) - 1).alias("drive"))
 
 
 @query("win_order_inversion", f"WITH {FRAMES}, s AS (SELECT track, id < lag(id) OVER w AS back FROM e WINDOW w AS (PARTITION BY track ORDER BY us, id)) SELECT track, count(*) FILTER (WHERE back) AS inversions FROM s GROUP BY 1")
 def win_order_inversion(spark: SparkSession, d: str) -> DataFrame:
-    s = frames(spark, d).withColumn("back", c("id") < F.lag("id").over(TRACK))
+    s = frames(spark, d).withColumn("back", c("id") < F.lag("id").over(in_track()))
     return s.groupBy("track").agg(F.count_if("back").alias("inversions"))
 
 
 @query("win_cum_before", f"WITH {FRAMES}, v AS (SELECT track, id, us, CASE WHEN x >= 20 THEN x END AS v FROM e) SELECT track, id, round(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE sum(v) OVER (PARTITION BY track ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, 4) AS load FROM v {W}")
 def win_cum_before(spark: SparkSession, d: str) -> DataFrame:
     v = frames(spark, d).withColumn("v", F.when(c("x") >= 20, c("x")))
-    earlier = F.sum("v").over(TRACK.rowsBetween(Window.unboundedPreceding, -1))
-    return v.select("track", "id", R(F.when(F.row_number().over(TRACK) == 1, 0.0).otherwise(earlier), 4).alias("load"))
+    earlier = F.sum("v").over(in_track().rowsBetween(Window.unboundedPreceding, -1))
+    return v.select("track", "id", R(F.when(F.row_number().over(in_track()) == 1, 0.0).otherwise(earlier), 4).alias("load"))
 
 
 @query("win_rolling_exact_n", f"WITH {FRAMES}, v AS (SELECT track, id, us, CASE WHEN x >= 5 THEN x END AS v FROM e) SELECT track, id, round(CASE WHEN count(v) OVER f = 3 THEN sum(v) OVER f END, 4) AS last3 FROM v WINDOW f AS (PARTITION BY track ORDER BY us, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
 def win_rolling_exact_n(spark: SparkSession, d: str) -> DataFrame:
-    f = TRACK.rowsBetween(-3, -1)
+    f = in_track().rowsBetween(-3, -1)
     v = frames(spark, d).withColumn("v", F.when(c("x") >= 5, c("x")))
     return v.select("track", "id", R(F.when(F.count("v").over(f) == 3, F.sum("v").over(f)), 4).alias("last3"))
 
@@ -68,14 +72,14 @@ def win_rolling_exact_n(spark: SparkSession, d: str) -> DataFrame:
 @query("win_decayed_load", f"WITH {FRAMES}, r AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r FROM e) SELECT track, id, round(sum(x * power(2, r / 48)) OVER (PARTITION BY track ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * power(2, -r / 48), 4) AS load FROM r")
 def win_decayed_load(spark: SparkSession, d: str) -> DataFrame:
     r = frames(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track")))
-    total = F.sum(c("x") * F.pow(F.lit(2.0), c("r") / 48)).over(TRACK.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum(c("x") * F.pow(F.lit(2.0), c("r") / 48)).over(in_track().rowsBetween(Window.unboundedPreceding, -1))
     return r.select("track", "id", R(total * F.pow(F.lit(2.0), -c("r") / 48), 4).alias("load"))
 
 
 @query("win_rest_between", f"WITH {FRAMES}, s AS (SELECT track, id, h - lag(h + x / 100) OVER w AS rest, row_number() OVER w AS n FROM e {W}) SELECT track, id, round(CASE WHEN rest >= 0 THEN rest END, 6) AS rest, n - 1 AS before FROM s")
 def win_rest_between(spark: SparkSession, d: str) -> DataFrame:
-    rest = c("h") - F.lag(c("h") + c("x") / 100).over(TRACK)
-    return frames(spark, d).select("track", "id", rest.alias("rest"), (F.row_number().over(TRACK) - 1).cast("long").alias("before")).withColumn("rest", R(F.when(c("rest") >= 0, c("rest"))))
+    rest = c("h") - F.lag(c("h") + c("x") / 100).over(in_track())
+    return frames(spark, d).select("track", "id", rest.alias("rest"), (F.row_number().over(in_track()) - 1).cast("long").alias("before")).withColumn("rest", R(F.when(c("rest") >= 0, c("rest"))))
 
 
 @query("win_within_group_z", f"WITH {TURNS} SELECT play, line, player, part, round(CASE WHEN stddev_samp(price) OVER w > 0 THEN (price - avg(price) OVER w) / stddev_samp(price) OVER w ELSE 0 END, 6) AS z FROM t WINDOW w AS (PARTITION BY player)")
@@ -109,7 +113,7 @@ def win_alternate_halves(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_rolling_median", f"WITH {FRAMES} SELECT track, id, round(quantile_cont(x, 0.5) OVER (PARTITION BY track ORDER BY us, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM e")
 def win_rolling_median(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).select("track", "id", R(F.percentile("x", 0.5).over(TRACK.rowsBetween(-2, 2))).alias("smooth"))
+    return frames(spark, d).select("track", "id", R(F.percentile("x", 0.5).over(in_track().rowsBetween(-2, 2))).alias("smooth"))
 
 
 @query("win_dedupe_first", f"WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY play, line ORDER BY player, part) AS n, count(*) OVER (PARTITION BY play, line) - 1 AS dropped FROM t) SELECT play, line, player, part, dropped FROM r WHERE n = 1")
@@ -127,7 +131,7 @@ def win_rank_min_ties(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_running_id_runs", f"WITH {FRAMES}, f AS (SELECT track, us, id, min(CASE WHEN x >= 30 THEN 1 ELSE 0 END) OVER q AS ok, count(*) OVER q AS n FROM e WINDOW q AS (PARTITION BY track ORDER BY us, id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT track, min(us) AS first_us FROM f WHERE ok = 1 AND n = 3 GROUP BY 1")
 def win_running_id_runs(spark: SparkSession, d: str) -> DataFrame:
-    q = TRACK.rowsBetween(0, 2)
+    q = in_track().rowsBetween(0, 2)
     f = frames(spark, d).withColumn("ok", F.min((c("x") >= 30).cast("int")).over(q)).withColumn("n", F.count("*").over(q))
     return f.where("ok = 1 and n = 3").groupBy("track").agg(F.min("us").alias("first_us"))
 

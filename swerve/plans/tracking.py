@@ -10,7 +10,7 @@ from swerve.operators import tracks as T
 from swerve.sources.tables import FRAMES, frames
 
 from .aggregating import STEP, R, steps
-from .ordering import TRACK, W
+from .ordering import in_track, W
 from .registry import query
 
 c = F.col
@@ -37,7 +37,7 @@ def ts_gap_fill_linear(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ts_smooth_savgol", f"WITH {FRAMES}, s AS (SELECT track, id, row_number() OVER w AS i, count(*) OVER (PARTITION BY track) AS n, (-3 * lag(x, 2) OVER w + 12 * lag(x) OVER w + 17 * x + 12 * lead(x) OVER w - 3 * lead(x, 2) OVER w) / 35 AS smooth FROM e {W}) SELECT track, id, round(smooth, 5) AS smooth FROM s WHERE i > 2 AND i <= n - 2")
 def ts_smooth_savgol(spark: SparkSession, d: str) -> DataFrame:
-    i, n = F.row_number().over(TRACK), F.count("*").over(Window.partitionBy("track"))
+    i, n = F.row_number().over(in_track()), F.count("*").over(Window.partitionBy("track"))
     s = T.savgol(frames(spark, d), ["track"], ["us", "id"], "x", 5, 2).withColumn("i", i).withColumn("n", n)
     return s.where("i > 2 and i <= n - 2").select("track", "id", R("smooth", 5).alias("smooth"))
 
@@ -49,14 +49,14 @@ def ts_smooth_kalman(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ts_gradient", f"WITH {ONE} SELECT track, id, round({grad_sql('x')}, 4) AS rate FROM o {W}")
 def ts_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return one(spark, d).select("track", "id", R(T.gradient(c("x"), c("h"), TRACK), 4).alias("rate"))
+    return one(spark, d).select("track", "id", R(T.gradient(c("x"), c("h"), in_track()), 4).alias("rate"))
 
 
 HEAD = f"{ONE}, q AS (SELECT *, {grad_sql('x')} AS vx, {grad_sql('y')} AS vy FROM o {W}), hd AS (SELECT *, (degrees(atan2(vx, vy)) + 360) % 360 AS heading, sqrt(vx * vx + vy * vy) AS speed FROM q)"
 
 
 def headed(spark: SparkSession, d: str) -> DataFrame:
-    q = one(spark, d).withColumn("vx", T.gradient(c("x"), c("h"), TRACK)).withColumn("vy", T.gradient(c("y"), c("h"), TRACK))
+    q = one(spark, d).withColumn("vx", T.gradient(c("x"), c("h"), in_track())).withColumn("vy", T.gradient(c("y"), c("h"), in_track()))
     return q.withColumn("heading", X.heading(c("vx"), c("vy"))).withColumn("speed", F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")))
 
 
@@ -64,7 +64,7 @@ UNWRAP = "u AS (SELECT *, coalesce(((heading - lag(heading) OVER w + 180) % 360
 
 
 def turned(spark: SparkSession, d: str) -> DataFrame:
-    return headed(spark, d).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(TRACK)), F.lit(0.0)))
+    return headed(spark, d).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(in_track())), F.lit(0.0)))
 
 
 @query("ts_unwrap_rate", f"WITH {HEAD}, {UNWRAP} SELECT track, round(sum(dh), 3) AS net, round(sum(abs(dh)), 3) AS total FROM u GROUP BY 1")
@@ -74,7 +74,7 @@ def ts_unwrap_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ts_hold_below_floor", f"WITH {HEAD} SELECT track, id, round(coalesce(last_value(CASE WHEN speed >= 5 THEN heading END IGNORE NULLS) OVER w, first_value(heading) OVER w), 4) AS held FROM hd WINDOW w AS (PARTITION BY track ORDER BY us, id ROWS UNBOUNDED PRECEDING)")
 def ts_hold_below_floor(spark: SparkSession, d: str) -> DataFrame:
-    return headed(spark, d).select("track", "id", R(T.hold_below(c("heading"), c("speed"), 5.0, TRACK), 4).alias("held"))
+    return headed(spark, d).select("track", "id", R(T.hold_below(c("heading"), c("speed"), 5.0, in_track()), 4).alias("held"))
 
 
 @query("ts_speed_qc_despike", f"WITH RECURSIVE {ONE}, n AS (SELECT track, us, h, x, y, row_number() OVER w AS i FROM o {W}), k AS (SELECT track, i, h, x, y, i AS kept FROM n WHERE i = 1 UNION ALL SELECT n.track, n.i, CASE WHEN ok THEN n.h ELSE k.h END, CASE WHEN ok THEN n.x ELSE k.x END, CASE WHEN ok THEN n.y ELSE k.y END, CASE WHEN ok THEN n.i ELSE k.kept END FROM k JOIN n ON n.track = k.track AND n.i = k.i + 1, LATERAL (SELECT sqrt(power(n.x - k.x, 2) + power(n.y - k.y, 2)) <= 20 * (n.h - k.h) AS ok)) SELECT track, count(DISTINCT kept) AS kept FROM k GROUP BY 1")
@@ -99,7 +99,7 @@ PATH = f"{FRAMES}, {STEP}, pa AS (SELECT track, us, id, h - min(h) OVER (PARTITI
 
 def pathed(spark: SparkSession, d: str) -> DataFrame:
     s = steps(frames(spark, d))
-    return s.withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("path", F.sum(F.coalesce("step", F.lit(0.0))).over(TRACK))
+    return s.withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("path", F.sum(F.coalesce("step", F.lit(0.0))).over(in_track()))
 
 
 @query("ts_straight_features", f"WITH {PATH} SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10 FROM pa GROUP BY 1")
@@ -122,7 +122,7 @@ def ts_travel_axis(spark: SparkSession, d: str) -> DataFrame:
 @query("ts_power_integral", f"WITH {HEAD}, p AS (SELECT track, greatest(x * speed, 0) AS a, greatest(lead(x * speed) OVER w, 0) AS b, lead(h) OVER w - h AS dt FROM hd {W}) SELECT track, round(sum(CASE WHEN dt <= 12 THEN (a + b) / 2 * dt ELSE 0 END), 2) AS work FROM p GROUP BY 1")
 def ts_power_integral(spark: SparkSession, d: str) -> DataFrame:
     p = headed(spark, d).withColumn("a", F.greatest(c("x") * c("speed"), F.lit(0.0)))
-    p = p.withColumn("b", F.lead("a").over(TRACK)).withColumn("dt", F.lead("h").over(TRACK) - c("h"))
+    p = p.withColumn("b", F.lead("a").over(in_track())).withColumn("dt", F.lead("h").over(in_track()) - c("h"))
     return p.groupBy("track").agg(R(F.sum(F.when(c("dt") <= 12, (c("a") + c("b")) / 2 * c("dt")).otherwise(0.0)), 2).alias("work"))
 
 
@@ -132,7 +132,7 @@ LAG_SQL = ", ".join(f"corr(x, y{k + 3}) AS c{k + 3}" for k in LAGS)
 
 @query("ts_lag_of_max_xcorr", f"WITH {FRAMES}, l AS (SELECT track, x, {', '.join(f'lag(y, {k}) OVER w AS y{k + 3}' if k >= 0 else f'lead(y, {-k}) OVER w AS y{k + 3}' for k in LAGS)} FROM e {W}), k AS (SELECT track, {LAG_SQL} FROM l GROUP BY 1), u AS (UNPIVOT k ON c0, c1, c2, c3, c4, c5, c6 INTO NAME name VALUE r) SELECT track, arg_max(CAST(substr(name, 2) AS INTEGER) - 3, (round(r, 9), name)) AS best FROM u GROUP BY 1")
 def ts_lag_of_max_xcorr(spark: SparkSession, d: str) -> DataFrame:
-    l = frames(spark, d).select("track", "x", *[(F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(TRACK).alias(f"y{k + 3}") for k in LAGS])  # noqa: E741
+    l = frames(spark, d).select("track", "x", *[(F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(in_track()).alias(f"y{k + 3}") for k in LAGS])  # noqa: E741
     k = l.groupBy("track").agg(F.array(*[F.struct(R(F.corr("x", f"y{k + 3}"), 9).alias("r"), F.lit(k).alias("k")) for k in LAGS]).alias("a"))
     return k.select("track", F.array_max("a")["k"].alias("best"))
 
@@ -174,7 +174,7 @@ def ts_orientation_divergence(spark: SparkSession, d: str) -> DataFrame:
 @query("ts_heading_break", f"WITH {HEAD}, {UNWRAP}, t AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r, abs(dh) + coalesce(abs(lead(dh) OVER w), 0) AS near, lead(h) OVER w - h AS gap FROM u {W}) SELECT track, min(us) AS broke_at FROM t WHERE r >= 24 AND near >= 120 AND gap <= 24 GROUP BY 1")
 def ts_heading_break(spark: SparkSession, d: str) -> DataFrame:
     t = turned(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track")))
-    t = t.withColumn("near", F.abs("dh") + F.coalesce(F.abs(F.lead("dh").over(TRACK)), F.lit(0.0))).withColumn("gap", F.lead("h").over(TRACK) - c("h"))
+    t = t.withColumn("near", F.abs("dh") + F.coalesce(F.abs(F.lead("dh").over(in_track())), F.lit(0.0))).withColumn("gap", F.lead("h").over(in_track()) - c("h"))
     return t.where("r >= 24 and near >= 120 and gap <= 24").groupBy("track").agg(F.min("us").alias("broke_at"))
 
 

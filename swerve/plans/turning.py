@@ -9,7 +9,7 @@ from swerve.operators import turns as U
 from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 
 from .aggregating import R
-from .ordering import TRACK
+from .ordering import in_track
 from .registry import query
 from .tracking import HEAD, UNWRAP, turned
 
@@ -19,7 +19,7 @@ TRIG = "tr AS (SELECT *, abs(lead(turned, 4) OVER w - turned) AS score, max(spee
 
 
 def running(spark: SparkSession, d: str) -> DataFrame:
-    return U.indexed(turned(spark, d).withColumn("turned", F.sum("dh").over(TRACK)), ["track"], ["us", "id"])
+    return U.indexed(turned(spark, d).withColumn("turned", F.sum("dh").over(in_track())), ["track"], ["us", "id"])
 
 
 @query("turn_trigger", f"WITH {RUN}, {TRIG} SELECT track, i::BIGINT AS i, round(score, 3) AS score FROM tr WHERE score >= 60 AND top >= 2")
@@ -160,8 +160,8 @@ def geo_score(spark: SparkSession, d: str) -> DataFrame:
 @query("geo_sequence_angle", f"WITH {FRAMES}, v AS (SELECT *, floor(x / 25) AS z FROM e), f AS (SELECT *, z IS DISTINCT FROM lag(z) OVER w AS new FROM v WINDOW w AS (PARTITION BY track ORDER BY us, id)), p AS (SELECT track, us, id, x, y FROM f WHERE new), s AS (SELECT track, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS cx, lead(y) OVER w - y AS cy FROM p WINDOW w AS (PARTITION BY track ORDER BY us, id)) SELECT track, count(*) AS triples, round(avg(degrees(acos(greatest(-1, least(1, (ax * cx + ay * cy) / (sqrt(ax * ax + ay * ay) * sqrt(cx * cx + cy * cy))))))), 3) AS angle FROM s WHERE sqrt(ax * ax + ay * ay) > 0 AND sqrt(cx * cx + cy * cy) > 0 GROUP BY 1")
 def geo_sequence_angle(spark: SparkSession, d: str) -> DataFrame:
     v = frames(spark, d).withColumn("z", F.floor(c("x") / 25))
-    p = v.withColumn("new", ~c("z").eqNullSafe(F.lag("z").over(TRACK))).where("new")
-    s = p.select("track", (c("x") - F.lag("x").over(TRACK)).alias("ax"), (c("y") - F.lag("y").over(TRACK)).alias("ay"), (F.lead("x").over(TRACK) - c("x")).alias("bx"), (F.lead("y").over(TRACK) - c("y")).alias("by"))
+    p = v.withColumn("new", ~c("z").eqNullSafe(F.lag("z").over(in_track()))).where("new")
+    s = p.select("track", (c("x") - F.lag("x").over(in_track())).alias("ax"), (c("y") - F.lag("y").over(in_track())).alias("ay"), (F.lead("x").over(in_track()) - c("x")).alias("bx"), (F.lead("y").over(in_track()) - c("y")).alias("by"))
     size = lambda a, b: F.sqrt(c(a) * c(a) + c(b) * c(b))
     cos = (c("ax") * c("bx") + c("ay") * c("by")) / (size("ax", "ay") * size("bx", "by"))
     return s.where((size("ax", "ay") > 0) & (size("bx", "by") > 0)).groupBy("track").agg(F.count("*").alias("triples"), R(F.avg(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))), 3).alias("angle"))
