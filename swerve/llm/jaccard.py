@@ -5,6 +5,9 @@ T = ceil(0.75 n) of them. Shingles have one global order, the most frequent ones
 T - 1 of a document are its long lists and are never read as lists; the other n - T + 1 are its
 short lists, and every partner stands in at least one of them. Short lists are merged in sorted
 order, bucket by bucket; long lists are probed by binary search when a candidate is counted.
+
+What a document holds from a shingle on bounds the overlap of all pairs that have this shingle as
+their first common one. Pairs of a long list that leaders leave open are only made within this bound.
 """
 
 from __future__ import annotations
@@ -136,25 +139,25 @@ def short_lists(n: int, num: int, den: int) -> int:
 
 
 def _second_pass(size: int, num: int, den: int, buckets: int, shared):
-    schema = {"bucket": pa.int32(), "h": pa.list_(pa.int64()), "s": pa.list_(pa.int64())}
+    schema = {"bucket": pa.int32(), "h": pa.list_(pa.int64()), "s": pa.list_(pa.int64()), "left": pa.list_(pa.int32())}
 
     def run(batches):
         hot, df = shared.value
-        cold_h, cold_s, cold_n, hot_h, hot_s, hot_n, total, seen = [], [], [], [], [], [], 0, set()
+        cold_h, cold_s, cold_n, cold_left, hot_h, hot_s, hot_n, hot_left, total, seen = [], [], [], [], [], [], [], [], 0, set()
 
         def out():
-            at, h, s = [], [], []
+            at, h, s, left = [], [], [], []
             if cold_h:
-                all_h, all_s = np.concatenate(cold_h), np.repeat(np.array(cold_s, np.int64), cold_n)
+                all_h, all_s, all_left = np.concatenate(cold_h), np.repeat(np.array(cold_s, np.int64), cold_n), np.concatenate(cold_left)
                 bucket = ((all_h >> U64(32)) * U64(buckets)) >> U64(32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
                 for k in np.flatnonzero(np.diff(cuts)):
                     part = order[cuts[k] : cuts[k + 1]]
-                    at.append(int(k)), h.append(all_h[part].view(np.int64)), s.append(all_s[part])
+                    at.append(int(k)), h.append(all_h[part].view(np.int64)), s.append(all_s[part]), left.append(all_left[part])
             if hot_h:  # passed on as they are; their groups are cut by where they come from
-                at.append(buckets + int(seen_first % 1_000_003)), h.append(np.concatenate(hot_h).view(np.int64)), s.append(np.repeat(np.array(hot_s, np.int64), hot_n))
-            return batch_of(schema, bucket=at, h=h, s=s)
+                at.append(buckets + int(seen_first % 1_000_003)), h.append(np.concatenate(hot_h).view(np.int64)), s.append(np.repeat(np.array(hot_s, np.int64), hot_n)), left.append(np.concatenate(hot_left))
+            return batch_of(schema, bucket=at, h=h, s=s, left=left)
 
         seen_first = 0
         for _, u in sets_of(batches, size):
@@ -164,14 +167,15 @@ def _second_pass(size: int, num: int, den: int, buckets: int, shared):
             seen.add(sig)
             p = short_lists(len(u), num, den)
             u, cold = ordered(u, hot, df)
+            left = np.arange(len(u), len(u) - p, -1, dtype=np.int32)  # shingles from each one on
             if k := min(p, cold):
-                cold_h.append(u[:k]), cold_s.append(sig), cold_n.append(k)
+                cold_h.append(u[:k]), cold_s.append(sig), cold_n.append(k), cold_left.append(left[:k])
             if p > cold:
-                hot_h.append(u[cold:p]), hot_s.append(sig), hot_n.append(p - cold)
+                hot_h.append(u[cold:p]), hot_s.append(sig), hot_n.append(p - cold), hot_left.append(left[cold:])
             total += p
             if total >= CHUNK // 2:
                 yield out()
-                cold_h, cold_s, cold_n, hot_h, hot_s, hot_n, total, seen, seen_first = [], [], [], [], [], [], 0, set(), 0
+                cold_h, cold_s, cold_n, cold_left, hot_h, hot_s, hot_n, hot_left, total, seen, seen_first = [], [], [], [], [], [], [], [], 0, set(), 0
         if total:
             yield out()
 
@@ -180,17 +184,17 @@ def _second_pass(size: int, num: int, den: int, buckets: int, shared):
 
 def _merge(buckets: int):
     """One bucket of short lists: pairs of lists of 2 to SHORT documents, members of longer ones."""
-    schema = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64()}
+    schema = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "left": pa.int32()}
 
     def run(key, group):
-        h, s = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in group.column(c).chunks]) for c in ("h", "s"))
+        h, s, left = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in group.column(c).chunks]) for c in ("h", "s", "left"))
         if key[0].as_py() >= buckets:
-            return pa.Table.from_batches([batch_of(schema, kind=np.ones(len(h), np.int32), x=h, y=s)])
+            return pa.Table.from_batches([batch_of(schema, kind=np.ones(len(h), np.int32), x=h, y=s, left=left)])
         order = np.lexsort((s, h))
-        h, s = h[order], s[order]
+        h, s, left = h[order], s[order], left[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        h, s = h[keep], s[keep]
+        h, s, left = h[keep], s[keep], left[keep]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         length = np.diff(np.append(start, len(h)))
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -206,7 +210,7 @@ def _merge(buckets: int):
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         long = np.repeat(length > SHORT, length)
         kind = np.concatenate([np.zeros(new.sum(), np.int32), np.ones(long.sum(), np.int32)])
-        return pa.Table.from_batches([batch_of(schema, kind=kind, x=np.concatenate([x[new], h[long]]), y=np.concatenate([y[new], s[long]]))])
+        return pa.Table.from_batches([batch_of(schema, kind=kind, x=np.concatenate([x[new], h[long]]), y=np.concatenate([y[new], s[long]]), left=np.concatenate([np.zeros(new.sum(), np.int32), left[long]]))])
 
     return run
 
@@ -270,9 +274,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (den - num) / den
     buckets = max(8, math.ceil(postings / BUCKET))
 
-    packed = texts.where("id is not null").mapInArrow(_second_pass(size, num, den, buckets, shared), "bucket int, h array<long>, s array<long>")
-    merged = store.put(packed.groupBy("bucket").applyInArrow(_merge(buckets), "kind int, x long, y long"), "merged")
-    lists = merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"))
+    packed = texts.where("id is not null").mapInArrow(_second_pass(size, num, den, buckets, shared), "bucket int, h array<long>, s array<long>, left array<int>")
+    merged = store.put(packed.groupBy("bucket").applyInArrow(_merge(buckets), "kind int, x long, y long, left int"), "merged")
+    lists = merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"), "left")
 
     def paired(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Distinct pairs a < b that may reach the threshold by their sizes and were not tested yet."""
@@ -293,9 +297,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def unsettled(label: DataFrame) -> DataFrame:
         """Members of the long lists that still hold more than one component."""
-        now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", F.coalesce("label", "sig").alias("label"))
+        now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "left", F.coalesce("label", "sig").alias("label"))
         split = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("sig", F.xxhash64("sig")).alias("leader")).where("lo != hi")
-        return now.join(split.select("h", "leader"), "h")
+        return now.join(split.select("h", "leader"), "h").distinct()
 
     leaders = lists.groupBy("h").agg(F.min_by("sig", F.xxhash64("sig")).alias("x"))
     pairs = merged.where("kind = 0").select("x", "y").union(lists.join(leaders, "h").select("x", F.col("sig").alias("y")))
@@ -313,9 +317,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         if round_ == 0:
             pairs = rest.select(F.col("leader").alias("x"), F.col("sig").alias("y"))
-        else:  # whatever leaders could not settle: every pair of two components in one list
-            other = rest.select("h", F.col("sig").alias("y"), F.col("label").alias("other"))
-            pairs = rest.join(other, "h").where("label < other").select(F.col("sig").alias("x"), "y")
+        else:  # whatever leaders could not settle: pairs of two components in one list that the shingles from there on allow
+            sized = rest.join(reps.select("sig", "n"), "sig")
+            other = sized.select("h", F.col("sig").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_y"))
+            reach = (num + den) * F.least("left", "left_y") >= num * (F.col("n") + F.col("m"))
+            pairs = sized.join(other, "h").where(F.expr("label < other") & reach).select(F.col("sig").alias("x"), "y")
 
     group = reps.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     smallest = group.groupBy("label").agg(F.min("rep").alias("component_id"))
