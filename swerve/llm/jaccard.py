@@ -7,7 +7,9 @@ short lists, and every partner stands in at least one of them. Short lists are m
 order, bucket by bucket; long lists are probed by binary search when a candidate is counted.
 
 What a document holds from a shingle on bounds the overlap of all pairs that have this shingle as
-their first common one. Pairs of a long list that leaders leave open are only made within this bound.
+their first common one. Pairs of a long list that leaders leave open are only made within this bound,
+and only where the two had different long lists just before: with the same one before, that list has
+them too, and earlier. A list whose members all come from one other list is left out for this reason.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Store, WordHasher, batch_of, ids_of, keyed_text, mix, shingles_of, slices
@@ -253,6 +255,15 @@ def _count(num: int, den: int):
     return run
 
 
+def _first_lists(members: DataFrame) -> DataFrame:
+    """(h, sig, left, before) of the long lists: `before` is the document's long list just before h.
+    Lists whose members all have the same list before are left out: their pairs stand in that one."""
+    by_doc = Window.partitionBy("sig").orderBy(F.desc("left"))
+    members = members.repartition("sig").dropDuplicates(["sig", "h", "left"]).withColumn("before", F.lag("h").over(by_doc))
+    inner = members.groupBy("h").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count(F.lit(1)).alias("m")).where("lo = hi and k = m")
+    return members.join(inner.select("h"), "h", "left_anti")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs.
 
@@ -276,7 +287,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     packed = texts.where("id is not null").mapInArrow(_second_pass(size, num, den, buckets, shared), "bucket int, h array<long>, s array<long>, left array<int>")
     merged = store.put(packed.groupBy("bucket").applyInArrow(_merge(buckets), "kind int, x long, y long, left int"), "merged")
-    lists = merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"), "left")
+    lists = store.put(_first_lists(merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"), "left")), "lists")
 
     def paired(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Distinct pairs a < b that may reach the threshold by their sizes and were not tested yet."""
@@ -297,9 +308,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def unsettled(label: DataFrame) -> DataFrame:
         """Members of the long lists that still hold more than one component."""
-        now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "left", F.coalesce("label", "sig").alias("label"))
+        now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "left", "before", F.coalesce("label", "sig").alias("label"))
         split = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("sig", F.xxhash64("sig")).alias("leader")).where("lo != hi")
-        return now.join(split.select("h", "leader"), "h").distinct()
+        return now.join(split.select("h", "leader"), "h")
 
     leaders = lists.groupBy("h").agg(F.min_by("sig", F.xxhash64("sig")).alias("x"))
     pairs = merged.where("kind = 0").select("x", "y").union(lists.join(leaders, "h").select("x", F.col("sig").alias("y")))
@@ -319,9 +330,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = rest.select(F.col("leader").alias("x"), F.col("sig").alias("y"))
         else:  # whatever leaders could not settle: pairs of two components in one list that the shingles from there on allow
             sized = rest.join(reps.select("sig", "n"), "sig")
-            other = sized.select("h", F.col("sig").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_y"))
+            other = sized.select("h", F.col("sig").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_y"), F.col("before").alias("before_y"))
             reach = (num + den) * F.least("left", "left_y") >= num * (F.col("n") + F.col("m"))
-            pairs = sized.join(other, "h").where(F.expr("label < other") & reach).select(F.col("sig").alias("x"), "y")
+            pairs = sized.join(other, "h").where(F.expr("label < other and coalesce(before != before_y, true)") & reach).select(F.col("sig").alias("x"), "y")
 
     group = reps.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     smallest = group.groupBy("label").agg(F.min("rep").alias("component_id"))
