@@ -34,6 +34,8 @@ CHUNK = 1 << 22
 MOST_FREQUENT, FREQUENT = 1 << 17, 32
 #: Lists up to this length give their pairs at once, longer ones are settled by leaders.
 SHORT = 8
+#: Slots of the bit table that tells which texts a join may need: 4 MB of bits at any size of the input.
+SLOTS = 1 << 25
 
 
 def sets_of(batches, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -255,6 +257,15 @@ def _count(num: int, den: int):
     return run
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts whose id is in wanted(id), which holds an id once. A bit table of the wanted ids, of
+    at most SLOTS bits, is broadcast first, so that nearly no other text is shuffled for the exact join."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    table = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return texts.join(F.broadcast(table), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select(*texts.columns).join(wanted, "id")
+
+
 def _first_lists(members: DataFrame) -> DataFrame:
     """(h, sig, left, before) of the long lists: `before` is the document's long list just before h.
     Lists whose members all have the same list before are left out: their pairs stand in that one."""
@@ -301,7 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def linked(cand: DataFrame) -> DataFrame:
         wanted = cand.select(F.col("rep_a").alias("id")).union(cand.select(F.col("rep_b").alias("id"))).distinct()
-        full = store.put(texts.join(wanted, "id", "left_semi").mapInArrow(_as_sets(size), "sig long, set array<long>"), "sets")
+        full = store.put(_texts_of(texts, wanted).mapInArrow(_as_sets(size), "sig long, set array<long>"), "sets")
         both = cand.select("a", "b").join(full.select(F.col("sig").alias("b"), F.col("set").alias("set_b")), "b")
         both = both.join(full.select(F.col("sig").alias("a"), F.col("set").alias("set_a")), "a")
         return both.mapInArrow(_count(num, den), "a long, b long")
