@@ -95,11 +95,23 @@ def link_composition(spark: SparkSession, d: str) -> DataFrame:
 
 @query("link_fuzzy_one_to_one")
 def link_fuzzy_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").where("p_size <= 10")
-    a = p.where("p_partkey % 2 = 0").select("p_size", c("p_partkey").alias("l"), c("p_name").alias("ln"), c("p_brand").alias("lb"))
-    b = p.where("p_partkey % 2 = 1").select("p_size", c("p_partkey").alias("r"), c("p_name").alias("rn"), c("p_brand").alias("rb"))
-    s = a.join(b, "p_size").withColumn("score", R(0.7 * X.similarity(c("ln"), c("rn")) + 0.3 * X.similarity(c("lb"), c("rb")))).where("score >= 0.6")
-    return L.one_to_one(s.select("l", "r", "score"), "l", "r", "score")
+    return fuzzy_one_to_one(read(spark, d, "part"))
+
+
+def fuzzy_one_to_one(part: DataFrame, least: float = 0.6) -> DataFrame:
+    """Even keys matched to odd ones of the same p_size, by 0.7 name and 0.3 brand similarity of `least` or more."""
+    bound = (least - 5e-7 - 0.3) / 0.7  # what the name must reach where the brands are equal and the score is rounded up
+    p = part.where("p_size is not null and p_partkey is not null and p_name is not null and p_brand is not null")
+    items = p.select("p_size", F.when(F.pmod("p_partkey", F.lit(2)) == 0, "l").otherwise("r").alias("side"), "p_name", "p_brand", F.to_json(F.struct("p_name", "p_brand")).alias("kind"), c("p_partkey").alias("id"))
+    kinds = items.drop("id").distinct()
+    names = kinds.select("p_size", "side", "p_name").distinct().withColumn("token", F.explode(L.name_tokens(c("p_name"), bound)))
+    a = names.where("side = 'l'").select("p_size", "token", c("p_name").alias("ln"))
+    b = names.where("side = 'r'").select("p_size", "token", c("p_name").alias("rn"))
+    near = a.join(b, ["p_size", "token"]).select("p_size", "ln", "rn").distinct().withColumn("s", X.similarity(c("ln"), c("rn"))).where(c("s") >= bound - 1e-9)
+    la = kinds.where("side = 'l'").select("p_size", c("p_name").alias("ln"), c("p_brand").alias("lb"), c("kind").alias("lk"))
+    ra = kinds.where("side = 'r'").select("p_size", c("p_name").alias("rn"), c("p_brand").alias("rb"), c("kind").alias("rk"))
+    pairs = near.join(la, ["p_size", "ln"]).join(ra, ["p_size", "rn"]).withColumn("score", R(0.7 * c("s") + 0.3 * X.similarity(c("lb"), c("rb")))).where(c("score") >= least)
+    return L.one_to_one_of_kinds(items, pairs, "p_size")
 
 
 @query("link_name_resolve", "WITH k AS (SELECT p_partkey, substr(p_name, 1, 1) AS initial, string_split(p_name, ' ')[-1] AS surname, p_size FROM part), u AS (SELECT initial, surname, p_size, min(p_partkey) AS id FROM k GROUP BY 1, 2, 3 HAVING count(*) = 1) SELECT p_partkey, id FROM k JOIN u USING (initial, surname, p_size)")

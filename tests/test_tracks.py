@@ -114,3 +114,45 @@ def test_ols_against_numpy(spark):
     se = np.sqrt(np.diag(n / (n - 1) * 199 / 198 * bread @ meat @ bread))
     fit = stats.ols(df, ["x"], "y", "g")
     assert np.allclose(fit["beta"], beta) and np.allclose(fit["se"], se)
+
+
+def test_one_to_one_goes_on_until_stable(spark):
+    n = 104  # a complete tied block: one mutual best a round
+    tied = spark.range(n).select(F.col("id").alias("l")).crossJoin(spark.range(n).select(F.col("id").alias("r"))).withColumn("score", F.lit(1.0))
+    assert sorted(tuple(x) for x in links.one_to_one(tied, "l", "r", "score").collect()) == [(k, k, 1.0) for k in range(n)]
+
+
+def test_fuzzy_one_to_one_against_brute_force(spark):
+    import random
+
+    import swerve.plans.registry  # noqa: F401  (the plans import one another through it)
+    from swerve.plans.linking import fuzzy_one_to_one
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b), 1)
+
+    r = random.Random(3)
+    part = [(k, "same", "Brand#1", 99) for k in range(1000, 1260)]  # 130 tied on each side
+    part += [(k, r.choice(["old ring", "hot ring", "hot gear", "", "x", "".join(r.choice("abc") for _ in range(r.randint(1, 9)))]), f"Brand#{r.randint(1, 12)}", r.choice([3, 40])) for k in range(160)]
+    part += [(k, None, "Brand#1", 3) for k in (500, 501)]
+    pairs = []
+    for a in part:
+        for b in part:
+            if a[0] % 2 == 0 and b[0] % 2 == 1 and a[3] == b[3] and a[1] is not None and b[1] is not None:
+                s = round(0.7 * edit(a[1], b[1]) + 0.3 * edit(a[2], b[2]), 6)
+                if s >= 0.6:
+                    pairs.append((-s, a[0], b[0]))
+    want, ls, rs = [], set(), set()
+    for s, a, b in sorted(pairs):
+        if a not in ls and b not in rs:
+            want.append((a, b, -s))
+            ls.add(a)
+            rs.add(b)
+    got = fuzzy_one_to_one(spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_size int")).collect()
+    assert sorted(tuple(x) for x in got) == sorted(want)
