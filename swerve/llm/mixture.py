@@ -29,7 +29,7 @@ def topic_of(text: Column) -> Column:
         F.when(size < 400, "terse")
         .when(share("|") * 40 > size, "tabular")
         .when((share("%") + share("$") + share("#") + share("&")) * 20 > size, "marked")
-        .when(F.upper(F.substring(text, 1, 400)) == F.substring(text, 1, 400), "loud")
+        .when(F.upper(text) == text, "loud")
         .otherwise("prose")
     )
 
@@ -40,29 +40,32 @@ def n_words(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, gaps[0] + gaps[1] + 1).otherwise(0).cast("long")
 
 
-def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Scale a table of weights until its marginal over each axis is that axis' target.
+def rake_cells(at: list[np.ndarray], w: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Scale cell weights until the marginal over each axis is that axis' target; at has each cell's place by axis.
 
     Targets are shares of one; a value without any weight can't be reached, so its share goes to
-    the others of its axis.
+    the others of its axis. Only cells that occur are held.
     """
-    w = cells / cells.sum() if cells.sum() > 0 else cells.astype(float)
-    axes = [tuple(a for a in range(w.ndim) if a != k) for k in range(w.ndim)]
-    goal = [np.where(w.sum(axis=a) > 0, t, 0.0) for a, t in zip(axes, targets, strict=True)]
+    w = w / w.sum() if w.sum() > 0 else w.astype(float)
+    sums = lambda i, g: np.bincount(i, weights=w, minlength=len(g))
+    goal = [np.where(sums(i, t) > 0, t, 0.0) for i, t in zip(at, targets, strict=True)]
     goal = [g / g.sum() if g.sum() > 0 else g for g in goal]
     for _ in range(rounds):
         worst = 0.0
-        for k, (a, g) in enumerate(zip(axes, goal, strict=True)):
-            now = w.sum(axis=a)
+        for i, g in zip(at, goal, strict=True):
+            now = sums(i, g)
             worst = max(worst, float(np.abs(now - g).max(initial=0)))
-            shape = [1] * w.ndim
-            shape[k] = -1
-            w = w * np.divide(g, now, out=np.zeros_like(now), where=now > 0).reshape(shape)
+            w = w * np.divide(g, now, out=np.zeros_like(now), where=now > 0)[i]
         if worst < tolerance:
             break
     return w
 
 
+def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """rake_cells of a whole table of weights."""
+    return rake_cells([i.ravel() for i in np.indices(cells.shape)], cells.ravel(), targets, rounds, tolerance).reshape(cells.shape)
+
+
 def calibrate(present: np.ndarray, wanted: np.ndarray, keep: float) -> np.ndarray:
     """Probabilities of at most 1 that are proportional to wanted / present where below 1 and keep
     the share `keep` of all weight, or as much as there is."""
@@ -81,9 +84,11 @@ def calibrate(present: np.ndarray, wanted: np.ndarray, keep: float) -> np.ndarra
 def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, topic: Column | None = None, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 11) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, mix_weight, mix_probability and mix_sampled.
 
-    targets gives shares by dimension and value; a dimension left out gets its present shares to
-    the power `temper`. Weights are words unless given; null weight is 0. Null values are their
-    own value '(null)'; values beyond the VALUES heaviest of a dimension are pooled. A document
+    targets gives shares by dimension and value; what they leave of one, or the share named
+    '(other)', goes to the values without a target, by their present shares. A dimension left out
+    gets its present shares to the power `temper`. Weights are words unless given; null weight is
+    0. Null values are their own value '(null)'; values beyond the VALUES heaviest of a dimension
+    are pooled as '(other)' unless they have a target. A document
     is sampled if a hash of its id lies below its probability: rows with equal ids share their
     fate, a null id hashes as the text ''. Columns of docs with these names are replaced. An
     empty table gives an empty result.
@@ -94,31 +99,32 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     values = (F.col(source_col), F.col(lang_col), topic if topic is not None else topic_of(text))
     wide = docs.select("*", *[F.coalesce(v.cast("string"), F.lit("(null)")).alias(n) for v, n in zip(values, names, strict=True)], F.coalesce(weight.cast("double") if weight is not None else n_words(text).cast("double"), F.lit(0.0)).alias("mix_weight"))
     cells = Store(docs.sparkSession).put(wide.groupBy(*names).agg(F.sum("mix_weight").alias("w")), "cells")
-    heavy = {}
-    for n in names:
-        top = cells.groupBy(n).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), n).limit(VALUES).collect()
-        heavy[n] = sorted(r[n] for r in top)
     pooled = wide
-    for n in names:
-        pooled = pooled.withColumn(n, F.when(F.col(n).isin(heavy[n]), F.col(n)).otherwise(POOLED)) if heavy[n] else pooled
-        cells = cells.withColumn(n, F.when(F.col(n).isin(heavy[n]), F.col(n)).otherwise(POOLED)) if heavy[n] else cells
-    table = cells.groupBy(*names).agg(F.sum("w").alias("w")).toPandas()
-    if not len(table) or table["w"].sum() <= 0:
+    for d, n in zip(DIMENSIONS, names, strict=True):
+        top = cells.groupBy(n).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), n).limit(VALUES).collect()
+        apart = sorted({r[n] for r in top} | set((targets or {}).get(d, {})))
+        if apart:
+            pooled, cells = (t.withColumn(n, F.when(F.col(n).isin(apart), F.col(n)).otherwise(POOLED)) for t in (pooled, cells))
+    table = cells.groupBy(*names).agg(F.sum("w").alias("w")).where("w > 0").toPandas()
+    if not len(table):
         return wide.withColumn("mix_probability", F.lit(0.0)).withColumn("mix_sampled", F.lit(False))
     levels = [sorted(table[n].unique()) for n in names]
-    present = np.zeros([len(x) for x in levels])
-    present[tuple(table[n].map({v: i for i, v in enumerate(x)}) for n, x in zip(names, levels, strict=True))] = table["w"]
+    at = [table[n].map({v: i for i, v in enumerate(x)}).to_numpy() for n, x in zip(names, levels, strict=True)]
+    present = table["w"].to_numpy(float)
     goals = []
-    for k, (d, x) in enumerate(zip(DIMENSIONS, levels, strict=True)):
-        share = present.sum(axis=tuple(a for a in range(3) if a != k)) / present.sum()
+    for i, d, x in zip(at, DIMENSIONS, levels, strict=True):
+        share = np.bincount(i, weights=present, minlength=len(x)) / present.sum()
         if targets and d in targets:
-            goal = np.array([float(targets[d].get(v, 0.0)) for v in x])
+            named = {v: float(t) for v, t in targets[d].items() if v != POOLED}
+            goal = np.array([named.get(v, 0.0) for v in x])
+            free = np.where([v not in named for v in x], share, 0.0)
+            rest = max(0.0, float(targets[d].get(POOLED, 1 - sum(named.values()))))
+            goal += rest * free / free.sum() if free.sum() > 0 else 0.0
         else:
-            goal = np.where(share > 0, share, 0) ** temper * (share > 0)
+            goal = share**temper
         goals.append(goal / goal.sum() if goal.sum() > 0 else share)
-    p = calibrate(present, rake(present, goals), keep)
-    at = np.nonzero(present)
-    rates = pd.DataFrame({n: np.array(x, object)[i] for n, x, i in zip(names, levels, at, strict=True)} | {"mix_probability": p[at]})
+    p = calibrate(present, rake_cells(at, present, goals), keep)
+    rates = pd.DataFrame({n: np.array(x, object)[i] for n, x, i in zip(names, levels, at, strict=True)} | {"mix_probability": p})
     rates = docs.sparkSession.createDataFrame(rates, ", ".join(f"{n} string" for n in names) + ", mix_probability double")
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     out = pooled.join(F.broadcast(rates), names, "left").withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))

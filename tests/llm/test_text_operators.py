@@ -229,3 +229,19 @@ def test_pipeline_stages(spark):
     assert start.count() >= kept[0] and kept[0] == kept[1] >= kept[2] >= kept[3] >= kept[4] > 0
     assert p.run(spark, SF).count() == kept[4]
     assert d.where(F.col("mix_probability") <= 0).count() == 0
+
+
+def test_topic_is_of_the_whole_text(spark):
+    texts = ["LOUD WORDS " * 60, "LOUD WORDS " * 60 + "and then not"]
+    assert [x[0] for x in docs(spark, texts).orderBy("doc_id").select(mixture.topic_of(F.col("text"))).collect()] == ["loud", "prose"]
+
+
+def test_targets_of_rare_values(spark):
+    data = [(k, "w " * (99 if k % 250 < 210 else 9) + "w", "en", f"s{k % 250}") for k in range(5000)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    p = lambda t: {x["source"]: (x["mix_source"], x["mix_probability"]) for x in mixture.mix_sources(d, {"source": t}, keep=0.0001).collect()}
+    named = p({"s240": 0.5, "s0": 0.5})  # s240 is beyond the 200 heaviest
+    assert named["s240"][0] == "s240" and abs(named["s240"][1] * 10 / (named["s0"][1] * 100) - 1) < 1e-6 and named["s241"] == ("(other)", 0.0)
+    rest = p({"s0": 0.5})  # the other half is for the values that have no target
+    assert rest["s240"][0] == "(other)" and 0 < rest["s240"][1] and abs(rest["s240"][1] / rest["s1"][1] - 1) < 1e-6
+    assert abs(rest["s0"][1] * 100 - sum(rest[f"s{k}"][1] * (100 if k < 210 else 10) for k in range(1, 250))) < 1e-6 * rest["s0"][1] * 100
