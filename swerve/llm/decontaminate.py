@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Every benchmark item has a SimHash over its five-word shingles. Documents are read in windows of
-an item's size, where at least one shingle of a window is a benchmark shingle (a window without
-one has similarity 0). A fingerprint is looked up in a multi-index: 64 bits in eight blocks, of
+an item's size (the whole document where it is shorter), of which only those with enough
+shingles of items of that size are fingerprinted: a window with w shingles reaches similarity s with
+an item of n shingles only if s / (1 + s) * (n + w) of its shingles are in the item. A fingerprint is looked up in a multi-index: 64 bits in eight blocks, of
 which one differs in at most RADIUS // 8 bits if the whole differs in at most RADIUS. Candidates
 are verified by the exact weighted Jaccard similarity of the shingle counts.
 """
@@ -106,7 +107,6 @@ class Benchmark:
         for n, places in sizes.items():
             index, items = self.groups[n]
             span = n - self.size + 1  # shingles of a window
-            need = int(np.ceil(2 * similarity / (1 + similarity) * span - 1e-9)) if span > 1 else 1
             # windows that hold enough benchmark shingles to pass, as runs of their first shingle
             mark = np.zeros(len(shingles) + 1, np.int32)
             mark[np.array(places)] = 1
@@ -114,6 +114,7 @@ class Benchmark:
             first = np.unique((np.array(places)[:, None] - np.arange(span)).ravel())
             first = first[(first >= 0) & (first <= max(0, len(shingles) - span))]
             last = np.minimum(first + span, len(shingles))
+            need = np.ceil(similarity / (1 + similarity) * (span + last - first) - 1e-9)
             for a in first[upto[last] - upto[first] >= need].tolist():
                 window = shingles[a : a + span]
                 for k in index.within(simhash(window)).tolist():

@@ -231,6 +231,14 @@ def test_pipeline_stages(spark):
     assert d.where(F.col("mix_probability") <= 0).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    w = prose(41, 104).split()
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    texts = [" ".join(w[:84]), " ".join(w[10:92]), " ".join(w[:70])]
+    out = decontaminate.decontaminate(docs(spark, texts), bench).orderBy("id").collect()
+    assert [(x["items"], x["similarities"]) for x in out] == [([1], [0.8]), ([1], [0.78]), ([], [])]
+
+
 def test_topic_is_of_the_whole_text(spark):
     texts = ["LOUD WORDS " * 60, "LOUD WORDS " * 60 + "and then not"]
     assert [x[0] for x in docs(spark, texts).orderBy("doc_id").select(mixture.topic_of(F.col("text"))).collect()] == ["loud", "prose"]
