@@ -8,15 +8,15 @@ are reported. Three fixed phrases are counted beside the rules and always stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The base phrases, and what is no word character once A-Z are lower-cased.
+# The base phrases, and their words.
 PHRASES = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
 #: label, names as regexes, keyword that every name holds (lower case), identifiers
 FAMILIES = [
     ("apache-2.0", [r"apache(?: software)? licen[cs]e,?(?: version| v\.?)? ?2(?:\.0)?", r"apache[- ]2\.0"], "apache", ["Apache-2.0"]),
@@ -66,7 +66,8 @@ FAMILIES = [
 #: rules about rights that name no licence: label, regex, keyword, priority, confidence
 STATEMENTS = [
     ("reserved", r"all rights (?:are )?(?:strictly )?reserved", "rights", 30, 0.8),
-    ("copyright", r"(?:copyright|copr\.)(?:\s*(?:\(c\)|©))?\s*(?:19|20)[0-9]{2}(?:\s*[-,]\s*(?:(?:19|20)[0-9]{2}|present))*", "copyright", 20, 0.5),
+    ("copyright", r"copyright(?:\s*(?:\(c\)|©))?\s*(?:19|20)[0-9]{2}(?:\s*[-,]\s*(?:(?:19|20)[0-9]{2}|present))*", "copyright", 20, 0.5),
+    ("copyright", r"copr\.(?:\s*(?:\(c\)|©))?\s*(?:19|20)[0-9]{2}(?:\s*[-,]\s*(?:(?:19|20)[0-9]{2}|present))*", "copr.", 20, 0.5),
     ("copyright", r"©\s*(?:19|20)[0-9]{2}", "©", 20, 0.5),
     ("copyright", r"copyright(?:ed)? by [\w.]+", "copyright", 15, 0.4),
     ("public-domain", r"(?:dedicated to|in|into|placed in) the public domain", "public domain", 40, 0.7),
@@ -82,9 +83,8 @@ STATEMENTS = [
     ("licensed", r"licen[cs]ed (?:under|to|by)", "licen", 10, 0.3),
     ("terms", r"subject to (?:the )?(?:licen[cs]e|terms)", "subject to", 10, 0.3),
 ]
-#: Every rule's match holds one of these as a whole word (or the sign): the first gate.
-GATE = ["license", "licence", "licenses", "licences", "licensed", "licenced", "unlicense", "unlicence", "apache", "bsd", "gpl", "gplv2", "gplv3", "gpl2", "gpl3", "lgpl", "lgplv2", "lgplv3", "lgpl2", "lgpl3", "agpl", "agplv3", "agpl3", "gnu", "wtfpl", "cc", "cc0", "creative", "rail", "openrail", "openrailm", "openrails", "spdx", "rights", "copyright", "copyrighted", "copr", "domain", "permission", "redistribution", "provided", "distributed", "warranty", "warranties", "proprietary", "unauthorized", "unauthorised", "reproduced", "redistributed", "copied", "republished", "subject"]
-SIGN = "©"
+#: Keywords that stand in ordinary words, and the beginnings that every match of their rules has one of.
+LONGER = {"cc": ("cc-by", "cc by"), "rail": ("openrail", "open rail")}
 #: How a licence is named in running text: regex around the name, priority, confidence.
 FORMS = [
     (r"(?:released|licen[cs]ed|distributed|available|published|redistributed)(?: and/or modif(?:y|ied))? under (?:the )?(?:terms of )?(?:the )?{}", 90, 0.95),
@@ -140,7 +140,8 @@ def detect(docs: DataFrame, text_col: str = "text", signatures: list[tuple[str,
     groups = {k: F.array(*[F.struct(F.lit(name).alias("name"), F.array(*r).alias("rules")) for name, r in g.items()]) for k, g in by.items()}
     text = docs.select(F.col(text_col).cast("string").alias("t"))
     if own:
-        text = text.where(F.arrays_overlap(F.split(F.lower("t"), NOT_WORD), F.lit(GATE)) | F.contains("t", F.lit(SIGN)))
+        low = F.lower("t")
+        text = text.where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for k in by for w in LONGER.get(k, (k,))]))
     once = text.groupBy("t").agg(F.md5(F.first("t").cast("binary")).alias("key")).withColumn("low", F.lower("t"))
     gated = F.flatten(F.array(*[F.when(F.contains("low", F.lit(k)), g).otherwise(F.array().cast(kind)) for k, g in groups.items()]))
     named = F.flatten(F.transform(F.filter(gated, lambda g: F.rlike("t", g["name"])), lambda g: g["rules"]))

@@ -231,6 +231,20 @@ def test_pipeline_stages(spark):
     assert d.where(F.col("mix_probability") <= 0).count() == 0
 
 
+def test_licence_names_beside_other_scripts(spark):
+    texts = ["\u201cMIT License\u201d", "x\u2014Apache License 2.0\u2014y", "\u672c\u4ef6\u306fMIT License\u3067\u3059", "GPLv3\uff0c\u8bb8\u53ef", "\u00a0BSD license\u00a0", "Copyright2020", "under Open Rails terms", "\u540cCC-BY-SA\u540c", "trail access summits"]
+    out = {x["id"]: x["labels"] for x in licences.scan_licences(docs(spark, texts)).collect()}
+    assert [out[k] for k in range(9)] == ["mit", "apache-2.0", "mit", "gpl-3.0", "bsd", "copyright", "openrail", "cc-by-sa", ""]
+
+
+def test_licence_gate_loses_no_match(spark):
+    own = licences.rules()
+    texts = ["\u201c" + w + "\u201d" for w in ("MIT License", "see the wtfpl for", "subject to the terms", "copr. 1999", "\u00a9 2001", "cc0", "may not be copied", "open rail-m", "creative commons zero", "confidential and proprietary")]
+    d = docs(spark, texts + ["nothing of it"])
+    whole = {tuple(x) for x in licences.detect(d, signatures=own).collect()}
+    assert {tuple(x) for x in licences.detect(d).collect()} == whole and len({x[0] for x in whole}) == len(texts)
+
+
 def test_decontamination_of_documents_shorter_than_the_item(spark):
     w = prose(41, 104).split()
     bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
