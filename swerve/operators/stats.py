@@ -112,3 +112,33 @@ def quantile_regression(df: DataFrame, xs: list[str], y: str, tau: float, rounds
 
 def pinball(residual: Column, tau: float) -> Column:
     return F.greatest(tau * residual, (tau - 1) * residual)
+
+
+def concordance(df: DataFrame, time: str, risk: str, event: str, ranges: int = 64) -> DataFrame:
+    """(pairs, higher, tied) over all pairs of rows: an event, and a row of a later time.
+
+    Rows are counted by (time, risk). Risks below one's own are split into blocks of ranks of a power of
+    two; later rows of a block are running sums within time ranges, with the sums of later ranges
+    joined after. Only the distinct risks and the ranges are collected.
+    """
+    spark = df.sparkSession
+    rows = df.where(c(time).isNotNull() & c(risk).isNotNull()).groupBy(c(time).cast("double").alias("t"), c(risk).cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(c(event)).alias("e"))
+    levels = sorted(r["v"] for r in rows.select("v").distinct().collect())
+    bits = max(1, len(levels).bit_length())
+    cuts = sorted(set(rows.approxQuantile("t", [k / ranges for k in range(1, ranges)], 0.005))) if levels else []
+    ranks = spark.createDataFrame(list(zip(levels, range(len(levels)))), "v double, rank int")
+    place = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x <= c("t")))
+    rows = rows.join(F.broadcast(ranks), "v").withColumn("range", place)
+    at = F.sequence(F.lit(0), F.lit(bits))
+    held = rows.select("t", "range", "n", F.explode(at).alias("b"), "rank").select("b", F.expr("shiftright(rank, b)").alias("node"), "range", "t", "n", F.lit(0).cast("long").alias("higher"), F.lit(0).cast("long").alias("tied"), F.lit(0).cast("long").alias("any"))
+    asks = rows.where("e > 0").select("t", "range", "e", "rank", F.explode(at).alias("b"))
+    zero = F.lit(0).cast("long")
+    lower = asks.where("shiftright(rank, b) % 2 = 1").select("b", F.expr("shiftright(rank, b) - 1").alias("node"), "range", "t", zero.alias("n"), c("e").alias("higher"), zero.alias("tied"), zero.alias("any"))
+    same = asks.where("b = 0").select("b", c("rank").alias("node"), "range", "t", zero.alias("n"), zero.alias("higher"), c("e").alias("tied"), zero.alias("any"))
+    every = asks.where(c("b") == bits).select("b", F.lit(0).alias("node"), "range", "t", zero.alias("n"), zero.alias("higher"), zero.alias("tied"), c("e").alias("any"))
+    step = held.union(lower).union(same).union(every).groupBy("b", "node", "range", "t").agg(*[F.sum(k).alias(k) for k in ("n", "higher", "tied", "any")])
+    later = Window.partitionBy("b", "node", "range").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("b", "node").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    offset = step.groupBy("b", "node", "range").agg(F.sum("n").alias("n")).select("b", "node", "range", F.coalesce(F.sum("n").over(past), zero).alias("beyond"))
+    step = step.withColumn("later", F.coalesce(F.sum("n").over(later), zero)).join(offset, ["b", "node", "range"]).withColumn("later", c("later") + c("beyond"))
+    return step.agg(*[F.coalesce(F.sum(c(k) * c("later")), zero).alias(out) for k, out in (("any", "pairs"), ("higher", "higher"), ("tied", "tied"))])

@@ -22,7 +22,7 @@ from .ordering import HALF, halves
 from .registry import query
 
 c = F.col
-REPS, SEED = 50, 17
+REPS, SEED = 2000, 17  # the reference's least number of draws for a percentile interval
 MOM = "m AS (SELECT grp, player, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss FROM t GROUP BY 1, 2)"
 ICC = "a AS (SELECT grp, count(*) AS j, sum(n) AS total, sum(n * n) AS n2, sum(n * mean) AS nm, sum(n * mean * mean) AS nm2, sum(ss) AS ssw FROM m GROUP BY 1), i AS (SELECT grp, (total - n2 / total::DOUBLE) / (j - 1) AS k0, (nm2 - nm * nm / total) / (j - 1) AS msb, ssw / (total - j) AS msw FROM a)"
 
@@ -293,11 +293,9 @@ def stat_wilson_interval(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stat_concordance")
 def stat_concordance(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within a play, so that the work follows the rows; a pair counts where the earlier time is an event."""
-    t = turns(spark, d).select("play", "line", "player", "part", (c("price") / 1000).alias("time"), c("angle").alias("risk"), (c("value") >= 0.03).alias("event"))
-    b = t.select("play", c("time").alias("t2"), c("risk").alias("r2"))
-    j = t.join(b, "play").where("event and time < t2")
-    return j.agg(F.count("*").alias("pairs"), R(F.avg(F.when(c("risk") > c("r2"), 1.0).when(c("risk") == c("r2"), 0.5).otherwise(0.0))).alias("concordance"))
+    """Harrell's C over all pairs of rows; a pair counts where the earlier time is an event."""
+    t = turns(spark, d).select((c("price") / 1000).alias("time"), c("angle").alias("risk"), (c("value") >= 0.03).alias("event"))
+    return S.concordance(t, "time", "risk", "event").select("pairs", R(F.try_divide(c("higher") + 0.5 * c("tied"), c("pairs"))).alias("concordance"))
 
 
 @query("stat_dose_bins")

@@ -156,3 +156,11 @@ def test_fuzzy_one_to_one_against_brute_force(spark):
             rs.add(b)
     got = fuzzy_one_to_one(spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_size int")).collect()
     assert sorted(tuple(x) for x in got) == sorted(want)
+
+
+def test_concordance_of_all_pairs(spark):
+    r = np.random.default_rng(8)
+    data = [(int(r.integers(0, 40)) / 4, float(r.integers(0, 7)), bool(r.integers(0, 2))) for _ in range(300)]
+    pairs = [(a[1], b[1]) for a in data for b in data if a[2] and a[0] < b[0]]
+    out = stats.concordance(spark.createDataFrame(data, "time double, risk double, event boolean"), "time", "risk", "event").first()
+    assert tuple(out) == (len(pairs), sum(x > y for x, y in pairs), sum(x == y for x, y in pairs))
