@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,24 +21,41 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder (a temporary one where none is set)."""
+    """A new folder under the shared checkpoint folder. A cluster must name it; one process may do without."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="swerve-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/swerve-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None):
+    """Jobs that are run inside get Arrow batches of at most so many rows: for rows that hold large arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class Store:
     """Tables written to the shared folder, so that a lost executor costs a reread and no lineage."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df, written and read again; batch_rows bounds the rows that a Python worker gets at once."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        with batches_of(self.spark, batch_rows):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -140,11 +159,6 @@ def slices(ids: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.n
         i = j
 
 
-def ids_of(batch: pa.RecordBatch, name: str = "id") -> np.ndarray:
-    """Ids of a batch; rows without an id are taken out by the caller's filter before."""
-    return batch.column(name).to_numpy(zero_copy_only=False)
-
-
 def batch_of(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 

@@ -26,3 +26,14 @@ def components(store: Store, links: DataFrame) -> DataFrame:
         label = step.select("node", "label")
         if step.where(F.col("was") != F.col("label")).limit(1).count() == 0:
             return label
+
+
+def merged_labels(store: Store, label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of components(...) after more links(a, b): only the labels that they join are walked."""
+    of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+    joined = components(store, between)
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = label.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    of_label = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return store.put(known.join(of_label, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "label")

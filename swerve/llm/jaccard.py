@@ -1,15 +1,24 @@
 """N-gram Jaccard join by T-occurrence search.
 
 A document of n distinct shingles can only be linked to one with which it shares at least
-T = ceil(0.75 n) of them. Shingles have one global order, the most frequent ones last. The last
-T - 1 of a document are its long lists and are never read as lists; the other n - T + 1 are its
-short lists, and every partner stands in at least one of them. Short lists are merged in sorted
-order, bucket by bucket; long lists are probed by binary search when a candidate is counted.
+ceil(0.75 n) of them, and a pair of sizes n and m needs T = ceil(3/7 (n + m)). Shingles have one
+global order, the most frequent ones last, and the inverted lists are dealt by shingle:
+
+- A document stands in the lists of its first n - ceil(0.75 n) + 1 shingles, so partners meet in at
+  least one. Lists of up to SHORT documents are merged in sorted order and the lists in which two
+  documents meet are counted; a pair stays if this count and the lists not merged (longer ones, and
+  those behind its first shingles) can reach T. What is left is probed by binary search.
+- In longer lists each document is first compared to one leader for its class of sizes and one for
+  the next. Members of a list that are then still in different components are searched block
+  against block by DivideSkip: a query's short lists are merged by counting, its long lists are
+  probed by binary search for the documents whose count can still reach T, and only links that
+  join components leave a block. So no pairs of a list are made, and work on a list is cut into
+  equal tasks.
 
 What a document holds from a shingle on bounds the overlap of all pairs that have this shingle as
-their first common one. Pairs of a long list that leaders leave open are only made within this bound,
-and only where the two had different long lists just before: with the same one before, that list has
-them too, and earlier. A list whose members all come from one other list is left out for this reason.
+their first common one; members that can't reach anyone within this bound leave the list. With the same
+long list before, two documents have been searched there. A list whose members all come from one
+other list is left out for this reason.
 """
 
 from __future__ import annotations
@@ -22,38 +31,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Store, WordHasher, batch_of, ids_of, keyed_text, mix, shingles_of, slices
-from .graph import components
+from .common import U64, Store, WordHasher, batch_of, keyed_text, mix, shingles_of, slices
+from .graph import components, merged_labels
 
 SIZE, NUM, DEN = 5, 75, 100
 #: Postings that one bucket of the merge holds.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 #: Shingles counted together before only the repeated ones are passed on.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: The global order puts at most so many shingles last; it only orders, so a bound loses nothing.
 MOST_FREQUENT, FREQUENT = 1 << 17, 32
-#: Lists up to this length give their pairs at once, longer ones are settled by leaders.
+#: Lists up to this length are merged pair by pair, longer ones through leaders and blocks.
 SHORT = 8
+#: Documents on each side of a block, and shingles that a batch of pairs holds about.
+BLOCK, BATCH_ROWS = 256, 256
+#: Leaders are tried again while the blocks would compare more than so many pairs for each member of a list.
+OPEN, LEADER_ROUNDS = 64, 3
+#: DivideSkip's share of long lists (a constant of the published method).
+MU = 0.0085
 #: Slots of the bit table that tells which texts a join may need: 4 MB of bits at any size of the input.
 SLOTS = 1 << 25
 
 
-def sets_of(batches, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(batches, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """(id, sorted distinct shingle hashes) of each text. A text of 1 to size - 1 words is one shingle."""
     hasher = WordHasher()
     for batch in batches:
-        for ids, data, begins in slices(ids_of(batch), batch.column("text")):
+        ids = batch.column("id").to_pylist()
+        for rows, data, begins in slices(np.arange(batch.num_rows), batch.column("text")):
             words, _, _, at = hasher.words(data, begins)
             shingles = shingles_of(words, size)
-            for k, i in enumerate(ids.tolist()):
+            for k, i in enumerate(rows.tolist()):
                 a, b = at[k], at[k + 1]
                 if b - a >= size:
                     s = np.sort(shingles[a : b - size + 1])
-                    yield i, s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
+                    yield ids[i], s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
                 elif b > a:
-                    yield i, mix(shingles_of(words[a:b], int(b - a)), int(b - a))
+                    yield ids[i], mix(shingles_of(words[a:b], int(b - a)), int(b - a))
                 else:
-                    yield i, np.zeros(0, U64)
+                    yield ids[i], np.zeros(0, U64)
 
 
 def signature(s: np.ndarray) -> int:
@@ -187,7 +203,8 @@ def _second_pass(size: int, num: int, den: int, buckets: int, shared):
 
 
 def _merge(buckets: int):
-    """One bucket of short lists: pairs of lists of 2 to SHORT documents, members of longer ones."""
+    """One bucket of short lists: pairs that meet in lists of 2 to SHORT documents, with the number of
+    lists in which they do (`left`), and members of longer lists."""
     schema = {"kind": pa.int32(), "x": pa.int64(), "y": pa.int64(), "left": pa.int32()}
 
     def run(key, group):
@@ -212,9 +229,10 @@ def _merge(buckets: int):
         x, y = x[order], y[order]
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        met = np.diff(np.append(np.flatnonzero(new), len(x))).astype(np.int32)
         long = np.repeat(length > SHORT, length)
         kind = np.concatenate([np.zeros(new.sum(), np.int32), np.ones(long.sum(), np.int32)])
-        return pa.Table.from_batches([batch_of(schema, kind=kind, x=np.concatenate([x[new], h[long]]), y=np.concatenate([y[new], s[long]]), left=np.concatenate([np.zeros(new.sum(), np.int32), left[long]]))])
+        return pa.Table.from_batches([batch_of(schema, kind=kind, x=np.concatenate([x[new], h[long]]), y=np.concatenate([y[new], s[long]]), left=np.concatenate([met, left[long]]))])
 
     return run
 
@@ -257,6 +275,72 @@ def _count(num: int, den: int):
     return run
 
 
+class Lists:
+    """The inverted lists of a block of sets: for each shingle the ascending places of those that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.lexsort((who, h))
+        h, self.who, self.size = h[order], who[order], len(sets)
+        self.begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        self.key, self.end = h[self.begin], np.append(self.begin[1:], len(h)) if len(h) else self.begin
+
+    def search(self, query: np.ndarray, need: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Open places that hold at least need[place] of the query's shingles, by DivideSkip.
+
+        The longest lists are set aside. The others are merged by counting (what a heap of their
+        heads gives, in one pass); a place stays if the long lists could still lift its count to
+        what it needs, and is probed in them by binary search until they can't.
+        """
+        at = np.searchsorted(self.key, query)
+        at = at[self.key[np.minimum(at, len(self.key) - 1)] == query] if len(self.key) else at[:0]
+        least = int(need[open_].min()) if open_.any() else 1
+        if len(at) < least:
+            return at[:0]
+        begin, length = self.begin[at], self.end[at] - self.begin[at]
+        order = np.argsort(length, kind="stable")
+        begin, length = begin[order], length[order]
+        n_long = min(least - 1, int(least / (MU * math.log2(max(2, int(length[-1]))) + 1)))
+        n_short = len(at) - n_long
+        run, total = length[:n_short], int(length[:n_short].sum())
+        merged = self.who[np.repeat(begin[:n_short] - np.concatenate(([0], np.cumsum(run)[:-1])), run) + np.arange(total)]
+        count = np.bincount(merged, minlength=self.size)
+        cand = np.flatnonzero(open_ & (count >= need - n_long))
+        for k in range(n_short, len(at)):
+            if not len(cand):
+                break
+            places = self.who[begin[k] : begin[k] + length[k]]
+            count[cand] += places[np.minimum(np.searchsorted(places, cand), len(places) - 1)] == cand
+            cand = cand[count[cand] + (len(at) - 1 - k) >= need[cand]]
+        return cand[count[cand] >= need[cand]]
+
+
+def _search_blocks(num: int, den: int):
+    """Links that join components between the queries and the targets of one pair of blocks."""
+    schema = {"a": pa.int64(), "b": pa.int64()}
+
+    def run(key, group):
+        col = lambda c: group.column(c).to_numpy()
+        sets = group.column("set").combine_chunks()
+        values, offsets = sets.values.to_numpy(zero_copy_only=False).view(U64), sets.offsets.to_numpy()
+        of = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        target, sig, n, left, before = col("target"), col("sig"), col("n"), col("left"), group.column("before").fill_null(0).to_numpy()
+        none = group.column("before").is_null().to_numpy()
+        part = np.unique(col("label"), return_inverse=True)[1]
+        t, a, b = np.flatnonzero(target), [], []
+        lists = Lists([of[k] for k in t]) if len(t) else None
+        for q in np.flatnonzero(~target).tolist() if lists else ():
+            need = -(-num * (n[t] + n[q]) // (num + den))
+            open_ = (part[t] != part[q]) & (np.minimum(left[t], left[q]) >= need) & (np.minimum(n[t], n[q]) >= need) & (none[t] | none[q] | (before[t] != before[q]))
+            for k in lists.search(of[q], need, open_).tolist():
+                if part[t[k]] != part[q]:
+                    part[part == part[t[k]]] = part[q]
+                    a.append(int(sig[q])), b.append(int(sig[t[k]]))
+        return pa.Table.from_batches([batch_of(schema, a=a, b=b)])
+
+    return run
+
+
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of texts whose id is in wanted(id), which holds an id once. A bit table of the wanted ids, of
     at most SLOTS bits, is broadcast first, so that nearly no other text is shuffled for the exact join."""
@@ -266,13 +350,57 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(table), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select(*texts.columns).join(wanted, "id")
 
 
-def _first_lists(members: DataFrame) -> DataFrame:
-    """(h, sig, left, before) of the long lists: `before` is the document's long list just before h.
-    Lists whose members all have the same list before are left out: their pairs stand in that one."""
+def _long_lists(members: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(h, sig, left, n, k, before) of the long lists and (sig, n_long) of all documents in them.
+
+    `before` is the document's long list just before h, k the class of its size: sizes whose ratio allows a
+    link are in one class or in neighbours. Lists whose members all have the same list before are
+    left out: their pairs stand in that one.
+    """
     by_doc = Window.partitionBy("sig").orderBy(F.desc("left"))
     members = members.repartition("sig").dropDuplicates(["sig", "h", "left"]).withColumn("before", F.lag("h").over(by_doc))
+    members = store.put(members, "members")
     inner = members.groupBy("h").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count(F.lit(1)).alias("m")).where("lo = hi and k = m")
-    return members.join(inner.select("h"), "h", "left_anti")
+    return members.join(inner.select("h"), "h", "left_anti"), members.groupBy("sig").agg(F.count(F.lit(1)).alias("n_long"))
+
+
+def _leaders(lists: DataFrame) -> DataFrame:
+    """(x, y): each member of a long list with the leader of its class of sizes and of the next. A class is
+    led by the member with the largest share of its shingles from the list on."""
+    lead = lists.groupBy("h", "k").agg(F.max_by("sig", F.struct(F.col("left") / F.col("n"), F.xxhash64("sig"))).alias("x"))
+    return lists.select("h", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"), F.col("sig").alias("y")).join(lead, ["h", "k"]).select("x", "y")
+
+
+def _open_sides(lists: DataFrame, label: DataFrame, store: Store, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, targets and their numbers by (h, kq, kt): who is left to be compared in the long lists.
+
+    Queries are the members outside the list's largest component, targets all members of a class of
+    sizes in reach; both only as far as the shingles from the list on allow a link.
+    """
+    now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    now = store.put(now.select("h", "k", "sig", "n", "left", "before", "label"), "now")
+    main = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", "main")
+    rest = store.put(now.join(main, "h"), "rest")
+    reach = lambda least: (num + den) * F.col("left") >= num * (F.col("n") + F.col(least))
+    sizes = rest.groupBy("h", F.col("k").alias("kt")).agg(F.min("n").alias("least_t"))
+    q = rest.where("label != main").withColumn("kt", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))).join(sizes, ["h", "kt"]).where(reach("least_t"))
+    q = store.put(q.select("h", F.col("k").alias("kq"), "kt", "sig", "n", "left", "before", "label"), "queries")
+    nq = q.groupBy("h", "kq", "kt").agg(F.count(F.lit(1)).alias("nq"), F.min("n").alias("least_q"))
+    t = rest.withColumnRenamed("k", "kt").join(nq, ["h", "kt"]).where(reach("least_q"))
+    t = store.put(t.select("h", "kq", "kt", "sig", "n", "left", "before", "label", "nq"), "targets")
+    return q, t, store.put(t.groupBy("h", "kq", "kt").agg(F.first("nq").alias("nq"), F.count(F.lit(1)).alias("nt")), "sizes")
+
+
+def _block_rows(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Both sides dealt into blocks of about BLOCK documents, a row for each block of the other side."""
+    key = ["h", "kq", "kt"]
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("sig", F.lit(1)), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    cols = [*key, "sig", "n", "left", "before", "label"]
+    q = q.join(sizes, key).select(*cols, F.lit(False).alias("target"), own("nq").alias("bq"), each("nt").alias("bt"))
+    t = t.drop("nq").join(sizes, key).select(*cols, F.lit(True).alias("target"), own("nt").alias("bt"), each("nq").alias("bq"))
+    return q.unionByName(t)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -281,14 +409,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents link when den * shared shingles >= num * united shingles; a component's id is the
     smallest document id in it. Null or empty text, or text without words: no shingles, linked
     with nothing, its own component. Rows with equal sets are one class from the start, so copies
-    are never paired. A repeated id gives one row per input row. A null id keeps its row and has
-    a component only through its copies. Other columns are not read.
+    are never paired. A repeated id gives one row per input row. A row with a null id stays, links
+    nobody and has the component of the rows with its shingles, null where there are none. Other
+    columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     store, texts = Store(spark), keyed_text(docs, id_col, text_col)
     scan = store.put(texts.mapInArrow(_first_pass(size), "kind int, a long, n long, b long, bits binary"), "scan")
     sets = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("n").alias("n_shingles"), F.col("b").alias("sig"), "bits")
-    reps = store.put(sets.where("n_shingles > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "reps")
+    width = math.log(den / num * 1.0001)
+    reps = sets.where("n_shingles > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    reps = store.put(reps.withColumn("k", F.floor(F.log("n") / width).cast("int")), "reps")
     frequent = scan.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "a").limit(MOST_FREQUENT).toPandas()
     hot, df = frequent["a"].to_numpy(np.int64).view(U64), frequent["c"].to_numpy(np.int64)
     order = np.argsort(hot)
@@ -298,52 +429,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     packed = texts.where("id is not null").mapInArrow(_second_pass(size, num, den, buckets, shared), "bucket int, h array<long>, s array<long>, left array<int>")
     merged = store.put(packed.groupBy("bucket").applyInArrow(_merge(buckets), "kind int, x long, y long, left int"), "merged")
-    lists = store.put(_first_lists(merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"), "left")), "lists")
+    lists, n_long = _long_lists(merged.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("sig"), "left"), store)
+    lists, n_long = store.put(lists.join(reps.select("sig", "n", "k"), "sig"), "lists"), store.put(n_long, "n_long")
 
-    def paired(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Distinct pairs a < b that may reach the threshold by their sizes and were not tested yet."""
-        pairs = pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    def paired(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs a < b of pairs(x, y, met) that may reach T. met: lists merged in which they meet,
+        null for a pair with a leader."""
+        pairs = pairs.where("x != y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("met").alias("met"), F.max(F.col("met").isNull()).alias("led"))
         of = lambda k, *more: reps.select(F.col("sig").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
-        pairs = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        pairs = pairs.join(of("a", "rep", "bits"), "a").join(of("b", "rep", "bits"), "b")
+        longs = lambda k: n_long.select(F.col("sig").alias(k), F.col("n_long").alias(f"long_{k}"))
+        pairs = pairs.join(of("a", "n", "rep", "bits"), "a").join(of("b", "n", "rep", "bits"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        pairs = pairs.join(longs("a"), "a", "left").join(longs("b"), "b", "left")
+        need, behind = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-9), F.ceil(F.greatest("n_a", "n_b") * num / den - 1e-9) - 1
+        not_merged = behind + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+        pairs = pairs.where(F.col("led") | (F.col("met") + not_merged >= need))
         return pairs.mapInArrow(_bound(num, den), "a long, b long, rep_a long, rep_b long")
 
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """(sig, set) of the documents whose ids are in wanted(id)."""
+        return store.put(_texts_of(texts, wanted.distinct()).mapInArrow(_as_sets(size), "sig long, set array<long>"), "sets")
+
     def linked(cand: DataFrame) -> DataFrame:
-        wanted = cand.select(F.col("rep_a").alias("id")).union(cand.select(F.col("rep_b").alias("id"))).distinct()
-        full = store.put(_texts_of(texts, wanted).mapInArrow(_as_sets(size), "sig long, set array<long>"), "sets")
+        full = full_sets(cand.select(F.col("rep_a").alias("id")).union(cand.select(F.col("rep_b").alias("id"))))
         both = cand.select("a", "b").join(full.select(F.col("sig").alias("b"), F.col("set").alias("set_b")), "b")
         both = both.join(full.select(F.col("sig").alias("a"), F.col("set").alias("set_a")), "a")
         return both.mapInArrow(_count(num, den), "a long, b long")
 
-    def unsettled(label: DataFrame) -> DataFrame:
-        """Members of the long lists that still hold more than one component."""
-        now = lists.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "left", "before", F.coalesce("label", "sig").alias("label"))
-        split = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("sig", F.xxhash64("sig")).alias("leader")).where("lo != hi")
-        return now.join(split.select("h", "leader"), "h")
-
-    leaders = lists.groupBy("h").agg(F.min_by("sig", F.xxhash64("sig")).alias("x"))
-    pairs = merged.where("kind = 0").select("x", "y").union(lists.join(leaders, "h").select("x", F.col("sig").alias("y")))
-    tested = links = label = None
-    for round_ in range(3):
-        cand = store.put(paired(pairs, tested), "pairs")
-        found = store.put(linked(cand), "found")
-        links = found if links is None else links.union(found)
-        tested = cand.select("a", "b") if tested is None else tested.union(cand.select("a", "b"))
-        label = components(store, links)
-        if round_ == 2:
+    pairs = merged.where("kind = 0").select("x", "y", F.col("left").alias("met")).unionByName(_leaders(lists).withColumn("met", F.lit(None).cast("int")))
+    n_members, label = lists.count(), None
+    for round_ in range(LEADER_ROUNDS):
+        found = store.put(linked(store.put(paired(pairs), "pairs")), "found", batch_rows=BATCH_ROWS)
+        label = components(store, found) if label is None else merged_labels(store, label, found)
+        if not n_members:
             break
-        rest = store.put(unsettled(label), "rest")
-        if rest.limit(1).count() == 0:
+        q, t, sizes = _open_sides(lists, label, store, num, den)
+        still = sizes.agg(F.sum(F.col("nq") * F.col("nt"))).first()[0] or 0
+        if round_ == LEADER_ROUNDS - 1 or still <= OPEN * n_members:
+            if still:  # exact for all that leaders left open
+                rows = store.put(_block_rows(q, t, sizes), "blocks")
+                full = full_sets(rows.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("id")))
+                rows = rows.join(full, "sig")
+                found = store.put(rows.groupBy("h", "kq", "kt", "bq", "bt").applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
+                label = merged_labels(store, label, found)
             break
-        if round_ == 0:
-            pairs = rest.select(F.col("leader").alias("x"), F.col("sig").alias("y"))
-        else:  # whatever leaders could not settle: pairs of two components in one list that the shingles from there on allow
-            sized = rest.join(reps.select("sig", "n"), "sig")
-            other = sized.select("h", F.col("sig").alias("y"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_y"), F.col("before").alias("before_y"))
-            reach = (num + den) * F.least("left", "left_y") >= num * (F.col("n") + F.col("m"))
-            pairs = sized.join(other, "h").where(F.expr("label < other and coalesce(before != before_y, true)") & reach).select(F.col("sig").alias("x"), "y")
+        lead = F.struct(F.col("left") / F.col("n"), F.xxhash64("sig", F.lit(round_)))
+        lead_q, lead_t = (side.groupBy("h", "kq", "kt").agg(F.max_by("sig", lead).alias("x")) for side in (q, t))
+        pairs = t.join(lead_q, ["h", "kq", "kt"]).select("x", F.col("sig").alias("y")).union(q.join(lead_t, ["h", "kq", "kt"]).select("x", F.col("sig").alias("y"))).withColumn("met", F.lit(None).cast("int"))
 
     group = reps.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     smallest = group.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -60,6 +60,46 @@ def test_jaccard_against_brute_force(spark):
     assert [tuple(x) for x in got] == brute_components(texts)
 
 
+def near_copies(seed, n, n_words=60, edits=6):
+    """Copies of one text that differ in up to `edits` words, so that their links make chains, groups and loners."""
+    r, base = random.Random(seed), prose(seed, n_words).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        out.append(" ".join(w[: r.choice((n_words, n_words, n_words - 8))]))
+    return out
+
+
+@pytest.mark.parametrize("rounds, block", [(1, 16), (3, 256)])
+def test_jaccard_long_lists(spark, monkeypatch, rounds, block):
+    """Long lists with many components, with blocks at once and after more leaders."""
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds), monkeypatch.setattr(jaccard, "BLOCK", block), monkeypatch.setattr(jaccard, "OPEN", 0)
+    texts = near_copies(21, 150) + near_copies(22, 60, 12, 3)
+    got = jaccard.jaccard_components(docs(spark, texts)).orderBy("id").collect()
+    assert [tuple(x) for x in got] == brute_components(texts)
+
+
+def test_jaccard_ids(spark):
+    """Null ids stay with the component of their shingles, repeated ids give a row each, an empty table none."""
+    a, b = prose(31, 60), prose(32, 60)
+    rows_ = [(5, a), (None, a), (None, b), (7, prose(33, 60)), (7, prose(34, 60)), (9, None), (None, "")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted(map(repr, ((x["id"], x["n_shingles"], x["component_id"]) for x in got))) == sorted(map(repr, [(5, 56, 5), (None, 56, 5), (None, 56, None), (7, 56, 7), (7, 56, 7), (9, 0, 9), (None, 0, None)]))
+    assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_divide_skip_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+        query = np.unique(r.integers(0, 60, 30)).astype(np.uint64)
+        need, open_ = r.integers(1, 20, 30), r.random(30) < 0.8
+        want = [k for k, s in enumerate(sets) if open_[k] and len(np.intersect1d(s, query)) >= need[k]]
+        assert jaccard.Lists(sets).search(query, need, open_).tolist() == want
+
+
 def test_jaccard_of_no_rows(spark):
     assert jaccard.jaccard_components(docs(spark, []).where("false")).count() == 0
 
