@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, Store, WordHasher, batch_of, keyed_text, mix, shingles_of, slices
 from .graph import components, merged_labels
@@ -43,8 +44,10 @@ CHUNK = 1 << 20
 MOST_FREQUENT, FREQUENT = 1 << 17, 32
 #: Lists up to this length are merged pair by pair, longer ones through leaders and blocks.
 SHORT = 8
-#: Documents on each side of a block, and shingles that a batch of pairs holds about.
+#: Documents on each side of a block, pairs with their sets that a Python worker gets at once.
 BLOCK, BATCH_ROWS = 256, 256
+#: What is left of a list gives its pairs at once if these are at most so many for each of its documents.
+FEW = 24
 #: Leaders are tried again while the blocks would compare more than so many pairs for each member of a list.
 OPEN, LEADER_ROUNDS = 64, 3
 #: DivideSkip's share of long lists (a constant of the published method).
@@ -315,27 +318,64 @@ class Lists:
         return cand[count[cand] >= need[cand]]
 
 
+class Block:
+    """The queries and targets of one pair of blocks, and which of them may still be linked."""
+
+    def __init__(self, group: pa.Table, num: int, den: int):
+        col = lambda c: group.column(c).to_numpy()
+        self.num, self.den, self.sig, self.n, self.left = num, den, col("sig"), col("n"), col("left")
+        self.before, self.none = group.column("before").fill_null(0).to_numpy(), group.column("before").is_null().to_numpy()
+        self.part = np.unique(col("label"), return_inverse=True)[1]
+        self.q, self.t = np.flatnonzero(~col("target")), np.flatnonzero(col("target"))
+
+    def need(self, q: int) -> np.ndarray:
+        return -(-self.num * (self.n[self.t] + self.n[q]) // (self.num + self.den))
+
+    def open(self, q: int, need: np.ndarray) -> np.ndarray:
+        t = self.t
+        reach = (np.minimum(self.left[t], self.left[q]) >= need) & (np.minimum(self.n[t], self.n[q]) >= need)
+        return reach & (self.part[t] != self.part[q]) & (self.none[t] | self.none[q] | (self.before[t] != self.before[q]))
+
+
+def _mark_blocks(num: int, den: int):
+    """The rows of one pair of blocks whose bitmaps allow them an open partner."""
+    def run(key, group):
+        block = Block(group, num, den)
+        keep = np.zeros(group.num_rows, bool)
+        bits = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
+        size = 8 * min(map(len, bits), default=1)
+        if len(block.q) and len(block.t):
+            theirs = np.stack([folded(bits[k], size) for k in block.t])
+            for q in block.q.tolist():
+                need = block.need(q)
+                at = np.flatnonzero(block.open(q, need))
+                if len(at):
+                    own, other = folded(bits[q], size), theirs[at]
+                    most = np.minimum(block.n[q] - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), block.n[block.t[at]] - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
+                    at = at[most >= need[at]]
+                    keep[block.t[at]], keep[q] = True, len(at) > 0
+        return group.drop_columns(["bits"]).filter(pa.array(keep))
+
+    return run
+
+
 def _search_blocks(num: int, den: int):
     """Links that join components between the queries and the targets of one pair of blocks."""
     schema = {"a": pa.int64(), "b": pa.int64()}
 
     def run(key, group):
-        col = lambda c: group.column(c).to_numpy()
         sets = group.column("set").combine_chunks()
         values, offsets = sets.values.to_numpy(zero_copy_only=False).view(U64), sets.offsets.to_numpy()
         of = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        target, sig, n, left, before = col("target"), col("sig"), col("n"), col("left"), group.column("before").fill_null(0).to_numpy()
-        none = group.column("before").is_null().to_numpy()
-        part = np.unique(col("label"), return_inverse=True)[1]
-        t, a, b = np.flatnonzero(target), [], []
+        block, a, b = Block(group, num, den), [], []
+        part, t = block.part, block.t
         lists = Lists([of[k] for k in t]) if len(t) else None
-        for q in np.flatnonzero(~target).tolist() if lists else ():
-            need = -(-num * (n[t] + n[q]) // (num + den))
-            open_ = (part[t] != part[q]) & (np.minimum(left[t], left[q]) >= need) & (np.minimum(n[t], n[q]) >= need) & (none[t] | none[q] | (before[t] != before[q]))
-            for k in lists.search(of[q], need, open_).tolist():
+        for q in block.q.tolist() if lists else ():
+            need = block.need(q)
+            for k in lists.search(of[q], need, block.open(q, need)).tolist():
                 if part[t[k]] != part[q]:
                     part[part == part[t[k]]] = part[q]
-                    a.append(int(sig[q])), b.append(int(sig[t[k]]))
+                    a.append(int(block.sig[q])), b.append(int(block.sig[t[k]]))
         return pa.Table.from_batches([batch_of(schema, a=a, b=b)])
 
     return run
@@ -391,6 +431,15 @@ def _open_sides(lists: DataFrame, label: DataFrame, store: Store, num: int, den:
     return q, t, store.put(t.groupBy("h", "kq", "kt").agg(F.first("nq").alias("nq"), F.count(F.lit(1)).alias("nt")), "sizes")
 
 
+def _few_pairs(q: DataFrame, t: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, met) of the queries and targets that may be linked, of lists with few of them."""
+    key = ["h", "kq", "kt"]
+    side = lambda d, e: d.join(sizes, key).select(*key, *[F.col(c).alias(f"{c}_{e}") for c in ("sig", "n", "left", "before", "label")])
+    reach = (num + den) * F.least("left_x", "left_y") >= num * (F.col("n_x") + F.col("n_y"))
+    pairs = side(q, "x").join(side(t.drop("nq"), "y"), key).where(F.expr("label_x != label_y and coalesce(before_x != before_y, true)") & reach)
+    return pairs.select(F.col("sig_x").alias("x"), F.col("sig_y").alias("y"), F.lit(None).cast("int").alias("met"))
+
+
 def _block_rows(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
     """Both sides dealt into blocks of about BLOCK documents, a row for each block of the other side."""
     key = ["h", "kq", "kt"]
@@ -455,6 +504,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = both.join(full.select(F.col("sig").alias("a"), F.col("set").alias("set_a")), "a")
         return both.mapInArrow(_count(num, den), "a long, b long")
 
+    def searched(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Links of the blocks; sets are only sent for what bitmaps leave."""
+        key = ["h", "kq", "kt", "bq", "bt"]
+        rows = _block_rows(q, t, sizes)
+        schema = T.StructType(list(rows.schema.fields))
+        marked = store.put(rows.join(reps.select("sig", "bits"), "sig").select(*rows.columns, "bits").groupBy(*key).applyInArrow(_mark_blocks(num, den), schema), "marked")
+        full = full_sets(marked.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("id")))
+        return store.put(marked.join(full, "sig").groupBy(*key).applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
+
     pairs = merged.where("kind = 0").select("x", "y", F.col("left").alias("met")).unionByName(_leaders(lists).withColumn("met", F.lit(None).cast("int")))
     n_members, label = lists.count(), None
     for round_ in range(LEADER_ROUNDS):
@@ -466,11 +524,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         still = sizes.agg(F.sum(F.col("nq") * F.col("nt"))).first()[0] or 0
         if round_ == LEADER_ROUNDS - 1 or still <= OPEN * n_members:
             if still:  # exact for all that leaders left open
-                rows = store.put(_block_rows(q, t, sizes), "blocks")
-                full = full_sets(rows.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("id")))
-                rows = rows.join(full, "sig")
-                found = store.put(rows.groupBy("h", "kq", "kt", "bq", "bt").applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
-                label = merged_labels(store, label, found)
+                few = F.col("nq") * F.col("nt") <= FEW * (F.col("nq") + F.col("nt"))
+                found = store.put(linked(store.put(paired(_few_pairs(q, t, sizes.where(few), num, den)), "pairs")), "found", batch_rows=BATCH_ROWS)
+                label = merged_labels(store, label, found.union(searched(q, t, sizes.where(~few))))
             break
         lead = F.struct(F.col("left") / F.col("n"), F.xxhash64("sig", F.lit(round_)))
         lead_q, lead_t = (side.groupBy("h", "kq", "kt").agg(F.max_by("sig", lead).alias("x")) for side in (q, t))
