@@ -404,10 +404,10 @@ def _long_lists(members: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]
     return members.join(inner.select("h"), "h", "left_anti"), members.groupBy("sig").agg(F.count(F.lit(1)).alias("n_long"))
 
 
-def _leaders(lists: DataFrame) -> DataFrame:
+def _leaders(lists: DataFrame, store: Store) -> DataFrame:
     """(x, y): each member of a long list with the leader of its class of sizes and of the next. A class is
     led by the member with the largest share of its shingles from the list on."""
-    lead = lists.groupBy("h", "k").agg(F.max_by("sig", F.struct(F.col("left") / F.col("n"), F.xxhash64("sig"))).alias("x"))
+    lead = store.put(lists.groupBy("h", "k").agg(F.max_by("sig", F.struct(F.col("left") / F.col("n"), F.xxhash64("sig"))).alias("x")), "leaders")
     return lists.select("h", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"), F.col("sig").alias("y")).join(lead, ["h", "k"]).select("x", "y")
 
 
@@ -513,7 +513,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         full = full_sets(marked.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("id")))
         return store.put(marked.join(full, "sig").groupBy(*key).applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
 
-    pairs = merged.where("kind = 0").select("x", "y", F.col("left").alias("met")).unionByName(_leaders(lists).withColumn("met", F.lit(None).cast("int")))
+    pairs = merged.where("kind = 0").select("x", "y", F.col("left").alias("met")).unionByName(_leaders(lists, store).withColumn("met", F.lit(None).cast("int")))
     n_members, label = lists.count(), None
     for round_ in range(LEADER_ROUNDS):
         found = store.put(linked(store.put(paired(pairs), "pairs")), "found", batch_rows=BATCH_ROWS)

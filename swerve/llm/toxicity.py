@@ -1,9 +1,11 @@
 """Toxicity after noisy-channel deobfuscation.
 
 Hidden words (leetspeak, spacing, repetition) are read as paths through a lattice: each character
-offers the letters it may stand for, symbols may be noise, runs may be shorter words' letters.
-A character trigram model of the whole corpus weighs the paths and Viterbi picks the best. The
-restored words are scored by a boosted model of words and word beginnings.
+offers the letters it may stand for, symbols may be noise, runs may be shorter words' letters,
+gaps between single letters may end a word. A character trigram model of the whole corpus weighs
+the paths and Viterbi picks the best, for tokens and spaced runs of any length. Patterns only tell
+which tokens look hidden. The restored words are scored by a boosted model of words and word
+beginnings.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ from .common import Store, batch_of, crc_mod
 #: Labelled rows that the classifier is fitted on at most; the smallest hashes of their ids are taken.
 SAMPLE = 12_000
 FEATURES, ROUNDS, MIN_TOXIC = 1500, 300, 4
-#: Trigrams kept by the character model, commonest first.
-TRIGRAMS = 1 << 16
-CHUNK = 1 << 19
-LONGEST = 24
+#: Letters that the character model tells apart, commonest first; all others count as one more letter.
+#: So it has at most (ALPHABET + 3) ** 3 trigrams, of which none is left out.
+ALPHABET, OTHER = 61, "\x00"
+CHUNK = 1 << 17
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "¡": "i", "(": "c"}
 EDGE = ".,;:?!\"'()[]{}<>%#&*|/\\…“”«»„-_=~^`"
-COST_LEET, COST_DROP, COST_GAP, COST_RUN = 0.7, 2.5, 0.2, 0.7
+COST_LEET, COST_DROP, COST_GAP, COST_RUN, COST_BREAK = 0.7, 2.5, 0.2, 0.7, 2.0
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\s\w]?[\w@$!][\s.*_-]){3,}[\w@$!](?![^\s.,;:?!])")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -40,10 +42,11 @@ INNER = re.compile(r"[^\W\d_][^\w\s=/:]{0,2}[0-9@$!|+€][^\W\d_]|(?:[0-9@$!|+
 
 
 class CharModel:
-    """Log probability of a character after two others, with add-k smoothing."""
+    """Log probability of a character after two others, with add-k smoothing; letters are those of `letters`."""
 
-    def __init__(self, trigrams: list[tuple[str, int]], k: float = 0.05):
+    def __init__(self, trigrams: list[tuple[str, int]], k: float = 0.05, letters: frozenset[str] | None = None):
         pairs: Counter = Counter()
+        self.letters = letters
         for g, n in trigrams:
             pairs[g[:2]] += n
         size = len({g[2] for g, _ in trigrams}) + 1
@@ -54,6 +57,9 @@ class CharModel:
     def __call__(self, two: str, c: str) -> float:
         return self.log.get(two + c) or self.back.get(two, self.none)
 
+    def known(self, c: str) -> str:
+        return c if self.letters is None or c in self.letters or c in "^$" else OTHER
+
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings, with their costs, of each run of equal characters."""
@@ -74,19 +80,26 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The likeliest word behind a token."""
+def restore(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest word behind a token, or words if its gaps may end them (breaks)."""
     states = {"^^": (0.0, "")}
     for ways in lattice(token):
+        ended = {}
+        if breaks and any(not add for add, _ in ways):
+            score, text = max((s + model(two, "$") - COST_BREAK, t + " ") for two, (s, t) in states.items())
+            ended = {"^^": (score, text)} if text.strip() else {}
         new: dict[str, tuple[float, str]] = {}
         for two, (score, text) in states.items():
             for add, cost in ways:
                 s, at = score - cost, two
-                for c in add:
+                for c in map(model.known, add):
                     s += model(at, c)
                     at = at[1] + c
                 if at not in new or s > new[at][0]:
                     new[at] = (s, text + add)
+        for at, (s, text) in ended.items():
+            if at not in new or s > new[at][0]:
+                new[at] = (s, text)
         states = new
     return max((s + model(two, "$"), t) for two, (s, t) in states.items())[1]
 
@@ -97,20 +110,20 @@ def words_in(token: str, model: CharModel | None) -> tuple[str, ...]:
     if core.isalpha() and not TRIPLE.search(core):
         return (core,)
     words = (core,) if core.isalpha() else tuple(WORD.findall(core))
-    if not model or not 2 < len(core) <= LONGEST or "=" in core or ("@" in core and core.rfind(".") > core.find("@")):
+    if not model or len(core) < 3 or ("@" in core and core.rfind(".") > core.find("@")):
         return words
     return (*words, restore(core, model)) if TRIPLE.search(core) or INNER.search(core) else words
 
 
 def spaced_words(text: str, model: CharModel | None) -> list[str]:
-    """Words written with gaps between their letters."""
-    return [restore(m.strip(), model) for m in SPACED.findall(text) if len(m) <= 2 * LONGEST] if model else []
+    """Words written with gaps between their letters, read as one word and as several."""
+    return [w for m in SPACED.findall(text) for w in (restore(m.strip(), model), *restore(m.strip(), model, True).split())] if model else []
 
 
 class Memory(dict):
     """What was found out about tokens, forgotten as a whole when it grows too large."""
 
-    def __init__(self, of, size: int = 300_000):
+    def __init__(self, of, size: int = 100_000):
         self.of, self.size = of, size
 
     def __missing__(self, token):
@@ -151,15 +164,22 @@ def _trigrams(batches):
             w = f"^^{w}$"
             for i in range(len(w) - 2):
                 counts[w[i : i + 3]] += n
+            if len(counts) > CHUNK:
+                yield batch_of({"g": pa.string(), "n": pa.int64()}, g=list(counts), n=list(counts.values()))
+                counts.clear()
     yield batch_of({"g": pa.string(), "n": pa.int64()}, g=list(counts), n=list(counts.values()))
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     """Character trigrams of the words of every text, weighted by how often each word occurs."""
-    words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "w string, n long").where(F.length("w") <= LONGEST)
+    words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "w string, n long")
     grams = words.groupBy("w").agg(F.sum("n").alias("n")).mapInArrow(_trigrams, "g string, n long")
-    top = grams.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(TRIGRAMS).collect()
-    return CharModel([(r["g"], r["n"]) for r in top])
+    grams = Store(docs.sparkSession).put(grams.groupBy("g").agg(F.sum("n").alias("n")), "trigrams")
+    last = grams.groupBy(F.substring("g", 3, 1).alias("c")).agg(F.sum("n").alias("n")).where("c != '$'")
+    letters = [r["c"] for r in last.orderBy(F.desc("n"), "c").limit(ALPHABET).collect()]
+    known = lambda k: F.when(F.substring("g", k, 1).isin([*letters, "^", "$"]), F.substring("g", k, 1)).otherwise(OTHER)
+    bounded = grams.groupBy(F.concat(known(1), known(2), known(3)).alias("g")).agg(F.sum("n").alias("n"))
+    return CharModel(sorted((r["g"], r["n"]) for r in bounded.collect()), letters=frozenset(letters))
 
 
 def _featurise(shared):
@@ -227,8 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taught = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0))
     taught = taught.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     taught = taught.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taught), "id").select("toxic", "text")
-    rows = store.put(texts.mapInArrow(_featurise(spark.sparkContext.broadcast(chars)), "toxic int, features array<string>"), "features")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taught), "id")
+    texts = texts.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))  # an id is one row, however often it stands there
+    rows = store.put(texts.select("toxic", "text").mapInArrow(_featurise(spark.sparkContext.broadcast(chars)), "toxic int, features array<string>"), "features")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     seen = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= MIN_TOXIC)
     lift = (F.col("t") / F.lit(max(toxic, 1))) / ((F.col("n") - F.col("t") + 0.5) / F.lit(max(n - toxic, 1)))
