@@ -59,6 +59,21 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def once(shared, build):
+    """build(shared.value) for a broadcast, made once in each Python worker and kept for its later tasks."""
+    if not hasattr(shared, "made"):
+        shared.made = build(shared.value)
+    return shared.made
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column in any spelling has it."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,9 +3,10 @@
 Every benchmark item has a SimHash over its five-word shingles. Documents are read in windows of
 an item's size (the whole document where it is shorter), of which only those with enough
 shingles of items of that size are fingerprinted: a window with w shingles reaches similarity s with
-an item of n shingles only if s / (1 + s) * (n + w) of its shingles are in the item. A fingerprint is looked up in a multi-index: 64 bits in eight blocks, of
-which one differs in at most RADIUS // 8 bits if the whole differs in at most RADIUS. Candidates
-are verified by the exact weighted Jaccard similarity of the shingle counts.
+an item of n shingles only if s / (1 + s) * (n + w) of its shingles are in the item. A fingerprint is
+looked up in a multi-index: 64 bits in eight blocks, of which one differs in at most RADIUS // 8 bits
+if the whole differs in at most RADIUS. Candidates are verified by the exact weighted Jaccard
+similarity of the shingle counts.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, WordHasher, batch_of, keyed_text, mix, shingles_of, slices, text_arrays
+from .common import U64, WordHasher, free_name, keyed_text, mix, once, shingles_of, slices, text_arrays
 
 SIZE, SIMILARITY, RADIUS, BLOCK_BITS = 5, 0.75, 23, 8
 #: Items that are looked up at once; larger benchmarks go in several rounds.
@@ -87,7 +89,10 @@ class Benchmark:
                     self.owners.setdefault(x, set()).add(n)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.known >> U64(44)).astype(np.int64)] = True
-        self.short = {n: g for n, (_, g) in self.groups.items() if n < size}
+        self.short: dict[int, dict[int, list[int]]] = {n: {} for n in self.groups if n < size}  # all items of a text
+        for n, m in self.short.items():
+            for item, s in self.groups[n][1]:
+                m.setdefault(int(s[0]), []).append(item)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -125,30 +130,33 @@ class Benchmark:
         return found
 
 
-def _scan(shared, similarity: float, size: int):
-    schema = {"id": pa.int64(), "items": pa.list_(pa.int64()), "similarities": pa.list_(pa.float64()), "firsts": pa.list_(pa.int64()), "lasts": pa.list_(pa.int64()), "spans": pa.list_(pa.int64())}
+FOUND = {"items": pa.list_(pa.int64()), "similarities": pa.list_(pa.float64()), "firsts": pa.list_(pa.int64()), "lasts": pa.list_(pa.int64()), "spans": pa.list_(pa.int64())}
 
+
+def _scan(shared, carried: list[str], text_col: str, similarity: float, size: int):
     def run(batches):
-        bench, hasher = Benchmark(shared.value, size), WordHasher()
-        shorts = {n: {int(s[0]): item for item, s in reversed(g)} for n, g in bench.short.items()}
+        bench = once(shared, lambda rows: Benchmark(rows, size))
+        hasher = WordHasher()
         for batch in batches:
-            for ids, data, begins in slices(np.arange(batch.num_rows), batch.column("text")):
+            for rows, data, begins in slices(np.arange(batch.num_rows), batch.column(text_col)):
                 words, start, end, at = hasher.words(data, begins)
-                shingles, cols = shingles_of(words, size), [[] for _ in range(5)]
+                shingles, cols = shingles_of(words, size), [[] for _ in FOUND]
                 hit = bench.hits(shingles)
-                few = [np.isin(item_shingles_of(words, n), np.array(list(m), U64)) for n, m in shorts.items()]
-                for k in range(len(ids)):
+                few = [np.isin(item_shingles_of(words, n), np.array(list(m), U64)) for n, m in bench.short.items()]
+                for k in range(len(rows)):
                     a, b = at[k], at[k + 1]
                     near = hit[np.searchsorted(hit, a) : np.searchsorted(hit, b - size + 1)] - a if b - a >= size else hit[:0]
                     found = bench.search(words[a:b], shingles[a : max(a, b - size + 1)], near, similarity) if len(near) else {}
-                    for (n, m), is_in in zip(shorts.items(), few, strict=True):
+                    for (n, m), is_in in zip(bench.short.items(), few, strict=True):
                         for p in np.flatnonzero(is_in[a : max(a, b - n + 1)]).tolist():
-                            found.setdefault(m[int(item_shingles_of(words[a + p : a + p + n], n)[0])], (1.0, p, p + n))
+                            for item in m[int(item_shingles_of(words[a + p : a + p + n], n)[0])]:
+                                found.setdefault(item, (1.0, p, p + n))
                     order = sorted(found)
                     base = begins[k]
                     for col, v in zip(cols, ([*order], [found[x][0] for x in order], [int(start[a + found[x][1]] - base) for x in order], [int(end[a + found[x][2] - 1] - base) for x in order], [found[x][2] - found[x][1] for x in order]), strict=True):
                         col.append(v)
-                yield batch_of(schema, id=batch.column("id").take(pa.array(ids)), items=cols[0], similarities=cols[1], firsts=cols[2], lasts=cols[3], spans=cols[4])
+                here = [batch.column(c).slice(int(rows[0]), len(rows)) for c in carried]
+                yield pa.RecordBatch.from_arrays([*here, *[pa.array(c, t) for c, t in zip(cols, FOUND.values(), strict=True)]], names=[*carried, *FOUND])
 
     return run
 
@@ -158,26 +166,44 @@ def item_shingles_of(words: np.ndarray, n: int) -> np.ndarray:
     return mix(shingles_of(words, n), n) if len(words) >= n else np.zeros(0, U64)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_at_once: int = ITEMS) -> DataFrame:
-    """(id, items, similarities, firsts, lasts, spans) of every row of docs.
+def matched(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_at_once: int = ITEMS) -> DataFrame:
+    """docs with items, similarities, firsts, lasts and spans; columns of docs with these names are replaced.
 
     items are the sorted ids of the benchmark items that some window of the document matches;
     similarities, firsts and lasts (bytes of the text, end exclusive) and spans (words) tell of
     the best window of each. Null, empty and wordless texts match nothing. Items without id or
-    words match nothing; of items with equal short texts (under `size` words) the first is named.
-    The benchmark is read in rounds of items_at_once items, so the broadcast has a fixed bound.
-    Ids may be null or repeated: one row per row. Other columns are not read.
+    words match nothing; a repeated item id counts once, with its best window. The benchmark is read in
+    rounds of items_at_once items, so the broadcast has a fixed bound; what rounds find is put
+    together by text, so one row stays one row, whatever the ids. Without items nothing matches.
     """
-    spark, texts = docs.sparkSession, keyed_text(docs, id_col, text_col)
+    spark, docs = docs.sparkSession, docs.drop(*FOUND)
     items = keyed_text(benchmark, item_col, item_text).where("id is not null")
     rounds = max(1, -(-items.count() // items_at_once))
-    schema = "id long, items array<long>, similarities array<double>, firsts array<long>, lasts array<long>, spans array<long>"
-    out = None
+    found_type = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType() if n == "similarities" else T.LongType())) for n in FOUND])
+
+    def shared(r: int):
+        return spark.sparkContext.broadcast([tuple(x) for x in items.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).orderBy("id", "text").collect()])
+
+    if rounds == 1:
+        return docs.mapInArrow(_scan(shared(0), docs.columns, text_col, similarity, size), T.StructType([*docs.schema.fields, *found_type.fields]))
+    key = lambda: F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    texts, part = docs.select(key().alias("key"), F.col(text_col).cast("string").alias("text")), None
     for r in range(rounds):
-        rows = [tuple(x) for x in items.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).orderBy("id", "text").collect()]
-        found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(rows), similarity, size), schema)
-        out = found if out is None else out.union(found)
-    if rounds > 1:
-        names = ("items", "similarities", "firsts", "lasts", "spans")
-        out = out.groupBy("id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
-    return out
+        out = texts.mapInArrow(_scan(shared(r), ["key"], "text", similarity, size), T.StructType([T.StructField("key", T.StringType()), *found_type.fields]))
+        out = out.where(F.size("items") > 0).groupBy("key").agg(F.first(F.arrays_zip(*FOUND)).alias("found"))
+        part = out if part is None else part.union(out)
+    sorted_ = F.array_sort(F.flatten(F.collect_list("found")))
+    part = part.groupBy("key").agg(sorted_.alias("found"))
+    name, found = free_name("found_by_text", docs.columns), free_name("text_key", docs.columns)
+    part = part.select(F.col("key").alias(found), F.col("found").alias(name))
+    joined = docs.join(part, key() == F.col(found), "left")
+    empty = lambda f: F.array().cast(f.dataType)
+    return joined.select(*docs.columns, *[F.coalesce(F.col(name)[f.name], empty(f)).alias(f.name) for f in found_type.fields])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_at_once: int = ITEMS) -> DataFrame:
+    """(id, items, similarities, firsts, lasts, spans) of every row of docs, as `matched` finds them.
+
+    Ids may be null or repeated: one row per row. Other columns are not read.
+    """
+    return matched(keyed_text(docs, id_col, text_col), benchmark, similarity, size, "text", item_col, item_text, items_at_once).drop("text")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, Store, batch_of
+from .common import SPACE, U64, Store, batch_of, free_name, once
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -80,11 +80,11 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
 
 
-def _drop(columns: list[str], text_col: str, shards: int, shared):
-    """Rows with their text cut; which lines go is probed in the shared shards or listed in `gone`."""
+def _drop(columns: list[str], text_col: str, shards: int, shared, listed_in: str = ""):
+    """Rows with their text cut; which lines go is probed in the shared shards or listed in a column."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        index = {k: Shard(r) for k, r in shared.value.items()} if shared else {}
+        index = once(shared, lambda rows: {k: Shard(r) for k, r in rows.items()}) if shared else {}
         for batch in batches:
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             parsed = [line_hashes(x) for x in texts]
@@ -95,7 +95,7 @@ def _drop(columns: list[str], text_col: str, shards: int, shared):
                     at = np.flatnonzero((shard == k) & (flat != 0))
                     gone[at] = s.count(flat[at]) > 0
             else:
-                listed = batch.column("gone").to_pylist()
+                listed = batch.column(listed_in).to_pylist()
                 gone = np.concatenate([np.isin(h.view(np.int64), x) if x else np.zeros(len(h), bool) for (_, h), x in zip(parsed, listed, strict=True)]) if parsed else np.zeros(0, bool)
             kept, n_lines, n_dropped, at = [], [], [], 0
             for lines, h in parsed:
@@ -132,11 +132,11 @@ def _probe(left, right):
     return pa.table({"text_hash": left.column("text_hash").to_numpy()[hit], "h": h[hit]}, schema=schema)
 
 
-def _text_hash(columns: list[str], text_col: str):
+def _text_hash(columns: list[str], text_col: str, name: str):
     def run(batches):
         for batch in batches:
             th = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.array(th, U64).view(np.int64), pa.int64())], names=[*columns, "text_hash"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.array(th, U64).view(np.int64), pa.int64())], names=[*columns, name])
 
     return run
 
@@ -167,7 +167,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
     probes = text.mapInArrow(_probes(shards, salts), "shard int, salt int, text_hash long, h long").distinct()
     salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInArrow(_probe, "text_hash long, h long")
-    hits = store.put(hits.groupBy("text_hash").agg(F.collect_set("h").alias("gone")), "hits")
-    with_hash = T.StructType([*docs.schema.fields, T.StructField("text_hash", T.LongType())])
-    joined = docs.mapInArrow(_text_hash(columns, text_col), with_hash).join(hits, "text_hash", "left").select(*columns, "gone")
-    return joined.mapInArrow(_drop(columns, text_col, shards, None), out)
+    key, gone = free_name("text_hash", columns), free_name("gone", columns)
+    hits = store.put(hits.groupBy(F.col("text_hash").alias(key)).agg(F.collect_set("h").alias(gone)), "hits")
+    with_hash = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+    joined = docs.mapInArrow(_text_hash(columns, text_col, key), with_hash).join(hits, key, "left").select(*columns, gone)
+    return joined.mapInArrow(_drop(columns, text_col, shards, None, gone), out)

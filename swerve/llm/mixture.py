@@ -16,7 +16,11 @@ from .common import Store
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Values of a dimension kept apart; rarer ones share one pooled value, so the cell table is bounded.
-VALUES, POOLED = 200, "(other)"
+VALUES, POOLED, NONE = 200, "(other)", "(null)"
+#: Mark of a value of the data, which so is never taken for the pooled or the null one.
+OWN = "="
+#: Cells whose rates are broadcast at most; more are joined by a shuffle.
+BROADCAST_CELLS = 1 << 16
 ROUNDS, TOLERANCE = 200, 1e-10
 TEMPER, KEEP = 0.5, 0.5
 
@@ -35,9 +39,8 @@ def topic_of(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Blanks and line ends, and one more: the words of a text without doubled blanks; 0 for no text."""
-    gaps = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in (" ", "\n")]
-    return F.when(F.octet_length(text) > 0, gaps[0] + gaps[1] + 1).otherwise(0).cast("long")
+    """Runs of anything but white space; 0 for no text."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def rake_cells(at: list[np.ndarray], w: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -85,7 +88,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     """docs with mix_source, mix_lang, mix_topic, mix_weight, mix_probability and mix_sampled.
 
     targets gives shares by dimension and value; what they leave of one, or the share named
-    '(other)', goes to the values without a target, by their present shares. A dimension left out
+    '(other)', goes to the values without a target, by their present shares; the share named '(null)' is that of null values. A dimension left out
     gets its present shares to the power `temper`. Weights are words unless given; null weight is
     0. Null values are their own value '(null)'; values beyond the VALUES heaviest of a dimension
     are pooled as '(other)' unless they have a target. A document
@@ -97,28 +100,30 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     docs = docs.drop(*names, "mix_weight", "mix_probability", "mix_sampled")
     text = F.col(text_col)
     values = (F.col(source_col), F.col(lang_col), topic if topic is not None else topic_of(text))
-    wide = docs.select("*", *[F.coalesce(v.cast("string"), F.lit("(null)")).alias(n) for v, n in zip(values, names, strict=True)], F.coalesce(weight.cast("double") if weight is not None else n_words(text).cast("double"), F.lit(0.0)).alias("mix_weight"))
+    wide = docs.select("*", *[F.coalesce(F.concat(F.lit(OWN), v.cast("string")), F.lit(NONE)).alias(n) for v, n in zip(values, names, strict=True)], F.coalesce(weight.cast("double") if weight is not None else n_words(text).cast("double"), F.lit(0.0)).alias("mix_weight"))
     cells = Store(docs.sparkSession).put(wide.groupBy(*names).agg(F.sum("mix_weight").alias("w")), "cells")
+    coded = {d: {v if v in (POOLED, NONE) else OWN + v: float(t) for v, t in by.items()} for d, by in (targets or {}).items()}
+    plain = [F.regexp_replace(n, f"^{OWN}", "").alias(n) for n in names]
     pooled = wide
     for d, n in zip(DIMENSIONS, names, strict=True):
         top = cells.groupBy(n).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), n).limit(VALUES).collect()
-        apart = sorted({r[n] for r in top} | set((targets or {}).get(d, {})))
+        apart = sorted({r[n] for r in top} | set(coded.get(d, {})))
         if apart:
             pooled, cells = (t.withColumn(n, F.when(F.col(n).isin(apart), F.col(n)).otherwise(POOLED)) for t in (pooled, cells))
     table = cells.groupBy(*names).agg(F.sum("w").alias("w")).where("w > 0").toPandas()
     if not len(table):
-        return wide.withColumn("mix_probability", F.lit(0.0)).withColumn("mix_sampled", F.lit(False))
+        return wide.select(*docs.columns, *plain, "mix_weight", F.lit(0.0).alias("mix_probability"), F.lit(False).alias("mix_sampled"))
     levels = [sorted(table[n].unique()) for n in names]
     at = [table[n].map({v: i for i, v in enumerate(x)}).to_numpy() for n, x in zip(names, levels, strict=True)]
     present = table["w"].to_numpy(float)
     goals = []
     for i, d, x in zip(at, DIMENSIONS, levels, strict=True):
         share = np.bincount(i, weights=present, minlength=len(x)) / present.sum()
-        if targets and d in targets:
-            named = {v: float(t) for v, t in targets[d].items() if v != POOLED}
+        if d in coded:
+            named = {v: t for v, t in coded[d].items() if v != POOLED}
             goal = np.array([named.get(v, 0.0) for v in x])
             free = np.where([v not in named for v in x], share, 0.0)
-            rest = max(0.0, float(targets[d].get(POOLED, 1 - sum(named.values()))))
+            rest = max(0.0, coded[d].get(POOLED, 1 - sum(named.values())))
             goal += rest * free / free.sum() if free.sum() > 0 else 0.0
         else:
             goal = share**temper
@@ -127,5 +132,5 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     rates = pd.DataFrame({n: np.array(x, object)[i] for n, x, i in zip(names, levels, at, strict=True)} | {"mix_probability": p})
     rates = docs.sparkSession.createDataFrame(rates, ", ".join(f"{n} string" for n in names) + ", mix_probability double")
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    out = pooled.join(F.broadcast(rates), names, "left").withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))
-    return out.select(*docs.columns, *names, "mix_weight", "mix_probability", (chance < F.col("mix_probability")).alias("mix_sampled"))
+    out = pooled.join(F.broadcast(rates) if len(table) <= BROADCAST_CELLS else rates, names, "left").withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))
+    return out.select(*docs.columns, *plain, "mix_weight", "mix_probability", (chance < F.col("mix_probability")).alias("mix_sampled"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, batch_of, crc_mod
+from .common import Store, batch_of, crc_mod, once
 
 #: Labelled rows that the classifier is fitted on at most; the smallest hashes of their ids are taken.
 SAMPLE = 12_000
@@ -187,7 +187,7 @@ def _featurise(shared):
 
     def run(batches):
         model = shared.value
-        memory = Memory(lambda token: words_in(token, model))
+        memory = once(shared, lambda model: Memory(lambda token: words_in(token, model)))
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(columns: list[str], text_col: str, shared):
     def run(batches):
         model = shared.value
-        memory = model.memory()
+        memory = once(shared, ToxicityModel.memory)
         for batch in batches:
             s = [model.score(t or "", memory) for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(s, pa.float64())], names=[*columns, "toxicity"])

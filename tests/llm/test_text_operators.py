@@ -271,6 +271,28 @@ def test_pipeline_stages(spark):
     assert d.where(F.col("mix_probability") <= 0).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Repeated rows, rows without id, near copies and benchmark passages, through the stages that decide exactly."""
+    import corpus_pipeline as p
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    base, item = prose(51, 100), spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    texts = [(5, base), (3, base.replace(base.split()[50], "edited")), (3, base.replace(base.split()[50], "edited")), (None, base), (None, prose(52, 50)), (None, prose(52, 50)), (7, prose(53, 60) + " " + item), (None, item), (8, ""), (9, None)]
+    texts += [(100 + k, f"{prose(200 + k, 30)}\nSame line in all\n{prose(300 + k, 30)}") for k in range(12)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], columns)
+    rows_ = lambda df: sorted(map(repr, ((x["doc_id"], x["text"]) for x in df.collect())))
+    cut = p.cut_lines(spark, d, SF)
+    kept, _ = zip(*[(k, n) for k, _, n in brute_lines([t for _, t in texts], 10)])
+    assert rows_(cut) == sorted(map(repr, ((i, k) for (i, _), k in zip(texts, kept))))
+    one = p.keep_one_of_group(spark, cut, SF)
+    want = [(i, k) for (i, _), k in zip(texts, kept) if i not in (3, 5, None)] + [(3, texts[1][1]), (None, texts[4][1]), (None, item)]
+    assert rows_(one) == sorted(map(repr, want))
+    clean = p.drop_contaminated(spark, one, SF)
+    assert rows_(clean) == sorted(map(repr, [x for x in want if item not in (x[1] or "")]))
+    for _, stage in p.STAGES[1:]:
+        assert stage(spark, d.where("false"), SF).count() == 0
+
+
 def test_licence_names_beside_other_scripts(spark):
     texts = ["\u201cMIT License\u201d", "x\u2014Apache License 2.0\u2014y", "\u672c\u4ef6\u306fMIT License\u3067\u3059", "GPLv3\uff0c\u8bb8\u53ef", "\u00a0BSD license\u00a0", "Copyright2020", "under Open Rails terms", "\u540cCC-BY-SA\u540c", "trail access summits"]
     out = {x["id"]: x["labels"] for x in licences.scan_licences(docs(spark, texts)).collect()}
@@ -307,3 +329,51 @@ def test_targets_of_rare_values(spark):
     rest = p({"s0": 0.5})  # the other half is for the values that have no target
     assert rest["s240"][0] == "(other)" and 0 < rest["s240"][1] and abs(rest["s240"][1] / rest["s1"][1] - 1) < 1e-6
     assert abs(rest["s0"][1] * 100 - sum(rest[f"s{k}"][1] * (100 if k < 210 else 10) for k in range(1, 250))) < 1e-6 * rest["s0"][1] * 100
+
+
+def test_decontamination_rows_over_rounds(spark):
+    """One row stays one row with repeated and null ids, and items of equal short texts are all named."""
+    bench = spark.createDataFrame([(k, prose(600 + k, 30)) for k in range(6)] + [(8, "two words"), (9, "Two Words"), (None, prose(1, 60))], "item_id long, text string")
+    data = [(1, prose(600, 30)), (1, prose(603, 30)), (None, prose(604, 30)), (None, "just two words"), (1, prose(600, 30)), (2, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(map(repr, [(1, [0]), (1, [3]), (None, [4]), (None, [8, 9]), (1, [0]), (2, [])]))
+    for at_once in (20_000, 3):
+        assert sorted(map(repr, ((x["id"], x["items"]) for x in decontaminate.decontaminate(d, bench, items_at_once=at_once).collect()))) == want
+    clash = d.withColumn("items", F.lit("x")).withColumn("Found_by_text", F.lit("y")).withColumn("text_key", F.lit("z"))
+    out = decontaminate.matched(clash, bench, items_at_once=3)
+    assert out.count() == 6 and {x["Found_by_text"] for x in out.collect()} == {"y"}
+    assert decontaminate.decontaminate(d, bench.where("false")).where(F.size("items") > 0).count() == 0
+    assert decontaminate.decontaminate(d.where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("room", [64 << 20, 0])
+def test_line_dedup_of_clashing_names(spark, room):
+    d = docs(spark, ["a\nb"] * 3 + [None]).withColumnRenamed("source", "text_hash").withColumnRenamed("lang", "Gone")
+    out = lines.dedup_lines(d, min_docs=3, broadcast_bytes=room).collect()
+    assert sorted((x["text"], x["text_hash"], x["Gone"]) for x in out) == [("", "s", "en")] * 4
+    assert lines.dedup_lines(d.where("false"), broadcast_bytes=room).count() == 0
+
+
+def test_mixing_of_values_named_like_the_pooled_one(spark):
+    data = [(k, "w w", "en", ("(other)", "(null)", None, "=x")[k % 4]) for k in range(400)] + [(None, None, None, None)]
+    out = mixture.mix_sources(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), {"source": {"(null)": 0.5, "=x": 0.5}}, keep=0.2)
+    p = {(x["source"], x["mix_source"]): x["mix_probability"] for x in out.where("doc_id is not null").collect()}
+    assert set(p) == {("(other)", "(other)"), ("(null)", "(null)"), (None, "(null)"), ("=x", "=x")}
+    assert p["(other)", "(other)"] == 0 == p["(null)", "(null)"] and abs(p[None, "(null)"] - p["=x", "=x"]) < 0.01
+
+
+def test_long_hidden_words(spark):
+    words = ("idiot", "moron", "the", "and", "you", "are")
+    model = toxicity.CharModel([(g, 50) for w in words for g in [f"^^{w}$"[i : i + 3] for i in range(len(w) + 1)]])
+    assert "idiot" in toxicity.words_in("i" * 9 + "d" * 9 + "i" * 9 + "o" * 9 + "t" * 9, model)
+    run = " ".join("youaretheidiotandyouarethemoronandyou")
+    assert {"idiot", "moron"} <= set(toxicity.spaced_words(run, model))
+
+
+def test_toxicity_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "a b"), (1, "you moron"), (1, "you moron"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    assert toxicity.score_toxicity(d, model).count() == 4
+    empty = toxicity.fit(d.where("false"), labels.where("false"))
+    assert toxicity.score_toxicity(d.where("false"), empty).count() == 0 and 0 <= toxicity.score_toxicity(d, empty).first()["toxicity"] <= 1
