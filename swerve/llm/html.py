@@ -1,10 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to one line of text per block; what is not article text (menus, forms,
-adverts, comments and so on, told by element or by class, id and role) leaves empty lines. Text
-lengths are summed over sliding windows of lines. The sum surges where a run of text begins and
-dives to nothing where it ends. Runs inside the page's article are kept; on a page without one,
-the run with most text.
+Markup is stripped to one line of text per block. What is never article text (menus, forms,
+adverts, comments and so on, told by element or by the names in class, id and role) leaves an empty
+line. The lines of the article element are looked at, or all lines on a page without one. Text
+lengths are summed over sliding windows of lines, not counting lines that are mostly links. A
+window sum that surges over a threshold opens a run of text, a window without text (a dive) ends
+it. Everything between a surge and its dive is kept, short lines and single links too; lines in no
+run, such as lists of links behind the text, are not.
 """
 
 from __future__ import annotations
@@ -18,113 +20,166 @@ from pyspark.sql import functions as F
 
 from .common import batch_of
 
-WINDOW = 3
-#: Share of a line's text that may stand in links before the line counts as a menu, outside an article.
+#: Lines of a window; a surge is a window sum of at least SURGE, or of this share of the largest one.
+WINDOW, SURGE, SHARE = 3, 80, 0.25
+#: Share of a line's text that may stand in links before the line counts as a menu.
 LINKED = 0.6
+#: Lines shorter than this that are no paragraph don't begin or end a run on a page without article.
+SHORT = 40
 
 # Elements of HTML.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "title", "head")
 NOISE = ("nav", "footer", "aside", "form", "button", "dialog", "menu", "header", "fieldset", "label", "input")
 BLOCKS = ("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol option p pre section summary table tbody td tfoot th thead tr ul " + " ".join(NOISE)).split()
-# Words in class, id and role that name what is not article text.
-HINTS = (
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social follow related recommended recommendations trending popular comment comments commentlist disqus reply replies respond responses pagination pager widget skip print-only hidden navigation complementary contentinfo search"
+PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split()
+# Names in class, id and role of what is not article text, and of what holds the article.
+NAMES = (
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social follow related recommended recommendations trending popular comment comments commentlist comment-list disqus disqus_thread reply replies respond responses pagination pager widget widgets skip print-only hidden navigation complementary contentinfo search site-header site-footer page-header page-footer"
 ).split()
+PREFIXES = "ad- ads- ad_ advert banner- breadcrumb comment- comments- comment_ comments_ cookie- cookies- disqus footer- menu- nav- navbar- newsletter- pagination- popup- promo- recommended- related- share- sharing- sidebar- social- sponsor subscribe- widget-".split()
+CONTENT = "article article-body article-content article-text articlebody body-content content content-body entry entry-content main main-content maincontent page-content post post-body post-content post-text postcontent story story-body story-content text text-content".split()
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+BODY = re.compile(r"(?=<body)", re.I)
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_raw, _noise, _blocks, _hints = set(RAW), set(NOISE), set(BLOCKS), set(HINTS)
+_raw, _noise, _blocks, _paragraphs, _names, _content, _prefixes = set(RAW), set(NOISE), set(BLOCKS), set(PARAGRAPHS), set(NAMES), set(CONTENT), tuple(PREFIXES)
 _close = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+def names_of(attrs: str) -> list[str]:
+    return [w for _, *values in NAMED.findall(attrs) for v in values for w in v.lower().split()] if attrs else []
+
+
 def is_noise(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _noise and not (tag == "header" and in_article):
-        return True
-    if not attrs or tag in ("body", "html", "main", "article"):
+    """Whether an element is no article text. Whole names count, or known beginnings of names; an element that
+    also has a name of what holds the article is one that is styled by the others."""
+    if tag in _noise:
+        return not (tag == "header" and in_article)
+    if not attrs or tag in ("body", "html", "main"):
         return False
     if HIDDEN.search(attrs):
         return True
-    names = " ".join(a or b or c for a, b, c in NAMED.findall(attrs)).lower()
-    return bool(names) and any(w in _hints for w in re.split(r"[\s_-]+", names))
-
-
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, characters in links) of each line; noise gives empty lines."""
-    lines: list[tuple[str, bool, int]] = []
+    names = names_of(attrs)
+    return not any(w in _content for w in names) and any(w in _names or w.startswith(_prefixes) for w in names)
+
+
+def elements(page: str) -> list[tuple[int, int, str, bool, str, int]]:
+    """(start, stop, tag, closing, attributes, place of the tag that closes it or -1) of the tags of a
+    page. Comments and elements whose content is no text are one piece with an empty name."""
+    found, open_, at = [], {}, 0
+    while m := TAG.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in _raw and not m[1]:
+            done = _close[tag].search(page, at) if not m[3].endswith("/") else None
+            if tag == "head":  # ends at the body where it isn't closed
+                done = done or BODY.search(page, at)
+            at = done.end() if done else len(page) if tag in ("script", "style", "template", "textarea", "noscript") else at
+            tag = ""
+        elif m[1] and open_.get(tag):
+            k = open_[tag].pop()
+            found[k] = (*found[k][:5], len(found))
+        elif tag and not m[1] and tag not in VOID and not m[3].endswith("/"):
+            open_.setdefault(tag, []).append(len(found))
+        found.append((m.start(), at, tag, bool(m[1]), m[3] or "", -1))
+    return found
+
+
+class Line:
+    __slots__ = ("text", "article", "linked", "paragraph")
+
+    def __init__(self, text: str = "", article: bool = False, linked: int = 0, paragraph: bool = False):
+        self.text, self.article, self.linked, self.paragraph = text, article, linked, paragraph
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page; noise is an empty line, and the borders of the article a window of them."""
+    tags = elements(page)
+    frame = ("article", "main") if any(t[2] in ("article", "main") and not t[3] and not is_noise(t[2], t[4], False) for t in tags) else ()
+    ahead = [-1] * (len(tags) + 1)  # the next tag that opens an article
+    for j in range(len(tags) - 1, -1, -1):
+        ahead[j] = j if tags[j][2] in frame and not tags[j][3] else ahead[j + 1]
+    lines: list[Line] = []
     piece: list[str] = []
-    article = linked = in_link = 0
-    skip, depth, at, end = "", 0, 0, len(page)
+    depth = linked = in_link = at = k = 0
+    inside: list[int] = []  # where the article's elements end, by place
+    block = ""
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            lines.append((text, article > 0, linked))
+            lines.append(Line(text, depth > 0, linked, block in _paragraphs))
         linked = 0
 
-    while at < end:
-        m = TAG.search(page, at)
-        begin, stop = m.span() if m else (end, end)
-        if begin > at and not skip:
-            piece.append(page[at:begin])
-            linked += in_link and len(page[at:begin].strip())
-        at = stop
-        if not m or not m[2]:
-            continue
-        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
-        if tag in _raw and not closing:
-            done = _close[tag].search(page, at) if not attrs.endswith("/") else None
-            if tag == "head":  # ends at the body where it isn't closed
-                done = done or re.compile(r"(?=<body)", re.I).search(page, at)
-            if done:
-                at = done.end()
-            elif tag in ("script", "style", "template", "textarea", "noscript"):
-                at = end
-            continue
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-            if depth <= 0 or (tag in ("article", "main") and not closing and skip != tag):
-                skip = ""
-                if tag in ("article", "main") and not closing:
-                    article += 1
+    def border() -> None:
+        flush()
+        lines.extend(Line() for _ in range(WINDOW))
+
+    while k <= len(tags):
+        start, stop, tag, closing, attrs, end = tags[k] if k < len(tags) else (len(page), len(page), "", False, "", -1)
+        if start > at:
+            piece.append(page[at:start])
+            linked += in_link and len(page[at:start].strip())
+        at, k = stop, k + 1
+        if not tag:
             continue
-        if tag in ("article", "main"):
-            flush()
-            article = max(0, article - 1) if closing else article + 1
-            lines.extend([("", False, 0)] * WINDOW)
+        if not closing and tag not in VOID and is_noise(tag, attrs, depth > 0):
+            until = end if end >= 0 else ahead[k] - 1
+            if until >= k - 1:  # never closed and no article behind it: its own text can't be told
+                flush()
+                lines.append(Line("", depth > 0))
+                at, k = tags[until][1], until + 1
+                continue
+        holds = tag in frame or (not frame and tag in ("div", "section", "td") and not closing and any(w in _content for w in names_of(attrs)))
+        if holds and not closing:
+            border()
+            depth += 1
+            inside.append(end)
+        elif closing and inside and inside[-1] == k - 1:
+            border()
+            inside.pop()
+            depth -= 1
         elif tag == "a":
             in_link = 0 if closing else 1
         if tag in _blocks:
             flush()
-        if not closing and tag not in VOID and not attrs.endswith("/") and is_noise(tag, attrs, article > 0):
-            flush()
-            lines.extend([("", article > 0, 0)] * (0 if article else WINDOW))
-            skip, depth = tag, 1
+            block = "" if closing else tag if tag != "br" else block
     flush()
     return lines
 
 
-def main_text(page: str) -> str:
-    lines = lines_of(page)
-    whole = any(inside and text for text, inside, _ in lines)
-    size = [len(t) if t and (inside if whole else linked < LINKED * len(t)) else 0 for t, inside, linked in lines]
-    sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]  # text in the window that begins at a line
-    runs, k = [], 0
-    while k < len(sums):
+def runs(lines: list[Line], trim: bool) -> list[tuple[int, int]]:
+    """First and last line (exclusive) of each run of text between a surge and its dive."""
+    size = [len(x.text) if x.linked < LINKED * len(x.text) else 0 for x in lines]
+    sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
+    least = min(SURGE, SHARE * max(sums, default=0))
+    out, k = [], 0
+    while k < len(size):
         if not size[k]:
             k += 1
             continue
-        surge = k
-        while k < len(sums) and sums[k] > 0:
-            k += 1
-        runs.append((surge, k))
-    if not whole and runs:
-        runs = [max(runs, key=lambda r: (sum(size[r[0] : r[1]]), -r[0]))]
-    return " ".join(lines[k][0] for a, b in runs for k in range(a, b) if size[k])
+        begin, surge = k, False
+        while k < len(size) and sums[k] > 0:  # sums of nothing: the dive
+            surge, k = surge or sums[k] >= least, k + 1
+        end = k
+        while trim and begin < end and len(lines[begin].text) < SHORT and not lines[begin].paragraph:
+            begin += 1
+        while end > begin and (not size[end - 1] or (trim and len(lines[end - 1].text) < SHORT and not lines[end - 1].paragraph)):
+            end -= 1
+        if surge and begin < end:
+            out.append((begin, end))
+    return out
+
+
+def main_text(page: str) -> str:
+    lines = lines_of(page)
+    whole = any(x.article and x.text for x in lines)
+    if whole:  # lines outside the article are gaps
+        lines = [x if x.article or not x.text else Line() for x in lines]
+    return " ".join(x.text for a, b in runs(lines, not whole) for x in lines[a:b] if x.text)
 
 
 def _extract(batches):
@@ -138,7 +193,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
     Null or empty html, and pages without article text, give an empty text. Ids and urls may be
-    null or repeated; other columns are not read.
+    null or repeated; other columns are not read. An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -377,3 +377,44 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score_toxicity(d, model).count() == 4
     empty = toxicity.fit(d.where("false"), labels.where("false"))
     assert toxicity.score_toxicity(d.where("false"), empty).count() == 0 and 0 <= toxicity.score_toxicity(d, empty).first()["toxicity"] <= 1
+
+
+A, B, C = (f"{w} long paragraph of running text, with enough words in it to be told from a menu." for w in ("First", "Second", "Third"))
+MENU = "<ul>" + "".join(f"<li><a href=/{k}>Section {k}</a></li>" for k in range(5)) + "</ul>"
+SHAPES = [
+    (f"<nav>{MENU}</nav><article><h1>Head</h1><p>{A}</p><p>Yes.</p></article><footer>Imprint</footer>", f"Head {A} Yes."),
+    (f"<article><p>{A}</p><p>{B}</p>{MENU}</article>", f"{A} {B}"),  # links behind the text: only the windows tell
+    (f"<article>{MENU}<p>{A}</p><p>See <a href=x>this one</a></p><p><a href=y>Linked.</a></p><p>{B}</p></article>", f"{A} See this one Linked. {B}"),
+    (f"<article><p>{A}</p></article><section id='comments'><article class='comment'><p>{B}</p></article></section>", A),
+    (f"<article><p>{A}</p><ol class='commentlist'><li><article><p>{B}</p></article></li></ol></article>", A),
+    (f"<main><article><p>{A}</p></article><article class='comment-body'><p>{B}</p></article></main><aside><article><p>{C}</p></article></aside>", A),
+    (f"<article><div class='post-content has-sidebar search-result'><p>{A}</p></div></article>", A),
+    (f"<div>{MENU}</div><div><p>{A}</p><p>{B}</p><nav>{MENU}</nav><p>Short.</p><p>{C}</p></div><div>(c) 2020</div>", f"{A} {B} Short. {C}"),
+    (f"<div id='content'><p>{A}</p><div class='advert'>{B}</div><p>{C}</p></div><div>{B}</div>", f"{A} {C}"),
+    (f"<div class='sidebar'><p>{B}</p></div><p>{A}", A),
+    (f"<nav>{MENU}<article><p>{A}<p>{B}</article>", f"{A} {B}"),  # the menu is never closed
+    (f"<article><header><h1>Title</h1></header><p>{A}<br>more</p><form><label>Mail</label><input></form><script>x='</article>'</script><table><tr><td>cell</table></article>", f"Title {A} more cell"),
+    (f"<article><p>{A}</p><div hidden>{B}</div><div style='display:none'>{B}</div><div aria-hidden=true>{B}</div></article>", A),
+    (f"<body><header>Site</header><section><h2>Head</h2><p>{A}</p></section><section class='related'><p>{B}</p></section><div class=footer-links>{MENU}</div>", f"Head {A}"),
+    ("<p>&lt;b&gt; &#233;&nbsp;x\n y</p>", "<b> é x y"),
+    (f"<article>{MENU}</article>", ""),
+]
+
+
+@pytest.mark.parametrize("k", range(len(SHAPES)))
+def test_html_shapes(k):
+    assert html.main_text(SHAPES[k][0]) == SHAPES[k][1]
+
+
+def test_html_windows_decide(monkeypatch):
+    """Without the windows, lists of links would stay."""
+    monkeypatch.setattr(html, "runs", lambda lines, trim: [(0, len(lines))])
+    assert sum(html.main_text(page) != text for page, text in SHAPES) >= 4
+
+
+def test_html_of_odd_pages(spark):
+    long = "<article>" + f"<p>{A}</p>" * 20000 + "</article>"
+    df = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, None, "<" * 5000), (3, "u", "<div class=ad>" * 3000 + "x")], "page_id long, url string, html string")
+    out = html.extract_main_text(df).orderBy("page_id").collect()
+    assert out[0] == out[1] and out[0]["text"] == " ".join([A] * 20000) and len(out) == 4
+    assert html.extract_main_text(df.where("false")).count() == 0
