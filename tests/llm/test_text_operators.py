@@ -418,3 +418,40 @@ def test_html_of_odd_pages(spark):
     out = html.extract_main_text(df).orderBy("page_id").collect()
     assert out[0] == out[1] and out[0]["text"] == " ".join([A] * 20000) and len(out) == 4
     assert html.extract_main_text(df.where("false")).count() == 0
+
+
+def luhn_card(r):
+    d = [4] + [r.randrange(10) for _ in range(14)]
+    s = sum(sum(divmod(x * (2 - k % 2), 10)) for k, x in enumerate(d))
+    return "".join(map(str, d)) + str(-s % 10)
+
+
+def test_pii_trees_find_disguised_spans(spark):
+    r, texts, hidden, decoys = random.Random(8), [], set(), set()
+    for k in range(240):
+        c, ip = luhn_card(r), ".".join(str(r.randrange(256)) for _ in range(4))
+        phone = f"+1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)}"
+        texts.append(f"{prose(k, 9)} u{k}@h{k % 9}.example.com {prose(k + 1, 6)} {c} {prose(k + 2, 6)} {ip} {prose(k + 3, 6)} {phone} {prose(k + 4, 5)}")
+    for k in range(40):
+        c, wrong = luhn_card(r), luhn_card(r)
+        wrong = wrong[:-1] + str((int(wrong[-1]) + 3) % 10)
+        phone = f"+1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)}"
+        good = [f"name{k} (at) mail{k}.example.com", "[.]".join(str(r.randrange(256)) for _ in range(4)), "/".join(c[i : i + 4] for i in (0, 4, 8, 12)), phone]
+        t = f"{prose(k, 5)} {good[0]} {prose(k, 4)} {good[1]} {prose(k, 4)} {good[2]} {prose(k, 4)} {phone} 10.0.0.{k} {prose(k, 4)} {wrong[:4]}/{wrong[4:8]}/{wrong[8:12]}/{wrong[12:]} end"
+        hidden |= {(240 + k, kind, t.index(x), t.index(x) + len(x)) for kind, x in enumerate(good)}
+        decoys.add((240 + k, 2, t.index(wrong[:4] + "/"), t.index(wrong[:4] + "/") + 19))
+        texts.append(t)
+    d = docs(spark, texts)
+    extra = {(x["id"], x["kind"], x["start"], x["end"]) for x in pii.find_pii(d).where("not base").collect()}
+    assert len(extra & hidden) >= 0.95 * len(hidden) and len(extra & hidden) >= 0.95 * len(extra) and not extra & decoys
+    _, limits, measures = pii.fit_selector(pii.candidates(d))
+    assert set(limits) == {0, 1, 2, 3} and all(p >= 0.98 and recall >= 0.9 for p, recall, _ in measures.values())
+    out = {x["id"]: x for x in pii.pii_digest(d).collect()}
+    assert all(out[i]["n_spans"] > out[i]["n_email"] + out[i]["n_ip"] + out[i]["n_card"] + out[i]["n_phone"] for i in range(240, 280))
+
+
+def test_pii_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "a@b.com"), (None, "a@b.com"), (1, None), (1, "x 1.2.3.4")], "doc_id long, text string")
+    out = sorted((repr(x["id"]), x["spans"]) for x in pii.pii_digest(d).collect())
+    assert out == [("1", ""), ("1", "ip:2:9"), ("None", "email:0:7"), ("None", "email:0:7")]
+    assert pii.pii_digest(d.where("false")).count() == 0
