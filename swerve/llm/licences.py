@@ -1,20 +1,24 @@
 """Licence scans by ordered signature rules, in DataFrame functions only.
 
 Each rule is a regex with a literal keyword, a label, a priority and a confidence. Texts that hold
-a keyword are matched against that keyword's rules. Of the detected intervals, those that lie
-inside another are suppressed (of equal ones the higher priority stays); the labels of the rest
-are reported. Three fixed phrases are counted beside the rules and always stay.
+a keyword are matched against that keyword's rules. Where detected intervals overlap, one inside
+another or not, the rule of the higher form stays (an identifier before a grant, a grant before a
+name, a name before a mention), of equal forms the longer interval, then the earlier rule. All is done
+within the row of a text: nothing is shuffled. Three fixed phrases are counted beside the rules and
+always stay.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The base phrases, and their words.
 PHRASES = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
+#: Priorities of one form of a rule lie within so many of each other.
+FORM = 100_000
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 #: label, names as regexes, keyword that every name holds (lower case), identifiers
@@ -126,31 +130,41 @@ def spans_of(text: Column, pattern: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["spans"])
 
 
-def detect(docs: DataFrame, text_col: str = "text", signatures: list[tuple[str, str, str, str, int, float]] | None = None) -> DataFrame:
-    """(key, start, end, label, confidence) of each interval that no other suppresses.
+DETECTION = "struct<start:int,end:int,label:string,priority:int,confidence:double>"
 
-    key is the md5 of the text; equal texts are scanned once. signatures are rules as rules() gives them. Texts without a keyword, null and
-    empty texts give no row.
-    """
+
+def undisputed(spans: Column) -> Column:
+    """Spans by start, without those that overlap a better one: the last kept span gives way to a better one
+    that overlaps it, and else keeps that one out."""
+    better = lambda x, y: F.struct(F.floor(x["priority"] / FORM), x["end"] - x["start"], x["priority"]) > F.struct(F.floor(y["priority"] / FORM), y["end"] - y["start"], y["priority"])
+
+    def step(kept: Column, x: Column) -> Column:
+        last, rest = F.element_at(kept, -1), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return (
+            F.when(F.size(kept) == 0, F.array(x))
+            .when(x["start"] >= last["end"], F.concat(kept, F.array(x)))
+            .when(better(x, last), F.concat(rest, F.array(x)))
+            .otherwise(kept)
+        )
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{DETECTION}>"), step)
+
+
+def detections(text: Column, signatures: list[tuple[str, str, str, str, int, float]] | None = None) -> Column:
+    """array<start, end, label, priority, confidence> of a text's undisputed detections; empty for null."""
     own = signatures is None
     by: dict[str, dict[str, list]] = {}
     for n, (key, name, regex, label, priority, sure) in enumerate(rules() if own else signatures):
         by.setdefault(key, {}).setdefault(name, []).append(F.struct(F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(priority * 1000 - n).alias("priority"), F.lit(float(sure)).alias("sure")))
     kind = "array<struct<name:string,rules:array<struct<regex:string,label:string,priority:int,sure:double>>>>"
     groups = {k: F.array(*[F.struct(F.lit(name).alias("name"), F.array(*r).alias("rules")) for name, r in g.items()]) for k, g in by.items()}
-    text = docs.select(F.col(text_col).cast("string").alias("t"))
-    if own:
-        low = F.lower("t")
-        text = text.where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for k in by for w in LONGER.get(k, (k,))]))
-    once = text.groupBy("t").agg(F.md5(F.first("t").cast("binary")).alias("key")).withColumn("low", F.lower("t"))
-    gated = F.flatten(F.array(*[F.when(F.contains("low", F.lit(k)), g).otherwise(F.array().cast(kind)) for k, g in groups.items()]))
-    named = F.flatten(F.transform(F.filter(gated, lambda g: F.rlike("t", g["name"])), lambda g: g["rules"]))
-    hit = once.select("key", "t", F.explode(F.filter(named, lambda r: F.rlike("t", r["regex"]))).alias("r"))
-    hit = hit.select("key", "r", F.explode(spans_of(F.col("t"), F.col("r.regex"))).alias("s"))
-    hit = hit.select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "r.label", "r.priority", F.col("r.sure").alias("confidence"))
-    before = Window.partitionBy("key").orderBy("start", F.desc("end"), F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end").over(before)
-    return hit.withColumn("reach", reach).where("reach is null or reach < end").select("key", "start", "end", "label", "confidence")
+    low, empty = F.lower(text), F.array().cast(f"array<{DETECTION}>")
+    gated = F.flatten(F.array(*[F.when(F.contains(low, F.lit(k)), g).otherwise(F.array().cast(kind)) for k, g in groups.items()]))
+    named = F.flatten(F.transform(F.filter(gated, lambda g: F.rlike(text, g["name"])), lambda g: g["rules"]))
+    of = lambda r: F.transform(spans_of(text, r["regex"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["sure"].alias("confidence")))
+    found = undisputed(F.flatten(F.transform(F.filter(named, lambda r: F.rlike(text, r["regex"])), of)))
+    gate = reduce(Column.__or__, [F.contains(low, F.lit(w)) for k in by for w in (LONGER.get(k, (k,)) if own else (k,))])
+    return F.when(gate, found).otherwise(empty)
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,14 +182,13 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for w in phrase:
             every = every & F.contains("low", F.lit(w))
         maybe = maybe | every
-    rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(maybe, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    rows = rows.select("id", detections(F.col("text")).alias("found"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(maybe, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
     none = F.array().cast("array<int>")
-    rows = rows.select("id", "key", "n_words", *[F.when(F.col("words").isNotNull(), places(F.col("words"), p)).otherwise(none).alias(f"at{k}") for k, (_, p) in enumerate(PHRASES)])
+    rows = rows.select("id", "found", "n_words", *[F.when(F.col("words").isNotNull(), places(F.col("words"), p)).otherwise(none).alias(f"at{k}") for k, (_, p) in enumerate(PHRASES)])
     ats = [f"at{k}" for k in range(len(PHRASES))]
     every = F.flatten(F.array(*ats))
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, (label, _) in zip(ats, PHRASES, strict=True)])))
-    rows = rows.select("id", "key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    found = detect(docs, text_col).groupBy("key").agg(F.collect_set("label").alias("own"), (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("sure"))
-    out = rows.join(found, "key", "left")
-    labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
-    return out.select("id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("sure", F.lit(0.0))).alias("score"))
+    rows = rows.select("id", "found", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
+    labels = F.array_sort(F.array_union("base", F.transform("found", lambda x: x["label"])))
+    doubt = F.aggregate("found", F.lit(1.0), lambda p, x: p * (1 - x["confidence"]))
+    return rows.select("id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(1 - doubt).alias("score"))

@@ -140,6 +140,30 @@ def test_token_counts_are_the_librarys(spark):
     assert [x["n_bytes"] for x in out] == [len((t or "").encode()) for t in texts]
 
 
+def test_token_counts_of_common_and_rare_pre_tokens(spark, monkeypatch):
+    """Any split between the broadcast and the shuffled join gives the library's counts, for other vocabularies too."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    texts = [prose(k % 7, 30) + " \u00bd <|endoftext|> don't" for k in range(60)] + ["x" * 500, None, ""]
+    d = docs(spark, texts)
+    d = d.union(d.where("doc_id = 3")).union(d.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    own = {"model": {"type": "WordLevel", "vocab": {"a": 0, "b": 1, "[U]": 2}, "unk_token": "[U]"}, "pre_tokenizer": {"type": "Whitespace"}, "normalizer": {"type": "Lowercase"}}
+    import json
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json", dir="/tmp") as f:
+        json.dump({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "post_processor": None, "decoder": None, **own}, f)
+        f.flush()
+        for where, head in ((path, 1 << 17), (path, 20), (f.name, 5)):
+            monkeypatch.setattr(tokens, "HEAD", head), monkeypatch.setattr(tokens, "SHARE", 2)
+            tok = Tokenizer.from_file(where)
+            n = [len(tok.encode(t or "", add_special_tokens=False)) for t in texts]
+            want = sorted(map(repr, [*enumerate(n), (3, n[3]), (None, n[3])]))
+            assert sorted(map(repr, ((x["id"], x["n_tokens"]) for x in tokens.token_counts(d, where).collect()))) == want
+    assert tokens.token_counts(d.where("false"), path).count() == 0
+
+
 def test_topk_against_brute_force(spark):
     r = np.random.default_rng(4)
     v = r.normal(0, 0.3, (300, 8))
@@ -303,8 +327,32 @@ def test_licence_gate_loses_no_match(spark):
     own = licences.rules()
     texts = ["\u201c" + w + "\u201d" for w in ("MIT License", "see the wtfpl for", "subject to the terms", "copr. 1999", "\u00a9 2001", "cc0", "may not be copied", "open rail-m", "creative commons zero", "confidential and proprietary")]
     d = docs(spark, texts + ["nothing of it"])
-    whole = {tuple(x) for x in licences.detect(d, signatures=own).collect()}
-    assert {tuple(x) for x in licences.detect(d).collect()} == whole and len({x[0] for x in whole}) == len(texts)
+    found = d.select("doc_id", licences.detections(F.col("text")).alias("a"), licences.detections(F.col("text"), own).alias("b")).orderBy("doc_id").collect()
+    assert all(x["a"] == x["b"] for x in found) and [len(x["a"]) > 0 for x in found] == [True] * len(texts) + [False]
+
+
+def test_licence_overlaps(spark):
+    """Overlapping intervals: the higher form stays, of equal ones the longer; apart ones all stay."""
+    texts = ["GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: MIT License", "licensed under the Apache License 2.0 and the MIT License", "creative commons attribution-sharealike", None, ""]
+    signatures = [("ab", "ab", "abcd", "weak", 1, 0.5), ("bc", "bc", "bc", "strong", 300, 0.5), ("cd", "cd", "cdef", "long", 1, 0.5)]
+    out = docs(spark, [*texts, "abcdef", "abcd x cdef"]).select("doc_id", licences.detections(F.col("text")).alias("a"), licences.detections(F.col("text"), signatures).alias("b")).orderBy("doc_id").collect()
+    assert [[s["label"] for s in x["a"]] for x in out[:6]] == [["lgpl-2.1"], ["mit"], ["apache-2.0", "mit"], ["cc-by-sa"], [], []]
+    assert [[(s["start"], s["end"], s["label"]) for s in x["b"]] for x in out[6:]] == [[(1, 3, "strong")], [(1, 3, "strong"), (7, 11, "long")]]
+
+
+def test_licence_base_against_brute_force(spark):
+    r, words = random.Random(3), ["cc", "CC", "by", "all", "Rights", "reserved", "general", "PUBLIC", "license", "x\u00e9", "9", "\u4e2d"]
+    texts = ODD + ["".join(r.choice(words) + r.choice(" -.,\n_/") for _ in range(60)) for _ in range(40)]
+    d = docs(spark, texts)
+    out = licences.scan_licences(d.union(d.where("doc_id = 12")).union(d.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long"))))
+    out = {(x["id"], x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) for x in out.collect()}
+    want = set()
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(i, label) for label, p in licences.PHRASES for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+        row = (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})))
+        want |= {(k, *row)} | ({(None, *row)} if k == 12 else set())
+    assert out == want and licences.scan_licences(d.where("false")).count() == 0
 
 
 def test_decontamination_of_documents_shorter_than_the_item(spark):
