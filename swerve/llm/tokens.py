@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Store, batch_of
 
 #: Pre-tokens that are broadcast, their length at most, and the share of the texts that names them.
-HEAD, LONGEST, SHARE = 1 << 17, 64, 64
+HEAD, LONGEST, SHARE = 1 << 18, 128, 8
 GROUP = 256
 #: Distinct pre-tokens of a task counted together.
 CHUNK = 1 << 17
