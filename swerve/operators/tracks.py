@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 c = F.col
 
@@ -58,43 +62,49 @@ def savgol(df: DataFrame, keys: list[str], order: list[str], value: str, window:
     return rows.withColumn("smooth", out).drop("_near", "_n", "_i")
 
 
+def per_track(df: DataFrame, keys: list[str], cols: list[str], out: list[str], of) -> DataFrame:
+    """of(one array of doubles for each of cols, sorted by the first) of each track, as columns out.
+
+    For recursions that need the state of the frame before: linear in the track, one track at a time.
+    """
+    df = df.select(*keys, *[c(x).cast("double").alias(x) for x in cols])
+    schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(x, T.DoubleType()) for x in out]])
+
+    def run(key, group):
+        order = np.lexsort([group.column(x).to_numpy() for x in reversed(cols)])
+        values = of(*[group.column(x).to_numpy()[order] for x in cols])
+        n = len(values[0])
+        fixed = [pa.array([k.as_py()] * n, group.schema.field(name).type) for name, k in zip(keys, key, strict=True)]
+        return pa.Table.from_arrays([*fixed, *[pa.array(v, pa.float64()) for v in values]], names=[*keys, *out])
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def kalman(df: DataFrame, keys: list[str], t: str, value: str, q: float, r: float) -> DataFrame:
-    """Constant-velocity Kalman filter and RTS smoother as two folds over each track's sorted array."""
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(c(t).cast("double").alias("t"), c(value).cast("double").alias("z")))).alias("obs"))
-    state = "struct<t:double,x:double,v:double,a:double,b:double,d:double,xp:double,vp:double,ap:double,bp:double,dp:double,dt:double>"
-    S = lambda *v: F.struct(*[F.lit(x).cast("double").alias(n) if not isinstance(x, Column) else x.cast("double").alias(n) for n, x in zip(("t", "x", "v", "a", "b", "d", "xp", "vp", "ap", "bp", "dp", "dt"), v, strict=True)])
-
-    def forward(acc: Column, o: Column) -> Column:
-        p = F.element_at(acc, -1)
-        dt = o["t"] - p["t"]
-        xp, vp = p["x"] + dt * p["v"], p["v"]
-        ap = p["a"] + 2 * dt * p["b"] + dt * dt * p["d"] + q * dt * dt * dt / 3
-        bp = p["b"] + dt * p["d"] + q * dt * dt / 2
-        dp = p["d"] + q * dt
-        k1, k2, e = ap / (ap + r), bp / (ap + r), o["z"] - xp
-        return F.concat(acc, F.array(S(o["t"], xp + k1 * e, vp + k2 * e, (1 - k1) * ap, (1 - k1) * bp, dp - k2 * bp, xp, vp, ap, bp, dp, dt)))
-
-    first = c("obs")[0]
-    filtered = F.aggregate(F.slice("obs", 2, F.greatest(F.size("obs") - 1, F.lit(0))), F.array(S(first["t"], first["z"], 0.0, r, 0.0, 1.0, first["z"], 0.0, r, 0.0, 1.0, 0.0)).cast(f"array<{state}>"), forward)
-    arrays = arrays.select(*keys, F.reverse(filtered).alias("f"))
-    kind = "array<struct<t:double,x:double,v:double,xp:double,vp:double,ap:double,bp:double,dp:double,dt:double>>"
-
-    def keep(s: Column, x: Column, v: Column) -> Column:
-        return F.struct(s["t"].alias("t"), x.alias("x"), v.alias("v"), s["xp"].alias("xp"), s["vp"].alias("vp"), s["ap"].alias("ap"), s["bp"].alias("bp"), s["dp"].alias("dp"), s["dt"].alias("dt"))
-
-    def back(acc: Column, s: Column) -> Column:
-        n = F.element_at(acc, -1)  # the smoothed state one step later, with its own prediction
-        det = n["ap"] * n["dp"] - n["bp"] * n["bp"]
-        f11, f12 = s["a"] + n["dt"] * s["b"], s["b"]
-        f21, f22 = s["b"] + n["dt"] * s["d"], s["d"]
-        g11, g12 = (f11 * n["dp"] - f12 * n["bp"]) / det, (f12 * n["ap"] - f11 * n["bp"]) / det
-        g21, g22 = (f21 * n["dp"] - f22 * n["bp"]) / det, (f22 * n["ap"] - f21 * n["bp"]) / det
-        ex, ev = n["x"] - n["xp"], n["v"] - n["vp"]
-        return F.concat(acc, F.array(keep(s, s["x"] + g11 * ex + g12 * ev, s["v"] + g21 * ex + g22 * ev)))
-
-    last = c("f")[0]
-    smooth = F.aggregate(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))), F.array(keep(last, last["x"], last["v"])).cast(kind), back)
-    return arrays.select(*keys, F.explode(smooth).alias("s")).select(*keys, c("s.t").alias(t), c("s.x").alias("smooth"), c("s.v").alias("rate"))
+    """Constant-velocity Kalman filter and RTS smoother, forwards and back over each track."""
+
+    def smooth(ts: np.ndarray, z: np.ndarray) -> tuple[list[float], ...]:
+        x, v, a, b, d = float(z[0]), 0.0, r, 0.0, 1.0
+        states, gaps = [(x, v, a, b, d, x, v, a, b, d)], np.diff(ts).tolist()
+        for dt, seen in zip(gaps, z[1:].tolist(), strict=True):
+            xp = x + dt * v
+            ap = a + 2 * dt * b + dt * dt * d + q * dt * dt * dt / 3
+            bp, dp = b + dt * d + q * dt * dt / 2, d + q * dt
+            k1, k2, e = ap / (ap + r), bp / (ap + r), seen - xp
+            x, v, a, b, d, vp = xp + k1 * e, v + k2 * e, (1 - k1) * ap, (1 - k1) * bp, dp - k2 * bp, v
+            states.append((x, v, a, b, d, xp, vp, ap, bp, dp))
+        xs, vs = [x], [v]
+        for k in range(len(states) - 2, -1, -1):  # the smoothed state one step later, with its own prediction
+            x, v, a, b, d = states[k][:5]
+            xp, vp, ap, bp, dp = states[k + 1][5:]
+            det, dt = ap * dp - bp * bp, gaps[k]
+            f11, f12, f21, f22 = a + dt * b, b, b + dt * d, d
+            ex, ev = xs[-1] - xp, vs[-1] - vp
+            xs.append(x + (f11 * dp - f12 * bp) / det * ex + (f12 * ap - f11 * bp) / det * ev)
+            vs.append(v + (f21 * dp - f22 * bp) / det * ex + (f22 * ap - f21 * bp) / det * ev)
+        return ts, xs[::-1], vs[::-1]
+
+    return per_track(df, keys, [t, value], [t, "smooth", "rate"], smooth)
 
 
 def gradient(value: Column, t: Column, w: Window) -> Column:
@@ -113,16 +123,17 @@ def hold_below(value: Column, speed: Column, floor: float, w: Window) -> Column:
 
 def despike(df: DataFrame, keys: list[str], t: str, x: str, y: str, top_speed: float) -> DataFrame:
     """Keep the first frame and then each frame that the last kept one reaches within the top speed."""
-    frame = F.struct(c(t).alias("t"), c(x).alias("x"), c(y).alias("y"))
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("fr"))
 
-    def step(acc: Column, f: Column) -> Column:
-        p = F.element_at(acc, -1)
-        fast = F.hypot(f["x"] - p["x"], f["y"] - p["y"]) > top_speed * (f["t"] - p["t"])
-        return F.when(fast, acc).otherwise(F.concat(acc, F.array(f)))
+    def keep(ts: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[list[float], ...]:
+        rows = list(zip(ts.tolist(), xs.tolist(), ys.tolist(), strict=True))
+        kept = rows[:1]
+        for f in rows[1:]:
+            p = kept[-1]
+            if not math.hypot(f[1] - p[1], f[2] - p[2]) > top_speed * (f[0] - p[0]):
+                kept.append(f)
+        return tuple(map(list, zip(*kept, strict=True)))
 
-    kept = F.aggregate(F.slice("fr", 2, F.greatest(F.size("fr") - 1, F.lit(0))), F.array(c("fr")[0]), step)
-    return arrays.select(*keys, F.explode(kept).alias("f")).select(*keys, c("f.t").alias(t), c("f.x").alias(x), c("f.y").alias(y))
+    return per_track(df, keys, [t, x, y], [t, x, y], keep)
 
 
 def crossing(df: DataFrame, keys: list[str], order: list[str], t: str, axis: str, distance: float, longest: float | None = None) -> DataFrame:

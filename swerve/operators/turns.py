@@ -24,8 +24,14 @@ def triggers(df: DataFrame, keys: list[str], width: int, least_turn: float, leas
 
 
 def accepted(df: DataFrame, keys: list[str], apart: int) -> DataFrame:
-    """Greedy suppression: best score first (ties by frame), none nearer than `apart` frames to a kept one."""
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "i"))).alias("cand"))
+    """Greedy suppression: best score first (ties by frame), none nearer than `apart` frames to a kept one.
+
+    Frames that lie `apart` or more from the one before begin a new run; runs don't touch each other, so
+    each is settled by itself and no array holds a whole track.
+    """
+    w = Window.partitionBy(*keys).orderBy("i")
+    run = F.sum((c("i") - F.coalesce(F.lag("i").over(w), c("i")) >= apart).cast("long")).over(w)
+    arrays = df.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "i"))).alias("cand"))
 
     def step(acc: Column, x: Column) -> Column:
         near = F.exists(acc, lambda k: F.abs(k["i"] - x["i"]) < apart)
@@ -37,23 +43,27 @@ def accepted(df: DataFrame, keys: list[str], apart: int) -> DataFrame:
 
 def segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
     """One row per hit: its apex (slowest frame in the window) and the frames around it over which
-    speed keeps rising away from the apex, `longest` frames at most on each side."""
-    near = frames.select(*keys, c("i").alias("j"), "speed")
-    apex = hits.join(near, keys).where((c("j") >= c("i")) & (c("j") <= c("i") + width)).groupBy(*keys, "i", "score").agg(F.min_by("j", F.struct("speed", "j")).alias("apex"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    flags = frames.select(*keys, c("i").alias("j"), (c("speed") < F.lag("speed").over(w)).alias("falls"), (c("speed") < F.lead("speed").over(w)).alias("falls_back"))
-    around = apex.join(flags, keys).where(F.abs(c("j") - c("apex")) <= longest)
+    speed keeps rising away from the apex, `longest` frames at most on each side.
+
+    What an apex and a turn around it would be is known of every frame from windows over its
+    neighbours; hits look theirs up by frame number.
+    """
+    w, at = Window.partitionBy(*keys).orderBy("i"), F.struct("speed", "i")
+    rows = frames.select(*keys, "i", "speed", F.min(at).over(w.rowsBetween(0, width))["i"].alias("apex"), (c("speed") < F.lag("speed").over(w)).alias("falls"), (c("speed") < F.lead("speed").over(w)).alias("falls_back"))
     # the first frame after the apex that is slower than the one before ends the turn, and likewise before it
-    end = F.min(F.when((c("j") > c("apex")) & c("falls"), c("j") - 1))
-    start = F.max(F.when((c("j") < c("apex")) & c("falls_back"), c("j") + 1))
-    out = around.groupBy(*keys, "i", "score", "apex").agg(F.coalesce(start, F.greatest(F.min("j"), c("apex") - longest)).alias("first"), F.coalesce(end, F.least(F.max("j"), c("apex") + longest)).alias("last"))
-    return out.withColumnRenamed("i", "hit")
+    end, start = F.min(F.when(c("falls"), c("i") - 1)).over(w.rowsBetween(1, longest)), F.max(F.when(c("falls_back"), c("i") + 1)).over(w.rowsBetween(-longest, -1))
+    reach = rows.select(*keys, c("i").alias("apex"), F.coalesce(start, F.min("i").over(w.rowsBetween(-longest, 0))).alias("first"), F.coalesce(end, F.max("i").over(w.rowsBetween(0, longest))).alias("last"))
+    return hits.join(rows.select(*keys, "i", "apex"), [*keys, "i"]).join(reach, [*keys, "apex"]).select(*keys, c("i").alias("hit"), "score", "apex", "first", "last")
 
 
 def without_overlap(seg: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
-    """Best score first; a segment that lies by more than `share` in a kept one goes."""
+    """Best score first; a segment that lies by more than `share` in a kept one goes. Runs of segments that
+    overlap are settled each by itself."""
+    w = Window.partitionBy(*keys).orderBy("first", "last", "hit")
+    new = c("first") > F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seg = seg.withColumn("_new", F.coalesce(new, F.lit(True)).cast("long")).withColumn("_run", F.sum("_new").over(w))
     s = F.struct((-c("score")).alias("s"), "hit", "apex", "first", "last")
-    arrays = seg.groupBy(*keys).agg(F.array_sort(F.collect_list(s)).alias("segs"))
+    arrays = seg.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(s)).alias("segs"))
 
     def step(acc: Column, x: Column) -> Column:
         inside = F.exists(acc, lambda k: (F.least(k["last"], x["last"]) - F.greatest(k["first"], x["first"]) + 1) > share * (x["last"] - x["first"] + 1))
@@ -63,6 +73,12 @@ def without_overlap(seg: DataFrame, keys: list[str], share: float = 0.5) -> Data
     return arrays.select(*keys, F.explode(kept).alias("k")).select(*keys, (-c("k.s")).alias("score"), "k.hit", "k.apex", "k.first", "k.last")
 
 
+def points(frames: DataFrame, found: DataFrame, keys: list[str], behind: int = 0, cols: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """The frames of each turn, and `behind` more after it, by frame number: columns of found, j and cols."""
+    each = found.withColumn("j", F.explode(F.sequence(c("first"), c("last") + behind)))
+    return each.join(frames.select(*keys, c("i").alias("j"), *cols), [*keys, "j"])
+
+
 def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float = 60.0, least_speed: float = 2.0, apart: int = 5, longest: int = 6) -> DataFrame:
     """Trigger, suppress, segment, reject overlaps: one row per turn."""
     hits = accepted(triggers(frames, keys, width, least_turn, least_speed), keys, apart)
@@ -70,9 +86,10 @@ def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float
 
 
 def metrics(frames: DataFrame, found: DataFrame, keys: list[str], horizon: int = 10, longest_gap: float = 24.0, cap: float = 200.0) -> DataFrame:
-    """Entry, apex and exit speed, retentions, angle, frames to regain the entry speed, and valid."""
-    at = frames.select(*keys, c("i").alias("j"), "h", "speed", "turned")
-    j = found.join(at, keys).where((c("j") >= c("first")) & (c("j") <= c("last") + horizon))
+    """Entry, apex and exit speed, retentions, angle, frames to regain the entry speed, and valid; with
+    positions in frames also the radius, its residual and the lateral acceleration."""
+    has_place = {"x", "y"} <= set(frames.columns)
+    j = points(frames, found, keys, horizon, ("h", "speed", "turned"))
     inside = c("j") <= c("last")
     pick = lambda k, v: F.max(F.when(c("j") == c(k), c(v)))
     m = j.groupBy(*keys, "hit", "apex", "first", "last", "score").agg(
@@ -83,6 +100,9 @@ def metrics(frames: DataFrame, found: DataFrame, keys: list[str], horizon: int =
     regained = F.array_min(F.transform(F.filter("after", lambda a: a["speed"] >= c("entry")), lambda a: a["j"]))
     m = m.withColumn("regain", regained - c("last")).withColumn("valid", (c("hours") <= longest_gap * (c("last") - c("first") + 1)) & (c("top") <= cap))
     safe = lambda v: F.when(c("entry") > 1e-9, c(v) / c("entry"))
+    if has_place:  # the circle through the turn's frames, and what holding its slowest speed on it takes
+        fit = circle(points(frames, found, keys), [*keys, "hit"], "x", "y").select(*keys, "hit", "radius", "residual")
+        m = m.join(fit, [*keys, "hit"], "left").withColumn("lateral", F.try_divide(c("slowest") * c("slowest"), c("radius")))
     return m.withColumn("retention", safe("exit")).withColumn("apex_retention", safe("slowest")).drop("after")
 
 
@@ -91,11 +111,14 @@ def plant_class(m: DataFrame) -> Column:
 
 
 def circle(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Algebraic circle through points, from sums alone: radius and centre; null for points on a line."""
+    """Algebraic circle through points, from sums alone: centre, radius and root mean square distance of the
+    points from it (residual); null for points on a line."""
     p = points.join(points.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")), keys).withColumn("u", c(x) - c("_mx")).withColumn("v", c(y) - c("_my"))
     s = p.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in (("n", F.lit(1.0)), ("uu", c("u") * c("u")), ("vv", c("v") * c("v")), ("uv", c("u") * c("v")), ("uuu", c("u") * c("u") * c("u")), ("vvv", c("v") * c("v") * c("v")), ("uvv", c("u") * c("v") * c("v")), ("vuu", c("v") * c("u") * c("u")))], F.first("_mx").alias("mx"), F.first("_my").alias("my"))
     det = c("uu") * c("vv") - c("uv") * c("uv")
     a, b = (c("uuu") + c("uvv")) / 2, (c("vvv") + c("vuu")) / 2
-    cu, cv = (a * c("vv") - b * c("uv")) / det, (b * c("uu") - a * c("uv")) / det
-    ok = F.abs(det) > 1e-9
-    return s.select(*keys, F.when(ok, cu + c("mx")).alias("cx"), F.when(ok, cv + c("my")).alias("cy"), F.when(ok, F.sqrt(cu * cu + cv * cv + (c("uu") + c("vv")) / c("n"))).alias("radius"))
+    s = s.withColumn("cu", F.when(F.abs(det) > 1e-9, (a * c("vv") - b * c("uv")) / det)).withColumn("cv", F.when(F.abs(det) > 1e-9, (b * c("uu") - a * c("uv")) / det))
+    s = s.withColumn("radius", F.sqrt(c("cu") * c("cu") + c("cv") * c("cv") + (c("uu") + c("vv")) / c("n")))
+    off = F.hypot(c("u") - c("cu"), c("v") - c("cv")) - c("radius")
+    rest = p.select(*keys, "u", "v").join(s.select(*keys, "cu", "cv", "radius"), keys).groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("residual"))
+    return s.select(*keys, (c("cu") + c("mx")).alias("cx"), (c("cv") + c("my")).alias("cy"), "radius", "n").join(rest, keys)

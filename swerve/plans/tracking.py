@@ -56,7 +56,11 @@ HEAD = f"{ONE}, q AS (SELECT *, {grad_sql('x')} AS vx, {grad_sql('y')} AS vy FRO
 
 
 def headed(spark: SparkSession, d: str) -> DataFrame:
-    q = one(spark, d).withColumn("vx", T.gradient(c("x"), c("h"), in_track())).withColumn("vy", T.gradient(c("y"), c("h"), in_track()))
+    return headed_from(one(spark, d))
+
+
+def headed_from(rows: DataFrame) -> DataFrame:
+    q = rows.withColumn("vx", T.gradient(c("x"), c("h"), in_track())).withColumn("vy", T.gradient(c("y"), c("h"), in_track()))
     return q.withColumn("heading", X.heading(c("vx"), c("vy"))).withColumn("speed", F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")))
 
 
@@ -64,7 +68,11 @@ UNWRAP = "u AS (SELECT *, coalesce(((heading - lag(heading) OVER w + 180) % 360
 
 
 def turned(spark: SparkSession, d: str) -> DataFrame:
-    return headed(spark, d).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(in_track())), F.lit(0.0)))
+    return turned_from(one(spark, d))
+
+
+def turned_from(rows: DataFrame) -> DataFrame:
+    return headed_from(rows).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(in_track())), F.lit(0.0)))
 
 
 @query("ts_unwrap_rate", f"WITH {HEAD}, {UNWRAP} SELECT track, round(sum(dh), 3) AS net, round(sum(abs(dh)), 3) AS total FROM u GROUP BY 1")

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swerve.operators import tracks as T
 from swerve.operators import turns as U
 from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 
 from .aggregating import R
 from .ordering import in_track
 from .registry import query
-from .tracking import HEAD, UNWRAP, turned
+from .tracking import HEAD, UNWRAP, one, turned, turned_from
 
 c = F.col
 RUN = f"{HEAD}, {UNWRAP}, r AS (SELECT *, row_number() OVER w - 1 AS i, sum(dh) OVER w AS turned FROM u WINDOW w AS (PARTITION BY track ORDER BY us, id))"
 TRIG = "tr AS (SELECT *, abs(lead(turned, 4) OVER w - turned) AS score, max(speed) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS top FROM r WINDOW w AS (PARTITION BY track ORDER BY i))"
 
 
+def run_of(t: DataFrame) -> DataFrame:
+    return U.indexed(t.withColumn("turned", F.sum("dh").over(in_track())), ["track"], ["us", "id"])
+
+
 def running(spark: SparkSession, d: str) -> DataFrame:
-    return U.indexed(turned(spark, d).withColumn("turned", F.sum("dh").over(in_track())), ["track"], ["us", "id"])
+    return run_of(turned(spark, d))
 
 
 @query("turn_trigger", f"WITH {RUN}, {TRIG} SELECT track, i::BIGINT AS i, round(score, 3) AS score FROM tr WHERE score >= 60 AND top >= 2")
@@ -47,15 +52,20 @@ def detect_turns(spark: SparkSession, d: str) -> DataFrame:
 def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
     r = running(spark, d)
     m = U.metrics(r, U.detect(r, ["track"]), ["track"])
-    return m.select("track", "hit", *[R(k, 3).alias(k) for k in ("entry", "slowest", "exit", "angle", "retention", "apex_retention")], "regain", "valid")
+    return m.select("track", "hit", *[R(k, 3).alias(k) for k in ("entry", "slowest", "exit", "angle", "retention", "apex_retention", "radius", "residual", "lateral")], "regain", "valid")
 
 
-CIRCLE = "g AS (SELECT *, avg(x) OVER (PARTITION BY track) AS mx, avg(y) OVER (PARTITION BY track) AS my FROM e), k AS (SELECT track, x - mx AS u, y - my AS v FROM g), z AS (SELECT track, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM k GROUP BY 1), q AS (SELECT track, n, uu, vv, uu*vv - uv*uv AS det, ((uuu+uvv)/2*vv - (vvv+vuu)/2*uv) AS a, ((vvv+vuu)/2*uu - (uuu+uvv)/2*uv) AS b FROM z)"
+CIRCLE = "g AS (SELECT tr.track, tr.i AS hit, r.x, r.y FROM tr JOIN r ON r.track = tr.track AND r.i BETWEEN tr.i AND tr.i + 6 WHERE score >= 60 AND top >= 2), k AS (SELECT track, hit, x - avg(x) OVER h AS u, y - avg(y) OVER h AS v FROM g WINDOW h AS (PARTITION BY track, hit)), z AS (SELECT track, hit, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM k GROUP BY 1, 2), q AS (SELECT *, uu*vv - uv*uv AS det FROM z), o2 AS (SELECT track, hit, n, uu, vv, CASE WHEN abs(det) > 1e-9 THEN ((uuu+uvv)/2*vv - (vvv+vuu)/2*uv) / det END AS cu, CASE WHEN abs(det) > 1e-9 THEN ((vvv+vuu)/2*uu - (uuu+uvv)/2*uv) / det END AS cv FROM q), c2 AS (SELECT *, sqrt(cu * cu + cv * cv + (uu + vv) / n) AS radius FROM o2)"
 
 
-@query("turn_circle_fit", f"WITH {FRAMES}, {CIRCLE} SELECT track, round(CASE WHEN abs(det) > 1e-9 THEN sqrt(power(a / det, 2) + power(b / det, 2) + (uu + vv) / n) END, 3) AS radius FROM q")
+@query("turn_circle_fit", f"WITH {RUN}, {TRIG}, {CIRCLE} SELECT c2.track, c2.hit::BIGINT AS hit, round(CASE WHEN radius < 1000 THEN radius END, 3) AS radius, round(CASE WHEN radius < 1000 THEN sqrt(avg(power(sqrt(power(u - cu, 2) + power(v - cv, 2)) - radius, 2))) END, 3) AS residual FROM c2 JOIN k ON k.track = c2.track AND k.hit = c2.hit GROUP BY c2.track, c2.hit, radius")
 def turn_circle_fit(spark: SparkSession, d: str) -> DataFrame:
-    return U.circle(frames(spark, d), ["track"], "x", "y").select("track", R("radius", 3).alias("radius"))
+    """The circle through the seven frames from each trigger on; none where it is nearly a line."""
+    r = running(spark, d)
+    hits = U.triggers(r, ["track"], 4, 60.0, 2.0).select("track", c("i").alias("hit"), c("i").alias("first"), (c("i") + 6).alias("last"))
+    fit = U.circle(U.points(r, hits, ["track"]), ["track", "hit"], "x", "y")
+    bent = lambda v: R(F.when(c("radius") < 1000, c(v)), 3).alias(v)
+    return fit.select("track", "hit", bent("radius"), bent("residual"))
 
 
 @query("turn_plant_class")
@@ -65,30 +75,49 @@ def turn_plant_class(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(U.plant_class(m).alias("kind"), "valid").agg(F.count("*").alias("n"))
 
 
-def by_width(spark: SparkSession, d: str, widths: tuple[int, ...] = (3, 4, 6)) -> DataFrame:
-    r = running(spark, d)
+SMOOTHERS = ("raw", "savgol5", "savgol7", "kalman")
+
+
+def smoothed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Frames, one per track and time, with their positions smoothed."""
+    o = one(spark, d)
+    if name == "kalman":
+        both = [T.kalman(o, ["track"], "h", v, 0.5, 4.0).select("track", "h", c("smooth").alias(v)) for v in ("x", "y")]
+        return o.drop("x", "y").join(both[0], ["track", "h"]).join(both[1], ["track", "h"])
+    for v in ("x", "y") if name != "raw" else ():
+        o = T.savgol(o, ["track"], ["us", "id"], v, int(name[-1]), 2).drop(v).withColumnRenamed("smooth", v)
+    return o
+
+
+def by_smoother(spark: SparkSession, d: str) -> DataFrame:
+    """Turns found after each smoother, and in the shuffled increments of each (null)."""
     out = None
-    for w in widths:
-        f = U.detect(r, ["track"], width=w).select(F.lit(w).alias("width"), "track", "apex", "score")
-        out = f if out is None else out.union(f)
+    for name in SMOOTHERS:
+        r = run_of(turned_from(smoothed(spark, d, name)))
+        for null, rows in ((False, r), (True, shuffled(r))):
+            f = U.detect(rows, ["track"]).select(F.lit(name).alias("smoother"), F.lit(null).alias("dealt"), "track", "apex", "score")
+            out = f if out is None else out.union(f)
     return out
 
 
 @query("turn_smoother_range")
 def turn_smoother_range(spark: SparkSession, d: str) -> DataFrame:
-    a = by_width(spark, d)
-    main = a.where("width = 4").select("track", "apex")
-    other = a.where("width != 4").select("track", "width", c("apex").alias("oa"), "score")
-    near = main.join(other, "track").where(F.abs(c("apex") - c("oa")) <= 3).groupBy("track", "apex", "width").agg(F.min_by("score", F.struct(F.abs(c("apex") - c("oa")).alias("g"), "oa")).alias("score"))
-    span = near.groupBy("track", "apex").agg(F.count("*").alias("matched"), R(F.min("score"), 3).alias("lo"), R(F.max("score"), 3).alias("hi"))
-    return main.join(span, ["track", "apex"], "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+    """Of each raw turn: by how many other smoothers it is found within three frames, and the range of its score."""
+    a = by_smoother(spark, d).where("not dealt")
+    main = a.where("smoother = 'raw'").select("track", "apex", c("score").alias("own"))
+    other = a.where("smoother != 'raw'").select("track", "smoother", c("apex").alias("oa"), "score")
+    asks = main.withColumn("oa", F.explode(F.sequence(c("apex") - 3, c("apex") + 3)))
+    near = asks.join(other, ["track", "oa"]).groupBy("track", "apex", "smoother").agg(F.min_by("score", F.struct(F.abs(c("apex") - c("oa")).alias("g"), "oa")).alias("score"))
+    span = near.groupBy("track", "apex").agg(F.count("*").alias("matched"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    out = main.join(span, ["track", "apex"], "left")
+    return out.select("track", "apex", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), R(F.least("own", F.coalesce("lo", "own")), 3).alias("lo"), R(F.greatest("own", F.coalesce("hi", "own")), 3).alias("hi"))
 
 
 @query("turn_attempt_table")
 def turn_attempt_table(spark: SparkSession, d: str) -> DataFrame:
-    n = by_width(spark, d).groupBy("track").pivot("width", [3, 4, 6]).agg(F.count(F.lit(1)))
+    n = by_smoother(spark, d).withColumn("kind", F.concat(F.when(c("dealt"), "null_").otherwise("turns_"), "smoother")).groupBy("track").pivot("kind", [f"{k}_{s}" for k in ("turns", "null") for s in SMOOTHERS]).agg(F.count(F.lit(1)))
     all_ = frames(spark, d).select("track").distinct().join(n, "track", "left")
-    return all_.select("track", *[F.coalesce(c(str(w)), F.lit(0).cast("long")).alias(f"turns_{w}") for w in (3, 4, 6)])
+    return all_.select("track", *[F.coalesce(c(k), F.lit(0).cast("long")).alias(k) for k in n.columns if k != "track"])
 
 
 def shuffled(r: DataFrame, seed: int = 7) -> DataFrame:
@@ -114,7 +143,8 @@ def turn_sanity_rates(spark: SparkSession, d: str) -> DataFrame:
 def turn_threshold_delta(spark: SparkSession, d: str) -> DataFrame:
     r = running(spark, d)
     a, b = (U.detect(r, ["track"], least_turn=x).select("track", c("apex")) for x in (60.0, 90.0))
-    pairs = a.select("track", c("apex").alias("a")).join(b.select("track", c("apex").alias("b")), "track").where(F.abs(c("a") - c("b")) <= 3)
+    asks = a.select("track", c("apex").alias("a"), F.explode(F.sequence(c("apex") - 3, c("apex") + 3)).alias("b"))
+    pairs = asks.join(b.select("track", c("apex").alias("b")), ["track", "b"])
     arrays = pairs.groupBy("track").agg(F.array_sort(F.collect_list(F.struct(F.abs(c("a") - c("b")).alias("g"), "a", "b"))).alias("p"))
     kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: (k["a"] == x["a"]) | (k["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x))))
     m = arrays.select("track", F.size(kept).alias("matched"))

@@ -164,3 +164,45 @@ def test_concordance_of_all_pairs(spark):
     pairs = [(a[1], b[1]) for a in data for b in data if a[2] and a[0] < b[0]]
     out = stats.concordance(spark.createDataFrame(data, "time double, risk double, event boolean"), "time", "risk", "event").first()
     assert tuple(out) == (len(pairs), sum(x > y for x, y in pairs), sum(x == y for x, y in pairs))
+
+
+def test_suppression_against_brute_force(spark):
+    """Runs settled by themselves give what one greedy pass over the whole track gives."""
+    r = np.random.default_rng(5)
+    cand = [(k % 3, int(i), float(r.integers(1, 9))) for k in range(3) for i in sorted(r.choice(200, 60, replace=False))]
+    got = {(x["track"], x["i"]) for x in turns.accepted(spark.createDataFrame(cand, "track long, i long, score double"), ["track"], 5).collect()}
+    want = set()
+    for t, i, s in sorted(cand, key=lambda x: (x[0], -x[2], x[1])):
+        if all(u != t or abs(i - j) >= 5 for u, j in want):
+            want.add((t, i))
+    assert got == want
+    segs = [(1, h, float(r.integers(1, 9)), h + 1, h - int(r.integers(0, 6)), h + 1 + int(r.integers(0, 6))) for h in range(0, 300, 4)]
+    got = {x["hit"] for x in turns.without_overlap(spark.createDataFrame(segs, "track long, hit long, score double, apex long, first long, last long"), ["track"]).collect()}
+    kept = []
+    for s in sorted(segs, key=lambda x: (-x[2], x[1])):
+        if not any(min(k[5], s[5]) - max(k[4], s[4]) + 1 > 0.5 * (s[5] - s[4] + 1) for k in kept):
+            kept.append(s)
+    assert got == {s[1] for s in kept}
+
+
+def test_segments_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    v = [float(r.integers(0, 6)) for _ in range(120)]
+    f = spark.createDataFrame([(1, k, s) for k, s in enumerate(v)], "track long, i long, speed double")
+    hits = list(range(0, 120, 3))
+    got = {(x["hit"], x["apex"], x["first"], x["last"]) for x in turns.segments(f, spark.createDataFrame([(1, h, 1.0) for h in hits], "track long, i long, score double"), ["track"], 4, 6).collect()}
+    want = set()
+    for h in hits:
+        apex = min(range(h, min(h + 4, 119) + 1), key=lambda k: (v[k], k))
+        last = next((k - 1 for k in range(apex + 1, min(apex + 6, 119) + 1) if v[k] < v[k - 1]), min(119, apex + 6))
+        first = next((k + 1 for k in range(apex - 1, max(apex - 6, 0) - 1, -1) if v[k] < v[k + 1]), max(0, apex - 6))
+        want.add((h, apex, first, last))
+    assert got == want
+
+
+def test_radius_and_lateral_acceleration(spark):
+    """On a circle of radius 10 at speed 2 a turn has that radius, no residual and v^2 / r."""
+    pts = [(1, k, 10 * math.sin(k / 5), 10 * math.cos(k / 5), 2.0, float(k), k * 180 / math.pi / 5) for k in range(30)]
+    f = spark.createDataFrame(pts, "track long, i long, x double, y double, speed double, h double, turned double")
+    m = turns.metrics(f, spark.createDataFrame([(1, 3, 1.0, 8, 5, 14)], "track long, hit long, score double, apex long, first long, last long"), ["track"]).first()
+    assert np.allclose([m["radius"], m["residual"], m["lateral"], m["angle"]], [10, 0, 0.4, 9 * 180 / math.pi / 5])
