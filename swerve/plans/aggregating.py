@@ -82,14 +82,16 @@ def agg_histogram_percentile(spark: SparkSession, d: str) -> DataFrame:
     return n.select("grp", R(c("bin") * 5 + 5 * (0.9 * c("total") - (c("upto") - c("n"))) / c("n")).alias("p90"))
 
 
-@query("agg_histogram_overlap", f"WITH {TURNS}, n AS (SELECT grp, least(floor(angle / 5), 9) AS bin, count(*) FILTER (WHERE setting = 'F') AS a, count(*) FILTER (WHERE setting = 'O') AS b FROM t WHERE angle BETWEEN 0 AND 50 GROUP BY 1, 2), s AS (SELECT grp, a / nullif(sum(a) OVER (PARTITION BY grp), 0)::DOUBLE AS p, b / nullif(sum(b) OVER (PARTITION BY grp), 0)::DOUBLE AS q FROM n) SELECT grp, round(sum(CASE WHEN p IS NULL OR q IS NULL THEN 0 ELSE least(p, q) END), 9) AS overlap FROM s GROUP BY 1")
+@query("agg_histogram_overlap", f"WITH {TURNS}, n AS (SELECT grp, least(floor(angle / 5), 9) AS bin, count(*) FILTER (WHERE setting = 'F') AS a, count(*) FILTER (WHERE setting = 'O') AS b FROM t WHERE angle BETWEEN 0 AND 50 GROUP BY 1, 2), s AS (SELECT grp, a / nullif(sum(a) OVER (PARTITION BY grp), 0)::DOUBLE AS p, b / nullif(sum(b) OVER (PARTITION BY grp), 0)::DOUBLE AS q FROM n), l AS (SELECT grp, quantile_cont(angle, 0.05) AS lo, quantile_cont(angle, 0.95) AS hi FROM t WHERE setting = 'F' AND angle BETWEEN 0 AND 50 GROUP BY 1), i AS (SELECT t.grp, avg(CASE WHEN angle BETWEEN lo AND hi THEN 1.0 ELSE 0 END) AS inside FROM t JOIN l ON t.grp = l.grp WHERE setting = 'O' AND angle BETWEEN 0 AND 50 GROUP BY 1), o AS (SELECT grp, round(sum(CASE WHEN p IS NULL OR q IS NULL THEN 0 ELSE least(p, q) END), 9) AS overlap FROM s GROUP BY 1) SELECT o.grp, overlap, round(inside, 9) AS inside FROM o LEFT JOIN i ON o.grp = i.grp")
 def agg_histogram_overlap(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d).where("angle between 0 and 50")
     n = t.groupBy("grp", F.least(F.floor(c("angle") / 5), F.lit(9)).alias("bin")).agg(F.count_if(c("setting") == "F").alias("a"), F.count_if(c("setting") == "O").alias("b"))
     w = Window.partitionBy("grp")
     part = lambda k: c(k) / F.nullif(F.sum(k).over(w), F.lit(0))
     s = n.select("grp", part("a").alias("p"), part("b").alias("q"))
-    return s.groupBy("grp").agg(R(F.sum(F.when(c("p").isNull() | c("q").isNull(), 0.0).otherwise(F.least("p", "q"))), 9).alias("overlap"))
+    range_ = t.where("setting = 'F'").groupBy("grp").agg(F.percentile("angle", 0.05).alias("lo"), F.percentile("angle", 0.95).alias("hi"))
+    inside = t.where("setting = 'O'").join(F.broadcast(range_), "grp").groupBy("grp").agg(R(F.avg(c("angle").between(c("lo"), c("hi")).cast("double")), 9).alias("inside"))
+    return s.groupBy("grp").agg(R(F.sum(F.when(c("p").isNull() | c("q").isNull(), 0.0).otherwise(F.least("p", "q"))), 9).alias("overlap")).join(inside, "grp", "left")
 
 
 @query("agg_field_availability", f"WITH {TURNS}, n AS (SELECT grp, count(*) AS rows, count(nullif(angle, 13)) AS angle, count(nullif(value, 0)) AS value, count(tax) AS tax FROM t GROUP BY 1) SELECT grp, field, n, round(n / rows::DOUBLE, 9) AS share FROM (UNPIVOT n ON angle, value, tax INTO NAME field VALUE n)")
@@ -98,11 +100,12 @@ def agg_field_availability(spark: SparkSession, d: str) -> DataFrame:
     return A.unpivot(n, ["grp", "rows"], ["angle", "value", "tax"], "field", "n").select("grp", "field", "n", R(c("n") / c("rows"), 9).alias("share"))
 
 
-@query("agg_null_profile", f"WITH {TURNS} SELECT 'angle' AS name, count(*) - count(nullif(angle, 13)) AS nulls, min(nullif(angle, 13)) AS lo, max(nullif(angle, 13)) AS hi, count(DISTINCT nullif(angle, 13)) AS n_distinct FROM t UNION ALL SELECT 'tax', count(*) - count(tax), min(tax), max(tax), count(DISTINCT tax) FROM t")
+@query("agg_null_profile", f"WITH {TURNS} SELECT 'angle' AS name, 'double' AS dtype, count(*) - count(nullif(angle, 13)) AS nulls, min(nullif(angle, 13)) AS lo, max(nullif(angle, 13)) AS hi, count(DISTINCT nullif(angle, 13)) AS n_distinct FROM t UNION ALL SELECT 'tax', 'double', count(*) - count(tax), min(tax), max(tax), count(DISTINCT tax) FROM t")
 def agg_null_profile(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d).withColumn("angle", F.nullif("angle", F.lit(13)))
     long = A.unpivot(t.select("angle", "tax"), [], ["angle", "tax"])
-    return long.groupBy("name").agg(F.count_if(c("value").isNull()).alias("nulls"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("n_distinct"))
+    types = F.create_map(*[F.lit(x) for pair in t.select("angle", "tax").dtypes for x in pair])
+    return long.groupBy("name", types[c("name")].alias("dtype")).agg(F.count_if(c("value").isNull()).alias("nulls"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("n_distinct"))
 
 
 @query("agg_cooccurrence", f"WITH {TURNS} SELECT grp, setting, count(*) AS n FROM t GROUP BY 1, 2")
@@ -146,11 +149,13 @@ def agg_track_summary(spark: SparkSession, d: str) -> DataFrame:
     return steps(frames(spark, d)).groupBy("track").agg(R(F.max(c("step") / F.nullif("dt", F.lit(0.0))), 4).alias("max_speed"), R(F.sum("step"), 4).alias("path"), R(F.sqrt(gap("x") + gap("y")), 4).alias("displacement"), R(F.max("h") - F.min("h"), 4).alias("hours"), R(F.percentile("dt", 0.5), 4).alias("median_gap"))
 
 
-@query("agg_circular_mean", f"WITH {TURNS}, m AS (SELECT grp, avg(sin(radians(angle * 3))) AS s, avg(cos(radians(angle * 3))) AS c FROM t GROUP BY 1) SELECT grp, round((degrees(atan2(s, c)) + 360) % 360, 5) AS mean, round(degrees(sqrt(-2 * ln(sqrt(s * s + c * c)))), 5) AS sd FROM m")
+@query("agg_circular_mean", f"WITH {TURNS}, m AS (SELECT grp, avg(sin(radians(angle * 3))) AS s, avg(cos(radians(angle * 3))) AS c FROM t GROUP BY 1), d AS (SELECT grp, (degrees(atan2(s, c)) + 360) % 360 AS mean, degrees(sqrt(-2 * ln(sqrt(s * s + c * c)))) AS sd FROM m) SELECT d.grp, round(any_value(mean), 5) AS mean, round(any_value(sd), 5) AS sd, round(avg(CASE WHEN abs((angle * 3 - mean + 540) % 360 - 180) <= 30 THEN 1.0 ELSE 0 END), 9) AS within_30 FROM d JOIN t ON d.grp = t.grp GROUP BY 1")
 def agg_circular_mean(spark: SparkSession, d: str) -> DataFrame:
     a = F.radians(c("angle") * 3)
     m = turns(spark, d).groupBy("grp").agg(F.avg(F.sin(a)).alias("s"), F.avg(F.cos(a)).alias("c"))
-    return m.select("grp", R(F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)), 5).alias("mean"), R(F.degrees(F.sqrt(-2 * F.log(F.hypot("s", "c")))), 5).alias("sd"))
+    m = m.select("grp", F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)).alias("mean"), F.degrees(F.sqrt(-2 * F.log(F.hypot("s", "c")))).alias("sd"))
+    near = F.abs(X.wrap(c("angle") * 3 - c("mean"))) <= 30
+    return turns(spark, d).join(F.broadcast(m), "grp").groupBy("grp").agg(R(F.first("mean"), 5).alias("mean"), R(F.first("sd"), 5).alias("sd"), R(F.avg(near.cast("double")), 9).alias("within_30"))
 
 
 CELL = "g AS (SELECT *, floor(angle / 10) AS cell FROM t)"
@@ -167,11 +172,15 @@ def agg_weighted_share_grid(spark: SparkSession, d: str) -> DataFrame:
     return n.select("grp", "mode", "cell", "players", R(c("weight") / F.sum("weight").over(Window.partitionBy("grp", "mode")), 9).alias("share"))
 
 
-@query("agg_coverage_ratio", f"WITH {TURNS}, {CELL}, r AS (SELECT cell FROM g WHERE setting = 'F' AND grp = 'A' GROUP BY 1 HAVING avg(value) >= 0.05) SELECT g.grp, round(sum(CASE WHEN r.cell IS NOT NULL THEN price ELSE 0 END) / sum(price), 9) AS coverage FROM g LEFT JOIN r ON g.cell = r.cell WHERE setting = 'O' GROUP BY 1")
+@query("agg_coverage_ratio", f"WITH {TURNS}, {CELL}, r AS (SELECT cell, avg(value) >= 0.05 AS inside, count(*) AS n FROM g WHERE setting = 'F' AND grp = 'A' GROUP BY 1), o AS (SELECT cell, inside, n >= (SELECT avg(n) FROM r) AS observed FROM r) SELECT g.grp, scope, round(sum(CASE WHEN inside AND (scope = 'combined' OR observed = (scope = 'observed')) THEN price ELSE 0 END) / sum(price), 9) AS coverage FROM g LEFT JOIN o ON g.cell = o.cell, (SELECT unnest(['observed', 'extrapolated', 'combined']) AS scope) WHERE setting = 'O' GROUP BY 1, 2")
 def agg_coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
     g = cells(turns(spark, d))
-    region = g.where("setting = 'F' and grp = 'A'").groupBy("cell").agg(F.avg("value").alias("v")).where("v >= 0.05").select("cell", F.lit(True).alias("inside"))
-    return g.where("setting = 'O'").join(region, "cell", "left").groupBy("grp").agg(R(F.sum(F.when(c("inside"), c("price")).otherwise(0.0)) / F.sum("price"), 9).alias("coverage"))
+    region = g.where("setting = 'F' and grp = 'A'").groupBy("cell").agg((F.avg("value") >= 0.05).alias("inside"), F.count("*").alias("n"))
+    region = region.crossJoin(F.broadcast(region.agg(F.avg("n").alias("mean")))).select("cell", "inside", (c("n") >= c("mean")).alias("observed"))  # cells with data enough
+    demand = g.where("setting = 'O'").groupBy("grp", "cell").agg(F.sum("price").alias("price")).join(F.broadcast(region), "cell", "left")
+    scopes = demand.withColumn("scope", F.explode(F.array(*map(F.lit, ("observed", "extrapolated", "combined")))))
+    counts = c("inside") & ((c("scope") == "combined") | (c("observed") == (c("scope") == "observed")))
+    return scopes.groupBy("grp", "scope").agg(R(F.sum(F.when(counts, c("price")).otherwise(0.0)) / F.sum("price"), 9).alias("coverage"))
 
 
 @query("agg_group_rollup_all", f"WITH {TURNS} SELECT grp, coalesce(setting, 'all') AS role, count(*) AS n FROM t GROUP BY GROUPING SETS ((grp, setting), (grp))")
@@ -211,8 +220,16 @@ def agg_bucket_distribution(spark: SparkSession, d: str) -> DataFrame:
     return b.crossJoin(whole).select(F.coalesce("bucket", F.lit("none")).alias("bucket"), "n", R(c("n") / c("evaluated"), 9).alias("of_evaluated"), R(c("n") / c("everything"), 9).alias("of_all"))
 
 
-@query("agg_region_signature")
+@query("agg_region_signature", f"WITH {TURNS}, g AS (SELECT player, CAST(floor(angle / 10) AS BIGINT) AS cell, count(*) FILTER (WHERE value > 0.05) AS s, count(*) AS n FROM t WHERE angle >= 10 GROUP BY 1, 2), p AS (SELECT player, sha256(string_agg(cell || ':' || CAST(round(1e12 * s / n) AS BIGINT), ',' ORDER BY cell)) AS signature FROM g GROUP BY 1) SELECT signature, min(player) AS first_player, count(*) AS players, dense_rank() OVER (ORDER BY signature) AS region FROM p GROUP BY signature")
 def agg_region_signature(spark: SparkSession, d: str) -> DataFrame:
-    g = cells(turns(spark, d).where("angle >= 10")).groupBy("player", "cell").agg(F.round(F.avg((c("value") > 0.05).cast("double")), 1).alias("share"))
-    s = g.groupBy("player").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("cell", "share")))), 256).alias("signature"))
-    return s.groupBy("signature").agg(F.min("player").alias("first_player"), F.count("*").alias("players"))
+    """Players with the same shares, to 12 places, in the same cells; regions are numbered in the order of their
+    signatures: within one of 256 ranges of them, after the numbers of the ranges before."""
+    g = cells(turns(spark, d).where("angle >= 10")).groupBy("player", "cell").agg(F.count_if(c("value") > 0.05).alias("s"), F.count("*").alias("n"))
+    share = F.concat_ws(":", "cell", F.round(1e12 * c("s") / c("n")).cast("long"))
+    s = g.groupBy("player").agg(F.array_sort(F.collect_list(F.struct("cell", share.alias("share")))).alias("grid"))
+    s = s.select("player", F.sha2(F.array_join(F.transform("grid", lambda x: x["share"]), ","), 256).alias("signature"))
+    s = s.groupBy("signature").agg(F.min("player").alias("first_player"), F.count("*").alias("players")).withColumn("range", F.substring("signature", 1, 2))
+    before = s.groupBy("range").agg(F.count("*").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 256 rows at most
+    number = F.row_number().over(Window.partitionBy("range").orderBy("signature"))
+    return s.join(F.broadcast(before), "range").select("signature", "first_player", "players", (c("before") + number).alias("region"))

@@ -46,10 +46,15 @@ def dq_null_tests(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).groupBy(F.nullif("angle", F.lit(13)).isNull().alias("missing")).agg(F.count("*").alias("n"), F.count_if(c("value") == 0).alias("with_zero"), F.count_if(c("tax") > 0.05).alias("with_tax"))
 
 
-@query("dq_inventory", "SELECT 'supplier' AS name, count(*) AS rows, 4 AS columns FROM supplier UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'part', count(*), 6 FROM part")
+@query("dq_inventory", "WITH f AS (SELECT 'supplier' AS name, count(*) AS rows, 4 AS columns FROM supplier UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'part', count(*), 6 FROM part), d AS (SELECT table_name, substr(column_name, 3) AS name, replace(replace(replace(data_type, 'VARCHAR', 'string'), 'INTEGER', 'int'), 'BIGINT', 'bigint') AS type FROM duckdb_columns() WHERE table_name IN ('supplier', 'customer')), s AS (SELECT name, lower(type) AS type FROM d WHERE table_name = 'supplier'), u AS (SELECT name, lower(type) AS type FROM d WHERE table_name = 'customer') SELECT 'file' AS kind, name, rows, columns, NULL AS supplier, NULL AS customer, NULL AS same FROM f UNION ALL SELECT 'column', coalesce(s.name, u.name), NULL, NULL, s.type, u.type, s.type IS NOT DISTINCT FROM u.type FROM s FULL JOIN u ON s.name = u.name")
 def dq_inventory(spark: SparkSession, d: str) -> DataFrame:
     one = lambda n: (lambda t: t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows", F.lit(len(t.columns)).alias("columns")))(read(spark, d, n))
-    return one("supplier").union(one("customer")).union(one("part"))
+    files = one("supplier").union(one("customer")).union(one("part"))
+    columns = lambda n: spark.createDataFrame([(k[2:], t) for k, t in read(spark, d, n).dtypes], f"name string, {n} string")
+    pairs = columns("supplier").join(columns("customer"), "name", "full")
+    none = lambda t: F.lit(None).cast(t)
+    files = files.select(F.lit("file").alias("kind"), "name", "rows", "columns", none("string").alias("supplier"), none("string").alias("customer"), none("boolean").alias("same"))
+    return files.union(pairs.select(F.lit("column"), "name", none("long"), none("int"), "supplier", "customer", F.col("supplier").eqNullSafe(F.col("customer"))))
 
 
 @query("dq_reconcile_counts", f"WITH {TURNS}, a AS (SELECT season, count(*) AS n FROM t GROUP BY 1), b AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n FROM orders GROUP BY 1) SELECT coalesce(a.season, b.season) AS season, a.n AS turns, b.n AS games FROM a FULL JOIN b ON a.season = b.season WHERE a.n IS DISTINCT FROM b.n")
@@ -65,8 +70,10 @@ def dq_truncation_probe(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.sum("rows").alias("rows"), F.count("*").alias("plays"), R(F.avg("players")).alias("players_per_play"), (F.sum("rows") == (1 << 20) - 1).alias("truncated"))
 
 
-@query("dq_gate_table", f"WITH {TURNS}, g AS (SELECT count(*) FILTER (WHERE angle >= 30) / count(*)::DOUBLE AS sharp_share, avg(value) AS mean_value, max(tax) AS max_tax FROM t), l AS (UNPIVOT g ON sharp_share, mean_value, max_tax INTO NAME gate VALUE value) SELECT gate, round(value, 9) AS value, CASE WHEN value >= CASE gate WHEN 'sharp_share' THEN 0.3 WHEN 'mean_value' THEN 0.06 ELSE 0.05 END THEN 'pass' ELSE 'fail' END AS status FROM l")
+@query("dq_gate_table", f"WITH {TURNS}, g AS (SELECT count(*) FILTER (WHERE angle >= 30) / count(*)::DOUBLE AS sharp_share, avg(value) AS mean_value, max(tax) AS max_tax FROM t), l AS (UNPIVOT g ON sharp_share, mean_value, max_tax INTO NAME gate VALUE value), k AS (SELECT gate, value, CASE gate WHEN 'sharp_share' THEN 0.3 WHEN 'mean_value' THEN 0.06 ELSE 0.05 END::DOUBLE AS threshold FROM l) SELECT gate, round(value, 9) AS value, threshold, CASE WHEN value >= threshold THEN 'pass' ELSE 'fail' END AS status, CASE WHEN bool_or(gate = 'sharp_share' AND value < threshold) OVER () THEN 'stop' WHEN bool_or(value < threshold) OVER () THEN 'review' ELSE 'go' END AS verdict FROM k")
 def dq_gate_table(spark: SparkSession, d: str) -> DataFrame:
     g = turns(spark, d).agg(F.avg((c("angle") >= 30).cast("double")).alias("sharp_share"), F.avg("value").alias("mean_value"), F.max("tax").alias("max_tax"))
     limit = F.when(c("gate") == "sharp_share", 0.3).when(c("gate") == "mean_value", 0.06).otherwise(0.05)
-    return unpivot(g, [], ["sharp_share", "mean_value", "max_tax"], "gate", "value").select("gate", R("value", 9).alias("value"), F.when(c("value") >= limit, "pass").otherwise("fail").alias("status"))
+    verdict = F.when(c("sharp_share") < 0.3, "stop").when((c("mean_value") < 0.06) | (c("max_tax") < 0.05), "review").otherwise("go")  # the first that holds
+    gates = unpivot(g.withColumn("verdict", verdict), ["verdict"], ["sharp_share", "mean_value", "max_tax"], "gate", "value")
+    return gates.select("gate", R("value", 9).alias("value"), limit.alias("threshold"), F.when(c("value") >= limit, "pass").otherwise("fail").alias("status"), "verdict")

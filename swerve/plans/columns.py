@@ -100,14 +100,15 @@ def leverage_index(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select(*K, F.round(4 * p * (1 - p), 9).alias("leverage"))
 
 
-@query("field_geometry", """WITH o AS (SELECT o_orderkey, o_orderstatus AS side, nullif(CAST(o_orderkey % 50 AS INTEGER), 0) AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS dir FROM orders)
+@query("field_geometry", """WITH o AS (SELECT o_orderkey, o_orderstatus AS side, nullif(CAST(o_orderkey % 50 AS INTEGER), 0) AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS dir, o_custkey % 120 AS x FROM orders)
  SELECT o_orderkey, CASE WHEN number IS NULL THEN NULL WHEN side = 'F' THEN 10 + number ELSE 110 - number END AS los,
- CASE WHEN number IS NULL THEN NULL WHEN dir = 'right' THEN 110 - CASE WHEN side = 'F' THEN 10 + number ELSE 110 - number END ELSE CASE WHEN side = 'F' THEN 10 + number ELSE 110 - number END - 10 END AS to_goal FROM o""")
+ CASE WHEN number IS NULL THEN NULL WHEN dir = 'right' THEN 110 - CASE WHEN side = 'F' THEN 10 + number ELSE 110 - number END ELSE CASE WHEN side = 'F' THEN 10 + number ELSE 110 - number END - 10 END AS to_goal,
+ CASE WHEN dir = 'right' THEN 1 ELSE -1 END * (x - CASE WHEN side = 'F' THEN 10 + number ELSE 110 - number END) AS depth FROM o""")
 def field_geometry(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("side"), F.nullif((k % 50).cast("int"), F.lit(0)).alias("number"), F.when(k % 2 == 0, "left").otherwise("right").alias("dir"))
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("side"), F.nullif((k % 50).cast("int"), F.lit(0)).alias("number"), F.when(k % 2 == 0, "left").otherwise("right").alias("dir"), (F.col("o_custkey") % 120).alias("x"))
     los = F.when(F.col("side") == "F", 10 + F.col("number")).otherwise(110 - F.col("number"))
-    return o.withColumn("los", los).select("o_orderkey", "los", F.when(F.col("dir") == "right", 110 - F.col("los")).otherwise(F.col("los") - 10).alias("to_goal"))
+    return o.withColumn("los", los).select("o_orderkey", "los", F.when(F.col("dir") == "right", 110 - F.col("los")).otherwise(F.col("los") - 10).alias("to_goal"), (F.when(F.col("dir") == "right", 1).otherwise(-1) * (F.col("x") - F.col("los"))).alias("depth"))
 
 
 @query("score_margin_by_side", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 31 - o_custkey % 29 WHEN o_orderstatus = 'O' THEN o_custkey % 29 - o_orderkey % 31 END AS margin FROM orders")
@@ -116,10 +117,10 @@ def score_margin_by_side(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", F.when(team == "F", h - v).when(team == "O", v - h).alias("margin"))
 
 
-@query("context_rule_mask", "SELECT o_orderkey % 4 = 3 AND abs(o_custkey % 60 - 30) > 16 AS garbage, o_orderkey % 2 = 1 AND o_custkey % 900 < 120 AS late, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("context_rule_mask", "SELECT o_orderkey % 4 = 3 AND abs(o_custkey % 60 - 30) > 16 AS garbage, o_orderkey % 2 = 1 AND o_custkey % 900 < 120 AS late, o_orderkey % 4 >= 2 AND o_custkey % 15 >= 7 AS passing, count(*) AS n FROM orders GROUP BY 1, 2, 3")
 def context_rule_mask(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return read(spark, d, "orders").groupBy(((k % 4 == 3) & (F.abs(c % 60 - 30) > 16)).alias("garbage"), ((k % 2 == 1) & (c % 900 < 120)).alias("late")).agg(F.count("*").alias("n"))
+    return read(spark, d, "orders").groupBy(((k % 4 == 3) & (F.abs(c % 60 - 30) > 16)).alias("garbage"), ((k % 2 == 1) & (c % 900 < 120)).alias("late"), ((k % 4 >= 2) & (c % 15 >= 7)).alias("passing")).agg(F.count("*").alias("n"))
 
 
 @query("survival_row", f"""WITH {TURNS}, s AS (SELECT play, line, player, part, nullif(angle, 13) AS ev, value * 400 AS cens FROM t)

@@ -45,11 +45,11 @@ def stat_icc1(spark: SparkSession, d: str) -> DataFrame:
     return S.icc1(moments(spark, d), ["grp"]).select("grp", R("k0").alias("k0"), "clamped", R("icc").alias("icc"))
 
 
-@query("stat_split_half", f"WITH {TURNS}, {HALF}, p AS (SELECT player, avg(price) FILTER (WHERE odd = 1) AS a, avg(price) FILTER (WHERE odd = 0) AS b FROM half GROUP BY 1) SELECT round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS spearman_brown, count(*) AS players FROM p")
+@query("stat_split_half", f"WITH {TURNS}, {HALF}, p AS (SELECT player, avg(price) FILTER (WHERE odd = 1) AS a, avg(price) FILTER (WHERE odd = 0) AS b, least(count(*) FILTER (WHERE odd = 1), count(*) FILTER (WHERE odd = 0)) AS m FROM half GROUP BY 1 HAVING m >= 3) SELECT round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS spearman_brown, count(*) AS players, min(m) AS least_half FROM p")
 def stat_split_half(spark: SparkSession, d: str) -> DataFrame:
-    p = halves(turns(spark, d)).groupBy("player").agg(F.avg(F.when(c("odd") == 1, c("price"))).alias("a"), F.avg(F.when(c("odd") == 0, c("price"))).alias("b"))
+    p = halves(turns(spark, d)).groupBy("player").agg(F.avg(F.when(c("odd") == 1, c("price"))).alias("a"), F.avg(F.when(c("odd") == 0, c("price"))).alias("b"), F.least(F.count_if(c("odd") == 1), F.count_if(c("odd") == 0)).alias("m")).where("m >= 3")
     r = F.corr("a", "b")
-    return p.agg(R(r).alias("r"), R(2 * r / (1 + r)).alias("spearman_brown"), F.count("*").alias("players"))
+    return p.agg(R(r).alias("r"), R(2 * r / (1 + r)).alias("spearman_brown"), F.count("*").alias("players"), F.min("m").alias("least_half"))
 
 
 @query("stat_season_corr", f"WITH {TURNS}, s AS (SELECT player, season, avg(price) AS mean FROM t GROUP BY 1, 2 HAVING count(*) >= 20) SELECT round(corr(a.mean, b.mean), 6) AS r, count(*) AS n FROM s a JOIN s b ON a.player = b.player AND b.season = a.season + 1")
@@ -66,11 +66,11 @@ def stat_eta_squared(spark: SparkSession, d: str) -> DataFrame:
     return a.select("grp", R(c("ssb") / (c("ssb") + c("ssw"))).alias("eta2"))
 
 
-@query("stat_reliability_of_mean", f"WITH {TURNS}, {MOM}, {ICC}, r AS (SELECT grp, greatest((msb - msw) / (msb + (k0 - 1) * msw), 0) AS rho, msw FROM i) SELECT m.grp, player, round(n * rho / (1 + (n - 1) * rho), 6) AS reliability, round(sqrt(msw / n), 4) AS se FROM m JOIN r ON m.grp = r.grp")
+@query("stat_reliability_of_mean", f"WITH {TURNS}, {MOM}, {ICC}, r AS (SELECT grp, greatest((msb - msw) / (msb + (k0 - 1) * msw), 0) AS rho, msw FROM i) SELECT m.grp, player, round(n * rho / (1 + (n - 1) * rho), 6) AS reliability, round(sqrt(n * rho / (1 + (n - 1) * rho)), 6) AS attenuation, round(sqrt(msw / n), 4) AS se FROM m JOIN r ON m.grp = r.grp")
 def stat_reliability_of_mean(spark: SparkSession, d: str) -> DataFrame:
     m = moments(spark, d)
     j = m.join(F.broadcast(S.icc1(m, ["grp"])), "grp")
-    return j.select("grp", "player", R(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc"))).alias("reliability"), R(F.sqrt(c("msw") / c("n")), 4).alias("se"))
+    return j.select("grp", "player", R(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc"))).alias("reliability"), R(F.sqrt(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc")))).alias("attenuation"), R(F.sqrt(c("msw") / c("n")), 4).alias("se"))
 
 
 @query("stat_adjusted_icc")
@@ -102,19 +102,22 @@ def stat_nested_variance(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(R(F.sum("ssw") / (F.sum(N) - F.sum("k")), 2).alias("within"), R(F.sum("ssg") / (F.sum("k") - F.count("*")), 2).alias("between_plays"), R((F.sum(N * M * M) - F.pow(F.sum(N * M), 2) / F.sum(N)) / (F.count("*") - 1), 2).alias("between_players"))
 
 
-@query("stat_eb_shrinkage", f"WITH {TURNS}, {MOM}, v AS (SELECT grp, sum(ss) / (sum(n) - count(*)) AS s2, sum(n * mean) / sum(n) AS mu, greatest(var_samp(mean) - avg(1.0 / n) * (sum(ss) / (sum(n) - count(*))), 0) AS t2 FROM m GROUP BY 1) SELECT m.grp, player, round(mu + (mean - mu) * t2 / (t2 + s2 / n), 3) AS posterior FROM m JOIN v ON m.grp = v.grp")
+@query("stat_eb_shrinkage", f"WITH {TURNS}, {MOM}, v AS (SELECT grp, sum(ss) / (sum(n) - count(*)) AS s2, sum(n * mean) / sum(n) AS mu, greatest(var_samp(mean) - avg(1.0 / n) * (sum(ss) / (sum(n) - count(*))), 0) AS t2 FROM m GROUP BY 1) SELECT m.grp, player, round(mu + (mean - mu) * t2 / (t2 + s2 / n), 3) AS posterior, round(sqrt(t2 * (s2 / n) / (t2 + s2 / n)), 3) AS sd FROM m JOIN v ON m.grp = v.grp")
 def stat_eb_shrinkage(spark: SparkSession, d: str) -> DataFrame:
     m = moments(spark, d)
     s2 = F.sum("ss") / (F.sum("n") - F.count("*"))
     v = m.groupBy("grp").agg(s2.alias("s2"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("mu"), F.greatest(F.var_samp("mean") - F.avg(1.0 / c("n")) * s2, F.lit(0.0)).alias("t2"))
-    return m.join(F.broadcast(v), "grp").select("grp", "player", R(c("mu") + (c("mean") - c("mu")) * c("t2") / (c("t2") + c("s2") / c("n")), 3).alias("posterior"))
+    return m.join(F.broadcast(v), "grp").select("grp", "player", R(c("mu") + (c("mean") - c("mu")) * c("t2") / (c("t2") + c("s2") / c("n")), 3).alias("posterior"), R(F.sqrt(c("t2") * (c("s2") / c("n")) / (c("t2") + c("s2") / c("n"))), 3).alias("sd"))
 
 
-@query("stat_moment_tau2")
+@query("stat_moment_tau2", f"WITH {TURNS}, p AS (SELECT grp, player, quantile_cont(price, 0.9) AS q, (quantile_cont(price, 0.95) - quantile_cont(price, 0.85)) / 0.1 AS slope, count(*) AS n FROM t GROUP BY 1, 2), a AS (SELECT grp, var_samp(q) AS v, avg(0.9 * 0.1 / n * slope * slope) AS noise FROM p GROUP BY 1) SELECT grp, round(greatest(v - noise, 0), 1) AS tau2, round(noise, 1) AS noise, CASE WHEN v > noise THEN 'positive' ELSE 'zero' END AS status FROM a")
 def stat_moment_tau2(spark: SparkSession, d: str) -> DataFrame:
-    p = turns(spark, d).groupBy("grp", "player").agg(F.percentile("price", 0.9).alias("q"), F.stddev_samp("price").alias("sd"), F.count("*").alias("n"))
-    a = p.groupBy("grp").agg((F.var_samp("q") - F.avg(F.pow("sd", F.lit(2)) / c("n") * (0.9 * 0.1 / 0.0308))).alias("raw"))
-    return a.select("grp", R(F.greatest("raw", F.lit(0.0)), 2).alias("tau2"), F.when(c("raw") > 0, "positive").otherwise("zero").alias("status"))
+    """Variance of the players' quantiles beyond their own errors: a quantile's is q (1 - q) / n over the
+    squared density, which the quantiles beside it give."""
+    p = turns(spark, d).groupBy("grp", "player").agg(F.percentile("price", F.array(*map(F.lit, (0.85, 0.9, 0.95)))).alias("q"), F.count("*").alias("n"))
+    slope = (c("q")[2] - c("q")[0]) / 0.1
+    a = p.groupBy("grp").agg(F.var_samp(c("q")[1]).alias("v"), F.avg(0.9 * 0.1 / c("n") * slope * slope).alias("noise"))
+    return a.select("grp", R(F.greatest(c("v") - c("noise"), F.lit(0.0)), 1).alias("tau2"), R("noise", 1).alias("noise"), F.when(c("v") > c("noise"), "positive").otherwise("zero").alias("status"))
 
 
 def boot(spark: SparkSession, d: str) -> DataFrame:
@@ -190,13 +193,15 @@ def stat_wild_cluster(spark: SparkSession, d: str) -> DataFrame:
     return table_of(spark, [("value", round(b, 6), round(float((np.abs(null_betas) >= abs(b)).mean()), 6), len(sums))], "term string, estimate double, p double, reps long")
 
 
-@query("stat_identified_set")
+@query("stat_identified_set", f"WITH {TURNS}, e AS (SELECT play, avg(value) AS x, min(price) AS lo, max(price) AS hi, arg_min(price, (line, player, part)) AS first, arg_min(price, md5('{SEED}:' || play || ':' || line || ':' || player || ':' || part)) AS drawn FROM t GROUP BY 1), m AS (SELECT avg(x) AS mx, var_pop(x) AS vx, count(*) AS n FROM e), w AS (SELECT *, (x - mx) / (vx * n) AS w FROM e, m) SELECT round(sum(least(w * lo, w * hi)), 3) AS least, round(sum(greatest(w * lo, w * hi)), 3) AS largest, round(sum(w * first), 3) AS first, round(sum(w * drawn), 3) AS random FROM w")
 def stat_identified_set(spark: SparkSession, d: str) -> DataFrame:
-    """Least and largest slope on value over all choices of one outcome among each play's."""
-    e = turns(spark, d).groupBy("play").agg(F.avg("value").alias("x"), F.min("price").alias("lo"), F.max("price").alias("hi"))
+    """Least and largest slope on value over all choices of one outcome among each play's; the slopes of the
+    pairing with the first line and of one drawn by a hash."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(SEED)), "play", "line", "player", "part"))
+    e = turns(spark, d).groupBy("play").agg(F.avg("value").alias("x"), F.min("price").alias("lo"), F.max("price").alias("hi"), F.min_by("price", F.struct("line", "player", "part")).alias("first"), F.min_by("price", drawn).alias("drawn"))
     m = e.agg(F.avg("x").alias("mx"), F.var_pop("x").alias("vx"), F.count("*").alias("n"))
     w = e.crossJoin(F.broadcast(m)).withColumn("w", (c("x") - c("mx")) / (c("vx") * c("n")))
-    return w.agg(R(F.sum(F.least(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("least"), R(F.sum(F.greatest(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("largest"))
+    return w.agg(R(F.sum(F.least(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("least"), R(F.sum(F.greatest(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("largest"), R(F.sum(c("w") * c("first")), 3).alias("first"), R(F.sum(c("w") * c("drawn")), 3).alias("random"))
 
 
 def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFrame:
@@ -220,13 +225,21 @@ def stat_quantile_regression(spark: SparkSession, d: str) -> DataFrame:
     return table_of(spark, [("intercept", round(float(b[0]), 2)), ("angle", round(float(b[1]), 3))], "term string, estimate double")
 
 
-@query("stat_feasible_region")
+@query("stat_feasible_region", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy FROM t GROUP BY 1), k AS (SELECT *, -ln(greatest(CAST('0x' || substr(md5(rep || ':' || player), 1, 13) AS BIGINT) / 4503599627370496.0, 1e-12)) AS w FROM m, (SELECT unnest(range(0, 200)) AS rep)), s AS (SELECT rep, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * sxy) AS sxy FROM k GROUP BY 1), b AS (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, sx, sy, n FROM s), c AS (SELECT unnest([5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0])::DOUBLE AS cell), o AS (SELECT cell, EXISTS (SELECT 1 FROM t WHERE angle >= cell - 5 AND angle < cell + 5) AS observed FROM c) SELECT o.cell, observed, round(avg(CASE WHEN (sy - b1 * sx) / n + b1 * o.cell >= 34000 THEN 1.0 ELSE 0 END), 6) AS feasible, count(*) AS reps FROM b, o GROUP BY 1, 2")
 def stat_feasible_region(spark: SparkSession, d: str) -> DataFrame:
-    m = S.gram(turns(spark, d), ["angle"], "price", ["player"])
+    """Share of replicates (players weighted anew) whose line reaches the tolerance in a cell, and whether any
+    turn was seen there."""
+    t, grid = turns(spark, d), [5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0]
+    m = S.gram(t, ["angle"], "price", ["player"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "player")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    m = m.withColumn("w", -F.log(F.greatest(uniform, F.lit(1e-12))))
+    s = m.groupBy("rep").agg(*[F.sum(c("w") * c(k)).alias(k) for k in ("g0_0", "g0_1", "g0_2", "g1_1", "g1_2")])
     n, sx, sy, sxx, sxy = (c(k) for k in ("g0_0", "g0_1", "g0_2", "g1_1", "g1_2"))
     b1 = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    f = m.select("player", b1.alias("b1"), ((sy - b1 * sx) / n).alias("b0")).withColumn("cell", F.explode(F.array(*[F.lit(5.0 + 10 * k) for k in range(5)])))
-    return f.groupBy("cell").agg(R(F.avg((c("b0") + c("b1") * c("cell") >= 20000).cast("double"))).alias("feasible"), F.count("*").alias("players"))
+    f = s.select(b1.alias("b1"), ((sy - b1 * sx) / n).alias("b0")).withColumn("cell", F.explode(F.array(*map(F.lit, grid))))
+    seen = t.agg(*[F.max((c("angle") >= x - 5) & (c("angle") < x + 5)).alias(f"c{k}") for k, x in enumerate(grid)])
+    seen = seen.select(F.explode(F.array(*[F.struct(F.lit(x).alias("cell"), c(f"c{k}").alias("observed")) for k, x in enumerate(grid)])).alias("o")).select("o.*")
+    return f.join(F.broadcast(seen), "cell").groupBy("cell", "observed").agg(R(F.avg((c("b0") + c("b1") * c("cell") >= 34000).cast("double"))).alias("feasible"), F.count("*").alias("reps"))
 
 
 @query("stat_heldout_loss")
@@ -306,7 +319,7 @@ def stat_dose_bins(spark: SparkSession, d: str) -> DataFrame:
     return coefficients(spark, S.ols(t, names, "price", "player"))
 
 
-@query("stat_leave_one_out")
+@query("stat_leave_one_out", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy FROM t GROUP BY 1), o AS (SELECT sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM m), b AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM o) SELECT count(*) AS players, round(min(b), 6) AS least, round(max(b), 6) AS largest FROM b")
 def stat_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     m = S.gram(turns(spark, d), ["angle"], "price", ["player"])
     ks = [k for k in m.columns if k != "player"]
@@ -316,7 +329,7 @@ def stat_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return w.agg(F.count("*").alias("players"), R(F.min(slope), 6).alias("least"), R(F.max(slope), 6).alias("largest"))
 
 
-@query("stat_spec_grid")
+@query("stat_spec_grid", f"WITH {TURNS}, s AS (SELECT 'all' AS spec, * FROM t UNION ALL SELECT 'angle10', * FROM t WHERE angle >= 10 UNION ALL SELECT 'angle25', * FROM t WHERE angle >= 25 UNION ALL SELECT 'taxed', * FROM t WHERE tax >= 0.04 UNION ALL SELECT 'setting_f', * FROM t WHERE setting = 'F') SELECT spec, count(*) AS n, round(regr_slope(price, value), 4) AS slope FROM s GROUP BY 1")
 def stat_spec_grid(spark: SparkSession, d: str) -> DataFrame:
     specs = F.array_compact(F.array(F.lit("all"), F.when(c("angle") >= 10, "angle10"), F.when(c("angle") >= 25, "angle25"), F.when(c("tax") >= 0.04, "taxed"), F.when(c("setting") == "F", "setting_f")))
     m = S.gram(turns(spark, d).withColumn("spec", F.explode(specs)), ["value"], "price", ["spec"])
@@ -343,7 +356,7 @@ def stat_placebo_outcome(spark: SparkSession, d: str) -> DataFrame:
     return coefficients(spark, S.ols(turns(spark, d).withColumn("placebo", (c("part") % 97).cast("double")), X, "placebo", "player"))
 
 
-@query("stat_effective_n", f"WITH {TURNS}, r AS (SELECT grp, player, count(*) AS r FROM t GROUP BY 1, 2) SELECT grp, round(power(sum(r), 2) / sum(r * r), 6) AS effective FROM r GROUP BY 1")
+@query("stat_effective_n", f"WITH {TURNS}, r AS (SELECT grp, player, count(*) AS r FROM t GROUP BY 1, 2), {MOM}, a AS (SELECT grp, sum(n) AS n, sum(n * mean) AS nm, sum(n * mean * mean) AS nm2, sum(ss) AS ssw FROM m GROUP BY 1) SELECT r.grp, round(power(sum(r), 2) / sum(r * r), 6) AS effective, round(any_value((nm2 - nm * nm / n) / (nm2 - nm * nm / n + ssw)), 6) AS variance_share FROM r JOIN a ON r.grp = a.grp GROUP BY 1")
 def stat_effective_n(spark: SparkSession, d: str) -> DataFrame:
     r = turns(spark, d).groupBy("grp", "player").agg(F.count("*").alias("r"))
-    return r.groupBy("grp").agg(R(F.pow(F.sum("r"), 2) / F.sum(c("r") * c("r"))).alias("effective"))
+    return r.groupBy("grp").agg(R(F.pow(F.sum("r"), 2) / F.sum(c("r") * c("r"))).alias("effective")).join(stat_eta_squared(spark, d).withColumnRenamed("eta2", "variance_share"), "grp")

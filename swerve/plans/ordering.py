@@ -94,9 +94,10 @@ def win_demean(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select(*K, R(c("price") - F.avg("price").over(Window.partitionBy("player")), 4).alias("rest"))
 
 
-@query("win_ntile_bins", f"WITH {TURNS} SELECT play, line, player, part, CAST(ntile(4) OVER (PARTITION BY player ORDER BY price, play, line, part) AS INTEGER) AS bin FROM t")
+@query("win_ntile_bins", f"WITH {TURNS} SELECT play, line, player, part, CASE WHEN count(*) OVER (PARTITION BY player) < 8 THEN 1 ELSE CAST(ntile(4) OVER (PARTITION BY player ORDER BY price, play, line, part) AS INTEGER) END AS bin FROM t")
 def win_ntile_bins(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select(*K, F.ntile(4).over(Window.partitionBy("player").orderBy("price", "play", "line", "part")).alias("bin"))
+    n = F.count("*").over(Window.partitionBy("player"))  # too few rows for four bins are one
+    return turns(spark, d).select(*K, F.when(n < 8, 1).otherwise(F.ntile(4).over(Window.partitionBy("player").orderBy("price", "play", "line", "part"))).alias("bin"))
 
 
 HALF = "half AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY shipped, play, line, part) % 2 AS odd FROM t)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swerve.functions import columns as X
 from swerve.operators import tracks as T
-from swerve.sources.tables import FRAMES, frames
+from swerve.sources.tables import FRAMES, frames, read
 
 from .aggregating import STEP, R, steps
 from .ordering import in_track, W
@@ -35,11 +37,13 @@ def ts_gap_fill_linear(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("track").agg(F.count("*").alias("n"), F.count_if("inserted").alias("inserted"), F.sum("n_long").alias("long_gaps"), R(F.sum("x"), 4).alias("total"))
 
 
-@query("ts_smooth_savgol", f"WITH {FRAMES}, s AS (SELECT track, id, row_number() OVER w AS i, count(*) OVER (PARTITION BY track) AS n, (-3 * lag(x, 2) OVER w + 12 * lag(x) OVER w + 17 * x + 12 * lead(x) OVER w - 3 * lead(x, 2) OVER w) / 35 AS smooth FROM e {W}) SELECT track, id, round(smooth, 5) AS smooth FROM s WHERE i > 2 AND i <= n - 2")
+# the weights of a parabola through five even points, at each of its places
+SAVGOL = "(CASE WHEN i = 1 THEN 31 * x + 9 * lead(x, 1) OVER w + -3 * lead(x, 2) OVER w + -5 * lead(x, 3) OVER w + 3 * lead(x, 4) OVER w WHEN i = 2 THEN 9 * lag(x, 1) OVER w + 13 * x + 12 * lead(x, 1) OVER w + 6 * lead(x, 2) OVER w + -5 * lead(x, 3) OVER w WHEN i = n THEN 31 * x + 9 * lag(x, 1) OVER w + -3 * lag(x, 2) OVER w + -5 * lag(x, 3) OVER w + 3 * lag(x, 4) OVER w WHEN i = n - 1 THEN 9 * lead(x, 1) OVER w + 13 * x + 12 * lag(x, 1) OVER w + 6 * lag(x, 2) OVER w + -5 * lag(x, 3) OVER w ELSE -3 * lag(x, 2) OVER w + 12 * lag(x, 1) OVER w + 17 * x + 12 * lead(x, 1) OVER w + -3 * lead(x, 2) OVER w END) / 35"
+
+
+@query("ts_smooth_savgol", f"WITH {FRAMES}, s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY track) AS n FROM e {W}) SELECT track, id, round({SAVGOL}, 5) AS smooth FROM s {W}")
 def ts_smooth_savgol(spark: SparkSession, d: str) -> DataFrame:
-    i, n = F.row_number().over(in_track()), F.count("*").over(Window.partitionBy("track"))
-    s = T.savgol(frames(spark, d), ["track"], ["us", "id"], "x", 5, 2).withColumn("i", i).withColumn("n", n)
-    return s.where("i > 2 and i <= n - 2").select("track", "id", R("smooth", 5).alias("smooth"))
+    return T.savgol(frames(spark, d), ["track"], ["us", "id"], "x", 5, 2).select("track", "id", R("smooth", 5).alias("smooth"))
 
 
 @query("ts_smooth_kalman")
@@ -90,9 +94,12 @@ def ts_speed_qc_despike(spark: SparkSession, d: str) -> DataFrame:
     return T.despike(one(spark, d), ["track"], "h", "x", "y", 20.0).groupBy("track").agg(F.count("*").alias("kept"))
 
 
-@query("ts_peak_effort", f"WITH {HEAD} SELECT track, round(coalesce(max(speed) FILTER (WHERE speed <= 200), 0), 3) AS peak_speed FROM hd GROUP BY 1")
+@query("ts_peak_effort", f"WITH {HEAD}, a AS (SELECT track, speed, {grad_sql('speed')} AS acc FROM hd {W}), p AS (SELECT track, max(speed) AS s, max(abs(acc)) AS a FROM a WHERE speed <= 200 GROUP BY 1) SELECT c_custkey AS player, c_mktsegment AS position, round(coalesce(s, 0), 3) AS peak_speed, round(coalesce(a, 0), 3) AS peak_acceleration FROM customer LEFT JOIN p ON c_custkey = track")
 def ts_peak_effort(spark: SparkSession, d: str) -> DataFrame:
-    return headed(spark, d).groupBy("track").agg(R(F.coalesce(F.max(F.when(c("speed") <= 200, c("speed"))), F.lit(0.0)), 3).alias("peak_speed"))
+    a = headed(spark, d).withColumn("acc", T.gradient(c("speed"), c("h"), in_track())).where("speed <= 200")
+    p = a.groupBy("track").agg(F.max("speed").alias("s"), F.max(F.abs("acc")).alias("a"))
+    zero = lambda v: R(F.coalesce(v, F.lit(0.0)), 3)
+    return read(spark, d, "customer").join(p, c("c_custkey") == c("track"), "left").select(c("c_custkey").alias("player"), c("c_mktsegment").alias("position"), zero("s").alias("peak_speed"), zero("a").alias("peak_acceleration"))
 
 
 @query("ts_cut_features", f"WITH {HEAD}, {UNWRAP}, k AS (SELECT track, arg_max(us, (round(abs(dh), 6), -us)) AS cut FROM u GROUP BY 1) SELECT u.track, cut, round(max(speed) FILTER (WHERE us < cut), 3) AS entry, round(min(speed) FILTER (WHERE us > cut), 3) AS exit FROM u JOIN k ON u.track = k.track GROUP BY 1, 2")
@@ -110,9 +117,14 @@ def pathed(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("path", F.sum(F.coalesce("step", F.lit(0.0))).over(in_track()))
 
 
-@query("ts_straight_features", f"WITH {PATH} SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10 FROM pa GROUP BY 1")
+@query("ts_straight_features", f"WITH {PATH}, v AS (SELECT *, (path - lag(path) OVER w) / (r - lag(r) OVER w) AS v FROM pa {W}) SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10, round(max(v) FILTER (WHERE r <= 24), 3) AS fastest1, round(arg_max(v, (us, id)) FILTER (WHERE r <= 240 AND v IS NOT NULL), 3) AS speed10 FROM v GROUP BY 1")
 def ts_straight_features(spark: SparkSession, d: str) -> DataFrame:
-    return pathed(spark, d).groupBy("track").agg(R(F.max(F.when(c("r") <= 24, c("path"))), 4).alias("day1"), R(F.max(F.when(c("r") <= 240, c("path"))), 4).alias("day10"))
+    """Distance run by fixed times, the fastest step until the first and the step under way at the second."""
+    w = in_track()
+    p = pathed(spark, d).withColumn("v", (c("path") - F.lag("path").over(w)) / (c("r") - F.lag("r").over(w)))
+    until = lambda k, v: F.when(c("r") <= k, c(v))
+    last = F.max_by(until(240, "v"), F.when((c("r") <= 240) & c("v").isNotNull(), F.struct("us", "id")))
+    return p.groupBy("track").agg(R(F.max(until(24, "path")), 4).alias("day1"), R(F.max(until(240, "path")), 4).alias("day10"), R(F.max(until(24, "v")), 3).alias("fastest1"), R(last, 3).alias("speed10"))
 
 
 @query("ts_crossing_time", f"WITH {PATH}, b AS (SELECT *, lag(r) OVER w AS pr, lag(path) OVER w AS pp FROM pa {W}) SELECT track, round(pr + (r - pr) * (500 - pp) / (path - pp), 4) AS crossed_at, CASE WHEN r - pr > 24 THEN 'too_long' ELSE 'bridged' END AS policy FROM b WHERE path >= 500 AND pp < 500")
@@ -121,10 +133,15 @@ def ts_crossing_time(spark: SparkSession, d: str) -> DataFrame:
     return x.select("track", R("crossed_at", 4).alias("crossed_at"), "policy")
 
 
-@query("ts_travel_axis", f"WITH {FRAMES}, m AS (SELECT track, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM e GROUP BY 1) SELECT track, round(degrees(0.5 * atan2(2 * sxy, sxx - syy)), 4) AS axis FROM m")
+@query("ts_travel_axis", f"WITH {FRAMES}, m AS (SELECT track, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a, arg_max(x, (us, id)) - arg_min(x, (us, id)) AS dx, arg_max(y, (us, id)) - arg_min(y, (us, id)) AS dy FROM e GROUP BY 1), o AS (SELECT track, CASE WHEN dx * cos(a) + dy * sin(a) < 0 THEN a + pi() ELSE a END AS a, abs(dx * cos(a) + dy * sin(a)) AS along FROM m) SELECT o.track, round(degrees(any_value(a)), 4) AS axis, round(any_value(along), 4) AS along, round(max(x * cos(a) + y * sin(a)) - min(x * cos(a) + y * sin(a)), 4) AS extent FROM e JOIN o ON e.track = o.track GROUP BY 1")
 def ts_travel_axis(spark: SparkSession, d: str) -> DataFrame:
-    m = frames(spark, d).groupBy("track").agg(F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
-    return m.select("track", R(F.degrees(0.5 * F.atan2(2 * c("sxy"), c("sxx") - c("syy"))), 4).alias("axis"))
+    """Principal axis of a track, turned the way its end lies; end displacement and extent along it."""
+    e, order = frames(spark, d), F.struct("us", "id")
+    m = e.groupBy("track").agg((0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("a"), *[(F.max_by(v, order) - F.min_by(v, order)).alias(f"d{v}") for v in ("x", "y")])
+    ahead = c("dx") * F.cos("a") + c("dy") * F.sin("a")
+    o = m.select("track", F.when(ahead < 0, c("a") + math.pi).otherwise(c("a")).alias("a"), F.abs(ahead).alias("along"))
+    on = c("x") * F.cos("a") + c("y") * F.sin("a")
+    return e.join(o, "track").groupBy("track").agg(R(F.degrees(F.first("a")), 4).alias("axis"), R(F.first("along"), 4).alias("along"), R(F.max(on) - F.min(on), 4).alias("extent"))
 
 
 @query("ts_power_integral", f"WITH {HEAD}, p AS (SELECT track, greatest(x * speed, 0) AS a, greatest(lead(x * speed) OVER w, 0) AS b, lead(h) OVER w - h AS dt FROM hd {W}) SELECT track, round(sum(CASE WHEN dt <= 12 THEN (a + b) / 2 * dt ELSE 0 END), 2) AS work FROM p GROUP BY 1")
@@ -179,11 +196,13 @@ def ts_orientation_divergence(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d).groupBy("label").agg(R(F.avg((F.abs(X.wrap(c("x") * 7.2 - c("heading"))) > 60).cast("double"))).alias("share"))
 
 
-@query("ts_heading_break", f"WITH {HEAD}, {UNWRAP}, t AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r, abs(dh) + coalesce(abs(lead(dh) OVER w), 0) AS near, lead(h) OVER w - h AS gap FROM u {W}) SELECT track, min(us) AS broke_at FROM t WHERE r >= 24 AND near >= 120 AND gap <= 24 GROUP BY 1")
+@query("ts_heading_break", f"WITH {HEAD}, {UNWRAP}, t AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r, abs(dh) + coalesce(abs(lead(dh) OVER w), 0) AS near, lead(h) OVER w - h AS gap, x - first_value(x) OVER w AS depth FROM u {W}) SELECT track, min(us) AS broke_at, round(arg_min(r, (us, id)), 6) AS after, round(arg_min(depth, (us, id)), 4) AS depth FROM t WHERE r >= 24 AND near >= 120 AND gap <= 24 GROUP BY 1")
 def ts_heading_break(spark: SparkSession, d: str) -> DataFrame:
     t = turned(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track")))
     t = t.withColumn("near", F.abs("dh") + F.coalesce(F.abs(F.lead("dh").over(in_track())), F.lit(0.0))).withColumn("gap", F.lead("h").over(in_track()) - c("h"))
-    return t.where("r >= 24 and near >= 120 and gap <= 24").groupBy("track").agg(F.min("us").alias("broke_at"))
+    t = t.withColumn("depth", c("x") - F.first("x").over(in_track()))
+    at = F.struct("us", "id")
+    return t.where("r >= 24 and near >= 120 and gap <= 24").groupBy("track").agg(F.min("us").alias("broke_at"), R(F.min_by("r", at)).alias("after"), R(F.min_by("depth", at), 4).alias("depth"))
 
 
 @query("ts_get_off_probe", f"WITH {HEAD}, s AS (SELECT track, min(us) AS snap FROM e WHERE label = (SELECT min(label) FROM e) GROUP BY 1), f AS (SELECT hd.track, min(us - snap) AS off FROM hd JOIN s ON hd.track = s.track WHERE us >= snap AND speed > 5 GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN off <= 3600000000 * 6 THEN 1.0 ELSE 0 END), 6) AS share FROM f")

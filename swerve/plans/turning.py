@@ -55,10 +55,10 @@ def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("track", "hit", *[R(k, 3).alias(k) for k in ("entry", "slowest", "exit", "angle", "retention", "apex_retention", "radius", "residual", "lateral")], "regain", "valid")
 
 
-CIRCLE = "g AS (SELECT tr.track, tr.i AS hit, r.x, r.y FROM tr JOIN r ON r.track = tr.track AND r.i BETWEEN tr.i AND tr.i + 6 WHERE score >= 60 AND top >= 2), k AS (SELECT track, hit, x - avg(x) OVER h AS u, y - avg(y) OVER h AS v FROM g WINDOW h AS (PARTITION BY track, hit)), z AS (SELECT track, hit, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM k GROUP BY 1, 2), q AS (SELECT *, uu*vv - uv*uv AS det FROM z), o2 AS (SELECT track, hit, n, uu, vv, CASE WHEN abs(det) > 1e-9 THEN ((uuu+uvv)/2*vv - (vvv+vuu)/2*uv) / det END AS cu, CASE WHEN abs(det) > 1e-9 THEN ((vvv+vuu)/2*uu - (uuu+uvv)/2*uv) / det END AS cv FROM q), c2 AS (SELECT *, sqrt(cu * cu + cv * cv + (uu + vv) / n) AS radius FROM o2)"
+CIRCLE = "cg AS (SELECT tr.track, tr.i AS hit, r.x, r.y FROM tr JOIN r ON r.track = tr.track AND r.i BETWEEN tr.i AND tr.i + 6 WHERE score >= 60 AND top >= 2), ck AS (SELECT track, hit, x - avg(x) OVER h AS u, y - avg(y) OVER h AS v FROM cg WINDOW h AS (PARTITION BY track, hit)), cz AS (SELECT track, hit, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM ck GROUP BY 1, 2), cq AS (SELECT *, uu*vv - uv*uv AS det FROM cz), co AS (SELECT track, hit, n, uu, vv, CASE WHEN abs(det) > 1e-9 THEN ((uuu+uvv)/2*vv - (vvv+vuu)/2*uv) / det END AS cu, CASE WHEN abs(det) > 1e-9 THEN ((vvv+vuu)/2*uu - (uuu+uvv)/2*uv) / det END AS cv FROM cq), c2 AS (SELECT *, sqrt(cu * cu + cv * cv + (uu + vv) / n) AS radius FROM co)"
 
 
-@query("turn_circle_fit", f"WITH {RUN}, {TRIG}, {CIRCLE} SELECT c2.track, c2.hit::BIGINT AS hit, round(CASE WHEN radius < 1000 THEN radius END, 3) AS radius, round(CASE WHEN radius < 1000 THEN sqrt(avg(power(sqrt(power(u - cu, 2) + power(v - cv, 2)) - radius, 2))) END, 3) AS residual FROM c2 JOIN k ON k.track = c2.track AND k.hit = c2.hit GROUP BY c2.track, c2.hit, radius")
+@query("turn_circle_fit", f"WITH {RUN}, {TRIG}, {CIRCLE} SELECT c2.track, c2.hit::BIGINT AS hit, round(CASE WHEN radius < 1000 THEN radius END, 3) AS radius, round(CASE WHEN radius < 1000 THEN sqrt(avg(power(sqrt(power(u - cu, 2) + power(v - cv, 2)) - radius, 2))) END, 3) AS residual FROM c2 JOIN ck ON ck.track = c2.track AND ck.hit = c2.hit GROUP BY c2.track, c2.hit, radius")
 def turn_circle_fit(spark: SparkSession, d: str) -> DataFrame:
     """The circle through the seven frames from each trigger on; none where it is nearly a line."""
     r = running(spark, d)
