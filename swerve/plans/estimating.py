@@ -35,9 +35,37 @@ def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def coefficients(spark: SparkSession, fit: dict) -> DataFrame:
-    rows = [(n, round(float(b), 6), round(float(s), 6), fit["n"], round(float(fit["r2"]), 9)) for n, b, s in zip(fit["names"], fit["beta"], fit["se"], strict=True)]
-    return table_of(spark, rows, "term string, estimate double, se double, n long, r2 double")
+def coefficients(spark: SparkSession, fit: dict, model: str = "ols", skip: tuple[str, ...] = ()) -> DataFrame:
+    rows = [(model, n, *(round(float(v), 3) for v in (b, e, m)), fit["n"], round(float(fit["r2"]), 6)) for n, b, e, m in zip(fit["names"], fit["beta"], fit["se"], fit["mde"], strict=True) if n not in skip]
+    return table_of(spark, rows, "model string, term string, estimate double, se double, mde double, n long, r2 double")
+
+
+def fit_sql(rows: str, xs: dict[str, str], y: str, one: str = "1.0") -> str:
+    """CTEs of a least squares fit over rows: rest has the columns of rows, r0, r1, ... (what the others leave
+    of each regressor, the constant first) and e, the residual. Coefficients are sum(r y) / sum(r r)."""
+    p = len(xs) + 1
+    ctes = [f"d0 AS (SELECT *, ({one})::DOUBLE AS z0, {', '.join(f'({x})::DOUBLE AS z{k}' for k, x in enumerate(xs.values(), 1))}, ({y})::DOUBLE AS y FROM {rows})"]
+    off = lambda z, us: z + "".join(f" - sum({z} * {u}) OVER () / sum({u} * {u}) OVER () * {u}" for u in us)
+    name = lambda k, j: f"z{[i for i in range(p) if i != k][0]}" if j == 0 else f"u{k}_{j}"
+    for j in range(1, p):
+        cols = []
+        for k in range(p):
+            others = [i for i in range(p) if i != k]
+            done = [name(k, i) for i in range(j)]
+            cols.append(f"{off(f'z{k}', done)} AS r{k}" if j == p - 1 else f"{off(f'z{others[j]}', done)} AS u{k}_{j}")
+        ctes.append(f"d{j} AS (SELECT *, {', '.join(cols)} FROM d{j - 1})")
+    fitted = " + ".join(f"sum(r{k} * y) OVER () / sum(r{k} * r{k}) OVER () * z{k}" for k in range(p))
+    return ", ".join([*ctes, f"rest AS (SELECT *, y - ({fitted}) AS e FROM d{p - 1})"])
+
+
+def ols_sql(model: str, rows: str, xs: dict[str, str], y: str, cluster: str | None = None, one: str = "1.0", skip: tuple[str, ...] = (), before: str = TURNS) -> str:
+    p, names = len(xs) + 1, ["intercept", *xs]
+    ks = [k for k in range(p) if names[k] not in skip]
+    whole = ", ".join(f"sum(r{k} * y) / sum(r{k} * r{k}) AS b{k}, sum(r{k} * r{k}) AS q{k}" + ("" if cluster else f", sum(r{k} * r{k} * e * e) AS v{k}") for k in range(p))
+    factor = f"groups / (groups - 1.0) * (n - 1.0) / (n - {p})" if cluster else f"n / (n - {p}.0)"
+    meat = f"k AS (SELECT {', '.join(f'sum(s * s) FILTER (WHERE k = {k}) AS v{k}' for k in range(p))}, count(DISTINCT g) AS groups FROM ({' UNION ALL '.join(f'SELECT {cluster} AS g, {k} AS k, sum(r{k} * e) AS s FROM rest GROUP BY 1' for k in range(p))})), " if cluster else ""
+    each = " UNION ALL ".join(f"SELECT '{model}' AS model, '{names[k]}' AS term, round(b{k}, 3) AS estimate, round(sqrt({factor} * v{k}) / q{k}, 3) AS se, round({S.DETECTABLE} * sqrt({factor} * v{k}) / q{k}, 3) AS mde, n, round(r2, 6) AS r2 FROM {'a, k' if cluster else 'a'}" for k in ks)
+    return f"WITH {before}, {fit_sql(rows, xs, y, one)}, a AS (SELECT count(*) AS n, 1 - sum(e * e) / (sum(y * y) - power(sum(z0 * y), 2) / sum(z0 * z0)) AS r2, {whole} FROM rest), {meat}z AS ({each}) SELECT * FROM z"
 
 
 @query("stat_icc1", f"WITH {TURNS}, {MOM}, {ICC} SELECT grp, round(k0, 6) AS k0, (msb - msw) / (msb + (k0 - 1) * msw) < 0 AS clamped, round(greatest((msb - msw) / (msb + (k0 - 1) * msw), 0), 6) AS icc FROM i")
@@ -73,7 +101,7 @@ def stat_reliability_of_mean(spark: SparkSession, d: str) -> DataFrame:
     return j.select("grp", "player", R(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc"))).alias("reliability"), R(F.sqrt(c("n") * c("icc") / (1 + (c("n") - 1) * c("icc")))).alias("attenuation"), R(F.sqrt(c("msw") / c("n")), 4).alias("se"))
 
 
-@query("stat_adjusted_icc")
+@query("stat_adjusted_icc", f"WITH {TURNS}, {fit_sql('t', {'a': 'angle', 'a2': 'angle * angle', 'v': 'value', 'v2': 'value * value'}, 'price')}, m AS (SELECT grp, player, count(*) AS n, avg(e) AS mean, var_pop(e) * count(*) AS ss FROM rest GROUP BY 1, 2), {ICC} SELECT grp, round(greatest((msb - msw) / (msb + (k0 - 1) * msw), 0), 6) AS icc, round(msw, 2) AS msw FROM i")
 def stat_adjusted_icc(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d).withColumn("angle2", c("angle") * c("angle")).withColumn("value2", c("value") * c("value"))
     xs = ["angle", "angle2", "value", "value2"]
@@ -166,16 +194,24 @@ def stat_block_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 
 X = ["angle", "value", "tax"]
+OLS = {x: x for x in X} | {"setting_f": "CASE WHEN setting = 'F' THEN 1 ELSE 0 END"}
+ROOT = "sqrt(1 + 10 * tax)"
+MEANS = "f AS (SELECT player, " + ", ".join(f"{k} - avg({k}) OVER (PARTITION BY player) AS {k}" for k in [*X, "price"]) + " FROM t)"
+plain = {x: x for x in X}
 
 
-@query("stat_ols")
+@query("stat_ols", f"SELECT * FROM ({ols_sql('ols', 't', OLS, 'price')}) UNION ALL SELECT * FROM ({ols_sql('wls', 't', {k: f'{ROOT} * {x}' for k, x in OLS.items()}, f'{ROOT} * price', one=ROOT)})")
 def stat_ols(spark: SparkSession, d: str) -> DataFrame:
-    return coefficients(spark, S.ols(turns(spark, d), X, "price"))
+    """With a dummy for the setting; plain and weighted."""
+    t = turns(spark, d).withColumn("setting_f", (c("setting") == "F").cast("double")).withColumn("w", 1 + 10 * c("tax"))
+    return coefficients(spark, S.ols(t, list(OLS), "price")).union(coefficients(spark, S.ols(t, list(OLS), "price", weight="w"), "wls"))
 
 
-@query("stat_cluster_ols")
+@query("stat_cluster_ols", f"SELECT * FROM ({ols_sql('pooled', 't', plain, 'price', 'player')}) UNION ALL SELECT * FROM ({ols_sql('fixed', 'f', plain, 'price', 'player', skip=('intercept',), before=f'{TURNS}, {MEANS}')})")
 def stat_cluster_ols(spark: SparkSession, d: str) -> DataFrame:
-    return coefficients(spark, S.ols(turns(spark, d), X, "price", "player"))
+    """Pooled, and with a fixed effect of each player."""
+    t = turns(spark, d)
+    return coefficients(spark, S.ols(t, X, "price", "player"), "pooled").union(coefficients(spark, S.ols(within(t, [*X, "price"]), X, "price", "player"), "fixed", ("intercept",)))
 
 
 @query("stat_wild_cluster")
@@ -254,17 +290,42 @@ def stat_heldout_loss(spark: SparkSession, d: str) -> DataFrame:
     return table_of(spark, out, "fold int, candidate string, loss double")
 
 
-@query("stat_correlation_matrix")
+COLS = ["angle", "value", "tax", "price"]
+
+
+def partial_sql(i: str, j: str, given: list[str]) -> str:
+    """A partial correlation from those of one order less."""
+    if not given:
+        return f"r_{min(i, j)}_{max(i, j)}"
+    k, rest = given[0], given[1:]
+    ij, ik, jk = partial_sql(i, j, rest), partial_sql(i, k, rest), partial_sql(j, k, rest)
+    return f"(({ij} - {ik} * {jk}) / sqrt((1 - {ik} * {ik}) * (1 - {jk} * {jk})))"
+
+
+def matrix_sql() -> str:
+    ranks = ", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS k_{x}" for x in COLS)
+    pairs = [(a, b) for n, a in enumerate(COLS) for b in COLS[n + 1 :]]
+    corrs = ", ".join(f"corr({a}, {b}) AS r_{min(a, b)}_{max(a, b)}, corr(k_{a}, k_{b}) AS s_{a}_{b}" for a, b in pairs)
+    out = []
+    for a, b in pairs:
+        rest = [x for x in COLS if x not in (a, b)]
+        left = [f"(1 - power({partial_sql(a, x, seen)}, 2))" for x, seen in zip([b, *rest], ([], [b], [b, rest[0]]), strict=True)]
+        out.append(f"SELECT '{a}' AS a, '{b}' AS b, round({partial_sql(a, b, [])}, 6) AS pearson, round(s_{a}_{b}, 6) AS spearman, round({partial_sql(a, b, rest)}, 6) AS partial, round(1 / ({' * '.join(left)}), 6) AS vif_a FROM c")
+    return f"WITH {TURNS}, k AS (SELECT {', '.join(COLS)}, {ranks} FROM t), c AS (SELECT {corrs} FROM k) {' UNION ALL '.join(out)}"
+
+
+@query("stat_correlation_matrix", matrix_sql())
 def stat_correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["angle", "value", "tax", "price"]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    r = turns(spark, d).agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
+    pairs, t = [(a, b) for i, a in enumerate(COLS) for b in COLS[i + 1 :]], turns(spark, d).select(*COLS)
+    for x in COLS:
+        t = S.average_ranks(t, x, f"k_{x}")
+    r = t.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs], *[F.corr(f"k_{a}", f"k_{b}").alias(f"s_{a}_{b}") for a, b in pairs]).first()
     m = np.eye(4)
     for a, b in pairs:
-        m[cols.index(a), cols.index(b)] = m[cols.index(b), cols.index(a)] = r[f"{a}_{b}"]
+        m[COLS.index(a), COLS.index(b)] = m[COLS.index(b), COLS.index(a)] = r[f"{a}_{b}"]
     inv = np.linalg.pinv(m)
-    rows = [(a, b, round(float(m[i, j]), 6), round(float(-inv[i, j] / math.sqrt(inv[i, i] * inv[j, j])), 6), round(float(inv[i, i]), 6)) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    return table_of(spark, rows, "a string, b string, pearson double, partial double, vif_a double")
+    rows = [(a, b, round(float(m[i, j]), 6), round(float(r[f"s_{a}_{b}"]), 6), round(float(-inv[i, j] / math.sqrt(inv[i, i] * inv[j, j])), 6), round(float(inv[i, i]), 6)) for i, a in enumerate(COLS) for j, b in enumerate(COLS) if i < j]
+    return table_of(spark, rows, "a string, b string, pearson double, spearman double, partial double, vif_a double")
 
 
 @query("stat_aft_survival")
@@ -311,7 +372,7 @@ def stat_concordance(spark: SparkSession, d: str) -> DataFrame:
     return S.concordance(t, "time", "risk", "event").select("pairs", R(F.try_divide(c("higher") + 0.5 * c("tied"), c("pairs"))).alias("concordance"))
 
 
-@query("stat_dose_bins")
+@query("stat_dose_bins", ols_sql("ols", "t", {n: f"CASE WHEN angle >= {lo} AND angle < {hi} THEN 1 ELSE 0 END" for n, lo, hi in (("b15", 15, 30), ("b30", 30, 45), ("b45", 45, 1000))}, "price", "player"))
 def stat_dose_bins(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d)
     names = ["b15", "b30", "b45"]
@@ -351,7 +412,7 @@ def stat_fwl_orthogonalise(spark: SparkSession, d: str) -> DataFrame:
     return table_of(spark, [("value", round(float(second["beta"][1]), 4), round(float(second["se"][1]), 4), round(float(first["r2"]), 9))], "term string, estimate double, se double, first_r2 double")
 
 
-@query("stat_placebo_outcome")
+@query("stat_placebo_outcome", ols_sql("ols", "t", plain, "part % 97", "player"))
 def stat_placebo_outcome(spark: SparkSession, d: str) -> DataFrame:
     return coefficients(spark, S.ols(turns(spark, d).withColumn("placebo", (c("part") % 97).cast("double")), X, "placebo", "player"))
 
