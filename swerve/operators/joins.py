@@ -28,6 +28,19 @@ def within_time(left: DataFrame, right: DataFrame, keys: list[str], left_t: str,
     return a.join(b, [*keys, "_bucket"]).where(F.abs(F.col(left_t) - F.col(right_t)) <= tolerance).drop("_bucket")
 
 
+def within_cells(left: DataFrame, right: DataFrame, keys: list[str], left_xy: tuple[str, str], right_xy: tuple[str, str], gate: float) -> DataFrame:
+    """Rows with equal keys whose points may lie within the gate of one another: all that do, and some more.
+
+    The plane is cut into cells a little wider than the gate, and the right side stands in its own
+    cell and the eight around it, so that the join is on keys and cell.
+    """
+    cell = lambda v: F.floor(F.col(v) / (gate * 1.001)).cast("long")
+    near = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
+    a = left.withColumn("_cx", cell(left_xy[0])).withColumn("_cy", cell(left_xy[1]))
+    b = right.withColumn("_cx", near(right_xy[0])).withColumn("_cy", near(right_xy[1]))
+    return a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy")
+
+
 def nearest(pairs: DataFrame, keys: list[str], distance: Column, ties: list[str], gate: float | None = None) -> DataFrame:
     """The nearest candidate of each key, ties by the given columns; beyond the gate there is none."""
     ranked = pairs.withColumn("distance", distance).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", *ties)))

@@ -6,6 +6,7 @@ What reaches the driver is a matrix of as many columns as the model has, or one
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -114,19 +115,86 @@ def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 64) -> Data
     return df.join(ranks, c(value) == c("_v"), "left").drop("_v")
 
 
-def quantile_regression(df: DataFrame, xs: list[str], y: str, tau: float, rounds: int = 25, eps: float = 1e-3) -> np.ndarray:
-    """Iteratively reweighted least squares for a conditional quantile; one aggregation a round."""
-    p = len(xs) + 1
-    beta = solve(*unpack(gram(df, xs, y).first(), p)[:2])
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the folder that the cluster names: later steps neither recompute it nor plan it again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = sc.getConf().get("spark.checkpoint.dir", None)
+        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-")):  # one process may do without
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="swerve-"))
+    return df.checkpoint()
+
+
+def quantile_fits(df: DataFrame, models: dict[str, tuple[list[str], Column]], y: str, tau: float, rounds: int = 25, eps: float = 1e-3) -> dict[str, np.ndarray]:
+    """Coefficients of a conditional quantile for each model (columns, and which rows teach it), by iteratively
+    reweighted least squares. A round is one aggregation for all models."""
+    beta: dict[str, np.ndarray] = {}
+    for _ in range(rounds + 1):
+        sums = []
+        for name, (xs, taught) in models.items():
+            cols = [F.lit(1.0), *[c(x).cast("double") for x in xs], c(y).cast("double")]
+            w = F.lit(1.0)
+            if name in beta:
+                r = c(y) - linear(xs, beta[name])
+                w = F.when(r >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(eps))
+            w = F.when(taught & c(y).isNotNull(), w)
+            sums += [F.sum(w * cols[i] * cols[j]).alias(f"{name}:g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+        row, moved = df.agg(*sums).first().asDict(), 0.0
+        for name, (xs, _) in models.items():
+            own = {k.split(":")[1]: v for k, v in row.items() if k.startswith(f"{name}:")}
+            new = solve(*unpack(own, len(xs) + 1)[:2])
+            moved = max(moved, float(np.abs(new - beta[name]).max() / (1 + np.abs(beta[name]).max())) if name in beta else 1.0)
+            beta[name] = new
+        if moved < 1e-6:
+            break
+    return beta
+
+
+def quantile_regression(df: DataFrame, xs: list[str], y: str, key: str, tau: float, tau2: float, rounds: int = 40, eps: float = 1e-3) -> tuple[np.ndarray, DataFrame]:
+    """(coefficients, (key, u)): a conditional quantile with a random intercept u of variance tau2 per key.
+
+    Each round weighs rows by their residuals, sums cross products per key (one aggregation),
+    eliminates the intercepts from the normal equations, solves for the few coefficients on the
+    driver and gives every key its intercept, shrunk by 1 / tau2. Nothing of the size of the keys
+    leaves the executors. Ends when no coefficient moves by more than a millionth.
+    """
+    p, lam = len(xs) + 1, 1.0 / tau2
+    rows = settled(df.where(c(y).isNotNull()).select(c(key).alias("_key"), *[c(x).cast("double").alias(x) for x in xs], c(y).cast("double").alias(y)))
+    beta, u = solve(*unpack(gram(rows, xs, y).first(), p)[:2]), None
     for _ in range(rounds):
-        r = c(y) - linear(xs, beta)
-        w = F.when(r >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(eps))
-        new = solve(*unpack(gram(df, xs, y, weight=w).first(), p)[:2])
+        known = rows.join(u, "_key") if u is not None else rows.withColumn("u", F.lit(0.0))
+        r = c(y) - linear(xs, beta) - c("u")
+        sums = settled(gram(known, xs, y, ["_key"], F.when(r > 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(eps))))
+        g = lambda i, j: c(f"g{i}_{j}")
+        d = g(0, 0) + lam
+        less = [F.sum(g(i, j) - g(0, i) * g(0, j) / d).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+        new = solve(*unpack(sums.agg(*less).first(), p)[:2])
+        u = sums.select("_key", ((g(0, p) - sum((g(0, k) * float(b) for k, b in enumerate(new)), F.lit(0.0))) / d).alias("u"))
         done = float(np.abs(new - beta).max()) < 1e-6 * (1 + float(np.abs(beta).max()))
         beta = new
         if done:
             break
-    return beta
+    return beta, u.withColumnRenamed("_key", key)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], ranges: int = 64) -> DataFrame:
+    """by and q0, q1, ...: exact quantiles, interpolated between neighbours. Values are counted, and the place of
+    each is known from the sums of the ranges before and of the smaller values in its own, so no group
+    is held in one buffer or ordered in one task."""
+    counts = df.where(c(value).isNotNull()).groupBy(*by, c(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = sorted(set(counts.approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.005)))
+    counts = counts.withColumn("_range", F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x <= c("_v"))))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_s"))
+    far = F.coalesce(F.sum("_s").over(until(Window.partitionBy(*by).orderBy("_range"))), F.lit(0))
+    sums = sums.select(*by, "_range", far.alias("_far"), F.sum("_s").over(Window.partitionBy(*by)).alias("_total"))
+    near = F.coalesce(F.sum("_n").over(until(Window.partitionBy(*by, "_range").orderBy("_v"))), F.lit(0))
+    placed = counts.withColumn("_near", near).join(sums, [*by, "_range"]).withColumn("_at", c("_far") + c("_near"))
+    pick = lambda k: F.max(F.when((c("_at") <= k) & (k < c("_at") + c("_n")), c("_v")))
+    place = lambda q: F.lit(q) * (c("_total") - 1)
+    wide = placed.groupBy(*by).agg(F.first("_total").alias("_total"), *[e for i, q in enumerate(qs) for e in (pick(F.floor(place(q))).alias(f"_l{i}"), pick(F.ceil(place(q))).alias(f"_h{i}"))])
+    return wide.select(*by, *[(c(f"_l{i}") + (c(f"_h{i}") - c(f"_l{i}")) * (place(q) - F.floor(place(q)))).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
 def pinball(residual: Column, tau: float) -> Column:

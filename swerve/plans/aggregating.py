@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swerve.functions import columns as X
 from swerve.operators import aggregates as A
+from swerve.operators import stats as S
 from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 
 from .columns import BAND_SQL, EDGES
@@ -42,8 +43,8 @@ def agg_count_distinct_tuple(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_quantiles_exact", f"WITH {TURNS} SELECT grp, setting, round(quantile_cont(price, 0.25), 4) AS q25, round(quantile_cont(price, 0.5), 4) AS q50, round(quantile_cont(price, 0.9), 4) AS q90 FROM t GROUP BY 1, 2")
 def agg_quantiles_exact(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))
-    return turns(spark, d).groupBy("grp", "setting").agg(q.alias("q")).select("grp", "setting", R(c("q")[0], 4).alias("q25"), R(c("q")[1], 4).alias("q50"), R(c("q")[2], 4).alias("q90"))
+    q = S.quantiles(turns(spark, d), ["grp", "setting"], "price", [0.25, 0.5, 0.9])
+    return q.select("grp", "setting", *[R(f"q{k}", 4).alias(n) for k, n in enumerate(("q25", "q50", "q90"))])
 
 
 @query("agg_drill_summary", f"WITH {TURNS}, a AS (SELECT o_orderpriority AS drill, count(*) AS attempts FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS drill, count(*) AS turns, round(quantile_cont(angle, 0.5), 4) AS median_angle, round(avg(CASE WHEN angle >= 30 THEN 1.0 ELSE 0 END), 6) AS sharp FROM t JOIN orders ON play = o_orderkey WHERE angle >= 5 GROUP BY 1) SELECT drill, attempts, coalesce(turns, 0) AS turns, median_angle, sharp, round(coalesce(turns, 0) / attempts::DOUBLE, 6) AS per_attempt FROM a LEFT JOIN b USING (drill)")

@@ -22,6 +22,7 @@ from .ordering import HALF, halves
 from .registry import query
 
 c = F.col
+TAU2 = 4e6
 REPS, SEED = 2000, 17  # the reference's least number of draws for a percentile interval
 MOM = "m AS (SELECT grp, player, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss FROM t GROUP BY 1, 2)"
 ICC = "a AS (SELECT grp, count(*) AS j, sum(n) AS total, sum(n * n) AS n2, sum(n * mean) AS nm, sum(n * mean * mean) AS nm2, sum(ss) AS ssw FROM m GROUP BY 1), i AS (SELECT grp, (total - n2 / total::DOUBLE) / (j - 1) AS k0, (nm2 - nm * nm / total) / (j - 1) AS msb, ssw / (total - j) AS msw FROM a)"
@@ -257,8 +258,10 @@ def stat_paired_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stat_quantile_regression")
 def stat_quantile_regression(spark: SparkSession, d: str) -> DataFrame:
-    b = S.quantile_regression(turns(spark, d), ["angle"], "price", 0.9)
-    return table_of(spark, [("intercept", round(float(b[0]), 2)), ("angle", round(float(b[1]), 3))], "term string, estimate double")
+    """The upper decile of price by angle with a random intercept per player: coefficients, then intercepts."""
+    b, u = S.quantile_regression(turns(spark, d), ["angle"], "price", "player", 0.9, TAU2)
+    fixed = table_of(spark, [("intercept", None, round(float(b[0]), 2)), ("angle", None, round(float(b[1]), 3))], "term string, player long, estimate double")
+    return fixed.union(u.select(F.lit("player"), "player", R("u", 2)))
 
 
 @query("stat_feasible_region", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy FROM t GROUP BY 1), k AS (SELECT *, -ln(greatest(CAST('0x' || substr(md5(rep || ':' || player), 1, 13) AS BIGINT) / 4503599627370496.0, 1e-12)) AS w FROM m, (SELECT unnest(range(0, 200)) AS rep)), s AS (SELECT rep, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * sxy) AS sxy FROM k GROUP BY 1), b AS (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, sx, sy, n FROM s), c AS (SELECT unnest([5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0])::DOUBLE AS cell), o AS (SELECT cell, EXISTS (SELECT 1 FROM t WHERE angle >= cell - 5 AND angle < cell + 5) AS observed FROM c) SELECT o.cell, observed, round(avg(CASE WHEN (sy - b1 * sx) / n + b1 * o.cell >= 34000 THEN 1.0 ELSE 0 END), 6) AS feasible, count(*) AS reps FROM b, o GROUP BY 1, 2")
@@ -280,14 +283,12 @@ def stat_feasible_region(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stat_heldout_loss")
 def stat_heldout_loss(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d).withColumn("fold", F.pmod("player", F.lit(3)))
-    out = []
-    for k in range(3):
-        for name, xs in (("constant", []), ("angle", ["angle"]), ("all", X)):
-            b = S.solve(*S.unpack(S.gram(t.where(c("fold") != k), xs, "price").first(), len(xs) + 1)[:2])
-            loss = t.where(c("fold") == k).agg(F.avg(S.pinball(c("price") - S.linear(xs, b), 0.9))).first()[0]
-            out.append((k, name, round(float(loss), 3)))
-    return table_of(spark, out, "fold int, candidate string, loss double")
+    """Quantile models of three sizes, fitted without a fold of players and scored on it by their own loss."""
+    t = S.settled(turns(spark, d).select(*X, "price", F.pmod("player", F.lit(3)).alias("fold")))
+    models = {f"{name}_{k}": (xs, c("fold") != k) for k in range(3) for name, xs in (("constant", []), ("angle", ["angle"]), ("all", X))}
+    beta = S.quantile_fits(t, models, "price", 0.9)
+    losses = t.agg(*[F.avg(F.when(~taught, S.pinball(c("price") - S.linear(xs, beta[n]), 0.9))).alias(n) for n, (xs, taught) in models.items()]).first()
+    return table_of(spark, [(int(n[-1]), n[:-2], round(float(losses[n]), 2)) for n in models], "fold int, candidate string, loss double")
 
 
 COLS = ["angle", "value", "tax", "price"]

@@ -58,14 +58,14 @@ def join_time_window(spark: SparkSession, d: str) -> DataFrame:
     r = c("us") - F.min("us").over(Window.partitionBy("track"))
     s = frames(spark, d).select("track", "id", r.alias("r"))
     b = s.select("track", c("r").alias("other"))
-    return s.join(b, "track").where(c("other").between(c("r") - 60_000_000, c("r") + 7_200_000_000)).groupBy("track", "id").agg(F.count("*").alias("n"))
+    return J.within_time(s, b, ["track"], "r", "other", 7_200_000_000).where(c("other").between(c("r") - 60_000_000, c("r") + 7_200_000_000)).groupBy("track", "id").agg(F.count("*").alias("n"))
 
 
 @query("join_nearest_point", f"WITH {FRAMES}, j AS (SELECT a.track, a.id, b.id AS near, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS distance, row_number() OVER (PARTITION BY a.track, a.id ORDER BY round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6), b.id) AS n FROM e a JOIN e b ON a.track = b.track AND a.id <> b.id) SELECT track, id, near, distance FROM j WHERE n = 1 AND distance <= 2.5")
 def join_nearest_point(spark: SparkSession, d: str) -> DataFrame:
     e = frames(spark, d)
     b = e.select("track", c("id").alias("near"), c("x").alias("bx"), c("y").alias("by"))
-    return J.nearest(e.join(b, "track").where("id != near"), ["track", "id"], F.round(F.sqrt(F.pow(c("x") - c("bx"), 2) + F.pow(c("y") - c("by"), 2)), 6), ["near"], 2.5).select("track", "id", "near", "distance")
+    return J.nearest(J.within_cells(e, b, ["track"], ("x", "y"), ("bx", "by"), 2.5).where("id != near"), ["track", "id"], F.round(F.sqrt(F.pow(c("x") - c("bx"), 2) + F.pow(c("y") - c("by"), 2)), 6), ["near"], 2.5).select("track", "id", "near", "distance")
 
 
 @query("join_nearest_other", f"WITH {TURNS}, {TEAM}, j AS (SELECT a.play, a.line, a.player, a.part, b.player AS other, abs(a.angle - b.angle) AS dist FROM p a JOIN p b ON a.play = b.play AND a.team <> b.team) SELECT play, line, player, part, arg_min(other, (dist, other)) AS nearest, count(*) FILTER (WHERE dist <= 10) AS near FROM j GROUP BY 1, 2, 3, 4")

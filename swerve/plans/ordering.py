@@ -71,9 +71,20 @@ def win_rolling_exact_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_decayed_load", f"WITH {FRAMES}, r AS (SELECT *, h - min(h) OVER (PARTITION BY track) AS r FROM e) SELECT track, id, round(sum(x * power(2, r / 48)) OVER (PARTITION BY track ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * power(2, -r / 48), 4) AS load FROM r")
 def win_decayed_load(spark: SparkSession, d: str) -> DataFrame:
-    r = frames(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track")))
-    total = F.sum(c("x") * F.pow(F.lit(2.0), c("r") / 48)).over(in_track().rowsBetween(Window.unboundedPreceding, -1))
-    return r.select("track", "id", R(total * F.pow(F.lit(2.0), -c("r") / 48), 4).alias("load"))
+    """Time is cut into blocks of ten half-lives, so that no power of two grows with a track: rows before in the
+    block, and the sums of the seven blocks before (what lies further back is below the last bit)."""
+    half, wide = 48.0, 480.0
+    r = frames(spark, d).withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("block", F.floor(c("r") / wide))
+    r = r.withColumn("since", c("r") - c("block") * wide)
+    grown = c("x") * F.pow(F.lit(2.0), c("since") / half)
+    own = F.sum(grown).over(Window.partitionBy("track", "block").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1))
+    sums = r.groupBy("track", "block").agg(F.sum(grown).alias("s"))
+    back = Window.partitionBy("track").orderBy("block").rangeBetween(-7, -1)
+    sums = sums.withColumn("before", F.collect_list(F.struct("block", "s")).over(back))
+    carried = F.aggregate("before", F.lit(0.0), lambda a, x: a + x["s"] * F.pow(F.lit(2.0), (x["block"] - c("block")) * wide / half))
+    rows = r.withColumn("own", own).join(sums.select("track", "block", carried.alias("carried"), (F.size("before") > 0).alias("any")), ["track", "block"])
+    total = F.when(c("own").isNotNull() | c("any"), F.coalesce("own", F.lit(0.0)) + c("carried"))
+    return rows.select("track", "id", R(total * F.pow(F.lit(2.0), -c("since") / half), 4).alias("load"))
 
 
 @query("win_rest_between", f"WITH {FRAMES}, s AS (SELECT track, id, h - lag(h + x / 100) OVER w AS rest, row_number() OVER w AS n FROM e {W}) SELECT track, id, round(CASE WHEN rest >= 0 THEN rest END, 6) AS rest, n - 1 AS before FROM s")
@@ -127,7 +138,10 @@ def win_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 @query("win_rank_min_ties", f"WITH {TURNS}, p AS (SELECT grp, player, count(*) FILTER (WHERE angle >= 45) AS n FROM t GROUP BY 1, 2) SELECT grp, player, n, CAST(rank() OVER (PARTITION BY grp ORDER BY n DESC) AS INTEGER) AS rank FROM p")
 def win_rank_min_ties(spark: SparkSession, d: str) -> DataFrame:
     p = turns(spark, d).groupBy("grp", "player").agg(F.count_if(c("angle") >= 45).alias("n"))
-    return p.withColumn("rank", F.rank().over(Window.partitionBy("grp").orderBy(F.desc("n"))))
+    counts = p.groupBy("grp", "n").agg(F.count("*").alias("m"))  # as many rows as there are different counts
+    above = Window.partitionBy("grp").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("grp", "n", (F.coalesce(F.sum("m").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    return p.join(ranks, ["grp", "n"]).select("grp", "player", "n", "rank")
 
 
 @query("win_running_id_runs", f"WITH {FRAMES}, f AS (SELECT track, us, id, min(CASE WHEN x >= 30 THEN 1 ELSE 0 END) OVER q AS ok, count(*) OVER q AS n FROM e WINDOW q AS (PARTITION BY track ORDER BY us, id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT track, min(us) AS first_us FROM f WHERE ok = 1 AND n = 3 GROUP BY 1")

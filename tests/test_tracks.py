@@ -206,3 +206,60 @@ def test_radius_and_lateral_acceleration(spark):
     f = spark.createDataFrame(pts, "track long, i long, x double, y double, speed double, h double, turned double")
     m = turns.metrics(f, spark.createDataFrame([(1, 3, 1.0, 8, 5, 14)], "track long, hit long, score double, apex long, first long, last long"), ["track"]).first()
     assert np.allclose([m["radius"], m["residual"], m["lateral"], m["angle"]], [10, 0, 0.4, 9 * 180 / math.pi / 5])
+
+
+def test_random_intercept_quantiles_against_numpy(spark):
+    r = np.random.default_rng(12)
+    g = r.integers(0, 25, 1500)
+    x = r.uniform(0, 10, 1500)
+    y = 3 + 2 * x + r.normal(0, 4, 25)[g] + r.normal(0, 1 + x / 4)
+    tau, tau2, eps = 0.9, 9.0, 1e-3
+    d = np.column_stack([np.ones(1500), x])
+    beta, u = np.linalg.lstsq(d, y, rcond=None)[0], np.zeros(25)
+    z = np.eye(25)[g]
+    for _ in range(40):  # the same penalised weighted least squares, solved whole
+        res = y - d @ beta - u[g]
+        w = np.where(res > 0, tau, 1 - tau) / np.maximum(np.abs(res), eps)
+        a = np.hstack([d, z])
+        both = np.linalg.solve(a.T @ (w[:, None] * a) + np.diag([0, 0] + [1 / tau2] * 25), a.T @ (w * y))
+        done = np.abs(both[:2] - beta).max() < 1e-6 * (1 + np.abs(beta).max())
+        beta, u = both[:2], both[2:]
+        if done:
+            break
+    df = spark.createDataFrame([(int(k), float(a), float(b)) for k, a, b in zip(g, x, y)], "g long, x double, y double")
+    got, intercepts = stats.quantile_regression(df, ["x"], "y", "g", tau, tau2)
+    assert np.allclose(got, beta, atol=1e-5) and np.allclose([v["u"] for v in intercepts.orderBy("g").collect()], u, atol=1e-4)
+    assert abs((y <= d @ got + u[g]).mean() - tau) < 0.03
+
+
+def test_quantile_fits_reach_their_share(spark):
+    r = np.random.default_rng(13)
+    data = [(float(x), float(2 * x + r.exponential(3)), int(k % 3)) for k, x in enumerate(r.uniform(0, 10, 900))]
+    df = spark.createDataFrame(data, "x double, y double, fold int")
+    fits = stats.quantile_fits(df, {f"{n}{k}": (xs, F.col("fold") != k) for k in range(3) for n, xs in (("c", []), ("x", ["x"]))}, "y", 0.8)
+    for k in range(3):
+        own = [(x, y) for x, y, f in data if f != k]
+        assert abs(np.mean([y <= fits[f"c{k}"][0] for x, y in own]) - 0.8) < 0.02
+        assert abs(np.mean([y <= fits[f"x{k}"][0] + fits[f"x{k}"][1] * x for x, y in own]) - 0.8) < 0.02
+
+
+def test_poisson_weights_and_ranks(spark):
+    w = stats.replicate_weights(spark.range(400).withColumnRenamed("id", "g"), "g", 50, 3).groupBy("rep").agg(F.sum("times").alias("n")).collect()
+    assert len(w) == 50 and abs(np.mean([x["n"] for x in w]) - 400) < 10 and np.std([x["n"] for x in w]) < 40
+    v = [float(x) for x in np.random.default_rng(2).integers(0, 40, 300)]
+    got = {(x["v"], x["r"]) for x in stats.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "r").collect()}
+    assert got == {(x, sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2) for x in v}
+    q = stats.quantiles(spark.createDataFrame([(1, x) for x in v], "g long, v double"), ["g"], "v", [0.0, 0.3, 1.0]).first()
+    assert np.allclose([q["q0"], q["q1"], q["q2"]], np.quantile(v, [0, 0.3, 1.0]))
+
+
+def test_wls_against_numpy(spark):
+    r = np.random.default_rng(7)
+    x, w = r.normal(size=150), r.uniform(0.5, 2, 150)
+    y = 1 - x + r.normal(size=150) / w
+    fit = stats.ols(spark.createDataFrame([(float(a), float(b), float(k)) for a, b, k in zip(x, y, w)], "x double, y double, w double"), ["x"], "y", weight="w")
+    d = np.column_stack([np.ones(150), x])
+    bread = np.linalg.inv(d.T @ (w[:, None] * d))
+    beta = bread @ d.T @ (w * y)
+    s = d * (w * (y - d @ beta))[:, None]
+    assert np.allclose(fit["beta"], beta) and np.allclose(fit["se"], np.sqrt(np.diag(150 / 148 * bread @ s.T @ s @ bread))) and np.allclose(fit["mde"], 2.801585 * fit["se"])
