@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import U64, Store, WordHasher, batch_of, keyed_text, mix, shingles_of, slices
 from .graph import components, merged_labels
@@ -46,8 +45,8 @@ MOST_FREQUENT, FREQUENT = 1 << 17, 32
 SHORT = 8
 #: Documents on each side of a block, pairs with their sets that a Python worker gets at once.
 BLOCK, BATCH_ROWS = 256, 256
-#: What is left of a list gives its pairs at once if these are at most so many for each of its documents.
-FEW = 24
+#: Rows of blocks that a task's group holds about: small blocks are searched together; fewer with their sets.
+MARK_ROWS, SET_ROWS = 4096, 512
 #: Leaders are tried again while the blocks would compare more than so many pairs for each member of a list.
 OPEN, LEADER_ROUNDS = 64, 3
 #: DivideSkip's share of long lists (a constant of the published method).
@@ -337,15 +336,28 @@ class Block:
         return reach & (self.part[t] != self.part[q]) & (self.none[t] | self.none[q] | (self.before[t] != self.before[q]))
 
 
+def _blocks_of(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(places, rows) of each pair of blocks in a group of rows."""
+    key = table.column("block").to_numpy()
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True]))) if len(key) else []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield order[i:j], table.take(pa.array(order[i:j])).combine_chunks()
+
+
 def _mark_blocks(num: int, den: int):
-    """The rows of one pair of blocks whose bitmaps allow them an open partner."""
+    """The rows of pairs of blocks whose bitmaps allow them an open partner."""
+
     def run(key, group):
-        block = Block(group, num, den)
-        keep = np.zeros(group.num_rows, bool)
-        bits = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
-        size = 8 * min(map(len, bits), default=1)
-        if len(block.q) and len(block.t):
-            theirs = np.stack([folded(bits[k], size) for k in block.t])
+        kept = np.zeros(group.num_rows, bool)
+        slim, column = group.drop_columns(["bits"]), group.column("bits").combine_chunks()
+        for places, rows in _blocks_of(slim):
+            block = Block(rows, num, den)
+            if not len(block.q) or not len(block.t):
+                continue
+            bits = [np.frombuffer(column[int(k)].as_buffer(), np.uint8) for k in places]
+            size = 8 * min(map(len, bits))
+            theirs, keep = np.stack([folded(bits[k], size) for k in block.t]), np.zeros(len(places), bool)
             for q in block.q.tolist():
                 need = block.need(q)
                 at = np.flatnonzero(block.open(q, need))
@@ -353,29 +365,33 @@ def _mark_blocks(num: int, den: int):
                     own, other = folded(bits[q], size), theirs[at]
                     most = np.minimum(block.n[q] - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), block.n[block.t[at]] - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
                     at = at[most >= need[at]]
-                    keep[block.t[at]], keep[q] = True, len(at) > 0
-        return group.drop_columns(["bits"]).filter(pa.array(keep))
+                    keep[block.t[at]] = True
+                    keep[q] |= len(at) > 0
+            kept[places[keep]] = True
+        return slim.filter(pa.array(kept))
 
     return run
 
 
 def _search_blocks(num: int, den: int):
-    """Links that join components between the queries and the targets of one pair of blocks."""
+    """Links that join components between the queries and the targets of pairs of blocks."""
     schema = {"a": pa.int64(), "b": pa.int64()}
 
     def run(key, group):
-        sets = group.column("set").combine_chunks()
-        values, offsets = sets.values.to_numpy(zero_copy_only=False).view(U64), sets.offsets.to_numpy()
-        of = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        block, a, b = Block(group, num, den), [], []
-        part, t = block.part, block.t
-        lists = Lists([of[k] for k in t]) if len(t) else None
-        for q in block.q.tolist() if lists else ():
-            need = block.need(q)
-            for k in lists.search(of[q], need, block.open(q, need)).tolist():
-                if part[t[k]] != part[q]:
-                    part[part == part[t[k]]] = part[q]
-                    a.append(int(block.sig[q])), b.append(int(block.sig[t[k]]))
+        a, b = [], []
+        for _, rows in _blocks_of(group):
+            sets = rows.column("set").combine_chunks()
+            values, offsets = sets.values.to_numpy(zero_copy_only=False).view(U64), sets.offsets.to_numpy()
+            of = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            block = Block(rows, num, den)
+            part, t = block.part, block.t
+            lists = Lists([of[k] for k in t]) if len(t) else None
+            for q in block.q.tolist() if lists else ():
+                need = block.need(q)
+                for k in lists.search(of[q], need, block.open(q, need)).tolist():
+                    if part[t[k]] != part[q]:
+                        part[part == part[t[k]]] = part[q]
+                        a.append(int(block.sig[q])), b.append(int(block.sig[t[k]]))
         return pa.Table.from_batches([batch_of(schema, a=a, b=b)])
 
     return run
@@ -431,15 +447,6 @@ def _open_sides(lists: DataFrame, label: DataFrame, store: Store, num: int, den:
     return q, t, store.put(t.groupBy("h", "kq", "kt").agg(F.first("nq").alias("nq"), F.count(F.lit(1)).alias("nt")), "sizes")
 
 
-def _few_pairs(q: DataFrame, t: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, met) of the queries and targets that may be linked, of lists with few of them."""
-    key = ["h", "kq", "kt"]
-    side = lambda d, e: d.join(sizes, key).select(*key, *[F.col(c).alias(f"{c}_{e}") for c in ("sig", "n", "left", "before", "label")])
-    reach = (num + den) * F.least("left_x", "left_y") >= num * (F.col("n_x") + F.col("n_y"))
-    pairs = side(q, "x").join(side(t.drop("nq"), "y"), key).where(F.expr("label_x != label_y and coalesce(before_x != before_y, true)") & reach)
-    return pairs.select(F.col("sig_x").alias("x"), F.col("sig_y").alias("y"), F.lit(None).cast("int").alias("met"))
-
-
 def _block_rows(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
     """Both sides dealt into blocks of about BLOCK documents, a row for each block of the other side."""
     key = ["h", "kq", "kt"]
@@ -449,7 +456,8 @@ def _block_rows(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
     cols = [*key, "sig", "n", "left", "before", "label"]
     q = q.join(sizes, key).select(*cols, F.lit(False).alias("target"), own("nq").alias("bq"), each("nt").alias("bt"))
     t = t.drop("nq").join(sizes, key).select(*cols, F.lit(True).alias("target"), own("nt").alias("bt"), each("nq").alias("bq"))
-    return q.unionByName(t)
+    rows = q.unionByName(t)
+    return rows.select(F.xxhash64(*key, "bq", "bt").alias("block"), "sig", "n", "left", "before", "label", "target")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -505,13 +513,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return both.mapInArrow(_count(num, den), "a long, b long")
 
     def searched(q: DataFrame, t: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Links of the blocks; sets are only sent for what bitmaps leave."""
-        key = ["h", "kq", "kt", "bq", "bt"]
-        rows = _block_rows(q, t, sizes)
-        schema = T.StructType(list(rows.schema.fields))
-        marked = store.put(rows.join(reps.select("sig", "bits"), "sig").select(*rows.columns, "bits").groupBy(*key).applyInArrow(_mark_blocks(num, den), schema), "marked")
+        """Links of the blocks; sets are only sent for what bitmaps leave. Small blocks share a group."""
+        rows = store.put(_block_rows(q, t, sizes), "blocks")
+        dealt = lambda df, n, size: df.groupBy(F.pmod(F.xxhash64("block"), F.lit(max(8, math.ceil(n / size)))))
+        marked = rows.join(reps.select("sig", "bits"), "sig").select(*rows.columns, "bits")
+        marked = store.put(dealt(marked, rows.count(), MARK_ROWS).applyInArrow(_mark_blocks(num, den), rows.schema), "marked")
         full = full_sets(marked.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("id")))
-        return store.put(marked.join(full, "sig").groupBy(*key).applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
+        return store.put(dealt(marked.join(full, "sig"), marked.count(), SET_ROWS).applyInArrow(_search_blocks(num, den), "a long, b long"), "found")
 
     pairs = merged.where("kind = 0").select("x", "y", F.col("left").alias("met")).unionByName(_leaders(lists, store).withColumn("met", F.lit(None).cast("int")))
     n_members, label = lists.count(), None
@@ -524,9 +532,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         still = sizes.agg(F.sum(F.col("nq") * F.col("nt"))).first()[0] or 0
         if round_ == LEADER_ROUNDS - 1 or still <= OPEN * n_members:
             if still:  # exact for all that leaders left open
-                few = F.col("nq") * F.col("nt") <= FEW * (F.col("nq") + F.col("nt"))
-                found = store.put(linked(store.put(paired(_few_pairs(q, t, sizes.where(few), num, den)), "pairs")), "found", batch_rows=BATCH_ROWS)
-                label = merged_labels(store, label, found.union(searched(q, t, sizes.where(~few))))
+                label = merged_labels(store, label, searched(q, t, sizes))
             break
         lead = F.struct(F.col("left") / F.col("n"), F.xxhash64("sig", F.lit(round_)))
         lead_q, lead_t = (side.groupBy("h", "kq", "kt").agg(F.max_by("sig", lead).alias("x")) for side in (q, t))

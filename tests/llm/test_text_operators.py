@@ -72,10 +72,10 @@ def near_copies(seed, n, n_words=60, edits=6):
     return out
 
 
-@pytest.mark.parametrize("rounds, block, few", [(1, 16, 0), (3, 256, 4)])
-def test_jaccard_long_lists(spark, monkeypatch, rounds, block, few):
+@pytest.mark.parametrize("rounds, block, rows_", [(1, 16, 64), (3, 256, 4096)])
+def test_jaccard_long_lists(spark, monkeypatch, rounds, block, rows_):
     """Long lists with many components, with blocks at once and after more leaders."""
-    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds), monkeypatch.setattr(jaccard, "BLOCK", block), monkeypatch.setattr(jaccard, "OPEN", 0), monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds), monkeypatch.setattr(jaccard, "BLOCK", block), monkeypatch.setattr(jaccard, "OPEN", 0), monkeypatch.setattr(jaccard, "MARK_ROWS", rows_)
     texts = near_copies(21, 150) + near_copies(22, 60, 12, 3)
     got = jaccard.jaccard_components(docs(spark, texts)).orderBy("id").collect()
     assert [tuple(x) for x in got] == brute_components(texts)
