@@ -495,11 +495,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.where("x != y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("met").alias("met"), F.max(F.col("met").isNull()).alias("led"))
         of = lambda k, *more: reps.select(F.col("sig").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
         longs = lambda k: n_long.select(F.col("sig").alias(k), F.col("n_long").alias(f"long_{k}"))
-        pairs = pairs.join(of("a", "n", "rep", "bits"), "a").join(of("b", "n", "rep", "bits"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        pairs = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
         pairs = pairs.join(longs("a"), "a", "left").join(longs("b"), "b", "left")
         need, behind = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-9), F.ceil(F.greatest("n_a", "n_b") * num / den - 1e-9) - 1
         not_merged = behind + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
-        pairs = pairs.where(F.col("led") | (F.col("met") + not_merged >= need))
+        pairs = pairs.where(F.col("led") | (F.col("met") + not_merged >= need)).select("a", "b", "n_a", "n_b")
+        pairs = pairs.join(of("a", "rep", "bits"), "a").join(of("b", "rep", "bits"), "b")  # wide columns only for what counts leave
         return pairs.mapInArrow(_bound(num, den), "a long, b long, rep_a long, rep_b long")
 
     def full_sets(wanted: DataFrame) -> DataFrame:
