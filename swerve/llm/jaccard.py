@@ -39,8 +39,9 @@ SIZE, NUM, DEN = 5, 75, 100
 BUCKET = 1 << 18
 #: Shingles counted together before only the repeated ones are passed on.
 CHUNK = 1 << 20
-#: The global order puts at most so many shingles last; it only orders, so a bound loses nothing.
-MOST_FREQUENT, FREQUENT = 1 << 17, 32
+#: The global order puts shingles counted so often last, at most so many of them (16 MB to each worker at
+#: any size of the input). It only orders, so neither bound loses anything.
+MOST_FREQUENT, FREQUENT = 1 << 20, 3
 #: Lists up to this length are merged pair by pair, longer ones through leaders and blocks.
 SHORT = 8
 #: Documents on each side of a block, pairs with their sets that a Python worker gets at once.
