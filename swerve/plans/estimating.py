@@ -180,8 +180,8 @@ def stat_bernoulli_draws(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stat_block_permutation")
 def stat_block_permutation(spark: SparkSession, d: str) -> DataFrame:
-    reps = 20
-    t = turns(spark, d).where("angle >= 40").select("play", "line", "player", "part", "value", "price")
+    reps = 49
+    t = turns(spark, d).select("play", "line", "player", "part", "value", "price")
     key = ["play", "line", "player", "part"]
     block = Window.partitionBy("player")
     t = t.withColumn("i", F.row_number().over(block.orderBy(*key)))

@@ -97,12 +97,12 @@ def join_anti_taken(spark: SparkSession, d: str) -> DataFrame:
     return t.join(t.where("angle >= 45").select("play"), "play", "left_anti").select(*K)
 
 
-@query("join_full_outer_counts", f"WITH {TURNS}, a AS (SELECT player, count(*) AS n FROM t WHERE setting = 'F' AND angle >= 48 GROUP BY 1), b AS (SELECT player, count(*) AS n FROM t WHERE setting = 'O' AND angle >= 48 GROUP BY 1) SELECT coalesce(a.player, b.player) AS player, coalesce(a.n, 0) AS n_f, coalesce(b.n, 0) AS n_o FROM a FULL JOIN b ON a.player = b.player")
+@query("join_full_outer_counts", f"WITH {TURNS}, a AS (SELECT player, part, count(*) AS n FROM t WHERE setting = 'F' GROUP BY 1, 2), b AS (SELECT player, part, count(*) AS n FROM t WHERE setting = 'O' GROUP BY 1, 2) SELECT coalesce(a.player, b.player) AS player, coalesce(a.part, b.part) AS part, coalesce(a.n, 0) AS n_f, coalesce(b.n, 0) AS n_o FROM a FULL JOIN b ON a.player = b.player AND a.part = b.part")
 def join_full_outer_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d).where("angle >= 48")
-    side = lambda s, n: t.where(c("setting") == s).groupBy("player").agg(F.count("*").alias(n))
+    t, key = turns(spark, d), ["player", "part"]
+    side = lambda s, n: t.where(c("setting") == s).groupBy(*key).agg(F.count("*").alias(n))
     zero = F.lit(0).cast("long")
-    return side("F", "n_f").join(side("O", "n_o"), "player", "full").select("player", F.coalesce("n_f", zero).alias("n_f"), F.coalesce("n_o", zero).alias("n_o"))
+    return side("F", "n_f").join(side("O", "n_o"), key, "full").select(*key, F.coalesce("n_f", zero).alias("n_f"), F.coalesce("n_o", zero).alias("n_o"))
 
 
 @query("join_cross_grid", "SELECT s_suppkey AS player, i.i * 3 + j.j AS cell FROM supplier, (SELECT unnest([0, 1]) AS i) i, (SELECT unnest([0, 1, 2]) AS j) j")

@@ -184,8 +184,8 @@ def median_pick(spark: SparkSession, d: str) -> DataFrame:
     return r.where("r = floor(n / 2) + 1").select("player", "play", "line", "part", "price")
 
 
-@query("stable_total_order", f"WITH {TURNS} SELECT play, line, player, part, angle FROM t WHERE angle >= 49 ORDER BY angle DESC, play, line, player, part")
+@query("stable_total_order", f"WITH {TURNS} SELECT play, line, player, part, angle FROM t ORDER BY angle DESC, play, line, player, part")
 def stable_total_order(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).where("angle >= 49").select(*K, "angle").orderBy(F.desc("angle"), *K)
+    return turns(spark, d).select(*K, "angle").orderBy(F.desc("angle"), *K)
 
 
