@@ -80,9 +80,9 @@ def signature(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """About four bits for each shingle, one set by each: what one bitmap has and another lacks are
-    shingles that the other set lacks, so a bound on the shared ones follows."""
-    size = 1 << min(16, max(6, int(4 * len(s) - 1).bit_length()))
+    """Four to eight bits for each shingle, half of it beyond 1,024 shingles, one set by each: what one
+    bitmap has and another lacks are shingles that the other set lacks, so a bound on the shared ones follows."""
+    size = 1 << min(16, max(6, int((4 if len(s) <= 1024 else 2) * len(s) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[(s >> U64(40)).astype(np.int64) & (size - 1)] = True
     return np.packbits(bits).tobytes()
