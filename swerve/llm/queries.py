@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as bench
-from . import html, jaccard, licences, lines, mixture, pii, tokens, topk, toxicity
+from . import alignment, html, jaccard, languages, licences, lines, mixture, pii, resampling, tokens, topk, toxicity
 from .common import crc_mod, table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,7 +66,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_weight").cast("long").alias("n_words"), F.round("mix_probability", 9).alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_line_dedup, op4_token_counts, op5_html_extraction, op6_pii, op7_topk_search, op8_licence_scan, op9_decontamination, op10_source_mixing)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    dictionaries = languages.fit(languages.labelled(docs, ~held))
+    found = languages.predict_languages(docs.select("doc_id", "text"), dictionaries)
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_line_dedup, op4_token_counts, op5_html_extraction, op6_pii, op7_topk_search, op8_licence_scan, op9_decontamination, op10_source_mixing, op11_language_id, op12_token_alignment, op13_importance_resampling)}
 
 ORACLES = {
     "op2_ngram_jaccard": r"""
@@ -95,4 +111,24 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE byte AS (SELECT unnest(range(256)) AS v, v AS c, 0 AS k),
+step AS (SELECT v, c, k FROM byte UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c::BIGINT ORDER BY v) AS t FROM step WHERE k = 8),
+w AS (SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+x AS (SELECT side, doc_id, unnest(ws) AS word FROM w),
+h AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM x)),
+b AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) % 10000 AS bucket FROM h, crc),
+y AS (SELECT side, doc_id, bucket FROM x JOIN b USING (word)),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM y GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM n),
+g AS (SELECT n.bucket, floor(1000 * ln((n.t + 1) * (a.s + 10000) / ((n.s + 1) * (a.t + 10000)))) AS gain FROM n, a),
+f AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM y JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+d AS (SELECT w.doc_id, coalesce(f.n, 0) AS n_features, coalesce(f.weight, 0)::BIGINT AS weight, len(ws) AS words, ('0x' || sha256('2024:' || w.doc_id)[1:8])::BIGINT AS h FROM w LEFT JOIN f ON w.doc_id = f.doc_id WHERE side = 'd'),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE words >= 20),
+k AS (SELECT 10 * count(*) // 100 AS k FROM r)
+SELECT e.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank FROM e LEFT JOIN r ON e.doc_id = r.doc_id, k""",
 }
