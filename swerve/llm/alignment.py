@@ -7,7 +7,7 @@ links that a document has of the pair (a plane), a compressed bitmap of document
 the pair's documents are counted over the OR of its planes, its links over the planes by their values. Scores go
 back the same way: a pair's bitmaps give its count to their documents, chunk by chunk.
 
-Neither vocabulary's tokens cross the border between a word and white space, so a text is cut there and each
+Neither vocabulary's tokens cross the border between a word and white space or signs behind it, so a text is cut there and each
 distinct segment is encoded and aligned once by a worker. That the files allow it is looked up in their vocabularies;
 texts with other white space, and files that don't allow it, are encoded whole.
 """
@@ -38,7 +38,9 @@ KNOWN, LONGEST = 1 << 18, 64
 SALTS = 32
 #: Bitmaps of a batch that are decoded at once.
 GROUP = 4096
-SEGMENT = re.compile(r"[ \n\t]{2,}[^ \n\t]*| [^ \n\t]*|[^ \n\t]+|[\n\t]")
+LETTER, SIGN = "a-zA-ZÀ-ÖØ-öø-ÿ", r"!-/:-@\[-^`{-~"
+#: White space with the word after it, cut again between a letter and a sign behind it.
+SEGMENT = re.compile(rf"[ \n\t]{{2,}}[^ \n\t]*| ?[{LETTER}]++(?![^{SIGN} \n\t])| ?[^ \n\t]+?(?:(?<=[{LETTER}])(?=[{SIGN}])|(?![^ \n\t]))| |[\n\t]")
 OTHER_SPACE = re.compile(r"[^\S \n\t]")
 
 _state: dict = {}
@@ -71,7 +73,7 @@ class Aligner:
         plain = own.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         odd = " ▁\n \t▁▁xｘ ½\n\n"
         whole = self.b.decode(self.b.encode(odd)) == odd.replace("▁", " ") and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"]
-        self.cuts = plain and whole and not any(re.search(".[▁\n\t]|[\n\t].", p.lstrip("▁"), re.S) for p in pieces)
+        self.cuts = plain and whole and not any(re.search(rf".[▁\n\t]|[\n\t].|[{LETTER}][{SIGN}]", p.lstrip("▁"), re.S) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         self.space = self.b.piece_to_id("▁")
         self.known: dict[str, tuple] = {}
         self.forget()
@@ -91,25 +93,39 @@ class Aligner:
 
     def align(self, a: list[int], b: list[int]) -> tuple | None:
         """(A tokens, B tokens, groups, links, the groups as text, links by pair); None if their bytes differ."""
-        i = j = ia = jb = x = y = n_groups = n_links = 0
-        parts, links = [], Counter()
-        if b"".join([self.a_bytes[k] for k in a]) != b"".join([self.b_bytes[k] for k in b]):
+        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
+        if b"".join(a_parts) != b"".join(b_parts):
             return None
-        while i < len(a):
-            x += len(self.a_bytes[a[i]])
+        if len(a) == 1 and len(b) == 1:
+            return 1, 1, 1, 1, f"{a[0]}|{b[0]}", {a[0] << 32 | b[0]: 1}
+        i = j = ia = jb = x = y = n_groups = n_links = 0
+        parts, links = [], {}
+        for p in a_parts:
+            x += len(p)
             i += 1
             while y < x:
-                y += len(self.b_bytes[b[j]])
+                y += len(b_parts[j])
                 j += 1
-            if x == y:
-                n_groups += 1
-                n_links += (i - ia) * (j - jb)
-                parts.append(f"{','.join(map(str, a[ia:i]))}|{','.join(map(str, b[jb:j]))}")
-                left, right = Counter(a[ia:i]), Counter(b[jb:j])
-                for p, n in left.items():
-                    for q, m in right.items():
-                        links[p << 32 | q] += n * m
-                ia, jb = i, j
+            if x != y:
+                continue
+            n_groups += 1
+            n_links += (i - ia) * (j - jb)
+            if i - ia == 1 == j - jb:
+                pair = a[ia] << 32 | b[jb]
+                parts.append(f"{a[ia]}|{b[jb]}")
+                links[pair] = links.get(pair, 0) + 1
+            else:
+                left, right = a[ia:i], b[jb:j]
+                parts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+                if (i - ia) * (j - jb) > 64:  # many tokens: by distinct ids
+                    left, right = Counter(left).items(), Counter(right).items()
+                else:
+                    left, right = [(k, 1) for k in left], [(k, 1) for k in right]
+                for p_id, n in left:
+                    for q_id, m in right:
+                        pair = p_id << 32 | q_id
+                        links[pair] = links.get(pair, 0) + n * m
+            ia, jb = i, j
         return len(a), len(b), n_groups, n_links, ";".join(parts), links
 
     def aligned(self, a: list[int], b: list[int]) -> tuple | None:
