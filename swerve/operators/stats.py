@@ -34,24 +34,6 @@ def icc1(m: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return a.select(*by, "j", "k0", "msb", "msw", F.greatest(raw, F.lit(0.0)).alias("icc"), (raw < 0).alias("clamped"))
 
 
-def replicate_weights(groups: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
-    """(rep, key, times) of a cluster bootstrap: in each rep a group is drawn about as often as one of many draws
-    with replacement would take it, a Poisson number of mean 1 fixed by seed, rep and key, so no group
-    needs a number of its own. Groups that aren't drawn are left out."""
-    below, terms = F.lit(0), 0.0
-    u = hash_uniform(seed, "rep", key)
-    for k in range(12):  # beyond twelve draws lies less than 1e-9 of all
-        terms += math.exp(-1) / math.factorial(k)
-        below = below + (u >= terms).cast("int")
-    each = groups.select(key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    return each.select("rep", key, below.cast("long").alias("times")).where("times > 0")
-
-
-def bayes_weight(seed: int, *keys: str) -> Column:
-    """An exponential weight fixed by seed and keys."""
-    return -F.log(F.greatest(hash_uniform(seed, *keys), F.lit(1e-12)))
-
-
 def gram(df: DataFrame, xs: list[str], y: str, by: list[str] = [], weight: Column | None = None) -> DataFrame:  # noqa: B006
     """Cross products of an intercept, the columns xs and y, per group: one aggregation."""
     cols = [F.lit(1.0), *[c(x).cast("double") for x in xs], c(y).cast("double")]
@@ -98,8 +80,31 @@ def ols(df: DataFrame, xs: list[str], y: str, cluster: str | None = None, weight
         for j in range(i, p):
             m[i, j] = m[j, i] = s[f"m{i}_{j}"]
     bread = np.linalg.pinv(xx)
-    se = np.sqrt(np.maximum(np.diag(factor * bread @ m @ bread), 0))
-    return {"names": ["intercept", *xs], "beta": beta, "se": se, "mde": DETECTABLE * se, "n": int(n), "r2": 1 - s["rr"] / (s["syy"] - s["sy"] ** 2 / s["sw"])}
+    cov = factor * bread @ m @ bread
+    se = np.sqrt(np.maximum(np.diag(cov), 0))
+    return {"names": ["intercept", *xs], "beta": beta, "cov": cov, "se": se, "mde": DETECTABLE * se, "n": int(n), "r2": 1 - s["rr"] / (s["syy"] - s["sy"] ** 2 / s["sw"])}
+
+
+def wald(fit: dict, names: list[str]) -> tuple[float, int, float]:
+    """Joint test that these coefficients are 0: the statistic, its degrees of freedom, and the chance of a larger one."""
+    at = [fit["names"].index(n) for n in names]
+    b = fit["beta"][at]
+    w = float(b @ np.linalg.pinv(fit["cov"][np.ix_(at, at)]) @ b)
+    k, p = (1, math.erfc(math.sqrt(w / 2))) if len(at) % 2 else (2, math.exp(-w / 2))
+    while k < len(at):  # two degrees of freedom more
+        p += math.exp(k / 2 * math.log(w / 2) - w / 2 - math.lgamma(k / 2 + 1)) if w > 0 else 0.0
+        k += 2
+    return w, len(at), p
+
+
+def spline_basis(x: Column, knots: list[float]) -> list[Column]:
+    """Restricted cubic spline: len(knots) - 2 columns beside x itself, linear beyond the outer knots."""
+    t = sorted(set(knots))
+    if len(t) < 3:
+        raise ValueError(f"a restricted cubic spline needs 3 distinct knots at least, got {t}")
+    cube = lambda k: F.pow(F.greatest(x - F.lit(float(k)), F.lit(0.0)), 3)
+    last, before = t[-1], t[-2]
+    return [(cube(k) - cube(before) * ((last - k) / (last - before)) + cube(last) * ((before - k) / (last - before))) / (last - t[0]) ** 2 for k in t[:-2]]
 
 
 def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 64) -> DataFrame:

@@ -145,3 +145,28 @@ def crossing(df: DataFrame, keys: list[str], order: list[str], t: str, axis: str
     at = F.when(c("_pa").isNull(), c(t)).otherwise(c("_pt") + (c(t) - c("_pt")) * (distance - c("_pa")) / (c(axis) - c("_pa")))
     policy = F.when(c("_pt").isNull(), "none").when(F.lit(longest is not None) & (c(t) - c("_pt") > (longest or 0.0)), "too_long").otherwise("bridged")
     return first.select(*keys, at.alias("crossed_at"), policy.alias("policy"))
+
+
+def fit_exponential(df: DataFrame, keys: list[str], t: str, v: str, taus: list[float], finer: list[list[float]], least: int) -> DataFrame:
+    """Least squares of v = vmax (1 - exp(-t / tau)) in each track: keys, found, tau, vmax, rmse, r2, at_lower, at_upper.
+
+    vmax follows from tau, so tau alone is searched: among taus, then among the factors of each list of `finer` around the best, within the
+    range of taus. A round is one aggregation with the sums of all its candidates; no row is repeated. Tracks of fewer than
+    `least` frames or of no duration aren't fitted.
+    """
+    lo, hi = F.lit(taus[0]), F.lit(taus[-1])
+    rows = df.where(F.col(t).isNotNull() & F.col(v).isNotNull()).select(*keys, F.col(t).cast("double").alias("_t"), F.col(v).cast("double").alias("_v"))
+    best = None
+    for candidates in [taus, *finer]:
+        now = rows if best is None else rows.join(best.where("_tau is not null").select(*keys, "_tau"), keys)
+        tau = [F.lit(x) if best is None else F.least(hi, F.greatest(lo, F.col("_tau") * x)) for x in candidates]
+        rise = [1 - F.exp(-F.col("_t") / x) for x in tau]
+        sums = [e for k, b in enumerate(rise) for e in (F.sum(F.col("_v") * b).alias(f"_p{k}"), F.sum(b * b).alias(f"_q{k}"))]
+        own = [] if best is None else [F.first("_tau").alias("_tau")]
+        s = now.groupBy(*keys).agg(*sums, *own, F.sum(F.col("_v") * F.col("_v")).alias("_vv"), F.count("*").alias("_n"), F.max("_t").alias("_last"), (F.var_pop("_v") * F.count("*")).alias("_spread"))
+        left = lambda k: F.col("_vv") - F.col(f"_p{k}") * F.col(f"_p{k}") / F.col(f"_q{k}")
+        each = F.array(*[F.struct(left(k).alias("sse"), x.alias("tau"), F.try_divide(F.col(f"_p{k}"), F.col(f"_q{k}")).alias("vmax")) for k, x in enumerate(tau)])
+        fits = (F.col("_n") >= least) & (F.col("_last") > 0)
+        best = s.withColumn("_b", F.when(fits, F.array_min(F.filter(each, lambda x: x["sse"].isNotNull())))).select(*keys, "_n", "_spread", F.col("_b.tau").alias("_tau"), F.col("_b.vmax").alias("vmax"), F.col("_b.sse").alias("_sse"))
+    out = df.select(*keys).distinct().join(best, keys, "left")
+    return out.select(*keys, F.col("_tau").isNotNull().alias("found"), F.col("_tau").alias("tau"), "vmax", F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / F.col("_n")).alias("rmse"), (1 - F.try_divide(F.col("_sse"), F.col("_spread"))).alias("r2"), F.coalesce(F.col("_tau") <= lo, F.lit(False)).alias("at_lower"), F.coalesce(F.col("_tau") >= hi, F.lit(False)).alias("at_upper"))

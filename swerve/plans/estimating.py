@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swerve.functions.columns import band, hash_uniform
+from swerve.operators import replicates as B
 from swerve.operators import stats as S
 from swerve.sources.tables import TURNS, read, turns
 
@@ -149,24 +150,59 @@ def stat_moment_tau2(spark: SparkSession, d: str) -> DataFrame:
     return a.select("grp", R(F.greatest(c("v") - c("noise"), F.lit(0.0)), 1).alias("tau2"), R("noise", 1).alias("noise"), F.when(c("v") > c("noise"), "positive").otherwise("zero").alias("status"))
 
 
-def boot(spark: SparkSession, d: str) -> DataFrame:
-    """Per replicate: the pooled mean, and the share of between-player variance."""
-    m = moments(spark, d, ("player",))
-    w = S.replicate_weights(m.select("player"), "player", REPS, SEED)
-    n, mean = c("n") * c("times"), c("mean")
-    return m.join(w, "player").groupBy("rep").agg((F.sum(n * mean) / F.sum(n)).alias("mean"), ((F.sum(n * mean * mean) - F.pow(F.sum(n * mean), 2) / F.sum(n)) / (F.sum(n * mean * mean) - F.pow(F.sum(n * mean), 2) / F.sum(n) + F.sum(c("ss") * c("times")))).alias("eta2"))
-
-
-@query("stat_cluster_bootstrap")
+def draws_sql(kind: str, reps: int = REPS) -> str:
+    """CTE w of (rep, player, w) over the players of m."""
+    return f"w AS ({B.weights_sql('(SELECT DISTINCT player FROM m)', 'player', reps, SEED, kind)})"
+
+
+BOOT_SUMS = ["j", "n", "nn", "nm", "nmm", "ss", "hits"]
+BOOT_STATS = {
+    "mean": "nm / n",
+    "proportion": "hits / n",
+    "icc": "greatest(0.0, ((nmm - nm * nm / n) / (j - 1) - ss / (n - j)) / ((nmm - nm * nm / n) / (j - 1) + ((n - nn / n) / (j - 1) - 1) * ss / (n - j)))",
+    "eta2": "(nmm - nm * nm / n) / (nmm - nm * nm / n + ss)",
+}
+BOOT_SQL = f"""WITH {TURNS}, p AS (SELECT player, count(*)::DOUBLE AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss, count(*) FILTER (WHERE value > 0.05) AS hits FROM t GROUP BY 1),
+ m AS (SELECT player, 1.0::DOUBLE AS j, n, n * n AS nn, n * mean AS nm, n * mean * mean AS nmm, ss, hits::DOUBLE AS hits FROM p), {draws_sql("poisson")},
+ v AS (SELECT rep, player, w FROM w UNION ALL SELECT -1, player, 1 FROM m),
+ s AS (SELECT rep, {", ".join(f"sum(w * {k}) AS {k}" for k in BOOT_SUMS)} FROM m JOIN v USING (player) GROUP BY 1),
+ a AS (SELECT rep, angle, sum(w * n) AS n FROM (SELECT player, angle, count(*) AS n FROM t GROUP BY 1, 2) JOIN v USING (player) GROUP BY 1, 2),
+ u AS (SELECT rep, angle, sum(n) OVER (PARTITION BY rep ORDER BY angle) AS upto, sum(n) OVER (PARTITION BY rep) AS total FROM a WHERE n > 0),
+ g AS (SELECT rep, cell, sum(w * n) AS n FROM (SELECT player, floor(angle / 10)::BIGINT AS cell, count(*) AS n FROM t GROUP BY 1, 2) JOIN v USING (player) GROUP BY 1, 2),
+ x AS ({" UNION ALL ".join(f"SELECT rep, '{k}' AS statistic, NULL::BIGINT AS cell, {e} AS x FROM s" for k, e in BOOT_STATS.items())}
+  UNION ALL SELECT rep, 'median', NULL, (min(angle) FILTER (WHERE upto > floor((total - 1) / 2)) + min(angle) FILTER (WHERE upto > ceil((total - 1) / 2))) / 2 FROM u GROUP BY 1
+  UNION ALL SELECT rep, 'share', cell, g.n / s.n FROM g JOIN s USING (rep))
+ SELECT statistic, cell, count(*) FILTER (WHERE rep >= 0) AS reps, round(max(x) FILTER (WHERE rep < 0), 6) AS point, round(quantile_cont(x, 0.025) FILTER (WHERE rep >= 0), 6) AS lo, round(quantile_cont(x, 0.975) FILTER (WHERE rep >= 0), 6) AS hi FROM x GROUP BY 1, 2"""
+
+
+@query("stat_cluster_bootstrap", BOOT_SQL)
 def stat_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return boot(spark, d).agg(F.count("*").alias("reps"), R(F.avg("mean"), 3).alias("mean"), R(q[0], 3).alias("lo"), R(q[1], 3).alias("hi"), R(F.avg("eta2")).alias("eta2"))
-
-
-@query("stat_bayes_bootstrap_weights")
+    """Intervals over replicates that draw players with all their rows: mean, proportion, ICC and share of between-player
+    variance of the outcome, the median angle, and each angle cell's share of rows."""
+    t = turns(spark, d)
+    m = S.settled(t.groupBy("player").agg(F.count("*").cast("double").alias("n"), F.avg("price").alias("mean"), (F.var_pop("price") * F.count("*")).alias("ss"), F.count_if(c("value") > 0.05).alias("hits")))
+    m = m.select("player", F.lit(1.0).alias("j"), "n", (c("n") * c("n")).alias("nn"), (c("n") * c("mean")).alias("nm"), (c("n") * c("mean") * c("mean")).alias("nmm"), "ss", "hits")
+    drawn = S.settled(B.replicate_sums(m, "player", BOOT_SUMS, REPS, SEED))
+    whole = m.agg(*[F.sum(k).alias(k) for k in BOOT_SUMS]).withColumn("rep", F.lit(-1)).select("rep", *BOOT_SUMS)
+    sums = drawn.select("rep", *BOOT_SUMS).union(whole)
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.lit(None).cast("long").alias("cell"), F.expr(e).alias("x")) for k, e in BOOT_STATS.items()]))
+    out = sums.select("rep", named.alias("v")).select("rep", "v.*")
+    medians = B.replicate_quantile(t, "player", "angle", 0.5, REPS, SEED)
+    middle = table_of(spark, [(k, float(x)) for k, x in enumerate(medians) if x == x], "rep int, x double").union(t.agg(F.lit(-1), F.median("angle")))
+    out = out.union(middle.select("rep", F.lit("median"), F.lit(None).cast("long"), "x"))
+    g = cells(t).where("cell >= 0").groupBy("player", "cell").agg(F.count("*").alias("n"))
+    top = g.agg(F.max("cell")).first()[0]
+    if top is not None:
+        shares = B.replicate_sums(g, "player", ["n"], REPS, SEED, by="cell", groups=top + 1).select("rep", c("cell").cast("long").alias("cell"), "n").union(g.groupBy("cell").agg(F.sum("n").cast("double").alias("n")).select(F.lit(-1), "cell", "n"))
+        out = out.union(shares.join(F.broadcast(sums.select("rep", c("n").alias("all"))), "rep").select("rep", F.lit("share"), "cell", c("n") / c("all")))
+    q = F.percentile(F.when(c("rep") >= 0, c("x")), F.array(F.lit(0.025), F.lit(0.975)))
+    return out.groupBy("statistic", "cell").agg(F.count_if(c("rep") >= 0).alias("reps"), R(F.max(F.when(c("rep") < 0, c("x")))).alias("point"), q.alias("q")).select("statistic", "cell", "reps", "point", R(c("q")[0]).alias("lo"), R(c("q")[1]).alias("hi"))
+
+
+@query("stat_bayes_bootstrap_weights", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(price) AS s FROM t GROUP BY 1), {draws_sql('exponential')} SELECT rep::INTEGER AS rep, round(sum(w * s) / sum(w * n), 4) AS mean, round(avg(w), 6) AS mean_weight FROM m JOIN w USING (player) GROUP BY 1")
 def stat_bayes_bootstrap_weights(spark: SparkSession, d: str) -> DataFrame:
-    m = moments(spark, d, ("player",)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("w", S.bayes_weight(SEED, "rep", "player"))
-    return m.groupBy("rep").agg(R(F.sum(c("w") * c("n") * c("mean")) / F.sum(c("w") * c("n")), 4).alias("mean"), R(F.avg("w")).alias("mean_weight"))
+    m = turns(spark, d).groupBy("player").agg(F.lit(1).alias("j"), F.count("*").alias("n"), F.sum("price").alias("s"))
+    return B.replicate_sums(m, "player", ["j", "n", "s"], REPS, SEED, "exponential").crossJoin(m.agg(F.count("*").alias("players"))).select("rep", R(c("s") / c("n"), 4).alias("mean"), R(c("j") / c("players")).alias("mean_weight"))
 
 
 @query("stat_bernoulli_draws")
@@ -215,19 +251,19 @@ def stat_cluster_ols(spark: SparkSession, d: str) -> DataFrame:
     return coefficients(spark, S.ols(t, X, "price", "player"), "pooled").union(coefficients(spark, S.ols(within(t, [*X, "price"]), X, "price", "player"), "fixed", ("intercept",)))
 
 
-@query("stat_wild_cluster")
+WILD_REPS = 1999
+WILD_SQL = f"""WITH {TURNS}, f AS (WITH {fit_sql("t", plain, "price")} SELECT * FROM rest), b AS (SELECT sum(r2 * y) / sum(r2 * r2) AS b, count(*) AS n, {", ".join(f"sum(r{k} * r{k}) AS q{k}" for k in range(4))} FROM f),
+ m AS (SELECT player, {", ".join(f"sum(r{k} * (e + b * r2)) / any_value(q{k}) AS d{k}, sum(r2 * z{k}) / any_value(q2) AS p{k}" for k in range(4))}, sum(r2 * e) / any_value(q2) AS u FROM f, b GROUP BY 1),
+ o AS (SELECT sum(d2 * d2) AS qq, sum(u * u) AS uu, count(*) AS g, {", ".join(f"sum(p{j} * p{k}) AS x{j}{k}" for j in range(4) for k in range(4))} FROM m), {draws_sql("sign", WILD_REPS)},
+ s AS (SELECT rep, {", ".join(f"sum(w * d{k}) AS s{k}, sum(w * d2 * p{k}) AS c{k}" for k in range(4))} FROM m JOIN w USING (player) GROUP BY 1),
+ t2 AS (SELECT rep, s2, qq - 2 * ({" + ".join(f"s{k} * c{k}" for k in range(4))}) + {" + ".join(f"s{j} * x{j}{k} * s{k}" for j in range(4) for k in range(4))} AS v FROM s, o)
+ SELECT 'value' AS term, round(b, 3) AS estimate, round(abs(b) / sqrt(g / (g - 1.0) * (n - 1.0) / (n - 4) * uu), 6) AS t, round((k + 1) / {WILD_REPS + 1}.0, 6) AS p, {WILD_REPS} AS reps, g AS clusters FROM b, o, (SELECT count(*) FILTER (WHERE abs(s2) / sqrt(v) >= abs(b) / sqrt(uu)) AS k FROM t2, b, o)"""
+
+
+@query("stat_wild_cluster", WILD_SQL)
 def stat_wild_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Restricted wild bootstrap of the coefficient of value: signs per cluster on per-cluster cross products."""
-    t, xs, p = turns(spark, d), X, 4
-    full = S.ols(t, xs, "price", "player")
-    null = S.solve(*S.unpack(S.gram(t, ["angle", "tax"], "price").first(), 3)[:2])
-    rows = t.withColumn("e0", c("price") - S.linear(["angle", "tax"], null))
-    g = S.gram(rows, xs, "e0", ["player"])
-    reps = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(98)))).withColumn("sign", F.when(hash_uniform(SEED, "rep", "player") < 0.5, -1.0).otherwise(1.0))
-    sums = reps.groupBy("rep").agg(*[F.sum(f"g{i}_{j}").alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(c("sign") * c(f"g{i}_{p}")).alias(f"g{i}_{p}") for i in range(p + 1)]).collect()
-    null_betas = np.array([S.solve(*S.unpack(r, p)[:2])[2] for r in sums])
-    b = float(full["beta"][2])
-    return table_of(spark, [("value", round(b, 6), round(float((np.abs(null_betas) >= abs(b)).mean()), 6), len(sums))], "term string, estimate double, p double, reps long")
+    w = B.wild_cluster(turns(spark, d), X, "price", "value", "player", WILD_REPS, SEED)
+    return table_of(spark, [("value", round(w["estimate"], 3), round(w["t"], 6), round(w["p"], 6), w["reps"], w["clusters"])], "term string, estimate double, t double, p double, reps int, clusters long")
 
 
 @query("stat_identified_set", f"WITH {TURNS}, e AS (SELECT play, avg(value) AS x, min(price) AS lo, max(price) AS hi, arg_min(price, (line, player, part)) AS first, arg_min(price, md5('{SEED}:' || play || ':' || line || ':' || player || ':' || part)) AS drawn FROM t GROUP BY 1), m AS (SELECT avg(x) AS mx, var_pop(x) AS vx, count(*) AS n FROM e), w AS (SELECT *, (x - mx) / (vx * n) AS w FROM e, m) SELECT round(sum(least(w * lo, w * hi)), 3) AS least, round(sum(greatest(w * lo, w * hi)), 3) AS largest, round(sum(w * first), 3) AS first, round(sum(w * drawn), 3) AS random FROM w")
@@ -241,19 +277,33 @@ def stat_identified_set(spark: SparkSession, d: str) -> DataFrame:
     return w.agg(R(F.sum(F.least(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("least"), R(F.sum(F.greatest(c("w") * c("lo"), c("w") * c("hi"))), 3).alias("largest"), R(F.sum(c("w") * c("first")), 3).alias("first"), R(F.sum(c("w") * c("drawn")), 3).alias("random"))
 
 
-def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFrame:
-    t = turns(spark, d)
-    sums = t.groupBy("player").agg(F.count("*").alias("n"), F.sum("angle").alias("sx"), F.sum(c("angle") * c("angle")).alias("sxx"), *[F.sum(y).alias(f"s_{y}") for y in ys], *[F.sum(c("angle") * c(y)).alias(f"x_{y}") for y in ys])
-    w = sums.join(S.replicate_weights(sums.select("player"), "player", REPS, SEED), "player")
-    tot = w.groupBy("rep").agg(*[F.sum(c(k) * c("times")).alias(k) for k in sums.columns if k != "player"])
+def slope_sums(t: DataFrame, ys: tuple[str, ...]) -> DataFrame:
+    return t.groupBy("player").agg(F.count("*").alias("n"), F.sum("angle").alias("sx"), F.sum(c("angle") * c("angle")).alias("sxx"), *[F.sum(y).alias(f"s_{y}") for y in ys], *[F.sum(c("angle") * c(y)).alias(f"x_{y}") for y in ys])
+
+
+def slopes(tot: DataFrame, ys: tuple[str, ...]) -> DataFrame:
     return tot.select("rep", *[((c("n") * c(f"x_{y}") - c("sx") * c(f"s_{y}")) / (c("n") * c("sxx") - c("sx") * c("sx"))).alias(f"slope_{y}") for y in ys])
 
 
-@query("stat_paired_delta")
+def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFrame:
+    sums = slope_sums(turns(spark, d), ys)
+    return slopes(B.replicate_sums(sums, "player", sums.columns[1:], REPS, SEED), ys)
+
+
+PAIRED = f"""WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(angle * angle) AS sxx, sum(value) AS sv, sum(tax) AS st, sum(angle * value) AS xv, sum(angle * tax) AS xt FROM t GROUP BY 1), {draws_sql("poisson")},
+ s AS (SELECT rep, {", ".join(f"sum(w * {k}) AS {k}" for k in ("n", "sx", "sxx", "sv", "st", "xv", "xt"))} FROM m JOIN (SELECT * FROM w UNION ALL SELECT -1, player, 1 FROM m) USING (player) GROUP BY 1), x AS (SELECT rep, ((n * xv - sx * sv) - (n * xt - sx * st)) / (n * sxx - sx * sx) AS delta FROM s)
+ SELECT count(*) FILTER (WHERE rep >= 0) AS reps, round(max(delta) FILTER (WHERE rep < 0), 9) AS delta, round(quantile_cont(delta, 0.025) FILTER (WHERE rep >= 0), 9) AS lo, round(quantile_cont(delta, 0.975) FILTER (WHERE rep >= 0), 9) AS hi FROM x"""
+
+
+@query("stat_paired_delta", PAIRED)
 def stat_paired_delta(spark: SparkSession, d: str) -> DataFrame:
-    delta = c("slope_value") - c("slope_tax")
-    q = F.percentile(delta, F.array(F.lit(0.025), F.lit(0.975)))
-    return replicate_slopes(spark, d, ("value", "tax")).agg(F.count("*").alias("reps"), R(F.avg(delta), 9).alias("delta"), R(q[0], 9).alias("lo"), R(q[1], 9).alias("hi"))
+    """The difference of two slopes on all rows, and its interval over replicates that draw the same players for both."""
+    ys = ("value", "tax")
+    sums = S.settled(slope_sums(turns(spark, d), ys))
+    whole = slopes(sums.agg(F.lit(-1).alias("rep"), *[F.sum(k).alias(k) for k in sums.columns[1:]]), ys)
+    x = slopes(B.replicate_sums(sums, "player", sums.columns[1:], REPS, SEED), ys).union(whole).select("rep", (c("slope_value") - c("slope_tax")).alias("delta"))
+    q = F.percentile(F.when(c("rep") >= 0, c("delta")), F.array(F.lit(0.025), F.lit(0.975)))
+    return x.agg(F.count_if(c("rep") >= 0).alias("reps"), R(F.max(F.when(c("rep") < 0, c("delta"))), 9).alias("delta"), R(q[0], 9).alias("lo"), R(q[1], 9).alias("hi"))
 
 
 @query("stat_quantile_regression")
@@ -373,12 +423,29 @@ def stat_concordance(spark: SparkSession, d: str) -> DataFrame:
     return S.concordance(t, "time", "risk", "event").select("pairs", R(F.try_divide(c("higher") + 0.5 * c("tied"), c("pairs"))).alias("concordance"))
 
 
-@query("stat_dose_bins", ols_sql("ols", "t", {n: f"CASE WHEN angle >= {lo} AND angle < {hi} THEN 1 ELSE 0 END" for n, lo, hi in (("b15", 15, 30), ("b30", 30, 45), ("b45", 45, 1000))}, "price", "player"))
+DOSES = {n: f"CASE WHEN angle >= {lo} AND angle < {hi} THEN 1 ELSE 0 END" for n, lo, hi in (("b15", 15, 30), ("b30", 30, 45), ("b45", 45, 1000))}
+KNOTS = [0.05, 0.35, 0.65, 0.95]
+CUBE = lambda k: f"power(greatest(angle - {k}, 0), 3)"
+SPLINE = {"angle": "angle"} | {f"spline{j}": f"({CUBE(f'k{j}')} - {CUBE('k3')} * (k4 - k{j}) / (k4 - k3) + {CUBE('k4')} * (k3 - k{j}) / (k4 - k3)) / power(k4 - k1, 2)" for j in (1, 2)}
+KNOTTED = f"{TURNS}, kn AS (SELECT {', '.join(f'quantile_cont(angle, {q}) AS k{j}' for j, q in enumerate(KNOTS, 1))} FROM t), ts AS (SELECT * FROM t, kn)"
+NONLINEAR = f"""SELECT 'wald' AS model, 'nonlinear' AS term, round(w, 3) AS estimate, NULL::DOUBLE AS se, NULL::DOUBLE AS mde, n, NULL::DOUBLE AS r2, round(exp(-w / 2), 6) AS p FROM (SELECT n, (b2 * b2 * v33 - 2 * b2 * b3 * v23 + b3 * b3 * v22) / (v22 * v33 - v23 * v23) AS w FROM (
+ WITH {KNOTTED}, {fit_sql("ts", SPLINE, "price")}, a AS (SELECT count(*) AS n, sum(r2 * y) / sum(r2 * r2) AS b2, sum(r3 * y) / sum(r3 * r3) AS b3, sum(r2 * r2) AS q2, sum(r3 * r3) AS q3 FROM rest), g AS (SELECT player, sum(r2 * e) AS s2, sum(r3 * e) AS s3 FROM rest GROUP BY 1)
+ SELECT any_value(n) AS n, any_value(b2) AS b2, any_value(b3) AS b3, any_value(f) * sum(s2 * s2) / any_value(q2 * q2) AS v22, any_value(f) * sum(s3 * s3) / any_value(q3 * q3) AS v33, any_value(f) * sum(s2 * s3) / any_value(q2 * q3) AS v23 FROM g, a, (SELECT count(*) / (count(*) - 1.0) * (any_value(n) - 1.0) / (any_value(n) - 4.0) AS f FROM g, a)))"""
+
+
+@query("stat_dose_bins", f"SELECT *, NULL::DOUBLE AS p FROM ({ols_sql('bins', 't', DOSES, 'price', 'player')}) UNION ALL SELECT *, NULL::DOUBLE FROM ({ols_sql('spline', 'ts', SPLINE, 'price', 'player', before=KNOTTED)}) UNION ALL {NONLINEAR}")
 def stat_dose_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome by bins of the angle and by a restricted cubic spline of it, with a joint test of the spline's
+    nonlinear terms; errors by player."""
     t = turns(spark, d)
-    names = ["b15", "b30", "b45"]
-    t = t.withColumn("band", F.coalesce(band(t.angle, EDGES), F.lit("low"))).withColumns({n: (c("band") == v).cast("double") for n, v in zip(names, ("15-30", "30-45", "45+"), strict=True)})
-    return coefficients(spark, S.ols(t, names, "price", "player"))
+    t = t.withColumn("band", F.coalesce(band(t.angle, EDGES), F.lit("low"))).withColumns({n: (c("band") == v).cast("double") for n, v in zip(DOSES, ("15-30", "30-45", "45+"), strict=True)})
+    knots = list(S.quantiles(t.withColumn("all", F.lit(1)), ["all"], "angle", KNOTS).select(*[f"q{k}" for k in range(len(KNOTS))]).first())
+    basis = {f"spline{j}": e for j, e in enumerate(S.spline_basis(c("angle"), knots), 1)}
+    fit = S.ols(t.withColumns(basis), ["angle", *basis], "price", "player")
+    w, _, p = S.wald(fit, list(basis))
+    test = table_of(spark, [("wald", "nonlinear", round(w, 3), None, None, fit["n"], None, round(p, 6))], "model string, term string, estimate double, se double, mde double, n long, r2 double, p double")
+    each = coefficients(spark, S.ols(t, list(DOSES), "price", "player"), "bins").union(coefficients(spark, fit, "spline"))
+    return each.withColumn("p", F.lit(None).cast("double")).union(test)
 
 
 @query("stat_leave_one_out", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy FROM t GROUP BY 1), o AS (SELECT sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM m), b AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM o) SELECT count(*) AS players, round(min(b), 6) AS least, round(max(b), 6) AS largest FROM b")

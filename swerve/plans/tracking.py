@@ -163,13 +163,27 @@ def ts_lag_of_max_xcorr(spark: SparkSession, d: str) -> DataFrame:
 
 
 TAUS = [20.0 * 1.25**k for k in range(16)]
+#: Steps around the best constant of the round before: an eighth, then a sixty-fourth of a step of the grid.
+FINER = [[1.25 ** (j / m) for j in range(-8, 9)] for m in (8, 64)]
+LEAST_FRAMES = 5
 
 
-@query("ts_fit_exponential", f"WITH {PATH}, g AS (SELECT unnest({TAUS}) AS tau), f AS (SELECT track, tau, path AS v, 1 - exp(-r / tau) AS b FROM pa, g), m AS (SELECT track, tau, sum(v * b) / sum(b * b) AS vmax, sum(v * v) - sum(v * b) * sum(v * b) / sum(b * b) AS sse FROM f GROUP BY 1, 2) SELECT track, round(arg_min(tau, sse), 4) AS tau, round(arg_min(vmax, sse), 2) AS vmax FROM m GROUP BY 1")
+def fit_sql(name: str, candidates: str) -> str:
+    """CTE of (track, tau, vmax, sse, n, spread), the best of each track among candidates (track, tau)."""
+    return f"{name} AS MATERIALIZED (SELECT track, arg_min(tau, sse) AS tau, arg_min(vb / bb, sse) AS vmax, min(sse) AS sse, any_value(n) AS n, any_value(spread) AS spread FROM (SELECT track, tau, sum(v * b) AS vb, sum(b * b) AS bb, sum(v * v) - sum(v * b) * sum(v * b) / sum(b * b) AS sse, count(*) AS n, var_pop(v) * count(*) AS spread FROM (SELECT pa.track, tau, path AS v, 1 - exp(-r / tau) AS b FROM pa JOIN ({candidates}) USING (track)) GROUP BY 1, 2) GROUP BY 1)"
+
+
+FITS = ", ".join([
+    f"pa AS MATERIALIZED (SELECT * FROM pb WHERE track IN (SELECT track FROM pb GROUP BY track HAVING count(*) >= {LEAST_FRAMES} AND max(r) > 0))", fit_sql("z0", f"SELECT DISTINCT track, tau FROM pa, (SELECT unnest({TAUS}) AS tau)"),
+    *[fit_sql(f"z{k}", f"SELECT DISTINCT track, least({TAUS[-1]!r}::DOUBLE, greatest({TAUS[0]!r}::DOUBLE, tau * q)) AS tau FROM z{k - 1}, (SELECT unnest({f}) AS q)") for k, f in enumerate(FINER, 1)],
+])
+
+
+@query("ts_fit_exponential", f"WITH {PATH.replace('pa AS', 'pb AS')}, {FITS} SELECT track, z2.n IS NOT NULL AS found, round(tau, 3) AS tau, round(vmax, 2) AS vmax, round(sqrt(greatest(sse, 0) / n), 4) AS rmse, round(1 - sse / spread, 5) AS r2, coalesce(tau <= {TAUS[0]!r}::DOUBLE, false) AS at_lower, coalesce(tau >= {TAUS[-1]!r}::DOUBLE, false) AS at_upper FROM (SELECT DISTINCT track FROM pb) LEFT JOIN z2 USING (track)")
 def ts_fit_exponential(spark: SparkSession, d: str) -> DataFrame:
-    f = pathed(spark, d).select("track", c("path").alias("v"), "r", F.explode(F.array(*map(F.lit, TAUS))).alias("tau")).withColumn("b", 1 - F.exp(-c("r") / c("tau")))
-    m = f.groupBy("track", "tau").agg((F.sum(c("v") * c("b")) / F.sum(c("b") * c("b"))).alias("vmax"), (F.sum(c("v") * c("v")) - F.sum(c("v") * c("b")) * F.sum(c("v") * c("b")) / F.sum(c("b") * c("b"))).alias("sse"))
-    return m.groupBy("track").agg(R(F.min_by("tau", "sse"), 4).alias("tau"), R(F.min_by("vmax", "sse"), 2).alias("vmax"))
+    """The path as vmax (1 - exp(-t / tau)), with root mean square error, R2 and whether tau lies on a bound of its range."""
+    f = T.fit_exponential(pathed(spark, d), ["track"], "r", "path", TAUS, FINER, LEAST_FRAMES)
+    return f.select("track", "found", R("tau", 3).alias("tau"), R("vmax", 2).alias("vmax"), R("rmse", 4).alias("rmse"), R("r2", 5).alias("r2"), "at_lower", "at_upper")
 
 
 @query("ts_kinematics_crosscheck", f"WITH {HEAD}, b AS (SELECT *, CASE WHEN speed >= 20 THEN 'fast' WHEN speed >= 5 THEN 'mid' ELSE 'slow' END AS band, speed - x AS gap FROM hd) SELECT band, count(*) AS n, round(avg(gap), 3) AS bias, round(avg(abs(gap)), 3) AS mae FROM b GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swerve.operators import geometry as G
 from swerve.operators import tracks as T
 from swerve.operators import turns as U
 from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
@@ -153,48 +154,61 @@ def turn_threshold_delta(spark: SparkSession, d: str) -> DataFrame:
     return out.select("track", "loose", "strict", c("matched").cast("long").alias("matched"), (c("loose") - c("matched")).alias("lost"), (c("strict") - c("matched")).alias("new"))
 
 
-def centres(spark: SparkSession, d: str, k: int = 4) -> list[tuple[float, float]]:
-    """Centres of the densest grid cells, at least 20 apart."""
-    g = frames(spark, d).groupBy(F.floor(c("x") / 10).alias("gx"), F.floor(c("y") / 10).alias("gy")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    out: list[tuple[float, float]] = []
-    for r in g.orderBy(F.desc("n"), "gx", "gy").limit(500).collect():
-        if len(out) < k and all((r["x"] - a) ** 2 + (r["y"] - b) ** 2 >= 400 for a, b in out):
-            out.append((r["x"], r["y"]))
-    return out
+GRID, APART, RADIUS, CENTRES = 10.0, 20.0, 15.0, 4
+
+
+def frame_centres(spark: SparkSession, d: str) -> G.Centres:
+    """Centres of all frames: the densest cells, then means."""
+    e = frames(spark, d).where("x is not null and y is not null").withColumn("drill", F.lit("all"))
+    return G.lloyd(e, "drill", G.density_seeds(e, "drill", CENTRES, GRID, APART))
 
 
-def nearest_centre(df: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
-    each = F.array(*[F.struct((F.pow(c("x") - a, 2) + F.pow(c("y") - b, 2)).alias("d"), F.lit(k).alias("k")) for k, (a, b) in enumerate(points)])
-    return df.withColumn("centre", F.array_min(each)["k"]).withColumn("distance", F.sqrt(F.array_min(each)["d"]))
+def centres_sql() -> str:
+    """CTEs up to cz (k, x, y), the centres of the frames e."""
+    gap = "sqrt(power(g.x - {s}.x, 2) + power(g.y - {s}.y, 2))"
+    out = [f"e2 AS (SELECT x, y, min(x) OVER () - {GRID} AS x0, min(y) OVER () - {GRID} AS y0 FROM e WHERE x IS NOT NULL AND y IS NOT NULL)"]
+    out.append(f"g AS MATERIALIZED (SELECT gx, gy, n, x0 + (gx + 0.5) * {GRID} AS x, y0 + (gy + 0.5) * {GRID} AS y FROM (SELECT floor((x - x0) / {GRID}) AS gx, floor((y - y0) / {GRID}) AS gy, any_value(x0) AS x0, any_value(y0) AS y0, count(*) AS n FROM e2 GROUP BY 1, 2))")
+    for j in range(CENTRES):
+        before = [f"s{i}" for i in range(j)]
+        far = " AND ".join(f"{gap.format(s=s)} >= {APART}" for s in before) or "true"
+        fresh = " AND ".join(f"{gap.format(s=s)} > 0" for s in before) or "true"
+        out.append(f"s{j} AS MATERIALIZED (SELECT g.x, g.y FROM {', '.join(['g', *before])} WHERE {fresh} ORDER BY {f"{far} DESC, " if before else ""}n DESC, gx, gy LIMIT 1)")
+    out.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {j} AS k, x, y, false AS still FROM s{j}" for j in range(CENTRES)) + ")")
+    for r in range(G.ROUNDS):
+        out.append(f"n{r} AS MATERIALIZED (SELECT k, avg(px) AS x, avg(py) AS y FROM (SELECT e2.x AS px, e2.y AS py, arg_min(k, (power(e2.x - c.x, 2) + power(e2.y - c.y, 2), k)) AS k FROM (SELECT *, row_number() OVER () AS i FROM e2) e2, c{r} c GROUP BY i, e2.x, e2.y) GROUP BY k)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, CASE WHEN still THEN c.x ELSE coalesce(n.x, c.x) END AS x, CASE WHEN still THEN c.y ELSE coalesce(n.y, c.y) END AS y, still OR max(greatest(abs(coalesce(n.x, c.x) - c.x), abs(coalesce(n.y, c.y) - c.y))) OVER () <= {G.STILL} AS still FROM c{r} c LEFT JOIN n{r} n ON c.k = n.k)")
+    return ", ".join([*out, f"cz AS (SELECT k, x, y FROM c{G.ROUNDS})"])
 
 
-@query("geo_density_cones")
+@query("geo_density_cones", f"WITH {FRAMES}, {centres_sql()}, a AS (SELECT i, arg_min(k, (power(p.x - cz.x, 2) + power(p.y - cz.y, 2), k)) AS k FROM (SELECT x, y, row_number() OVER () AS i FROM e2) p, cz GROUP BY i), m AS (SELECT k, count(*) AS n FROM a GROUP BY 1) SELECT cz.k::INTEGER AS centre, n, round(x, 3) AS x, round(y, 3) AS y FROM cz JOIN m ON cz.k = m.k")
 def geo_density_cones(spark: SparkSession, d: str) -> DataFrame:
-    points, e = centres(spark, d), frames(spark, d).select("x", "y")
-    for _ in range(5):
-        moved = nearest_centre(e, points).groupBy("centre").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("centre").collect()
-        new = {r["centre"]: (r["x"], r["y"]) for r in moved}
-        points = [new.get(k, p) for k, p in enumerate(points)]
-    return nearest_centre(e, points).groupBy("centre").agg(F.count("*").alias("n"), R(F.avg("x"), 4).alias("x"), R(F.avg("y"), 4).alias("y"))
+    found = frame_centres(spark, d)
+    e = frames(spark, d).where("x is not null and y is not null").withColumn("drill", F.lit("all"))
+    n = G.nearest(e, "drill", found).groupBy("centre").agg(F.count("*").alias("n"))
+    points = spark.createDataFrame([(i, round(x, 3), round(y, 3)) for i, (x, y) in enumerate(found.get("all", []))], "centre int, x double, y double")
+    return n.join(F.broadcast(points), "centre").select("centre", "n", "x", "y")
 
 
 @query("geo_score")
 def geo_score(spark: SparkSession, d: str) -> DataFrame:
-    """Centres from the even tracks; the odd tracks' turns are scored against them."""
+    """Turns of one half of the tracks give the centres of each label, those of the other half are scored against them."""
     r = running(spark, d)
-    found = U.detect(r, ["track"]).where("track % 2 = 1").select("track", c("apex").alias("i"))
-    at = nearest_centre(found.join(r.select("track", "i", "x", "y"), ["track", "i"]), centres(spark, d))
-    return at.groupBy("centre").agg(F.count("*").alias("turns"), R(F.avg((c("distance") <= 15).cast("double")), 6).alias("precision"))
+    found = U.metrics(r.drop("x", "y"), U.detect(r, ["track"]), ["track"]).select("track", c("apex").alias("i"), "angle")
+    events = found.join(r.select("track", "i", "label", "x", "y"), ["track", "i"])
+    s = G.score_events(events, "label", "track", ["i"], CENTRES, GRID, APART, RADIUS)
+    whole = ("label", "centres", "turns_estimate", "turns_eval", "matched_point", "expected_point", "matched_line", "expected_line", "angle_n")
+    return s.select(*whole, *[R(k).alias(k) for k in ("separation", "precision_point", "recall_point", "precision_line", "recall_line", "angle_error")])
+
+
+VISITS = "v AS (SELECT u.track, u.us, u.id, u.x, u.y, u.dh, arg_min(k, (power(u.x - cz.x, 2) + power(u.y - cz.y, 2), k)) AS k FROM u, cz WHERE u.x IS NOT NULL AND u.y IS NOT NULL GROUP BY ALL), f AS (SELECT *, k IS DISTINCT FROM lag(k) OVER w AS new FROM v WINDOW w AS (PARTITION BY track ORDER BY us, id)), p AS (SELECT * FROM f WHERE new), s AS (SELECT track, abs(dh) AS m, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS qx, lead(y) OVER w - y AS qy FROM p WINDOW w AS (PARTITION BY track ORDER BY us, id)), a AS (SELECT track, m, degrees(acos(greatest(-1, least(1, (ax * qx + ay * qy) / (sqrt(ax * ax + ay * ay) * sqrt(qx * qx + qy * qy)))))) AS geo FROM s WHERE sqrt(ax * ax + ay * ay) >= 1e-6 AND sqrt(qx * qx + qy * qy) >= 1e-6)"
 
 
-@query("geo_sequence_angle", f"WITH {FRAMES}, v AS (SELECT *, floor(x / 25) AS z FROM e), f AS (SELECT *, z IS DISTINCT FROM lag(z) OVER w AS new FROM v WINDOW w AS (PARTITION BY track ORDER BY us, id)), p AS (SELECT track, us, id, x, y FROM f WHERE new), s AS (SELECT track, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS cx, lead(y) OVER w - y AS cy FROM p WINDOW w AS (PARTITION BY track ORDER BY us, id)) SELECT track, count(*) AS triples, round(avg(degrees(acos(greatest(-1, least(1, (ax * cx + ay * cy) / (sqrt(ax * ax + ay * ay) * sqrt(cx * cx + cy * cy))))))), 3) AS angle FROM s WHERE sqrt(ax * ax + ay * ay) > 0 AND sqrt(cx * cx + cy * cy) > 0 GROUP BY 1")
+@query("geo_sequence_angle", f"WITH {HEAD}, {UNWRAP}, {centres_sql()}, {VISITS} SELECT track, count(*) AS triples, round(avg(geo), 3) AS angle, round(median(abs(geo - m)), 3) AS error FROM a GROUP BY 1")
 def geo_sequence_angle(spark: SparkSession, d: str) -> DataFrame:
-    v = frames(spark, d).withColumn("z", F.floor(c("x") / 25))
-    p = v.withColumn("new", ~c("z").eqNullSafe(F.lag("z").over(in_track()))).where("new")
-    s = p.select("track", (c("x") - F.lag("x").over(in_track())).alias("ax"), (c("y") - F.lag("y").over(in_track())).alias("ay"), (F.lead("x").over(in_track()) - c("x")).alias("bx"), (F.lead("y").over(in_track()) - c("y")).alias("by"))
-    size = lambda a, b: F.sqrt(c(a) * c(a) + c(b) * c(b))
-    cos = (c("ax") * c("bx") + c("ay") * c("by")) / (size("ax", "ay") * size("bx", "by"))
-    return s.where((size("ax", "ay") > 0) & (size("bx", "by") > 0)).groupBy("track").agg(F.count("*").alias("triples"), R(F.avg(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))), 3).alias("angle"))
+    """Visits of the centres in each track: the angle between the ways to and from a visit, and how far the measured turn at its first frame is from it."""
+    at = G.nearest(turned(spark, d).where("x is not null and y is not null").withColumn("drill", F.lit("all")), "drill", frame_centres(spark, d))
+    v = G.visit_angles(at, ["track"], ["us", "id"], F.abs("dh"))
+    return v.groupBy("track").agg(F.count("*").alias("triples"), R(F.avg("geometric"), 3).alias("angle"), R(F.median(F.abs(c("geometric") - c("measured"))), 3).alias("error"))
 
 
 @query("label_provenance_counts", f"WITH {TURNS} SELECT r_name AS family, count(DISTINCT player) AS players, count(DISTINCT play) AS plays, count(DISTINCT o_custkey) AS customers FROM t JOIN supplier ON player = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON play = o_orderkey GROUP BY 1")
