@@ -170,3 +170,29 @@ def fit_exponential(df: DataFrame, keys: list[str], t: str, v: str, taus: list[f
         best = s.withColumn("_b", F.when(fits, F.array_min(F.filter(each, lambda x: x["sse"].isNotNull())))).select(*keys, "_n", "_spread", F.col("_b.tau").alias("_tau"), F.col("_b.vmax").alias("vmax"), F.col("_b.sse").alias("_sse"))
     out = df.select(*keys).distinct().join(best, keys, "left")
     return out.select(*keys, F.col("_tau").isNotNull().alias("found"), F.col("_tau").alias("tau"), "vmax", F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / F.col("_n")).alias("rmse"), (1 - F.try_divide(F.col("_sse"), F.col("_spread"))).alias("r2"), F.coalesce(F.col("_tau") <= lo, F.lit(False)).alias("at_lower"), F.coalesce(F.col("_tau") >= hi, F.lit(False)).alias("at_upper"))
+
+
+def smoother_diagnostics(long: DataFrame, accel_cap: float, phase: float, least_speed: float, most_exceed: float, least_rising: float, least: int = 10) -> DataFrame:
+    """Per smoother, over tracks of at least `least` frames: the mean share of frames beyond the acceleration cap, the mean share of
+    rising speeds in the first `phase` of a track, the medians of peak speed, time to it, circular SD of the heading above least_speed and
+    root mean square distance from the smoothers' median speed. Eligible smoothers keep both limits; the one nearest to
+    the median among them is recommended, or, if there is none, the one that exceeds the cap least.
+
+    long is (smoother, track, us, h, speed, heading) with the same frames for all smoothers. One window per track and one per frame.
+    """
+    col = F.col
+    w, whole = Window.partitionBy("smoother", "track").orderBy("us"), Window.partitionBy("smoother", "track")
+    rows = long.withColumns({"n": F.count("*").over(whole), "i": F.row_number().over(w), "accel": gradient(col("speed"), col("h"), w), "rises": col("speed") > F.lag("speed").over(w), "start": F.min("h").over(whole)})
+    rows = rows.where(col("n") >= least).withColumn("middle", F.median("speed").over(Window.partitionBy("track", "us")))
+    fast, early = col("speed") > least_speed, col("i") <= F.greatest(F.lit(3), F.floor(col("n") * phase))
+    a = F.radians(F.when(fast, col("heading")))
+    length = F.hypot(F.avg(F.sin(a)), F.avg(F.cos(a)))
+    each = rows.groupBy("smoother", "track").agg(
+        F.avg((F.abs("accel") > accel_cap).cast("double")).alias("exceed"), F.avg(F.when(early, col("rises").cast("double"))).alias("rising"), F.max("speed").alias("peak"),
+        (F.max_by("h", F.struct("speed", -col("i"))) - F.first("start")).alias("until"), F.when(F.count_if(fast) > 3, F.degrees(F.sqrt(-2 * F.log(F.least(F.lit(1.0), length))))).alias("sd"),
+        F.sqrt(F.avg(F.pow(col("speed") - col("middle"), 2))).alias("rms"),
+    )
+    out = each.groupBy("smoother").agg(F.count("*").alias("tracks"), F.avg("exceed").alias("exceed_share"), F.avg("rising").alias("rising_share"), F.median("peak").alias("peak_speed"), F.median("until").alias("time_to_peak"), F.median("sd").alias("heading_sd"), F.median("rms").alias("rms_to_ensemble"))
+    out = out.withColumn("eligible", (col("exceed_share") <= most_exceed) & (col("rising_share") >= least_rising))
+    pick = F.row_number().over(Window.orderBy(F.desc("eligible"), F.when(col("eligible"), col("rms_to_ensemble")), "exceed_share", "smoother"))  # a row a smoother
+    return out.withColumn("recommended", pick == 1)

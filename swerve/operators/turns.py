@@ -56,6 +56,13 @@ def segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int, lo
     return hits.join(rows.select(*keys, "i", "apex"), [*keys, "i"]).join(reach, [*keys, "apex"]).select(*keys, c("i").alias("hit"), "score", "apex", "first", "last")
 
 
+def window_segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """As segments, but a turn is the window of its hit: the hit's frame and up to `width` after it."""
+    w, at = Window.partitionBy(*keys).orderBy("i").rowsBetween(0, width), F.struct("speed", "i")
+    rows = frames.select(*keys, "i", F.min(at).over(w)["i"].alias("apex"), F.max("i").over(w).alias("last"))
+    return hits.join(rows, [*keys, "i"]).select(*keys, c("i").alias("hit"), "score", "apex", c("i").alias("first"), "last")
+
+
 def without_overlap(seg: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
     """Best score first; a segment that lies by more than `share` in a kept one goes. Runs of segments that
     overlap are settled each by itself."""
@@ -79,10 +86,40 @@ def points(frames: DataFrame, found: DataFrame, keys: list[str], behind: int = 0
     return each.join(frames.select(*keys, c("i").alias("j"), *cols), [*keys, "j"])
 
 
-def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float = 60.0, least_speed: float = 2.0, apart: int = 5, longest: int = 6) -> DataFrame:
-    """Trigger, suppress, segment, reject overlaps: one row per turn."""
+def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float = 60.0, least_speed: float = 2.0, apart: int = 5, longest: int = 6, segmentation: str = "walk") -> DataFrame:
+    """Trigger, suppress, segment, reject overlaps: one row per turn. segmentation is 'walk' (while speed rises away from the
+    apex) or 'window' (the trigger's window)."""
+    if segmentation not in ("walk", "window"):
+        raise ValueError(f"unknown segmentation {segmentation!r}")
     hits = accepted(triggers(frames, keys, width, least_turn, least_speed), keys, apart)
-    return without_overlap(segments(frames, hits, keys, width, longest), keys)
+    return without_overlap(segments(frames, hits, keys, width, longest) if segmentation == "walk" else window_segments(frames, hits, keys, width), keys)
+
+
+def angles(frames: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """found with angle, the change of the running heading from a turn's first frame to its last."""
+    ends = found.select(*keys, "hit", "first", "last", F.explode(F.array("first", "last")).alias("i")).join(frames.select(*keys, "i", "turned"), [*keys, "i"])
+    pick = lambda k: F.max(F.when(c("i") == c(k), c("turned")))
+    return found.join(ends.groupBy(*keys, "hit").agg((pick("last") - pick("first")).alias("angle")), [*keys, "hit"])
+
+
+def matched(a: DataFrame, b: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """(keys, a, b): apexes of two detections paired one to one within `reach` frames, nearest first, then by frames.
+
+    Apexes of both that lie more than reach from the one before begin a new run. A pair never leaves its run, so each
+    run is settled by itself, with the few pairs that it holds.
+    """
+    both = a.select(*keys, c("apex").alias("i"), F.lit(0).alias("side")).union(b.select(*keys, c("apex").alias("i"), F.lit(1).alias("side")))
+    w = Window.partitionBy(*keys).orderBy("i", "side")
+    both = both.withColumn("_run", F.sum((c("i") - F.coalesce(F.lag("i").over(w), c("i")) > reach).cast("long")).over(w))
+    left, right = both.where("side = 0").select(*keys, "_run", c("i").alias("a")), both.where("side = 1").select(*keys, c("i").alias("b"))
+    near = left.withColumn("b", F.explode(F.sequence(c("a") - reach, c("a") + reach))).join(right, [*keys, "b"])
+    arrays = near.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(F.abs(c("a") - c("b")).alias("g"), "a", "b"))).alias("p"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.exists(acc, lambda k: (k["a"] == x["a"]) | (k["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate("p", F.slice("p", 1, 0), step)
+    return arrays.select(*keys, F.explode(kept).alias("_pair")).select(*keys, c("_pair.a").alias("a"), c("_pair.b").alias("b"))
 
 
 def metrics(frames: DataFrame, found: DataFrame, keys: list[str], horizon: int = 10, longest_gap: float = 24.0, cap: float = 200.0) -> DataFrame:

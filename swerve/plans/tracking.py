@@ -186,23 +186,55 @@ def ts_fit_exponential(spark: SparkSession, d: str) -> DataFrame:
     return f.select("track", "found", R("tau", 3).alias("tau"), R("vmax", 2).alias("vmax"), R("rmse", 4).alias("rmse"), R("r2", 5).alias("r2"), "at_lower", "at_upper")
 
 
-@query("ts_kinematics_crosscheck", f"WITH {HEAD}, b AS (SELECT *, CASE WHEN speed >= 20 THEN 'fast' WHEN speed >= 5 THEN 'mid' ELSE 'slow' END AS band, speed - x AS gap FROM hd) SELECT band, count(*) AS n, round(avg(gap), 3) AS bias, round(avg(abs(gap)), 3) AS mae FROM b GROUP BY 1")
+BANDS = "CASE WHEN x >= 300 THEN 'fast' WHEN x >= 100 THEN 'mid' ELSE 'slow' END"
+CROSS_SQL = f"""WITH {HEAD}, k AS (SELECT *, {grad_sql("speed")} AS accel, {grad_sql("x")} AS given_accel, {", ".join(f"{'lag' if k >= 0 else 'lead'}(speed, {abs(k)}) OVER w AS s{k + 3}" for k in LAGS)} FROM hd {W}),
+ g AS (SELECT track, {", ".join(f"corr(x, s{k + 3}) AS c{k + 3}" for k in LAGS)} FROM k GROUP BY 1), u AS (UNPIVOT g ON {", ".join(f"c{k + 3}" for k in LAGS)} INTO NAME name VALUE r), l AS (SELECT track, arg_max(CAST(substr(name, 2) AS INTEGER) - 3, (round(r, 9), name)) AS lag FROM u GROUP BY 1),
+ b AS (SELECT k.*, {BANDS} AS band, abs((y * 3.6 - heading + 540) % 360 - 180) AS turn FROM k), f AS (SELECT DISTINCT band, track FROM b), n AS (SELECT band, lag, count(*) AS n FROM f JOIN l USING (track) GROUP BY 1, 2), mo AS (SELECT band, arg_max(lag, (n, -lag)) AS lag FROM n GROUP BY 1)
+ SELECT b.band, count(*) AS n, round(avg(speed - x), 3) AS speed_bias, round(avg(abs(speed - x)), 3) AS speed_mae, round(avg(abs(speed - x)) / greatest(avg(x), 1e-6), 6) AS speed_mae_share, round(avg(turn), 3) AS heading_mae, round(avg(accel - given_accel), 3) AS accel_bias, round(avg(abs(accel - given_accel)), 3) AS accel_mae, any_value(mo.lag) AS lag,
+  round(avg(abs(CASE mo.lag {" ".join(f"WHEN {k} THEN s{k + 3}" for k in LAGS)} END - x)), 3) AS shifted_mae FROM b LEFT JOIN mo ON b.band = mo.band GROUP BY 1"""
+
+
+@query("ts_kinematics_crosscheck", CROSS_SQL)
 def ts_kinematics_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    band = F.when(c("speed") >= 20, "fast").when(c("speed") >= 5, "mid").otherwise("slow")
-    gap = c("speed") - c("x")
-    return headed(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), R(F.avg(gap), 3).alias("bias"), R(F.avg(F.abs(gap)), 3).alias("mae"))
+    """What is derived from positions against what a frame gives, by band of the given speed: bias and mean error of speed, heading
+    and acceleration, the lag that is best in most of the band's tracks, and the speed's error after that shift."""
+    w = in_track()
+    shifted = {f"s{k + 3}": (F.lag("speed", k) if k >= 0 else F.lead("speed", -k)).over(w) for k in LAGS}
+    k = headed(spark, d).withColumns({"accel": T.gradient(c("speed"), c("h"), w), "given_accel": T.gradient(c("x"), c("h"), w), **shifted, "band": F.expr(BANDS), "turn": F.abs(X.wrap(c("y") * 3.6 - c("heading")))})
+    best = k.groupBy("track").agg(F.array_max(F.filter(F.array(*[F.struct(R(F.corr("x", f"s{j + 3}"), 9).alias("r"), F.lit(j).alias("k")) for j in LAGS]), lambda v: v["r"].isNotNull()))["k"].alias("lag"))
+    votes = k.select("band", "track").distinct().join(best.where("lag is not null"), "track").groupBy("band", "lag").agg(F.count("*").alias("n"))
+    modal = votes.groupBy("band").agg(F.max_by("lag", F.struct("n", -c("lag"))).alias("lag"))  # a row a band
+    k = k.join(F.broadcast(modal), "band", "left").withColumn("moved", F.coalesce(*[F.when(c("lag") == j, c(f"s{j + 3}")) for j in LAGS]))
+    gap, pull = c("speed") - c("x"), c("accel") - c("given_accel")
+    return k.groupBy("band").agg(
+        F.count("*").alias("n"), R(F.avg(gap), 3).alias("speed_bias"), R(F.avg(F.abs(gap)), 3).alias("speed_mae"), R(F.avg(F.abs(gap)) / F.greatest(F.avg("x"), F.lit(1e-6))).alias("speed_mae_share"),
+        R(F.avg("turn"), 3).alias("heading_mae"), R(F.avg(pull), 3).alias("accel_bias"), R(F.avg(F.abs(pull)), 3).alias("accel_mae"), F.max("lag").alias("lag"), R(F.avg(F.abs(c("moved") - c("x"))), 3).alias("shifted_mae"),
+    )
+
+
+SMOOTHERS = ("raw", "savgol5", "savgol7", "kalman")
+
+
+def smoothed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Frames, one per track and time, with their positions smoothed."""
+    o = one(spark, d)
+    if name == "kalman":
+        both = [T.kalman(o, ["track"], "h", v, 0.5, 4.0).select("track", "h", c("smooth").alias(v)) for v in ("x", "y")]
+        return o.drop("x", "y").join(both[0], ["track", "h"]).join(both[1], ["track", "h"])
+    for v in ("x", "y") if name != "raw" else ():
+        o = T.savgol(o, ["track"], ["us", "id"], v, int(name[-1]), 2).drop(v).withColumnRenamed("smooth", v)
+    return o
 
 
 @query("ts_smoother_diagnostics")
 def ts_smoother_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    o = one(spark, d)
-    sg = T.savgol(o, ["track"], ["us", "id"], "x", 5, 2).select("track", "h", c("smooth").alias("savgol5"), "x")
-    s7 = T.savgol(o, ["track"], ["us", "id"], "x", 7, 2).select("track", "h", c("smooth").alias("savgol7"))
-    k = T.kalman(o, ["track"], "h", "x", 0.5, 4.0).select("track", "h", c("smooth").alias("kalman"))
-    wide = sg.join(s7, ["track", "h"]).join(k, ["track", "h"])
-    middle = F.array_sort(F.array("savgol5", "savgol7", "kalman"))[1]
-    long = wide.withColumn("ensemble", middle).unpivot(["track", "h", "x", "ensemble"], ["savgol5", "savgol7", "kalman"], "smoother", "value")
-    return long.groupBy("smoother").agg(R(F.sqrt(F.avg(F.pow(c("value") - c("ensemble"), 2))), 4).alias("rms_to_ensemble"), R(F.sqrt(F.avg(F.pow(c("value") - c("x"), 2))), 4).alias("rms_to_raw"))
+    """Smoothers by what they make of each track, and the one to take."""
+    long = None
+    for name in SMOOTHERS:
+        s = headed_from(smoothed(spark, d, name)).select(F.lit(name).alias("smoother"), "track", "us", "h", "speed", "heading")
+        long = s if long is None else long.union(s)
+    out = T.smoother_diagnostics(long, accel_cap=50.0, phase=0.3, least_speed=5.0, most_exceed=0.3, least_rising=0.4)
+    return out.select("smoother", "tracks", *[R(k, 4).alias(k) for k in ("exceed_share", "rising_share", "peak_speed", "time_to_peak", "heading_sd", "rms_to_ensemble")], "eligible", "recommended")
 
 
 @query("ts_orientation_divergence", f"WITH {HEAD} SELECT label, round(avg(CASE WHEN abs((x * 7.2 - heading + 540) % 360 - 180) > 60 THEN 1.0 ELSE 0 END), 6) AS share FROM hd GROUP BY 1")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from swerve.operators import geometry as G
 from swerve.operators import tracks as T
 from swerve.operators import turns as U
+from swerve.operators.stats import settled
 from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 
 from .aggregating import R
 from .ordering import in_track
 from .registry import query
-from .tracking import HEAD, UNWRAP, one, turned, turned_from
+from .tracking import HEAD, SMOOTHERS, UNWRAP, smoothed, turned, turned_from
 
 c = F.col
 RUN = f"{HEAD}, {UNWRAP}, r AS (SELECT *, row_number() OVER w - 1 AS i, sum(dh) OVER w AS turned FROM u WINDOW w AS (PARTITION BY track ORDER BY us, id))"
@@ -76,25 +77,11 @@ def turn_plant_class(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(U.plant_class(m).alias("kind"), "valid").agg(F.count("*").alias("n"))
 
 
-SMOOTHERS = ("raw", "savgol5", "savgol7", "kalman")
-
-
-def smoothed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Frames, one per track and time, with their positions smoothed."""
-    o = one(spark, d)
-    if name == "kalman":
-        both = [T.kalman(o, ["track"], "h", v, 0.5, 4.0).select("track", "h", c("smooth").alias(v)) for v in ("x", "y")]
-        return o.drop("x", "y").join(both[0], ["track", "h"]).join(both[1], ["track", "h"])
-    for v in ("x", "y") if name != "raw" else ():
-        o = T.savgol(o, ["track"], ["us", "id"], v, int(name[-1]), 2).drop(v).withColumnRenamed("smooth", v)
-    return o
-
-
 def by_smoother(spark: SparkSession, d: str) -> DataFrame:
     """Turns found after each smoother, and in the shuffled increments of each (null)."""
     out = None
     for name in SMOOTHERS:
-        r = run_of(turned_from(smoothed(spark, d, name)))
+        r = settled(run_of(turned_from(smoothed(spark, d, name))))  # read by two detections
         for null, rows in ((False, r), (True, shuffled(r))):
             f = U.detect(rows, ["track"]).select(F.lit(name).alias("smoother"), F.lit(null).alias("dealt"), "track", "apex", "score")
             out = f if out is None else out.union(f)
@@ -114,11 +101,23 @@ def turn_smoother_range(spark: SparkSession, d: str) -> DataFrame:
     return out.select("track", "apex", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), R(F.least("own", F.coalesce("lo", "own")), 3).alias("lo"), R(F.greatest("own", F.coalesce("hi", "own")), 3).alias("hi"))
 
 
+SPEED_CAP, ACCEL_CAP = 200.0, 50.0
+
+
 @query("turn_attempt_table")
 def turn_attempt_table(spark: SparkSession, d: str) -> DataFrame:
-    n = by_smoother(spark, d).withColumn("kind", F.concat(F.when(c("dealt"), "null_").otherwise("turns_"), "smoother")).groupBy("track").pivot("kind", [f"{k}_{s}" for k in ("turns", "null") for s in SMOOTHERS]).agg(F.count(F.lit(1)))
-    all_ = frames(spark, d).select("track").distinct().join(n, "track", "left")
-    return all_.select("track", *[F.coalesce(c(k), F.lit(0).cast("long")).alias(k) for k in n.columns if k != "track"])
+    """A row per track, turns or not: frames, frames above the caps of speed and acceleration, turns after each smoother and in each one's
+    shuffled increments, and turns of the raw track by each segmentation."""
+    count = lambda rows, kind: rows.select("track", F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"))
+    r = settled(running(spark, d))
+    kinds = count(by_smoother(spark, d), F.concat(F.when(c("dealt"), "null_").otherwise("turns_"), "smoother"))
+    for name in ("walk", "window"):
+        kinds = kinds.union(count(U.detect(r, ["track"], segmentation=name), f"seg_{name}"))
+    names = [f"{k}_{s}" for k in ("turns", "null") for s in SMOOTHERS] + ["seg_walk", "seg_window"]
+    n = kinds.groupBy("track").pivot("kind", names).agg(F.count(F.lit(1)))
+    accel = T.gradient(c("speed"), c("h"), in_track())
+    all_ = r.withColumn("a", accel).groupBy("track").agg(F.count("*").alias("n_frames"), F.count_if(c("speed") > SPEED_CAP).alias("speed_above_cap"), F.count_if(F.abs("a") > ACCEL_CAP).alias("accel_above_cap"))
+    return all_.join(n, "track", "left").select("track", "n_frames", "speed_above_cap", "accel_above_cap", *[F.coalesce(c(k), F.lit(0).cast("long")).alias(k) for k in names])
 
 
 def shuffled(r: DataFrame, seed: int = 7) -> DataFrame:
@@ -140,18 +139,37 @@ def turn_sanity_rates(spark: SparkSession, d: str) -> DataFrame:
     return r.join(hit, ["track", "i"], "left").rollup("label").agg(R(1000.0 * F.count("hit") / F.count("*"), 4).alias("per_1000"))
 
 
+def threshold_delta(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Two settings compared: for all turns, by label and by track, their turns, those of 30 to 60 and of 120 to 150
+    degrees, matched, lost and new ones, and how far the change is more than that of the shuffled tracks.
+
+    found is (track, apex, label, angle, strict, dealt), pairs the matched apexes (track, a, b) of the loose and the strict setting.
+    """
+    turn = found.where("not dealt").join(pairs.select("track", c("a").alias("apex"), F.lit(False).alias("strict"), F.lit(1).alias("m")).union(pairs.select("track", c("b").alias("apex"), F.lit(True).alias("strict"), F.lit(1).alias("m"))), ["track", "apex", "strict"], "left")
+    rows = turn.select("track", "label", "angle", "strict", "dealt", "m").union(found.where("dealt").select("track", "label", "angle", "strict", "dealt", F.lit(None).cast("int")))
+    scopes = F.explode(F.array(F.struct(F.lit("all").alias("scope"), F.lit("all").alias("key")), F.struct(F.lit("label").alias("scope"), c("label").alias("key")), F.struct(F.lit("track").alias("scope"), c("track").cast("string").alias("key"))))
+    rows = rows.select("*", scopes.alias("s")).select("s.*", "*")
+    size, real = F.abs("angle"), ~c("dealt")
+    counts = {"turns": F.lit(True), "from_30": (size >= 30) & (size < 60), "from_120": (size >= 120) & (size < 150)}
+    aggs = [F.count_if(real & (c("strict") == strict) & what).alias(f"{k}_{name}") for k, what in counts.items() for name, strict in (("loose", False), ("strict", True))]
+    aggs += [F.count_if(c("dealt") & (c("strict") == strict)).alias(f"null_{name}") for name, strict in (("loose", False), ("strict", True))]
+    aggs += [F.count_if(real & c("strict") & (c("m") == 1)).alias("matched"), F.count_if(real & ~c("strict") & c("m").isNull()).alias("lost"), F.count_if(real & c("strict") & c("m").isNull()).alias("new")]
+    out = rows.groupBy("scope", "key").agg(*aggs)
+    return out.withColumn("delta", c("turns_strict") - c("turns_loose")).withColumn("excess", c("delta") - (c("null_strict") - c("null_loose")))
+
+
 @query("turn_threshold_delta")
 def turn_threshold_delta(spark: SparkSession, d: str) -> DataFrame:
-    r = running(spark, d)
-    a, b = (U.detect(r, ["track"], least_turn=x).select("track", c("apex")) for x in (60.0, 90.0))
-    asks = a.select("track", c("apex").alias("a"), F.explode(F.sequence(c("apex") - 3, c("apex") + 3)).alias("b"))
-    pairs = asks.join(b.select("track", c("apex").alias("b")), ["track", "b"])
-    arrays = pairs.groupBy("track").agg(F.array_sort(F.collect_list(F.struct(F.abs(c("a") - c("b")).alias("g"), "a", "b"))).alias("p"))
-    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: (k["a"] == x["a"]) | (k["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    m = arrays.select("track", F.size(kept).alias("matched"))
-    count = lambda df, n: df.groupBy("track").agg(F.count("*").alias(n))
-    out = count(a, "loose").join(count(b, "strict"), "track", "full").join(m, "track", "left").na.fill(0)
-    return out.select("track", "loose", "strict", c("matched").cast("long").alias("matched"), (c("loose") - c("matched")).alias("lost"), (c("strict") - c("matched")).alias("new"))
+    """Turns of 60 degrees and more against those of 90 and more, also in the shuffled increments."""
+    r, found = settled(running(spark, d)), None
+    for dealt, rows in ((False, r), (True, shuffled(r))):
+        for strict, least in ((False, 60.0), (True, 90.0)):
+            f = U.angles(rows, U.detect(rows, ["track"], least_turn=least), ["track"]).join(r.select("track", c("i").alias("apex"), "label"), ["track", "apex"])
+            f = f.select("track", "apex", "label", "angle", F.lit(strict).alias("strict"), F.lit(dealt).alias("dealt"))
+            found = f if found is None else found.union(f)
+    found = settled(found)
+    of = lambda strict: found.where(~c("dealt") & (c("strict") == strict))
+    return threshold_delta(found, U.matched(of(False), of(True), ["track"], 3))
 
 
 GRID, APART, RADIUS, CENTRES = 10.0, 20.0, 15.0, 4
