@@ -26,26 +26,6 @@ def slots(df: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """Greedy best-first matching as rounds of mutual bests until none is left; the order is score, then left, then right.
-
-    Tied scores give few matches a round; one_to_one_of_kinds has no rounds.
-    """
-    held = bool(pairs.sparkSession.sparkContext.getCheckpointDir())
-    kept, rest = None, pairs.checkpoint() if held else pairs
-    while True:
-        order = [F.desc(score), left, right]
-        best = rest.withColumn("_l", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("_r", F.row_number().over(Window.partitionBy(right).orderBy(*order)))
-        hit = best.where("_l = 1 and _r = 1").select(left, right, score)
-        hit = hit.checkpoint() if held else hit.localCheckpoint()
-        if hit.isEmpty():
-            break
-        kept = hit if kept is None else kept.union(hit)
-        rest = rest.join(hit.select(left), left, "left_anti").join(hit.select(right), right, "left_anti")
-        rest = rest.checkpoint() if held else rest.localCheckpoint()
-    return kept if kept is not None else pairs.where(F.lit(False)).select(left, right, score)
-
-
 def greedy(left: dict, right: dict, edges: list[tuple[float, object, object]]) -> list[tuple[int, int, float]]:
     """Greedy one-to-one matching of the members of kinds: ids by kind on each side, and the score of kinds.
 

@@ -112,15 +112,17 @@ def stat_adjusted_icc(spark: SparkSession, d: str) -> DataFrame:
     return S.icc1(S.group_moments(rest, ["grp", "player"], "rest"), ["grp"]).select("grp", R("icc").alias("icc"), R("msw", 2).alias("msw"))
 
 
-@query("stat_two_way_icc", f"WITH {TURNS}, y AS (SELECT player, season, avg(price) AS v FROM t WHERE season BETWEEN 1993 AND 1997 GROUP BY 1, 2), k AS (SELECT * FROM y WHERE player IN (SELECT player FROM y GROUP BY 1 HAVING count(*) = 5)), w AS (SELECT *, avg(v) OVER (PARTITION BY player) AS r, avg(v) OVER (PARTITION BY season) AS s, avg(v) OVER () AS g FROM k), q AS (SELECT count(DISTINCT player) AS n, sum(power(r - g, 2)) / (count(DISTINCT player) - 1) AS msr, sum(power(s - g, 2)) / 4 AS msc, sum(power(v - r - s + g, 2)) / ((count(DISTINCT player) - 1) * 4) AS mse FROM w) SELECT n, round((msr - mse) / (msr + 4 * mse + 5 * (msc - mse) / n), 6) AS icc21 FROM q")
+@query("stat_two_way_icc", f"WITH {TURNS}, y AS (SELECT player, season, avg(price) AS v FROM t GROUP BY 1, 2), h AS (SELECT count(DISTINCT season) AS h FROM y), k AS (SELECT * FROM y, h WHERE player IN (SELECT player FROM y, h GROUP BY player, h HAVING count(*) = h)), w AS (SELECT *, avg(v) OVER (PARTITION BY player) AS r, avg(v) OVER (PARTITION BY season) AS s, avg(v) OVER () AS g FROM k), q AS (SELECT any_value(h) AS h, count(DISTINCT player) AS n, sum(power(r - g, 2)) / (count(DISTINCT player) - 1) AS msr, sum(power(s - g, 2)) / (any_value(h) - 1) AS msc, sum(power(v - r - s + g, 2)) / ((count(DISTINCT player) - 1) * (any_value(h) - 1)) AS mse FROM w) SELECT n, h AS seasons, round((msr - mse) / (msr + (h - 1) * mse + h * (msc - mse) / n), 6) AS icc21 FROM q")
 def stat_two_way_icc(spark: SparkSession, d: str) -> DataFrame:
-    y = turns(spark, d).where("season between 1993 and 1997").groupBy("player", "season").agg(F.avg("price").alias("v"))
-    k = y.withColumn("full", F.count("*").over(Window.partitionBy("player"))).where("full = 5")
+    """ICC(2,1) of the players that have a mean in every season."""
+    y = turns(spark, d).groupBy("player", "season").agg(F.avg("price").alias("v"))
+    k = y.crossJoin(F.broadcast(y.agg(F.countDistinct("season").alias("seasons")))).withColumn("full", F.count("*").over(Window.partitionBy("player"))).where("full = seasons")
     r, s, g = k.groupBy("player").agg(F.avg("v").alias("r")), k.groupBy("season").agg(F.avg("v").alias("s")), k.agg(F.avg("v").alias("g"))
     w = k.join(r, "player").join(F.broadcast(s), "season").crossJoin(F.broadcast(g))
-    q = w.agg(F.countDistinct("player").alias("n"), F.sum(F.pow(c("r") - c("g"), 2)).alias("a"), (F.sum(F.pow(c("s") - c("g"), 2)) / 4).alias("msc"), F.sum(F.pow(c("v") - c("r") - c("s") + c("g"), 2)).alias("e"))
-    q = q.withColumn("msr", c("a") / (c("n") - 1)).withColumn("mse", c("e") / ((c("n") - 1) * 4))
-    return q.select("n", R((c("msr") - c("mse")) / (c("msr") + 4 * c("mse") + 5 * (c("msc") - c("mse")) / c("n"))).alias("icc21"))
+    q = w.agg(F.countDistinct("player").alias("n"), F.max("seasons").alias("seasons"), F.sum(F.pow(c("r") - c("g"), 2)).alias("a"), F.sum(F.pow(c("s") - c("g"), 2)).alias("b"), F.sum(F.pow(c("v") - c("r") - c("s") + c("g"), 2)).alias("e"))
+    h = c("seasons")
+    q = q.withColumn("msr", c("a") / (c("n") - 1)).withColumn("msc", c("b") / (h - 1)).withColumn("mse", c("e") / ((c("n") - 1) * (h - 1)))
+    return q.select("n", "seasons", R((c("msr") - c("mse")) / (c("msr") + (h - 1) * c("mse") + h * (c("msc") - c("mse")) / c("n"))).alias("icc21"))
 
 
 @query("stat_nested_variance", f"WITH {TURNS}, a AS (SELECT player, play, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss FROM t GROUP BY 1, 2), b AS (SELECT player, count(*) AS k, sum(n) AS n, sum(n * mean) / sum(n) AS mean, sum(ss) AS ssw, sum(n * mean * mean) - power(sum(n * mean), 2) / sum(n) AS ssg FROM a GROUP BY 1) SELECT round(sum(ssw) / (sum(n) - sum(k)), 2) AS within, round(sum(ssg) / (sum(k) - count(*)), 2) AS between_plays, round((sum(n * mean * mean) - power(sum(n * mean), 2) / sum(n)) / (count(*) - 1), 2) AS between_players FROM b")
@@ -314,21 +316,48 @@ def stat_quantile_regression(spark: SparkSession, d: str) -> DataFrame:
     return fixed.union(u.select(F.lit("player"), "player", R("u", 2)))
 
 
-@query("stat_feasible_region", f"WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy FROM t GROUP BY 1), k AS (SELECT *, -ln(greatest(CAST('0x' || substr(md5(rep || ':' || player), 1, 13) AS BIGINT) / 4503599627370496.0, 1e-12)) AS w FROM m, (SELECT unnest(range(0, 200)) AS rep)), s AS (SELECT rep, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * sxy) AS sxy FROM k GROUP BY 1), b AS (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, sx, sy, n FROM s), c AS (SELECT unnest([5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0])::DOUBLE AS cell), o AS (SELECT cell, EXISTS (SELECT 1 FROM t WHERE angle >= cell - 5 AND angle < cell + 5) AS observed FROM c) SELECT o.cell, observed, round(avg(CASE WHEN (sy - b1 * sx) / n + b1 * o.cell >= 34000 THEN 1.0 ELSE 0 END), 6) AS feasible, count(*) AS reps FROM b, o GROUP BY 1, 2")
+CELLS, TOLERANCE, REGION_REPS, LEAST_SHARE = [5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0], 34000.0, 200, 0.8
+REGION_SQL = f"""WITH {TURNS}, m AS (SELECT player, count(*)::DOUBLE AS n, sum(angle) AS sx, sum(price) AS sy, sum(angle * angle) AS sxx, sum(angle * price) AS sxy, sum(price * price) AS syy FROM t GROUP BY 1), {draws_sql("exponential", REGION_REPS)},
+ s AS (SELECT rep, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * sxy) AS sxy FROM m JOIN (SELECT * FROM w UNION ALL SELECT -1, player, 1 FROM m) USING (player) GROUP BY 1),
+ b AS (SELECT rep, b1, (sy - b1 * sx) / n AS b0 FROM (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM s)), p AS (SELECT b0, b1 FROM b WHERE rep < 0),
+ v AS (SELECT sum(n) AS n, count(*) AS j, sum(n * n) AS nn, sum(syy) - any_value(b0) * sum(sy) - any_value(b1) * sum(sxy) AS rss, sum(n * power(sy / n - b0 - b1 * sx / n, 2)) AS ssb FROM m, p),
+ k AS (SELECT (rss - ssb) / (n - j) AS sigma2, greatest(0, (ssb / (j - 1) - (rss - ssb) / (n - j)) / ((n - nn / n) / (j - 1))) AS tau2 FROM v), e AS (SELECT player, sy / n AS y, sx / n AS x, tau2 / (tau2 + sigma2 / n) AS k FROM m, k),
+ c AS (SELECT unnest({CELLS})::DOUBLE AS cell), f AS (SELECT player, cell, rep, k * y + (1 - k) * b0 + b1 * (cell - k * x) AS pred FROM e, c, b),
+ o AS (SELECT player, cell, count(*) AS n FROM t JOIN c ON angle >= cell - 5 AND angle < cell + 5 GROUP BY 1, 2), z AS (SELECT cell, sum(n)::BIGINT AS n FROM o GROUP BY 1)
+ SELECT f.player, f.cell, any_value(z.n) IS NOT NULL AS observed, round(max(pred) FILTER (WHERE rep < 0), 2) AS point, round(quantile_cont(pred, 0.05) FILTER (WHERE rep >= 0), 2) AS p05, round(quantile_cont(pred, 0.95) FILTER (WHERE rep >= 0), 2) AS p95, round(avg((pred >= {TOLERANCE})::INT) FILTER (WHERE rep >= 0), 6) AS inside_share,
+  avg((pred >= {TOLERANCE})::INT) FILTER (WHERE rep >= 0) >= {LEAST_SHARE} AS inside, coalesce(any_value(z.n), 0) AS n_cell, coalesce(any_value(o.n), 0) AS n_player FROM f LEFT JOIN z ON f.cell = z.cell LEFT JOIN o ON f.cell = o.cell AND f.player = o.player GROUP BY 1, 2"""
+
+
+@query("stat_feasible_region", REGION_SQL)
 def stat_feasible_region(spark: SparkSession, d: str) -> DataFrame:
-    """Share of replicates (players weighted anew) whose line reaches the tolerance in a cell, and whether any
-    turn was seen there."""
-    t, grid = turns(spark, d), [5.0, 15.0, 22.0, 25.0, 35.0, 45.0, 55.0]
-    m = S.gram(t, ["angle"], "price", ["player"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "player")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    m = m.withColumn("w", -F.log(F.greatest(uniform, F.lit(1e-12))))
-    s = m.groupBy("rep").agg(*[F.sum(c("w") * c(k)).alias(k) for k in ("g0_0", "g0_1", "g0_2", "g1_1", "g1_2")])
-    n, sx, sy, sxx, sxy = (c(k) for k in ("g0_0", "g0_1", "g0_2", "g1_1", "g1_2"))
-    b1 = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    f = s.select(b1.alias("b1"), ((sy - b1 * sx) / n).alias("b0")).withColumn("cell", F.explode(F.array(*map(F.lit, grid))))
-    seen = t.agg(*[F.max((c("angle") >= x - 5) & (c("angle") < x + 5)).alias(f"c{k}") for k, x in enumerate(grid)])
-    seen = seen.select(F.explode(F.array(*[F.struct(F.lit(x).alias("cell"), c(f"c{k}").alias("observed")) for k, x in enumerate(grid)])).alias("o")).select("o.*")
-    return f.join(F.broadcast(seen), "cell").groupBy("cell", "observed").agg(R(F.avg((c("b0") + c("b1") * c("cell") >= 34000).cast("double"))).alias("feasible"), F.count("*").alias("reps"))
+    """Each player's line on a grid: prediction, interval, and share of replicates that reach the tolerance.
+
+    Lines come from cross products per player. A player's intercept is shrunk towards the pooled line by the share of
+    between-player variance in what the line leaves, in each replicate (players weighted anew) by that replicate's line, so a prediction is
+    linear in a replicate's two coefficients: the replicates are one small array and no row is repeated for them.
+    """
+    t = turns(spark, d)
+    m = S.settled(S.gram(t, ["angle"], "price", ["player"]).select("player", *[c(k).alias(n) for k, n in zip(("g0_0", "g0_1", "g0_2", "g1_1", "g1_2", "g2_2"), ("n", "sx", "sy", "sxx", "sxy", "syy"), strict=True)]))
+    sums = ["n", "sx", "sy", "sxx", "sxy"]
+    slope = lambda r: (r["n"] * r["sxy"] - r["sx"] * r["sy"]) / (r["n"] * r["sxx"] - r["sx"] ** 2)
+    line = lambda r: ((r["sy"] - slope(r) * r["sx"]) / r["n"], slope(r))
+    total = m.agg(*[F.sum(k).alias(k) for k in [*sums, "syy"]], F.count("*").alias("j"), F.sum(c("n") * c("n")).alias("nn")).first()
+    b0, b1 = line(total)
+    ssb = m.agg(F.sum(c("n") * F.pow(c("sy") / c("n") - b0 - b1 * c("sx") / c("n"), 2))).first()[0]
+    rss, n, j = total["syy"] - b0 * total["sy"] - b1 * total["sxy"], total["n"], total["j"]
+    sigma2 = (rss - ssb) / (n - j)
+    tau2 = max(0.0, (ssb / (j - 1) - sigma2) / ((n - total["nn"] / n) / (j - 1)))
+    lines = F.array(*[F.struct(F.lit(float(x)).alias("b0"), F.lit(float(y)).alias("b1")) for x, y in map(line, B.replicate_sums(m, "player", sums, REGION_REPS, SEED, "exponential").orderBy("rep").collect())])
+    e = m.select("player", (c("sy") / c("n")).alias("y"), (c("sx") / c("n")).alias("x"), (tau2 / (tau2 + sigma2 / c("n"))).alias("k"), F.explode(F.array(*map(F.lit, CELLS))).alias("cell"))
+    pred = lambda x0, x1: c("k") * c("y") + (1 - c("k")) * x0 + x1 * (c("cell") - c("k") * c("x"))
+    e = e.withColumn("point", pred(F.lit(b0), F.lit(b1))).withColumn("preds", F.sort_array(F.transform(lines, lambda r: pred(r["b0"], r["b1"]))))
+    place = lambda q: q * (REGION_REPS - 1)
+    at = lambda q: c("preds")[int(place(q))] + (c("preds")[math.ceil(place(q))] - c("preds")[int(place(q))]) * (place(q) - int(place(q)))
+    share = F.size(F.filter("preds", lambda v: v >= TOLERANCE)) / REGION_REPS
+    near = t.select("player", F.explode(F.filter(F.array(*map(F.lit, CELLS)), lambda v: (c("angle") >= v - 5) & (c("angle") < v + 5))).alias("cell")).groupBy("player", "cell").agg(F.count("*").alias("n_player"))
+    out = e.join(near, ["player", "cell"], "left").join(F.broadcast(near.groupBy("cell").agg(F.sum("n_player").alias("n_cell"))), "cell", "left")  # a row a cell
+    zero = lambda k: F.coalesce(c(k), F.lit(0).cast("long")).alias(k)
+    return out.select("player", "cell", c("n_cell").isNotNull().alias("observed"), R("point", 2).alias("point"), R(at(0.05), 2).alias("p05"), R(at(0.95), 2).alias("p95"), R(share).alias("inside_share"), (share >= LEAST_SHARE).alias("inside"), zero("n_cell"), zero("n_player"))
 
 
 @query("stat_heldout_loss")

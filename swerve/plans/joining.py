@@ -139,10 +139,10 @@ def set_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.exceptAll(b).unionAll(b.exceptAll(a))
 
 
-@query("set_symmetric_players", f"WITH {TURNS}, a AS (SELECT DISTINCT player FROM t WHERE setting = 'F' AND angle >= 49 AND value >= 0.1), b AS (SELECT DISTINCT player FROM t WHERE setting = 'O' AND angle >= 49 AND value >= 0.1) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("set_symmetric_players", f"WITH {TURNS}, a AS (SELECT DISTINCT player, part FROM t WHERE setting = 'F'), b AS (SELECT DISTINCT player, part FROM t WHERE setting = 'O') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def set_symmetric_players(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d).where("angle >= 49 and value >= 0.1")
-    a, b = (t.where(c("setting") == s).select("player").distinct() for s in "FO")
+    """Players with a part in one setting only, over all rows."""
+    a, b = (turns(spark, d).where(c("setting") == s).select("player", "part").distinct() for s in "FO")
     return a.exceptAll(b).union(b.exceptAll(a))
 
 

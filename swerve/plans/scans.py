@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,11 @@ from .registry import query
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="swerve-")
+    """A new folder that all executors share. A cluster must name it; one process may do with a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="swerve-")
     return f"{base.rstrip('/')}/swerve-{uuid.uuid4().hex}"
 
 
