@@ -136,15 +136,22 @@ def despike(df: DataFrame, keys: list[str], t: str, x: str, y: str, top_speed: f
     return per_track(df, keys, [t, x, y], [t, x, y], keep)
 
 
-def crossing(df: DataFrame, keys: list[str], order: list[str], t: str, axis: str, distance: float, longest: float | None = None) -> DataFrame:
-    """First time an axis reaches a distance, interpolated in its bracket; policy tells of the bracket's gap."""
+def crossing(df: DataFrame, keys: list[str], order: list[str], t: str, axis: str, distance: float, gap: float, longest: float, first: float) -> DataFrame:
+    """keys, crossed, ok, crossed_at, gap, policy: the first time an axis reaches a distance, interpolated between the frames around it.
+
+    Times count from the track's onset. A bracket of more than `gap` is a gap: within `first` of the onset it is 'forbidden', else it is
+    'bridged' if shorter than `longest` and 'too_long' if not; without a gap the policy is 'none'. Only 'none' and 'bridged' give a time. Frames
+    without a value are skipped. A track that never reaches the distance has crossed false; one that begins beyond it is reached at its first frame.
+    """
     w = track(keys, order)
-    rows = df.withColumn("_pt", F.lag(t).over(w)).withColumn("_pa", F.lag(axis).over(w))
-    hit = rows.where((c(axis) >= distance) & (c("_pa") < distance) | (c(axis) >= distance) & c("_pa").isNull())
-    first = hit.groupBy(*keys).agg(F.min_by(F.struct(t, axis, "_pt", "_pa"), F.struct(*order)).alias("f")).select(*keys, "f.*")
-    at = F.when(c("_pa").isNull(), c(t)).otherwise(c("_pt") + (c(t) - c("_pt")) * (distance - c("_pa")) / (c(axis) - c("_pa")))
-    policy = F.when(c("_pt").isNull(), "none").when(F.lit(longest is not None) & (c(t) - c("_pt") > (longest or 0.0)), "too_long").otherwise("bridged")
-    return first.select(*keys, at.alias("crossed_at"), policy.alias("policy"))
+    rows = df.where(c(axis).isNotNull()).withColumn("_pt", F.lag(t).over(w)).withColumn("_pa", F.lag(axis).over(w))
+    one = F.min_by(F.when(c(axis) >= distance, F.struct(c(t).alias("_t"), c(axis).alias("_a"), "_pt", "_pa")), F.when(c(axis) >= distance, F.struct(*order)))
+    hit = df.select(*keys).distinct().join(rows.groupBy(*keys).agg(one.alias("f")), keys, "left").select(*keys, "f.*")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(distance - c("_pa"), c("_a") - c("_pa")), F.lit(0.0))))
+    hit = hit.withColumn("_at", F.when(c("_pt").isNull(), c("_t")).otherwise(c("_pt") + (c("_t") - c("_pt")) * share)).withColumn("gap", F.when(c("_t").isNotNull(), F.coalesce(c("_t") - c("_pt"), F.lit(0.0))))
+    policy = F.when(c("gap").isNull() | (c("gap") <= gap), "none").when(c("_at") <= first, "forbidden").when(c("gap") < longest, "bridged").otherwise("too_long")
+    hit = hit.withColumn("policy", policy).withColumn("crossed", c("_t").isNotNull()).withColumn("ok", c("crossed") & c("policy").isin("none", "bridged"))
+    return hit.select(*keys, "crossed", "ok", F.when(c("ok"), c("_at")).alias("crossed_at"), "gap", "policy")
 
 
 def fit_exponential(df: DataFrame, keys: list[str], t: str, v: str, taus: list[float], finer: list[list[float]], least: int) -> DataFrame:

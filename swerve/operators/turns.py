@@ -95,11 +95,14 @@ def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float
     return without_overlap(segments(frames, hits, keys, width, longest) if segmentation == "walk" else window_segments(frames, hits, keys, width), keys)
 
 
-def angles(frames: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """found with angle, the change of the running heading from a turn's first frame to its last."""
-    ends = found.select(*keys, "hit", "first", "last", F.explode(F.array("first", "last")).alias("i")).join(frames.select(*keys, "i", "turned"), [*keys, "i"])
-    pick = lambda k: F.max(F.when(c("i") == c(k), c("turned")))
-    return found.join(ends.groupBy(*keys, "hit").agg((pick("last") - pick("first")).alias("angle")), [*keys, "hit"])
+def ends(frames: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """found with entry, slowest and exit speed, angle (the change of the running heading from first to last frame) and both
+    retentions, from three frames of each turn."""
+    at = found.select(*keys, "hit", "first", "apex", "last", F.explode(F.array_distinct(F.array("first", "apex", "last"))).alias("i")).join(frames.select(*keys, "i", "turned", "speed"), [*keys, "i"])
+    pick = lambda k, v: F.max(F.when(c("i") == c(k), c(v)))
+    m = at.groupBy(*keys, "hit").agg(pick("first", "speed").alias("entry"), pick("apex", "speed").alias("slowest"), pick("last", "speed").alias("exit"), (pick("last", "turned") - pick("first", "turned")).alias("angle"))
+    kept = lambda v: F.when(c("entry") > 1e-9, c(v) / c("entry"))
+    return found.join(m, [*keys, "hit"]).withColumn("retention", kept("exit")).withColumn("apex_retention", kept("slowest"))
 
 
 def matched(a: DataFrame, b: DataFrame, keys: list[str], reach: int) -> DataFrame:

@@ -117,20 +117,34 @@ def pathed(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("r", c("h") - F.min("h").over(Window.partitionBy("track"))).withColumn("path", F.sum(F.coalesce("step", F.lit(0.0))).over(in_track()))
 
 
-@query("ts_straight_features", f"WITH {PATH}, v AS (SELECT *, (path - lag(path) OVER w) / (r - lag(r) OVER w) AS v FROM pa {W}) SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10, round(max(v) FILTER (WHERE r <= 24), 3) AS fastest1, round(arg_max(v, (us, id)) FILTER (WHERE r <= 240 AND v IS NOT NULL), 3) AS speed10 FROM v GROUP BY 1")
-def ts_straight_features(spark: SparkSession, d: str) -> DataFrame:
-    """Distance run by fixed times, the fastest step until the first and the step under way at the second."""
-    w = in_track()
-    p = pathed(spark, d).withColumn("v", (c("path") - F.lag("path").over(w)) / (c("r") - F.lag("r").over(w)))
-    until = lambda k, v: F.when(c("r") <= k, c(v))
-    last = F.max_by(until(240, "v"), F.when((c("r") <= 240) & c("v").isNotNull(), F.struct("us", "id")))
-    return p.groupBy("track").agg(R(F.max(until(24, "path")), 4).alias("day1"), R(F.max(until(240, "path")), 4).alias("day10"), R(F.max(until(24, "v")), 3).alias("fastest1"), R(last, 3).alias("speed10"))
+SPLITS, TIMES = (200, 500, 2000), (24, 240)
+STRAIGHT_SQL = f"""WITH {PATH}, v AS (SELECT *, lag(r) OVER w AS pr, lag(path) OVER w AS pp, (path - lag(path) OVER w) / nullif(r - lag(r) OVER w, 0) AS v FROM pa {W}), a AS (SELECT *, (v - lag(v) OVER w) / nullif(r - pr, 0) AS acc, max(v) OVER (PARTITION BY track) AS peak FROM v {W}), b AS (SELECT *, min(CASE WHEN v = peak THEN r END) OVER (PARTITION BY track) AS peak_r FROM a)
+ SELECT track, round(max(path) FILTER (WHERE r <= 24), 4) AS day1, round(max(path) FILTER (WHERE r <= 240), 4) AS day10, round(max(peak), 3) AS peak_speed, {", ".join(f"round(min(pr + (r - pr) * ({x} - pp) / (path - pp)) FILTER (WHERE path >= {x} AND pp < {x}), 4) AS time_to_{x}, round(min(v) FILTER (WHERE path >= {x} AND pp < {x}), 3) AS speed_at_{x}" for x in SPLITS)},
+ {", ".join(f"round(arg_max(v, (us, id)) FILTER (WHERE r <= {x} AND v IS NOT NULL), 3) AS speed_at_{x}h" for x in TIMES)}, round(-min(acc), 3) AS max_decel, round(min(v) FILTER (WHERE r >= peak_r), 3) AS least_after_peak, round(max(peak) - min(v) FILTER (WHERE r >= peak_r), 3) AS deficit_after_peak FROM b GROUP BY 1"""
 
 
-@query("ts_crossing_time", f"WITH {PATH}, b AS (SELECT *, lag(r) OVER w AS pr, lag(path) OVER w AS pp FROM pa {W}) SELECT track, round(pr + (r - pr) * (500 - pp) / (path - pp), 4) AS crossed_at, CASE WHEN r - pr > 24 THEN 'too_long' ELSE 'bridged' END AS policy FROM b WHERE path >= 500 AND pp < 500")
+@query("ts_straight_features", STRAIGHT_SQL)
+def ts_straight_features(spark: SparkSession, d: str) -> DataFrame:
+    """Distance by fixed times, times and speeds at fixed distances, speeds under way at fixed times, and what follows the fastest step."""
+    w, whole = in_track(), Window.partitionBy("track")
+    p = pathed(spark, d).withColumns({"pr": F.lag("r").over(w), "pp": F.lag("path").over(w)})
+    p = p.withColumn("v", F.try_divide(c("path") - c("pp"), c("r") - c("pr")))
+    p = p.withColumns({"acc": F.try_divide(c("v") - F.lag("v").over(w), c("r") - c("pr")), "peak": F.max("v").over(whole)}).withColumn("peak_r", F.min(F.when(c("v") == c("peak"), c("r"))).over(whole))
+    aggs = [R(F.max(F.when(c("r") <= x, c("path"))), 4).alias(k) for k, x in (("day1", 24), ("day10", 240))] + [R(F.max("peak"), 3).alias("peak_speed")]
+    for x in SPLITS:  # the path never falls, so one step holds each distance
+        here = (c("path") >= x) & (c("pp") < x)
+        aggs += [R(F.min(F.when(here, c("pr") + (c("r") - c("pr")) * (x - c("pp")) / (c("path") - c("pp")))), 4).alias(f"time_to_{x}"), R(F.min(F.when(here, c("v"))), 3).alias(f"speed_at_{x}")]
+    for x in TIMES:
+        seen = (c("r") <= x) & c("v").isNotNull()
+        aggs.append(R(F.max_by(F.when(seen, c("v")), F.when(seen, F.struct("us", "id"))), 3).alias(f"speed_at_{x}h"))
+    after = F.min(F.when(c("r") >= c("peak_r"), c("v")))
+    return p.groupBy("track").agg(*aggs, R(-F.min("acc"), 3).alias("max_decel"), R(after, 3).alias("least_after_peak"), R(F.max("peak") - after, 3).alias("deficit_after_peak"))
+
+
+@query("ts_crossing_time", f"WITH {PATH}, b AS (SELECT *, lag(r) OVER w AS pr, lag(path) OVER w AS pp FROM pa {W}), f AS (SELECT track, arg_min(struct_pack(r := r, path := path, pr := pr, pp := pp), (us, id)) AS f FROM b WHERE path >= 500 GROUP BY 1), g AS (SELECT track, CASE WHEN f.pr IS NULL THEN f.r ELSE f.pr + (f.r - f.pr) * (500 - f.pp) / (f.path - f.pp) END AS met, coalesce(f.r - f.pr, 0) AS gap FROM f), p AS (SELECT track, met, gap, CASE WHEN gap <= 12 THEN 'none' WHEN met <= 240 THEN 'forbidden' WHEN gap < 24 THEN 'bridged' ELSE 'too_long' END AS policy FROM g) SELECT a.track, p.track IS NOT NULL AS crossed, coalesce(policy IN ('none', 'bridged'), false) AS ok, round(CASE WHEN policy IN ('none', 'bridged') THEN met END, 4) AS crossed_at, round(gap, 4) AS gap, coalesce(policy, 'none') AS policy FROM (SELECT DISTINCT track FROM pa) a LEFT JOIN p ON a.track = p.track")
 def ts_crossing_time(spark: SparkSession, d: str) -> DataFrame:
-    x = T.crossing(pathed(spark, d), ["track"], ["us", "id"], "r", "path", 500.0, 24.0)
-    return x.select("track", R("crossed_at", 4).alias("crossed_at"), "policy")
+    x = T.crossing(pathed(spark, d), ["track"], ["us", "id"], "r", "path", 500.0, 12.0, 24.0, 240.0)
+    return x.select("track", "crossed", "ok", R("crossed_at", 4).alias("crossed_at"), R("gap", 4).alias("gap"), "policy")
 
 
 @query("ts_travel_axis", f"WITH {FRAMES}, m AS (SELECT track, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a, arg_max(x, (us, id)) - arg_min(x, (us, id)) AS dx, arg_max(y, (us, id)) - arg_min(y, (us, id)) AS dy FROM e GROUP BY 1), o AS (SELECT track, CASE WHEN dx * cos(a) + dy * sin(a) < 0 THEN a + pi() ELSE a END AS a, abs(dx * cos(a) + dy * sin(a)) AS along FROM m) SELECT o.track, round(degrees(any_value(a)), 4) AS axis, round(any_value(along), 4) AS along, round(max(x * cos(a) + y * sin(a)) - min(x * cos(a) + y * sin(a)), 4) AS extent FROM e JOIN o ON e.track = o.track GROUP BY 1")

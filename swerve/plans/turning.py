@@ -14,7 +14,7 @@ from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 from .aggregating import R
 from .ordering import in_track
 from .registry import query
-from .tracking import HEAD, SMOOTHERS, UNWRAP, smoothed, turned, turned_from
+from .tracking import HEAD, SMOOTHERS, UNWRAP, grad_sql, smoothed, turned, turned_from
 
 c = F.col
 RUN = f"{HEAD}, {UNWRAP}, r AS (SELECT *, row_number() OVER w - 1 AS i, sum(dh) OVER w AS turned FROM u WINDOW w AS (PARTITION BY track ORDER BY us, id))"
@@ -77,28 +77,37 @@ def turn_plant_class(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(U.plant_class(m).alias("kind"), "valid").agg(F.count("*").alias("n"))
 
 
-def by_smoother(spark: SparkSession, d: str) -> DataFrame:
-    """Turns found after each smoother, and in the shuffled increments of each (null)."""
+MEASURES = ("score", "angle", "entry", "exit", "retention", "apex_retention")
+
+
+def by_smoother(spark: SparkSession, d: str, measured: bool = False) -> DataFrame:
+    """Turns found after each smoother, and in the shuffled increments of each (dealt); measured: with their MEASURES, without the dealt ones."""
     out = None
     for name in SMOOTHERS:
-        r = settled(run_of(turned_from(smoothed(spark, d, name))))  # read by two detections
-        for null, rows in ((False, r), (True, shuffled(r))):
-            f = U.detect(rows, ["track"]).select(F.lit(name).alias("smoother"), F.lit(null).alias("dealt"), "track", "apex", "score")
+        r = run_of(turned_from(smoothed(spark, d, name)))
+        r = r if measured else settled(r)  # read by two detections
+        for dealt, rows in ((False, r),) if measured else ((False, r), (True, shuffled(r))):
+            f = U.detect(rows, ["track"])
+            f = (U.ends(rows, f, ["track"]) if measured else f).select(F.lit(name).alias("smoother"), F.lit(dealt).alias("dealt"), "track", "apex", *(MEASURES if measured else ("score",)))
             out = f if out is None else out.union(f)
     return out
 
 
+def smoother_range(found: DataFrame, reach: int = 3) -> DataFrame:
+    """Of each raw turn: in how many other smoothers it is found within `reach` frames (the nearest, then the earlier), and the range of each measure over them and itself."""
+    main = found.where("smoother = 'raw'").select("track", "apex", *[c(m).alias(f"own_{m}") for m in MEASURES])
+    other = found.where("smoother != 'raw'").select("track", "smoother", c("apex").alias("oa"), F.struct(*MEASURES).alias("m"))
+    asks = main.select("track", "apex", F.explode(F.sequence(c("apex") - reach, c("apex") + reach)).alias("oa"))
+    near = asks.join(other, ["track", "oa"]).groupBy("track", "apex", "smoother").agg(F.min_by("m", F.struct(F.abs(c("apex") - c("oa")).alias("g"), "oa")).alias("m"))
+    span = near.groupBy("track", "apex").agg(F.count("*").alias("matched"), *[f(f"m.{m}").alias(f"{k}_{m}") for m in MEASURES for k, f in (("least", F.min), ("most", F.max))])
+    out = main.join(span, ["track", "apex"], "left")
+    both = [R(f(f"own_{m}", f"{k}_{m}"), 3).alias(f"{o}_{m}") for m in MEASURES for o, k, f in (("lo", "least", F.least), ("hi", "most", F.greatest))]
+    return out.select("track", "apex", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), *both)
+
+
 @query("turn_smoother_range")
 def turn_smoother_range(spark: SparkSession, d: str) -> DataFrame:
-    """Of each raw turn: by how many other smoothers it is found within three frames, and the range of its score."""
-    a = by_smoother(spark, d).where("not dealt")
-    main = a.where("smoother = 'raw'").select("track", "apex", c("score").alias("own"))
-    other = a.where("smoother != 'raw'").select("track", "smoother", c("apex").alias("oa"), "score")
-    asks = main.withColumn("oa", F.explode(F.sequence(c("apex") - 3, c("apex") + 3)))
-    near = asks.join(other, ["track", "oa"]).groupBy("track", "apex", "smoother").agg(F.min_by("score", F.struct(F.abs(c("apex") - c("oa")).alias("g"), "oa")).alias("score"))
-    span = near.groupBy("track", "apex").agg(F.count("*").alias("matched"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    out = main.join(span, ["track", "apex"], "left")
-    return out.select("track", "apex", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), R(F.least("own", F.coalesce("lo", "own")), 3).alias("lo"), R(F.greatest("own", F.coalesce("hi", "own")), 3).alias("hi"))
+    return smoother_range(settled(by_smoother(spark, d, measured=True)))
 
 
 SPEED_CAP, ACCEL_CAP = 200.0, 50.0
@@ -122,7 +131,7 @@ def turn_attempt_table(spark: SparkSession, d: str) -> DataFrame:
 
 def shuffled(r: DataFrame, seed: int = 7) -> DataFrame:
     """Heading increments dealt anew within each track; speeds stay where they are."""
-    order = Window.partitionBy("track").orderBy(F.xxhash64(F.lit(seed), "track", "i"))
+    order = Window.partitionBy("track").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "track", "i")))
     dealt = r.select("track", c("dh").alias("new_dh"), (F.row_number().over(order) - 1).cast("long").alias("i"))
     return r.drop("turned").join(dealt, ["track", "i"]).withColumn("turned", F.sum("new_dh").over(Window.partitionBy("track").orderBy("i")))
 
@@ -132,11 +141,17 @@ def turn_null_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return U.detect(shuffled(running(spark, d)), ["track"]).groupBy("track").agg(F.count("*").alias("null_turns"))
 
 
-@query("turn_sanity_rates", f"WITH {RUN}, {TRIG} SELECT label, round(1000.0 * count(*) FILTER (WHERE score >= 60 AND top >= 2) / count(*), 4) AS per_1000 FROM tr GROUP BY ROLLUP (label)")
+DEALT = f"n1 AS (SELECT track, dh, row_number() OVER (PARTITION BY track ORDER BY md5('7:' || track || ':' || i)) - 1 AS i FROM r), r0 AS (SELECT r.track, r.i, r.label, r.speed, r.h, sum(n1.dh) OVER (PARTITION BY r.track ORDER BY r.i) AS turned FROM r JOIN n1 ON r.track = n1.track AND r.i = n1.i), {TRIG.replace('tr AS', 't0 AS').replace('FROM r ', 'FROM r0 ')}"
+
+
+@query("turn_sanity_rates", f"WITH {RUN}, {TRIG}, {DEALT}, g AS (SELECT track, i, {grad_sql('speed')} AS accel FROM r WINDOW w AS (PARTITION BY track ORDER BY us, id)), a AS (SELECT tr.label, tr.speed, g.accel, coalesce(tr.score >= 60 AND tr.top >= 2, false) AS hit, coalesce(t0.score >= 60 AND t0.top >= 2, false) AS dealt FROM tr JOIN t0 ON tr.track = t0.track AND tr.i = t0.i JOIN g ON tr.track = g.track AND tr.i = g.i) SELECT label, count(*) AS frames, round(1000.0 * sum(hit::INT) / count(*), 4) AS per_1000, round(1000.0 * sum(dealt::INT) / count(*), 4) AS null_per_1000, round(sum(hit::INT)::DOUBLE / nullif(sum(dealt::INT), 0), 6) AS to_null, round(avg((speed > {SPEED_CAP})::INT), 6) AS above_speed, round(avg(coalesce(abs(accel) > {ACCEL_CAP}, false)::INT), 6) AS above_accel FROM a GROUP BY ROLLUP (label)")
 def turn_sanity_rates(spark: SparkSession, d: str) -> DataFrame:
-    r = running(spark, d)
-    hit = U.triggers(r, ["track"], 4, 60.0, 2.0).select("track", "i", F.lit(1).alias("hit"))
-    return r.join(hit, ["track", "i"], "left").rollup("label").agg(R(1000.0 * F.count("hit") / F.count("*"), 4).alias("per_1000"))
+    """Detections per 1,000 frames by label, those in shuffled increments, and the share of frames above the caps of speed and acceleration."""
+    r = settled(running(spark, d))
+    hit = lambda rows, name: U.triggers(rows, ["track"], 4, 60.0, 2.0).select("track", "i", F.lit(1).alias(name))
+    a = r.withColumn("accel", T.gradient(c("speed"), c("h"), in_track())).join(hit(r, "hit"), ["track", "i"], "left").join(hit(shuffled(r), "dealt"), ["track", "i"], "left")
+    share = lambda x: R(F.avg(F.coalesce(x, F.lit(False)).cast("double")))
+    return a.rollup("label").agg(F.count("*").alias("frames"), R(1000.0 * F.count("hit") / F.count("*"), 4).alias("per_1000"), R(1000.0 * F.count("dealt") / F.count("*"), 4).alias("null_per_1000"), R(F.try_divide(F.count("hit"), F.count("dealt"))).alias("to_null"), share(c("speed") > SPEED_CAP).alias("above_speed"), share(F.abs("accel") > ACCEL_CAP).alias("above_accel"))
 
 
 def threshold_delta(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,7 +179,7 @@ def turn_threshold_delta(spark: SparkSession, d: str) -> DataFrame:
     r, found = settled(running(spark, d)), None
     for dealt, rows in ((False, r), (True, shuffled(r))):
         for strict, least in ((False, 60.0), (True, 90.0)):
-            f = U.angles(rows, U.detect(rows, ["track"], least_turn=least), ["track"]).join(r.select("track", c("i").alias("apex"), "label"), ["track", "apex"])
+            f = U.ends(rows, U.detect(rows, ["track"], least_turn=least), ["track"]).join(r.select("track", c("i").alias("apex"), "label"), ["track", "apex"])
             f = f.select("track", "apex", "label", "angle", F.lit(strict).alias("strict"), F.lit(dealt).alias("dealt"))
             found = f if found is None else found.union(f)
     found = settled(found)

@@ -97,3 +97,30 @@ def test_smoother_diagnostics(spark):
     fit = [n for n in "abc" if got[n].eligible]
     assert [n for n in "abc" if got[n].recommended] == [min(fit, key=rms.get) if fit else min("abc", key=lambda n: got[n].exceed_share)]
     assert set(tracking.SMOOTHERS) == {x.smoother for x in registry.QUERIES["ts_smoother_diagnostics"](spark, SF).collect()}
+
+
+def test_smoother_range(spark):
+    r = random.Random(3)
+    rows = [(n, k, i, *(r.random() for _ in turning.MEASURES)) for n in ("raw", "a", "b") for k in range(5) for i in sorted(r.sample(range(60), 9))]
+    rows = [(*v[:-2], None if v[2] % 7 == 0 else v[-2], v[-1]) for v in rows]
+    found = spark.createDataFrame(rows, "smoother string, track long, apex long, " + ", ".join(f"{m} double" for m in turning.MEASURES))
+    got = {(x.track, x.apex): x for x in turning.smoother_range(found).collect()}
+    assert set(got) == {v[1:3] for v in rows if v[0] == "raw"}
+    for n, k, i, *own in (v for v in rows if v[0] == "raw"):
+        near = [min((v for v in rows if v[:2] == (o, k) and abs(v[2] - i) <= 3), key=lambda v: (abs(v[2] - i), v[2]), default=None) for o in "ab"]
+        held = [v[3:] for v in near if v]
+        assert got[k, i].matched == len(held)
+        for j, m in enumerate(turning.MEASURES):
+            values = [v[j] for v in [own, *held] if v[j] is not None]
+            want = (round(min(values), 3), round(max(values), 3)) if values else (None, None)
+            assert (got[k, i][f"lo_{m}"], got[k, i][f"hi_{m}"]) == want
+
+
+@pytest.mark.parametrize("axis, times, want", [
+    ([0, 4, 8], [0, 1, 2], (True, True, 1.25, 1.0, "none")), ([0, 8], [0, 3], (True, False, None, 3.0, "forbidden")), ([0, 1, 8], [0, 9, 12], (True, True, 9 + 3 * 4 / 7, 3.0, "bridged")),
+    ([0, 1, 8], [0, 9, 16], (True, False, None, 7.0, "too_long")), ([6, 8], [0, 1], (True, True, 0.0, 0.0, "none")), ([0, 1], [0, 1], (False, False, None, None, "none")), ([0, None, 10], [0, 1, 2], (True, True, 1.0, 2.0, "none")), ([None], [0], (False, False, None, None, "none")),
+])
+def test_crossing(spark, axis, times, want):
+    rows = spark.createDataFrame([(1, i, float(t), None if a is None else float(a)) for i, (a, t) in enumerate(zip(axis, times))], "k int, i int, t double, a double")
+    x = T.crossing(rows, ["k"], ["i"], "t", "a", 5.0, 2.0, 5.0, 4.0).first()
+    assert (x.crossed, x.ok, x.gap, x.policy) == (want[0], want[1], want[3], want[4]) and x.crossed_at == (None if want[2] is None else pytest.approx(want[2]))
