@@ -129,20 +129,20 @@ def metrics(frames: DataFrame, found: DataFrame, keys: list[str], horizon: int =
     """Entry, apex and exit speed, retentions, angle, frames to regain the entry speed, and valid; with
     positions in frames also the radius, its residual and the lateral acceleration."""
     has_place = {"x", "y"} <= set(frames.columns)
-    j = points(frames, found, keys, horizon, ("h", "speed", "turned"))
+    j = points(frames, found, keys, horizon, ("h", "speed", "turned", *(("x", "y") if has_place else ())))
     inside = c("j") <= c("last")
     pick = lambda k, v: F.max(F.when(c("j") == c(k), c(v)))
     m = j.groupBy(*keys, "hit", "apex", "first", "last", "score").agg(
         pick("first", "speed").alias("entry"), pick("apex", "speed").alias("slowest"), pick("last", "speed").alias("exit"),
         (pick("last", "turned") - pick("first", "turned")).alias("angle"), F.max(F.when(inside, c("speed"))).alias("top"),
         (pick("last", "h") - pick("first", "h")).alias("hours"), F.sort_array(F.collect_list(F.when(c("j") > c("last"), F.struct("j", "speed")))).alias("after"),
+        *([F.collect_list(F.when(inside, F.struct(c("x").cast("double").alias("x"), c("y").cast("double").alias("y")))).alias("_p")] if has_place else []),
     )
     regained = F.array_min(F.transform(F.filter("after", lambda a: a["speed"] >= c("entry")), lambda a: a["j"]))
     m = m.withColumn("regain", regained - c("last")).withColumn("valid", (c("hours") <= longest_gap * (c("last") - c("first") + 1)) & (c("top") <= cap))
     safe = lambda v: F.when(c("entry") > 1e-9, c(v) / c("entry"))
     if has_place:  # the circle through the turn's frames, and what holding its slowest speed on it takes
-        fit = circle(points(frames, found, keys), [*keys, "hit"], "x", "y").select(*keys, "hit", "radius", "residual")
-        m = m.join(fit, [*keys, "hit"], "left").withColumn("lateral", F.try_divide(c("slowest") * c("slowest"), c("radius")))
+        m = with_circle(m, "_p").drop("cx", "cy", "n").withColumn("lateral", F.try_divide(c("slowest") * c("slowest"), c("radius")))
     return m.withColumn("retention", safe("exit")).withColumn("apex_retention", safe("slowest")).drop("after")
 
 
@@ -151,14 +151,20 @@ def plant_class(m: DataFrame) -> Column:
 
 
 def circle(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Algebraic circle through points, from sums alone: centre, radius and root mean square distance of the
-    points from it (residual); null for points on a line."""
-    p = points.join(points.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")), keys).withColumn("u", c(x) - c("_mx")).withColumn("v", c(y) - c("_my"))
-    s = p.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in (("n", F.lit(1.0)), ("uu", c("u") * c("u")), ("vv", c("v") * c("v")), ("uv", c("u") * c("v")), ("uuu", c("u") * c("u") * c("u")), ("vvv", c("v") * c("v") * c("v")), ("uvv", c("u") * c("v") * c("v")), ("vuu", c("v") * c("u") * c("u")))], F.first("_mx").alias("mx"), F.first("_my").alias("my"))
-    det = c("uu") * c("vv") - c("uv") * c("uv")
-    a, b = (c("uuu") + c("uvv")) / 2, (c("vvv") + c("vuu")) / 2
-    s = s.withColumn("cu", F.when(F.abs(det) > 1e-9, (a * c("vv") - b * c("uv")) / det)).withColumn("cv", F.when(F.abs(det) > 1e-9, (b * c("uu") - a * c("uv")) / det))
-    s = s.withColumn("radius", F.sqrt(c("cu") * c("cu") + c("cv") * c("cv") + (c("uu") + c("vv")) / c("n")))
-    off = F.hypot(c("u") - c("cu"), c("v") - c("cv")) - c("radius")
-    rest = p.select(*keys, "u", "v").join(s.select(*keys, "cu", "cv", "radius"), keys).groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("residual"))
-    return s.select(*keys, (c("cu") + c("mx")).alias("cx"), (c("cv") + c("my")).alias("cy"), "radius", "n").join(rest, keys)
+    """Algebraic circle through the points of each group: centre, radius and root mean square distance of the
+    points from it (residual); null for points on a line. A group is a turn's few frames, so it is one array in one row."""
+    p = points.groupBy(*keys).agg(F.collect_list(F.struct(c(x).cast("double").alias("x"), c(y).cast("double").alias("y"))).alias("_p"))
+    return with_circle(p, "_p").select(*keys, "cx", "cy", "radius", "n", "residual")
+
+
+def with_circle(df: DataFrame, points: str) -> DataFrame:
+    """df with cx, cy, radius, residual and n of the circle through an array of (x, y)."""
+    df = df.withColumns({"n": F.size(points).cast("double"), "_mx": F.expr(f"aggregate({points}, 0D, (a, s) -> a + s.x) / size({points})"), "_my": F.expr(f"aggregate({points}, 0D, (a, s) -> a + s.y) / size({points})")})
+    df = df.withColumn("_o", F.expr(f"transform({points}, s -> struct(s.x - _mx as u, s.y - _my as v))"))
+    moments = {"uu": "s.u * s.u", "vv": "s.v * s.v", "uv": "s.u * s.v", "uuu": "s.u * s.u * s.u", "vvv": "s.v * s.v * s.v", "uvv": "s.u * s.v * s.v", "vuu": "s.v * s.u * s.u"}
+    df = df.withColumns({f"_{k}": F.expr(f"aggregate(_o, 0D, (a, s) -> a + {e})") for k, e in moments.items()})
+    det, a, b = c("_uu") * c("_vv") - c("_uv") * c("_uv"), (c("_uuu") + c("_uvv")) / 2, (c("_vvv") + c("_vuu")) / 2
+    df = df.withColumns({"_cu": F.when(F.abs(det) > 1e-9, (a * c("_vv") - b * c("_uv")) / det), "_cv": F.when(F.abs(det) > 1e-9, (b * c("_uu") - a * c("_uv")) / det)})
+    df = df.withColumn("radius", F.sqrt(c("_cu") * c("_cu") + c("_cv") * c("_cv") + (c("_uu") + c("_vv")) / c("n")))
+    df = df.withColumn("residual", F.expr("sqrt(aggregate(_o, 0D, (a, s) -> a + pow(hypot(s.u - _cu, s.v - _cv) - radius, 2)) / n)"))
+    return df.withColumns({"cx": c("_cu") + c("_mx"), "cy": c("_cv") + c("_my")}).drop(points, "_o", "_mx", "_my", "_cu", "_cv", *[f"_{k}" for k in moments])

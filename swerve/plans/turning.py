@@ -52,7 +52,7 @@ def detect_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("turn_metrics")
 def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
-    r = running(spark, d)
+    r = settled(running(spark, d))  # read by detection and by the measures
     m = U.metrics(r, U.detect(r, ["track"]), ["track"])
     return m.select("track", "hit", *[R(k, 3).alias(k) for k in ("entry", "slowest", "exit", "angle", "retention", "apex_retention", "radius", "residual", "lateral")], "regain", "valid")
 
