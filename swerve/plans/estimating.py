@@ -159,10 +159,10 @@ def draws_sql(kind: str, reps: int = REPS) -> str:
 
 BOOT_SUMS = ["j", "n", "nn", "nm", "nmm", "ss", "hits"]
 BOOT_STATS = {
-    "mean": "nm / n",
-    "proportion": "hits / n",
-    "icc": "greatest(0.0, ((nmm - nm * nm / n) / (j - 1) - ss / (n - j)) / ((nmm - nm * nm / n) / (j - 1) + ((n - nn / n) / (j - 1) - 1) * ss / (n - j)))",
-    "eta2": "(nmm - nm * nm / n) / (nmm - nm * nm / n + ss)",
+    "mean": "CASE WHEN n > 0 THEN nm / n END",
+    "proportion": "CASE WHEN n > 0 THEN hits / n END",
+    "icc": "CASE WHEN j > 1 AND n > j THEN greatest(0.0, ((nmm - nm * nm / n) / (j - 1) - ss / (n - j)) / ((nmm - nm * nm / n) / (j - 1) + ((n - nn / n) / (j - 1) - 1) * ss / (n - j))) END",
+    "eta2": "CASE WHEN n > 0 THEN (nmm - nm * nm / n) / nullif(nmm - nm * nm / n + ss, 0) END",
 }
 BOOT_SQL = f"""WITH {TURNS}, p AS (SELECT player, count(*)::DOUBLE AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss, count(*) FILTER (WHERE value > 0.05) AS hits FROM t GROUP BY 1),
  m AS (SELECT player, 1.0::DOUBLE AS j, n, n * n AS nn, n * mean AS nm, n * mean * mean AS nmm, ss, hits::DOUBLE AS hits FROM p), {draws_sql("poisson")},
@@ -173,7 +173,7 @@ BOOT_SQL = f"""WITH {TURNS}, p AS (SELECT player, count(*)::DOUBLE AS n, avg(pri
  g AS (SELECT rep, cell, sum(w * n) AS n FROM (SELECT player, floor(angle / 10)::BIGINT AS cell, count(*) AS n FROM t GROUP BY 1, 2) JOIN v USING (player) GROUP BY 1, 2),
  x AS ({" UNION ALL ".join(f"SELECT rep, '{k}' AS statistic, NULL::BIGINT AS cell, {e} AS x FROM s" for k, e in BOOT_STATS.items())}
   UNION ALL SELECT rep, 'median', NULL, (min(angle) FILTER (WHERE upto > floor((total - 1) / 2)) + min(angle) FILTER (WHERE upto > ceil((total - 1) / 2))) / 2 FROM u GROUP BY 1
-  UNION ALL SELECT rep, 'share', cell, g.n / s.n FROM g JOIN s USING (rep))
+  UNION ALL SELECT rep, 'share', cell, g.n / nullif(s.n, 0) FROM g JOIN s USING (rep))
  SELECT statistic, cell, count(*) FILTER (WHERE rep >= 0) AS reps, round(max(x) FILTER (WHERE rep < 0), 6) AS point, round(quantile_cont(x, 0.025) FILTER (WHERE rep >= 0), 6) AS lo, round(quantile_cont(x, 0.975) FILTER (WHERE rep >= 0), 6) AS hi FROM x GROUP BY 1, 2"""
 
 
@@ -196,7 +196,7 @@ def stat_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     top = g.agg(F.max("cell")).first()[0]
     if top is not None:
         shares = B.replicate_sums(g, "player", ["n"], REPS, SEED, by="cell", groups=top + 1).select("rep", c("cell").cast("long").alias("cell"), "n").union(g.groupBy("cell").agg(F.sum("n").cast("double").alias("n")).select(F.lit(-1), "cell", "n"))
-        out = out.union(shares.join(F.broadcast(sums.select("rep", c("n").alias("all"))), "rep").select("rep", F.lit("share"), "cell", c("n") / c("all")))
+        out = out.union(shares.join(F.broadcast(sums.select("rep", c("n").alias("all"))), "rep").select("rep", F.lit("share"), "cell", F.try_divide("n", "all")))
     q = F.percentile(F.when(c("rep") >= 0, c("x")), F.array(F.lit(0.025), F.lit(0.975)))
     return out.groupBy("statistic", "cell").agg(F.count_if(c("rep") >= 0).alias("reps"), R(F.max(F.when(c("rep") < 0, c("x")))).alias("point"), q.alias("q")).select("statistic", "cell", "reps", "point", R(c("q")[0]).alias("lo"), R(c("q")[1]).alias("hi"))
 
@@ -259,7 +259,7 @@ WILD_SQL = f"""WITH {TURNS}, f AS (WITH {fit_sql("t", plain, "price")} SELECT *
  o AS (SELECT sum(d2 * d2) AS qq, sum(u * u) AS uu, count(*) AS g, {", ".join(f"sum(p{j} * p{k}) AS x{j}{k}" for j in range(4) for k in range(4))} FROM m), {draws_sql("sign", WILD_REPS)},
  s AS (SELECT rep, {", ".join(f"sum(w * d{k}) AS s{k}, sum(w * d2 * p{k}) AS c{k}" for k in range(4))} FROM m JOIN w USING (player) GROUP BY 1),
  t2 AS (SELECT rep, s2, qq - 2 * ({" + ".join(f"s{k} * c{k}" for k in range(4))}) + {" + ".join(f"s{j} * x{j}{k} * s{k}" for j in range(4) for k in range(4))} AS v FROM s, o)
- SELECT 'value' AS term, round(b, 3) AS estimate, round(abs(b) / sqrt(g / (g - 1.0) * (n - 1.0) / (n - 4) * uu), 6) AS t, round((k + 1) / {WILD_REPS + 1}.0, 6) AS p, {WILD_REPS} AS reps, g AS clusters FROM b, o, (SELECT count(*) FILTER (WHERE abs(s2) / sqrt(v) >= abs(b) / sqrt(uu)) AS k FROM t2, b, o)"""
+ SELECT 'value' AS term, round(b, 3) AS estimate, round(abs(b) / sqrt(g / (g - 1.0) * (n - 1.0) / (n - 4) * uu), 6) AS t, round((k + 1) / {WILD_REPS + 1}.0, 6) AS p, {WILD_REPS} AS reps, g AS clusters FROM b, o, (SELECT count(*) FILTER (WHERE abs(s2) / sqrt(v) >= abs(b) / sqrt(uu) * (1 - 1e-9)) AS k FROM t2, b, o)"""
 
 
 @query("stat_wild_cluster", WILD_SQL)
@@ -284,7 +284,7 @@ def slope_sums(t: DataFrame, ys: tuple[str, ...]) -> DataFrame:
 
 
 def slopes(tot: DataFrame, ys: tuple[str, ...]) -> DataFrame:
-    return tot.select("rep", *[((c("n") * c(f"x_{y}") - c("sx") * c(f"s_{y}")) / (c("n") * c("sxx") - c("sx") * c("sx"))).alias(f"slope_{y}") for y in ys])
+    return tot.select("rep", *[F.try_divide(c("n") * c(f"x_{y}") - c("sx") * c(f"s_{y}"), c("n") * c("sxx") - c("sx") * c("sx")).alias(f"slope_{y}") for y in ys])
 
 
 def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFrame:
@@ -293,7 +293,7 @@ def replicate_slopes(spark: SparkSession, d: str, ys: tuple[str, ...]) -> DataFr
 
 
 PAIRED = f"""WITH {TURNS}, m AS (SELECT player, count(*) AS n, sum(angle) AS sx, sum(angle * angle) AS sxx, sum(value) AS sv, sum(tax) AS st, sum(angle * value) AS xv, sum(angle * tax) AS xt FROM t GROUP BY 1), {draws_sql("poisson")},
- s AS (SELECT rep, {", ".join(f"sum(w * {k}) AS {k}" for k in ("n", "sx", "sxx", "sv", "st", "xv", "xt"))} FROM m JOIN (SELECT * FROM w UNION ALL SELECT -1, player, 1 FROM m) USING (player) GROUP BY 1), x AS (SELECT rep, ((n * xv - sx * sv) - (n * xt - sx * st)) / (n * sxx - sx * sx) AS delta FROM s)
+ s AS (SELECT rep, {", ".join(f"sum(w * {k}) AS {k}" for k in ("n", "sx", "sxx", "sv", "st", "xv", "xt"))} FROM m JOIN (SELECT * FROM w UNION ALL SELECT -1, player, 1 FROM m) USING (player) GROUP BY 1), x AS (SELECT rep, ((n * xv - sx * sv) - (n * xt - sx * st)) / nullif(n * sxx - sx * sx, 0) AS delta FROM s)
  SELECT count(*) FILTER (WHERE rep >= 0) AS reps, round(max(delta) FILTER (WHERE rep < 0), 9) AS delta, round(quantile_cont(delta, 0.025) FILTER (WHERE rep >= 0), 9) AS lo, round(quantile_cont(delta, 0.975) FILTER (WHERE rep >= 0), 9) AS hi FROM x"""
 
 
