@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swerve.operators import joins, links, stats, tracks, turns
+from swerve.operators import joins, replicates, stats, tracks, turns
 
 
 def frames(spark, points):
@@ -95,12 +95,6 @@ def test_guarded_join_refuses_to_fan_out(spark):
         joins.left_guarded(a, spark.createDataFrame([(1, 1), (1, 2)], "k long, v long"), ["k"])
 
 
-def test_one_to_one_is_greedy(spark):
-    pairs = [(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.85), (2, 11, 0.7), (3, 11, 0.7)]
-    out = links.one_to_one(spark.createDataFrame(pairs, "l long, r long, score double"), "l", "r", "score")
-    assert {(x["l"], x["r"]) for x in out.collect()} == {(1, 10), (2, 11)}
-
-
 def test_ols_against_numpy(spark):
     rng = np.random.default_rng(3)
     x, g = rng.normal(size=200), rng.integers(0, 20, 200)
@@ -116,12 +110,6 @@ def test_ols_against_numpy(spark):
     assert np.allclose(fit["beta"], beta) and np.allclose(fit["se"], se)
 
 
-def test_one_to_one_goes_on_until_stable(spark):
-    n = 104  # a complete tied block: one mutual best a round
-    tied = spark.range(n).select(F.col("id").alias("l")).crossJoin(spark.range(n).select(F.col("id").alias("r"))).withColumn("score", F.lit(1.0))
-    assert sorted(tuple(x) for x in links.one_to_one(tied, "l", "r", "score").collect()) == [(k, k, 1.0) for k in range(n)]
-
-
 def test_fuzzy_one_to_one_against_brute_force(spark):
     import random
 
@@ -244,7 +232,7 @@ def test_quantile_fits_reach_their_share(spark):
 
 
 def test_poisson_weights_and_ranks(spark):
-    w = stats.replicate_weights(spark.range(400).withColumnRenamed("id", "g"), "g", 50, 3).groupBy("rep").agg(F.sum("times").alias("n")).collect()
+    w = replicates.replicate_sums(spark.range(400).select(F.col("id").alias("g"), F.lit(1).alias("n")), "g", ["n"], 50, 3).collect()
     assert len(w) == 50 and abs(np.mean([x["n"] for x in w]) - 400) < 10 and np.std([x["n"] for x in w]) < 40
     v = [float(x) for x in np.random.default_rng(2).integers(0, 40, 300)]
     got = {(x["v"], x["r"]) for x in stats.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "r").collect()}
