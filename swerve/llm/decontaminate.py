@@ -24,7 +24,8 @@ from .common import U64, WordHasher, free_name, keyed_text, mix, once, shingles_
 SIZE, SIMILARITY, RADIUS, BLOCK_BITS = 5, 0.75, 23, 8
 #: Items that are looked up at once; larger benchmarks go in several rounds.
 ITEMS = 20_000
-_BIT = U64(1) << np.arange(64, dtype=U64)
+#: Windows, and shingles of one window, whose bits are held at once.
+PIECE = 4096
 
 
 def item_shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -32,9 +33,41 @@ def item_shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
     return shingles_of(words, size) if len(words) >= size else (mix(shingles_of(words, len(words)), len(words)) if len(words) else np.zeros(0, U64))
 
 
+def bits_of(shingles: np.ndarray) -> np.ndarray:
+    """One row of 64 zeros and ones for each shingle, lowest bit first."""
+    return np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def ones_of(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles have each bit set."""
+    pieces = [bits_of(shingles[k : k + PIECE]).sum(axis=0, dtype=np.int64) for k in range(0, len(shingles), PIECE)]
+    return np.sum(pieces, axis=0) if pieces else np.zeros(64, np.int64)
+
+
+def simhashes(shingles: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
+    """Fingerprints of the windows of span shingles that begin at first (ascending): bits that more than half of
+    a window's shingles have set. A window that follows the one before by one shingle changes its counts by two."""
+    out, count, before = [], None, -2
+    for k in range(0, len(first), PIECE):
+        piece = first[k : k + PIECE]
+        cuts = np.flatnonzero(np.diff(piece) != 1) + 1
+        for run in np.split(piece, cuts):
+            if run[0] != before + 1:
+                count = ones_of(shingles[run[0] : run[0] + span])
+                steps = run[1:]
+            else:
+                steps = run
+            change = bits_of(shingles[steps + span - 1]).astype(np.int64) - bits_of(shingles[steps - 1])
+            counts = count + np.cumsum(change, axis=0) if len(steps) else np.zeros((0, 64), np.int64)
+            counts = np.concatenate((count[None], counts)) if len(steps) < len(run) else counts
+            wide = min(span, len(shingles) - int(run[0]))
+            out.append(np.packbits(2 * counts > wide, axis=1, bitorder="little").view("<u8").ravel())
+            count, before = counts[-1], int(run[-1])
+    return np.concatenate(out).astype(U64) if out else np.zeros(0, U64)
+
+
 def simhash(shingles: np.ndarray) -> int:
-    votes = np.where(shingles[:, None] & _BIT, 1, -1).sum(axis=0)
-    return int(_BIT[votes > 0].sum(dtype=U64))
+    return int(simhashes(shingles, np.zeros(1, np.int64), max(1, len(shingles)))[0])
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -106,27 +139,34 @@ class Benchmark:
         """item -> (similarity, first word, last word exclusive) of its best window in one document."""
         found: dict[int, tuple[float, int, int]] = {}
         sizes: dict[int, list[int]] = {}
+        sizes_of: dict[int, int] = {}
         for p in hits.tolist():
             for n in self.owners[int(shingles[p])]:
                 sizes.setdefault(n, []).append(p)
         for n, places in sizes.items():
             index, items = self.groups[n]
             span = n - self.size + 1  # shingles of a window
-            # windows that hold enough benchmark shingles to pass, as runs of their first shingle
-            mark = np.zeros(len(shingles) + 1, np.int32)
-            mark[np.array(places)] = 1
-            upto = np.concatenate(([0], np.cumsum(mark)))
-            first = np.unique((np.array(places)[:, None] - np.arange(span)).ravel())
-            first = first[(first >= 0) & (first <= max(0, len(shingles) - span))]
-            last = np.minimum(first + span, len(shingles))
-            need = np.ceil(similarity / (1 + similarity) * (span + last - first) - 1e-9)
-            for a in first[upto[last] - upto[first] >= need].tolist():
-                window = shingles[a : a + span]
-                for k in index.within(simhash(window)).tolist():
-                    item, own = items[k]
-                    s = weighted_jaccard(window, own)
-                    if s >= similarity and s > found.get(item, (0.0,))[0]:
-                        found[item] = (s, a, min(a + n, len(words)))
+            # windows that hold a benchmark shingle are runs of first shingles, as long as the document at most
+            at = np.unique(np.array(places))
+            low, high = np.maximum(at - span + 1, 0), np.minimum(at, max(0, len(shingles) - span))
+            low = np.maximum(low, np.concatenate(([0], high[:-1] + 1)))
+            first = np.concatenate([np.arange(x, y + 1) for x, y in zip(low.tolist(), high.tolist(), strict=True) if x <= y] or [np.zeros(0, np.int64)])
+            wide = np.minimum(first + span, len(shingles)) - first
+            held = np.searchsorted(at, first + wide) - np.searchsorted(at, first)
+            enough = held >= np.ceil(similarity / (1 + similarity) * (span + wide) - 1e-9)
+            first, wide, held = first[enough], wide[enough], held[enough]
+            prints, most = simhashes(shingles, first, span), held / (span + wide - held)
+            # windows that can be most alike first: those that can't pass an item's best one are not compared
+            for k in np.lexsort((first, -most)).tolist():
+                a = int(first[k])
+                for i in index.within(int(prints[k])).tolist():
+                    item, own = items[i]
+                    best = found.get(item, (0.0, -1))
+                    if most[k] < best[0] or (most[k] == best[0] and a > best[1]):
+                        continue
+                    s = weighted_jaccard(shingles[a : a + span], own)
+                    if s >= similarity and (s > best[0] or (s == best[0] and n == sizes_of.get(item) and a < best[1])):
+                        found[item], sizes_of[item] = (s, a, min(a + n, len(words))), n
         return found
 
 
