@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,12 @@ NAMES = (
 PREFIXES = "ad- ads- ad_ advert banner- breadcrumb comment- comments- comment_ comments_ cookie- cookies- disqus footer- menu- nav- navbar- newsletter- pagination- popup- promo- recommended- related- share- sharing- sidebar- social- sponsor subscribe- widget-".split()
 CONTENT = "article article-body article-content article-text articlebody body-content content content-body entry entry-content main main-content maincontent page-content post post-body post-content post-text postcontent story story-body story-content text text-content".split()
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag without "<" inside, and the name of any other tag; none of them looks past the next "<" or name.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^\"'<>]|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile(r"[\"'>]")
+#: Decimal references with more digits than a code point can have.
+LONG_REFERENCE = re.compile(r"&#([0-9]{8,});?")
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BODY = re.compile(r"(?=<body)", re.I)
@@ -65,27 +71,91 @@ def is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     return not any(w in _content for w in names) and any(w in _names or w.startswith(_prefixes) for w in names)
 
 
+class Tags:
+    """Finds the tags of a page one after another, in time linear in its length whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.marks: list[int] | None = None  # places of quotes and of ">"
+        self.ends: dict[int, int] = {}  # mark outside quotes -> end of the tag it stands in, or -1
+
+    def end_of(self, at: int) -> int:
+        """Place of the first ">" outside quotes from at on, -1 if none."""
+        if self.marks is None:
+            self.marks = [m.start() for m in SPECIAL.finditer(self.page)]
+        passed, k, end = [], bisect_left(self.marks, at), -1
+        while k < len(self.marks):
+            mark = self.marks[k]
+            if mark in self.ends:
+                end = self.ends[mark]
+                break
+            passed.append(mark)
+            if self.page[mark] == ">":
+                end = mark
+                break
+            closing = self.page.find(self.page[mark], mark + 1)
+            if closing < 0:
+                break
+            k = bisect_left(self.marks, closing + 1)
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, stop, tag, closing, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, len(page) if stop < 0 else stop + 3, "", False, ""
+            if start > self.last:
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if m := TAG.match(page, start):
+                return start, m.end(), m[2].lower(), bool(m[1]), m[3]
+            if (m := OPENED.match(page, start)) and (end := self.end_of(m.end())) >= 0:
+                return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, page.find(">", start) + 1, "", False, ""
+            at = start + 1
+        return None
+
+
 def elements(page: str) -> list[tuple[int, int, str, bool, str, int]]:
     """(start, stop, tag, closing, attributes, place of the tag that closes it or -1) of the tags of a
     page. Comments and elements whose content is no text are one piece with an empty name."""
-    found, open_, at = [], {}, 0
-    while m := TAG.search(page, at):
-        at, tag = m.end(), (m[2] or "").lower()
-        if tag in _raw and not m[1]:
-            done = _close[tag].search(page, at) if not m[3].endswith("/") else None
-            if tag == "head":  # ends at the body where it isn't closed
-                done = done or BODY.search(page, at)
+    found, open_, at, tags = [], {}, 0, Tags(page)
+    unclosed: set[str] = set()  # elements that nothing further on closes
+    while m := tags.next(at):
+        start, at, tag, closing, attrs = m
+        if tag in _raw and not closing:
+            done = None
+            if not attrs.endswith("/") and tag not in unclosed:
+                done = _close[tag].search(page, at)
+                if tag == "head":  # ends at the body where it isn't closed
+                    done = done or BODY.search(page, at)
+                if not done:
+                    unclosed.add(tag)
             at = done.end() if done else len(page) if tag in ("script", "style", "template", "textarea", "noscript") else at
             tag = ""
-        elif m[1] and open_.get(tag):
+        elif closing and open_.get(tag):
             k = open_[tag].pop()
             found[k] = (*found[k][:5], len(found))
-        elif tag and not m[1] and tag not in VOID and not m[3].endswith("/"):
+        elif tag and not closing and tag not in VOID and not attrs.endswith("/"):
             open_.setdefault(tag, []).append(len(found))
-        found.append((m.start(), at, tag, bool(m[1]), m[3] or "", -1))
+        found.append((start, at, tag, closing, attrs, -1))
     return found
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; what is beyond the last code point is U+FFFD however many digits it has."""
+    if "&" not in text:
+        return text
+    short = LONG_REFERENCE.sub(lambda m: f"&#{d};" if len(d := m[1].lstrip("0") or "0") < 8 else "\ufffd", text)
+    return entities.unescape(short)
+
+
 class Line:
     __slots__ = ("text", "article", "linked", "paragraph")
 
@@ -108,7 +178,7 @@ def lines_of(page: str) -> list[Line]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(piece)).split())
+        text = " ".join(decoded("".join(piece)).split())
         piece.clear()
         if text:
             lines.append(Line(text, depth > 0, linked, block in _paragraphs))
@@ -193,7 +263,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
     Null or empty html, and pages without article text, give an empty text. Ids and urls may be
-    null or repeated; other columns are not read. An empty table gives an empty result.
+    null or repeated; other columns are not read. An empty table gives an empty result. Very long
+    pages take time linear in their length, tags and quotes that are never closed included.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
