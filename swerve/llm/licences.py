@@ -2,14 +2,16 @@
 
 Each rule is a regex with a literal keyword, a label, a priority and a confidence. Texts that hold
 a keyword are matched against that keyword's rules. Where detected intervals overlap, one inside
-another or not, the rule of the higher form stays (an identifier before a grant, a grant before a
-name, a name before a mention), of equal forms the longer interval, then the earlier rule. All is done
+another or not, the best is taken first and puts out those that overlap it, and so on: the rule of the
+higher form is better (an identifier before a grant, a grant before a name, a name before a mention), of
+equal forms the longer interval, then the earlier rule. What is put out puts out nothing itself. All is done
 within the row of a text: nothing is shuffled. Three fixed phrases are counted beside the rules and
 always stay.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +100,10 @@ FORMS = [
 ]
 
 
+#: Identifiers with a hyphen and a digit.
+HYPHENED = re.compile(r"-.*[0-9]")
+
+
 def rules() -> list[tuple[str, str, str, str, int, float]]:
     """(keyword, name, regex, label, priority, confidence): every family in every form, identifiers, statements.
 
@@ -108,8 +114,15 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
         for name in names:
             word = key if len(key) > 1 else ("general public" if "general public" in name else "creative commons" if "creative" in name else name.split("[")[0].split(" ?")[0].split("(?")[0])
             out += [(word, name, form.format(f"(?:{name})"), label, priority * 100 - n, sure) for form, priority, sure in FORMS]
-        named = r"spdx-licen[cs]e-identifier:\s*(?:" + "|".join(i.replace(".", r"\.") for i in ids) + r")(?![\w.-])"
+        ids = [i.replace(".", r"\.") for i in sorted(ids, key=len, reverse=True)]
+        named = rf"spdx-licen[cs]e-identifier:\s*\(*(?:{'|'.join(ids)})(?![\w.-])"
         out.append(("spdx", named, named, label, 9900 - n, 0.99))
+        # the other licences of an expression, and identifiers that are no ordinary words wherever they stand
+        joined = rf"(?-i:AND|OR)\s+\(*(?-i:{'|'.join(ids)})(?![\w.-])"
+        out.append(("spdx", joined, joined, label, 9800 - n, 0.9))
+        for plain in [i for i in ids if HYPHENED.search(i)]:
+            named = plain + r"(?:-only|-or-later|\+)?(?![\w-]|\.[0-9])"
+            out.append((plain.replace("\\", "").lower(), named, named, label, 6500 - n, 0.7))
     whole = r"(?i)(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
     return [(k, whole.format(f"(?:{name})"), whole.format(p), label, priority, sure) for k, name, p, label, priority, sure in out]
 
@@ -134,20 +147,27 @@ DETECTION = "struct<start:int,end:int,label:string,priority:int,confidence:doubl
 
 
 def undisputed(spans: Column) -> Column:
-    """Spans by start, without those that overlap a better one: the last kept span gives way to a better one
-    that overlaps it, and else keeps that one out."""
-    better = lambda x, y: F.struct(F.floor(x["priority"] / FORM), x["end"] - x["start"], x["priority"]) > F.struct(F.floor(y["priority"] / FORM), y["end"] - y["start"], y["priority"])
-
-    def step(kept: Column, x: Column) -> Column:
-        last, rest = F.element_at(kept, -1), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
-        return (
-            F.when(F.size(kept) == 0, F.array(x))
-            .when(x["start"] >= last["end"], F.concat(kept, F.array(x)))
-            .when(better(x, last), F.concat(rest, F.array(x)))
-            .otherwise(kept)
+    """Spans by start, without those that overlap a better one that stays. Spans that overlap one another, if
+    only through others, are one run, which is settled best first; runs are short where the text is long."""
+    none = F.array().cast(f"array<{DETECTION}>")
+    rank = lambda x: F.struct(F.floor(x["priority"] / FORM), x["end"] - x["start"], x["priority"])
+    first = lambda x, y: F.when(rank(x) > rank(y), -1).when(rank(x) < rank(y), 1).otherwise(0)
+
+    def settled(run: Column) -> Column:
+        apart = lambda kept, x: F.forall(kept, lambda k: (k["end"] <= x["start"]) | (x["end"] <= k["start"]))
+        best = F.aggregate(F.array_sort(run, first), none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+        return F.when(F.size(run) < 2, run).otherwise(F.array_sort(best))
+
+    def step(acc: Column, x: Column) -> Column:
+        apart = x["start"] >= acc["end"]
+        return F.struct(
+            F.when(apart, F.concat(acc["kept"], settled(acc["run"]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(apart, F.array(x)).otherwise(F.concat(acc["run"], F.array(x))).alias("run"),
+            F.greatest(acc["end"], x["end"]).alias("end"),
         )
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{DETECTION}>"), step)
+    start = F.struct(none.alias("kept"), none.alias("run"), F.lit(0).alias("end"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["kept"], settled(acc["run"])))
 
 
 def detections(text: Column, signatures: list[tuple[str, str, str, str, int, float]] | None = None) -> Column:
@@ -172,7 +192,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     score is the chance that at least one detection is right, taking them as independent; 1 where
     a base phrase stands. Null and empty texts: no words, no labels, score 0. Ids may be null or
-    repeated. Other columns are not read.
+    repeated. Other columns are not read. Very long texts are looked at whole; the array of a text grows
+    with its detections.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", "text", F.lower("text").alias("low"))
