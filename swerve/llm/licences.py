@@ -102,6 +102,8 @@ FORMS = [
 
 #: Identifiers with a hyphen and a digit.
 HYPHENED = re.compile(r"-.*[0-9]")
+#: Their keyword, which many share: the version with the letter before it.
+VERSION = re.compile(r"[a-z0-9]-[0-9](?:\.|-c)?")
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
@@ -122,7 +124,8 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
         out.append(("spdx", joined, joined, label, 9800 - n, 0.9))
         for plain in [i for i in ids if HYPHENED.search(i)]:
             named = plain + r"(?:-only|-or-later|\+)?(?![\w-]|\.[0-9])"
-            out.append((plain.replace("\\", "").lower(), named, named, label, 6500 - n, 0.7))
+            version = VERSION.search(plain.replace("\\", "").lower())[0]
+            out.append((version, named, named, label, 6500 - n, 0.7))
     whole = r"(?i)(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
     return [(k, whole.format(f"(?:{name})"), whole.format(p), label, priority, sure) for k, name, p, label, priority, sure in out]
 
