@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swerve.functions.columns import hash_uniform
 
@@ -120,17 +123,31 @@ def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 64) -> Data
     return df.join(ranks, c(value) == c("_v"), "left").drop("_v")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the cluster names: later steps neither recompute it nor plan it again."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of its own where a single process runs everything."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         base = sc.getConf().get("spark.checkpoint.dir", None)
         if not base and (not sc.master.startswith("local") or sc.master.startswith("local-")):  # one process may do without
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="swerve-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the folder that the cluster names: later steps neither recompute it nor plan it again."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in that folder, read again: computed once, pruned by later reads, and of known size, so a join may
+    broadcast it where it is small."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quantile_fits(df: DataFrame, models: dict[str, tuple[list[str], Column]], y: str, tau: float, rounds: int = 25, eps: float = 1e-3) -> dict[str, np.ndarray]:
     """Coefficients of a conditional quantile for each model (columns, and which rows teach it), by iteratively
     reweighted least squares. A round is one aggregation for all models."""
@@ -156,31 +173,56 @@ def quantile_fits(df: DataFrame, models: dict[str, tuple[list[str], Column]], y:
     return beta
 
 
+def _reweighed(xs: list[str], y: str, beta: np.ndarray, tau: float, eps: float, lam: float):
+    """Batches of rows, each with its key's sums of the round before (g0_j; null at first), to cross products weighted by
+    the rows' residuals, summed by key within the batch."""
+    p = len(xs) + 1
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            cols = [np.ones(batch.num_rows), *[read(x) for x in xs], read(y)]
+            left = sum(float(b) * read(f"g0_{k}") for k, b in enumerate(beta))
+            u = np.nan_to_num((read(f"g0_{p}") - left) / (read("g0_0") + lam))
+            r = cols[p] - sum(float(b) * x for b, x in zip(beta, cols, strict=False)) - u
+            w = np.where(r > 0, tau, 1 - tau) / np.maximum(np.abs(r), eps)
+            sums = {f"g{i}_{j}": w * cols[i] * cols[j] for i in range(p + 1) for j in range(i, p + 1)}
+            by_key = pa.table({"_key": batch.column("_key"), **sums}).group_by("_key").aggregate([(k, "sum") for k in sums])
+            yield from by_key.select(["_key", *[f"{k}_sum" for k in sums]]).rename_columns(["_key", *sums]).to_batches()
+
+    return run
+
+
 def quantile_regression(df: DataFrame, xs: list[str], y: str, key: str, tau: float, tau2: float, rounds: int = 40, eps: float = 1e-3) -> tuple[np.ndarray, DataFrame]:
     """(coefficients, (key, u)): a conditional quantile with a random intercept u of variance tau2 per key.
 
-    Each round weighs rows by their residuals, sums cross products per key (one aggregation),
-    eliminates the intercepts from the normal equations, solves for the few coefficients on the
+    Each round weighs rows by their residuals, sums cross products per key (one aggregation, begun within
+    batches of rows), eliminates the intercepts from the normal equations, solves for the few coefficients on the
     driver and gives every key its intercept, shrunk by 1 / tau2. Nothing of the size of the keys
-    leaves the executors. Ends when no coefficient moves by more than a millionth.
+    leaves the executors; a key's sums are written once a round, and rows find them by a join that Spark
+    broadcasts only below its size limit. Ends when no coefficient moves by more than a millionth. Rows with a null
+    key, value or column take no part.
     """
     p, lam = len(xs) + 1, 1.0 / tau2
-    rows = settled(df.where(c(y).isNotNull()).select(c(key).alias("_key"), *[c(x).cast("double").alias(x) for x in xs], c(y).cast("double").alias(y)))
-    beta, u = solve(*unpack(gram(rows, xs, y).first(), p)[:2]), None
+    rows = stored(df.select(c(key).alias("_key"), *[c(x).cast("double").alias(x) for x in xs], c(y).cast("double").alias(y)).dropna())
+    names = [f"g{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)]
+    out = T.StructType([rows.schema["_key"], *[T.StructField(k, T.DoubleType()) for k in names]])
+    g = lambda i, j: c(f"g{i}_{j}")
+    own = [f"g0_{j}" for j in range(p + 1)]
+    d = g(0, 0) + lam
+    less = [F.sum(g(i, j) - g(0, i) * g(0, j) / d).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    beta, sums = solve(*unpack(gram(rows, xs, y).first(), p)[:2]), None
     for _ in range(rounds):
-        known = rows.join(u, "_key") if u is not None else rows.withColumn("u", F.lit(0.0))
-        r = c(y) - linear(xs, beta) - c("u")
-        sums = settled(gram(known, xs, y, ["_key"], F.when(r > 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(eps))))
-        g = lambda i, j: c(f"g{i}_{j}")
-        d = g(0, 0) + lam
-        less = [F.sum(g(i, j) - g(0, i) * g(0, j) / d).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+        known = rows.join(sums.select("_key", *own), "_key") if sums is not None else rows.withColumns({k: F.lit(None).cast("double") for k in own})
+        sums = stored(known.mapInArrow(_reweighed(xs, y, beta, tau, eps, lam), out).groupBy("_key").agg(*[F.sum(k).alias(k) for k in names]))
         new = solve(*unpack(sums.agg(*less).first(), p)[:2])
-        u = sums.select("_key", ((g(0, p) - sum((g(0, k) * float(b) for k, b in enumerate(new)), F.lit(0.0))) / d).alias("u"))
         done = float(np.abs(new - beta).max()) < 1e-6 * (1 + float(np.abs(beta).max()))
         beta = new
         if done:
             break
-    return beta, u.withColumnRenamed("_key", key)
+    return beta, sums.select(c("_key").alias(key), ((g(0, p) - sum((g(0, k) * float(b) for k, b in enumerate(beta)), F.lit(0.0))) / d).alias("u"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], ranges: int = 64) -> DataFrame:
