@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swerve.operators import joins as J
@@ -142,8 +142,20 @@ def set_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("set_symmetric_players", f"WITH {TURNS}, a AS (SELECT DISTINCT player, part FROM t WHERE setting = 'F'), b AS (SELECT DISTINCT player, part FROM t WHERE setting = 'O') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def set_symmetric_players(spark: SparkSession, d: str) -> DataFrame:
     """Players with a part in one setting only, over all rows."""
-    a, b = (turns(spark, d).where(c("setting") == s).select("player", "part").distinct() for s in "FO")
-    return a.exceptAll(b).union(b.exceptAll(a))
+    return one_sided(turns(spark, d), ["player", "part"], c("setting") == "F", c("setting") == "O")
+
+
+#: Rows that a task of one_sided aggregates.
+TASK_ROWS = 250_000
+
+
+def one_sided(df: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """Distinct keys (null ones too) of the rows on one side that no row of the other side has. One aggregation, after
+    the rows are dealt to as many tasks as keep a task's groups few."""
+    rows = df.select(*keys, left.alias("_l"), right.alias("_r")).where("_l or _r")
+    tasks = rows.count() // TASK_ROWS + 1
+    sides = rows.repartition(tasks, *keys).groupBy(*keys).agg(F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+    return sides.where("coalesce(_l, false) <> coalesce(_r, false)").select(*keys)
 
 
 @query("set_overlap_counts", f"WITH {TURNS}, u AS (SELECT DISTINCT 'a' AS slot, play, player FROM t WHERE angle >= 40 UNION SELECT DISTINCT 'b', play, player FROM t WHERE value > 0.08) SELECT n AS slots, count(*) AS keys FROM (SELECT play, player, count(*) AS n FROM u GROUP BY 1, 2) GROUP BY 1")
