@@ -244,6 +244,79 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], ranges:
     return wide.select(*by, *[(c(f"_l{i}") + (c(f"_h{i}") - c(f"_l{i}")) * (place(q) - F.floor(place(q)))).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
+#: Rows of a block that a task holds with their ranks of all permutations; longer blocks are ranked by Spark.
+BLOCK_ROWS = 1 << 17
+
+
+def _permuted(block: str, x: str, y: str, reps: int, means: tuple[float, float]):
+    """Batches ordered by block and key, to moments of x and y by permutation: rep 0 as it is, others with y dealt within
+    the block in the order of the hash h<rep>. Holds the blocks of a batch, and one that goes on in the next."""
+
+    def moments(table: pa.Table) -> np.ndarray:
+        read = lambda k: table.column(k).to_numpy()
+        code = read(block)
+        u, v = (np.asarray(read(k), float) - m for k, m in ((x, means[0]), (y, means[1])))
+        known = (table.column(k).is_valid().to_numpy() for k in (x, y))
+        ku, kv = known
+        u, v, out = np.where(ku, u, 0.0), np.where(kv, v, 0.0), np.zeros((reps + 1, 6))
+        for rep in range(reps + 1):
+            at = np.lexsort((read(f"h{rep}"), code)) if rep else np.arange(len(u))
+            a, b = u * kv[at], v[at] * ku
+            out[rep] = (ku & kv[at]).sum(), a.sum(), b.sum(), a @ u, b @ v[at], u @ v[at]
+        return out
+
+    def run(batches):
+        total, held, last = np.zeros((reps + 1, 6)), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(block).to_numpy()
+            if code[-1] != last:  # the blocks before the last one are whole
+                cut = int(np.searchsorted(code, code[-1]))
+                done = [*held, *([batch.slice(0, cut)] if cut else [])]
+                if done:
+                    total += moments(pa.Table.from_batches(done))
+                held, last, batch = [], code[-1], batch.slice(cut)
+            held.append(batch)
+        if held:
+            total += moments(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array(range(reps + 1), pa.int32()), *map(pa.array, total.T)], names=["rep", *MOMENTS])
+
+    return run
+
+
+MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def block_permutations(df: DataFrame, block: str, key: list[str], x: str, y: str, reps: int, seed: int) -> DataFrame:
+    """(rep, r): the correlation of x and y, as it is in rep 0 and with y dealt anew within each block by hashes of the
+    keys in the others.
+
+    Rows are shuffled and ordered once; a task takes all permutations of a block at a time. Blocks of more than
+    BLOCK_ROWS rows are ranked by windows instead, which repeats their rows for each permutation. Rows with a null block take no part.
+    """
+    df = df.where(c(block).isNotNull())
+    shuffle = lambda rep: F.xxhash64(F.lit(seed), rep, *key)
+    means = df.agg(F.avg(F.when(~F.isnan(x), c(x).cast("double"))), F.avg(F.when(~F.isnan(y), c(y).cast("double")))).first()
+    means = tuple(m or 0.0 for m in means)
+    long = [r[0] for r in df.groupBy(block).count().where(c("count") > BLOCK_ROWS).collect()]  # fewer than rows / BLOCK_ROWS
+    rest = df.where(~c(block).isin(long)) if long else df
+    rest = rest.repartition(block).sortWithinPartitions(block, *key)
+    rest = rest.select(block, c(x).cast("double").alias(x), c(y).cast("double").alias(y), *[shuffle(F.lit(rep)).alias(f"h{rep}") for rep in range(1, reps + 1)])
+    sums = rest.mapInArrow(_permuted(block, x, y, reps, means), "rep int, " + ", ".join(f"{k} double" for k in MOMENTS))
+    if long:
+        one = df.where(c(block).isin(long)).withColumn("_i", F.row_number().over(Window.partitionBy(block).orderBy(*key)))
+        each = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+        order = Window.partitionBy("rep", block).orderBy(F.when(c("rep") == 0, c("_i").cast("long")).otherwise(shuffle(c("rep"))), *key)
+        dealt = each.select("rep", block, c(y).cast("double").alias("_y"), F.row_number().over(order).alias("_i"))
+        u, v = c(x).cast("double") - means[0], c("_y") - means[1]
+        both = each.select("rep", block, "_i", x).join(dealt, ["rep", block, "_i"]).where(c(x).isNotNull() & c("_y").isNotNull())
+        sums = sums.union(both.groupBy("rep").agg(*[F.sum(e).alias(k) for k, e in zip(MOMENTS, (F.lit(1.0), u, v, u * u, v * v, u * v), strict=True)]))
+    g = sums.groupBy("rep").agg(*[F.sum(k).alias(k) for k in MOMENTS])
+    spread = lambda k: c(f"s{k}{k}") - c(f"s{k}") * c(f"s{k}") / c("n")
+    return g.where("n > 0").select("rep", F.try_divide(c("sxy") - c("sx") * c("sy") / c("n"), F.sqrt(spread("x") * spread("y"))).alias("r"))
+
+
 def pinball(residual: Column, tau: float) -> Column:
     return F.greatest(tau * residual, (tau - 1) * residual)
 

@@ -216,20 +216,16 @@ def stat_bernoulli_draws(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("grp").agg(q.alias("q")).select("grp", R(c("q")[0]).alias("lo"), R(c("q")[1]).alias("mid"), R(c("q")[2]).alias("hi"))
 
 
+PERMUTATIONS = 49
+
+
 @query("stat_block_permutation")
 def stat_block_permutation(spark: SparkSession, d: str) -> DataFrame:
-    reps = 49
     t = turns(spark, d).select("play", "line", "player", "part", "value", "price")
-    key = ["play", "line", "player", "part"]
-    block = Window.partitionBy("player")
-    t = t.withColumn("i", F.row_number().over(block.orderBy(*key)))
-    each = t.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    order = Window.partitionBy("rep", "player").orderBy(F.when(c("rep") == 0, c("i").cast("long")).otherwise(F.xxhash64(F.lit(SEED), "rep", *key)), *key)
-    dealt = each.select("rep", "player", c("price").alias("dealt"), F.row_number().over(order).alias("i"))
-    r = each.select("rep", "player", "i", "value").join(dealt, ["rep", "player", "i"]).groupBy("rep").agg(F.corr("value", "dealt").alias("r"))
+    r = S.block_permutations(t, "player", ["play", "line", "player", "part"], "value", "price", PERMUTATIONS, SEED)
     seen = F.max(F.when(c("rep") == 0, F.abs("r")))
     wide = r.crossJoin(F.broadcast(r.agg(seen.alias("seen"), F.max(F.when(c("rep") == 0, c("r"))).alias("estimate"))))
-    return wide.groupBy("estimate").agg(R((F.count_if((c("rep") > 0) & (F.abs("r") >= c("seen"))) + 1) / (reps + 1)).alias("p")).select(R("estimate", 9).alias("estimate"), "p")
+    return wide.groupBy("estimate").agg(R((F.count_if((c("rep") > 0) & (F.abs("r") >= c("seen"))) + 1) / (PERMUTATIONS + 1)).alias("p")).select(R("estimate", 9).alias("estimate"), "p")
 
 
 X = ["angle", "value", "tax"]

@@ -1,7 +1,10 @@
 """Jobs whose disk, memory or time once grew faster than their input, on small tables against plain Python."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from swerve.operators import stats
 from swerve.plans import registry  # isort: skip  (first: it imports the plans)
 from swerve.plans import joining
 
@@ -13,3 +16,30 @@ def test_one_sided_keys(spark, monkeypatch):
     out = joining.one_sided(spark.createDataFrame(rows, "a int, b int, s string"), ["a", "b"], F.col("s") == "F", F.col("s") == "O")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1), (1, 2), (None, 3)], key=str)
     assert out.rdd.getNumPartitions() == 8 // 3 + 1
+
+
+@pytest.mark.parametrize("longest", [1 << 17, 40, 0])
+def test_block_permutations(spark, monkeypatch, longest):
+    """Against plain Python over Spark's hashes, for blocks within batches, over several batches and beyond the limit;
+    no plan repeats the rows of blocks within it."""
+    monkeypatch.setattr(stats, "BLOCK_ROWS", longest)
+    r, reps = np.random.default_rng(4), 5
+    some = lambda v: None if r.random() < 0.1 else v
+    rows = [(some(int(min(r.integers(0, 9), 6))), some(k), k % 7, some(float(r.normal())), some(float(r.normal(50, 3)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "b long, k long, j int, x double, y double").dropDuplicates(["b", "k", "j"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = stats.block_permutations(df, "b", ["k", "j"], "x", "y", reps, 3)
+        got = {g.rep: g.r for g in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = df.where("b is not null").select("*", *[F.xxhash64(F.lit(3), F.lit(q), "k", "j").alias(f"h{q}") for q in range(1, reps + 1)]).collect()
+    low = lambda t: tuple((v is not None, v or 0) for v in t)
+    for rep in range(reps + 1):
+        pairs = []
+        for b in {p.b for p in pdf}:
+            own = sorted((p for p in pdf if p.b == b), key=lambda p: low((p.k, p.j)))
+            dealt = sorted(own, key=lambda p: p[f"h{rep}"]) if rep else own
+            pairs += [(p.x, q.y) for p, q in zip(own, dealt, strict=True) if p.x is not None and q.y is not None]
+        assert np.isclose(got[rep], np.corrcoef(*zip(*pairs, strict=True))[0, 1])
+    assert ("Generate" in out._jdf.queryExecution().toString()) == (longest < 100)
