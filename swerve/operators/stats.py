@@ -321,31 +321,79 @@ def pinball(residual: Column, tau: float) -> Column:
     return F.greatest(tau * residual, (tau - 1) * residual)
 
 
-def concordance(df: DataFrame, time: str, risk: str, event: str, ranges: int = 64) -> DataFrame:
+#: Rows of a range of times or risks, and ranges at most.
+RANGE_ROWS, RANGES = 250_000, 256
+
+
+def _later(node: np.ndarray, t: np.ndarray, n: np.ndarray, e: np.ndarray) -> int:
+    """Sum of e times the n of later times in the same node; t falls from row to row."""
+    order = np.argsort(node, kind="stable")
+    node, t, n = node[order], t[order], n[order]
+    before, place = np.cumsum(n) - n, np.arange(len(n))
+    new = np.append(True, node[1:] != node[:-1])
+    start, at = (np.maximum.accumulate(np.where(x, place, 0)) for x in (new, new | np.append(True, t[1:] != t[:-1])))
+    return int(((before[at] - before[start]) * e[order]).sum())
+
+
+def concordant(t: np.ndarray, v: np.ndarray, n: np.ndarray, e: np.ndarray) -> tuple[int, int, int]:
+    """(pairs, higher, tied) of e events and n rows at each time t and risk v: an event, and a row of a later time; higher:
+    of lower risk. Risks below one's own are the left siblings of its bits."""
+    if not len(t):
+        return 0, 0, 0
+    t, v = (np.unique(x, return_inverse=True)[1] for x in (t, v))
+    order = np.argsort(-t, kind="stable")
+    t, v, n, e = t[order], v[order], n[order], e[order]
+    bits = int(v.max()).bit_length()
+    higher = sum(_later(v >> (b + 1), t, n * (~v >> b & 1), e * (v >> b & 1)) for b in range(bits))
+    return _later(np.zeros_like(v), t, n, e), higher, _later(v, t, n, e)
+
+
+def _placed(cuts: list[np.ndarray]):
+    """Batches of (t, v, e) with the ranges of t and v: odd for a cut itself, even between cuts."""
+
+    def run(batches):
+        for batch in batches:
+            at = []
+            for k, own in zip("tv", cuts, strict=True):
+                x = batch.column(k).to_numpy()
+                left = np.searchsorted(own, x)
+                at.append(pa.array(2 * left + (np.append(own, np.nan)[left] == x), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*at, *(batch.column(k) for k in "tve")], names=["tb", "vb", "t", "v", "e"])
+
+    return run
+
+
+def _counted(time: str, group: str):
+    """A group of rows to its counts of concordant."""
+
+    def run(table: pa.Table) -> pa.Table:
+        read = lambda k: table.column(k).to_numpy()
+        pairs, higher, tied = concordant(read(time), read("v"), read("n"), read("e"))
+        return pa.table({"pairs": [pairs if group == "tb" else 0], "higher": [higher], "tied": [tied]})
+
+    return run
+
+
+def concordance(df: DataFrame, time: str, risk: str, event: str, ranges: int | None = None) -> DataFrame:
     """(pairs, higher, tied) over all pairs of rows: an event, and a row of a later time.
 
-    Rows are counted by (time, risk). Risks below one's own are split into blocks of ranks of a power of
-    two; later rows of a block are running sums within time ranges, with the sums of later ranges
-    joined after. Only the distinct risks and the ranges are collected.
+    Times and risks are cut into ranges by quantiles, of about RANGE_ROWS rows but no more than RANGES; a cut is a range of its own, so a
+    frequent value shares none. Pairs within a range of times are counted there, pairs of different ranges of times within a
+    range of risks by that range's counts, all others from the counts of the cells of both, which alone are collected.
     """
-    spark = df.sparkSession
-    rows = df.where(c(time).isNotNull() & c(risk).isNotNull()).groupBy(c(time).cast("double").alias("t"), c(risk).cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(c(event)).alias("e"))
-    levels = sorted(r["v"] for r in rows.select("v").distinct().collect())
-    bits = max(1, len(levels).bit_length())
-    cuts = sorted(set(rows.approxQuantile("t", [k / ranges for k in range(1, ranges)], 0.005))) if levels else []
-    ranks = spark.createDataFrame(list(zip(levels, range(len(levels)))), "v double, rank int")
-    place = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x <= c("t")))
-    rows = rows.join(F.broadcast(ranks), "v").withColumn("range", place)
-    at = F.sequence(F.lit(0), F.lit(bits))
-    held = rows.select("t", "range", "n", F.explode(at).alias("b"), "rank").select("b", F.expr("shiftright(rank, b)").alias("node"), "range", "t", "n", F.lit(0).cast("long").alias("higher"), F.lit(0).cast("long").alias("tied"), F.lit(0).cast("long").alias("any"))
-    asks = rows.where("e > 0").select("t", "range", "e", "rank", F.explode(at).alias("b"))
-    zero = F.lit(0).cast("long")
-    lower = asks.where("shiftright(rank, b) % 2 = 1").select("b", F.expr("shiftright(rank, b) - 1").alias("node"), "range", "t", zero.alias("n"), c("e").alias("higher"), zero.alias("tied"), zero.alias("any"))
-    same = asks.where("b = 0").select("b", c("rank").alias("node"), "range", "t", zero.alias("n"), zero.alias("higher"), c("e").alias("tied"), zero.alias("any"))
-    every = asks.where(c("b") == bits).select("b", F.lit(0).alias("node"), "range", "t", zero.alias("n"), zero.alias("higher"), zero.alias("tied"), c("e").alias("any"))
-    step = held.union(lower).union(same).union(every).groupBy("b", "node", "range", "t").agg(*[F.sum(k).alias(k) for k in ("n", "higher", "tied", "any")])
-    later = Window.partitionBy("b", "node", "range").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    past = Window.partitionBy("b", "node").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    offset = step.groupBy("b", "node", "range").agg(F.sum("n").alias("n")).select("b", "node", "range", F.coalesce(F.sum("n").over(past), zero).alias("beyond"))
-    step = step.withColumn("later", F.coalesce(F.sum("n").over(later), zero)).join(offset, ["b", "node", "range"]).withColumn("later", c("later") + c("beyond"))
-    return step.agg(*[F.coalesce(F.sum(c(k) * c("later")), zero).alias(out) for k, out in (("any", "pairs"), ("higher", "higher"), ("tied", "tied"))])
+    rows = df.where(c(time).isNotNull() & c(risk).isNotNull()).select(c(time).cast("double").alias("t"), c(risk).cast("double").alias("v"), F.coalesce(c(event).cast("boolean"), F.lit(False)).cast("long").alias("e"))
+    k = ranges or min(RANGES, rows.count() // RANGE_ROWS + 1)
+    found = rows.approxQuantile(["t", "v"], [i / k for i in range(1, k)] or [0.5], 1 / (4 * k))
+    cuts = [np.array(sorted(set(q))) for q in found]
+    placed = rows.mapInArrow(_placed(cuts), "tb int, vb int, t double, v double, e long")
+    counts = stored(placed.groupBy("tb", "vb", "v").agg(F.count("*").alias("n"), F.sum("e").alias("e")))
+    out = "pairs long, higher long, tied long"
+    near = placed.where("tb % 2 = 0").withColumn("n", F.lit(1).cast("long")).groupBy("tb").applyInArrow(_counted("t", "tb"), out)
+    far = counts.groupBy("vb").applyInArrow(_counted("tb", "vb"), out)
+    n, e = np.zeros((2, *(2 * len(q) + 1 for q in cuts)), np.int64)
+    for r in counts.groupBy("tb", "vb").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect():
+        n[r["tb"], r["vb"]], e[r["tb"], r["vb"]] = r["n"], r["e"]
+    later = n[::-1].cumsum(0)[::-1] - n
+    lower = later.cumsum(1) - later
+    rest = {"pairs": int((e.sum(1) * later.sum(1)).sum()), "higher": int((e * lower).sum()), "tied": 0}
+    return near.union(far).agg(*[(F.coalesce(F.sum(k), F.lit(0)) + F.lit(v).cast("long")).alias(k) for k, v in rest.items()])

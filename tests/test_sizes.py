@@ -43,3 +43,17 @@ def test_block_permutations(spark, monkeypatch, longest):
             pairs += [(p.x, q.y) for p, q in zip(own, dealt, strict=True) if p.x is not None and q.y is not None]
         assert np.isclose(got[rep], np.corrcoef(*zip(*pairs, strict=True))[0, 1])
     assert ("Generate" in out._jdf.queryExecution().toString()) == (longest < 100)
+
+
+@pytest.mark.parametrize("ranges, levels", [(1, 5), (9, 5), (9, 10000), (40, 60)])
+def test_concordance_by_ranges(spark, ranges, levels):
+    """Within and across ranges of times and risks, with frequent values and missing ones; rows aren't repeated."""
+    r = np.random.default_rng(ranges + levels)
+    time = np.where(r.random(500) < 0.3, 2.5, r.integers(0, 400, 500) / 8)
+    data = [(None if r.random() < 0.03 else float(t), None if r.random() < 0.03 else float(r.integers(0, levels)), [True, False, None][r.integers(0, 3)]) for t in time]
+    whole = [d for d in data if d[0] is not None and d[1] is not None]
+    pairs = [(a[1], b[1]) for a in whole for b in whole if a[2] and a[0] < b[0]]
+    out = stats.concordance(spark.createDataFrame(data, "time double, risk double, event boolean"), "time", "risk", "event", ranges)
+    assert tuple(out.first()) == (len(pairs), sum(x > y for x, y in pairs), sum(x == y for x, y in pairs))
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    assert tuple(stats.concordance(spark.createDataFrame([], "time double, risk double, event boolean"), "time", "risk", "event").first()) == (0, 0, 0)
