@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Store, batch_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates the trees are fitted on at most, per kind and label; smallest hashes are taken.
-SAMPLE = 2000
+#: Examples in a task of the fit; one in FOLDS is held out.
+TASK_EXAMPLES, FOLDS = 50_000, 5
 ROUNDS, DEPTH = 20, 4
 PRECISION, LEAST = 0.98, 0.5
 
@@ -218,49 +218,48 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_candidates, SCHEMA)
 
 
-def examples(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(kind, label, n, features) of at most `sample` examples per kind and label: smallest hashes, n from 1."""
-    by_hash = [F.xxhash64("id", "row", "end", "features"), "id", "end"]
-    taught = found.where("label is not null").select("kind", "label", "id", "row", "end", "features")
-    # a bounded share of each task first, so that no kind is ranked whole in one place
-    taught = taught.withColumn("part", F.spark_partition_id())
-    taught = taught.withColumn("n", F.row_number().over(Window.partitionBy("part", "kind", "label").orderBy(*by_hash))).where(F.col("n") <= sample)
-    taught = taught.withColumn("n", F.row_number().over(Window.partitionBy("kind", "label").orderBy(*by_hash))).where(F.col("n") <= sample)
-    return taught.select("kind", "label", "n", "features")
+def examples(found: DataFrame) -> DataFrame:
+    """(kind, label, held, vector) of all examples; held out are those whose place by hash within their kind and label is
+    divisible by FOLDS.
+
+    Places are counted within ranges of hashes, after the counts of the ranges before. Rows are dealt and ordered by hash, so
+    that the trees don't depend on the session's partitions.
+    """
+    taught = found.where("label is not null").select("kind", "label", F.xxhash64("id", "row", "end", "features").alias("h"), "id", "end", array_to_vector("features").alias("vector"))
+    taught = taught.withColumn("part", F.shiftright("h", 54))  # 1,024 ranges
+    before = Window.partitionBy("kind", "label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = taught.groupBy("kind", "label", "part").agg(F.count("*").alias("n"))
+    far = counts.select("kind", "label", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("far"))
+    near = F.row_number().over(Window.partitionBy("kind", "label", "part").orderBy("h", "id", "end"))
+    rows = taught.withColumn("near", near).join(F.broadcast(far), ["kind", "label", "part"])
+    rows = rows.select("kind", "label", ((F.col("far") + F.col("near")) % FOLDS == 0).alias("held"), "h", "vector")
+    return rows.repartition(found.where("label is not null").count() // TASK_EXAMPLES + 1, "h").sortWithinPartitions("h", "kind", "label").select("kind", "label", "held", "vector")
 
 
-def fit_selector(found: DataFrame, sample: int = SAMPLE):
-    """(model, threshold per kind, measures): trees fitted on the examples, of which one in five is held out.
+def fit_selector(found: DataFrame):
+    """(model, threshold per kind, measures): trees fitted on all examples, of which one in five is held out.
 
     A kind's threshold is the smallest score, LEAST at least, from which on precision reaches PRECISION
-    among its held-out examples. measures: kind -> (precision, recall, held-out examples) at it. Without
-    both labels there is no model and no extra span is selected.
+    among its held-out examples, all of them, counted by score. measures: kind -> (precision, recall, held-out examples) at
+    it. Without both labels there is no model and no extra span is selected.
     """
-    pdf = examples(found, sample).toPandas()
-    if pdf["label"].nunique() < 2:
-        return None, {}, {}
-    spark = found.sparkSession
-    rows = spark.createDataFrame(pdf.assign(features=pdf["features"].map(list)), "kind int, label double, n int, features array<double>").coalesce(1)
-    rows = rows.withColumn("vector", array_to_vector("features"))
-    taught = rows.where("n % 5 != 0")
-    if taught.select("label").distinct().count() < 2:
-        return None, {}, {}
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, seed=5, cacheNodeIds=False).fit(taught)
-    held = model.transform(rows.where("n % 5 = 0")).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
-    limits, measures = {}, {}
-    for kind, g in held.groupby("kind"):
-        g = g.sort_values("p", ascending=False)
-        y, p = g["label"].to_numpy(), g["p"].to_numpy()
-        precision = np.cumsum(y) / np.arange(1, len(g) + 1)
-        last = np.append(p[1:] != p[:-1], True)  # a threshold takes all of equal scores
-        good = np.flatnonzero((precision >= PRECISION) & last & (p >= LEAST))
-        if len(good) and y.any():
-            limits[int(kind)] = float(p[good[-1]])
-            measures[int(kind)] = (float(precision[good[-1]]), float(y[: good[-1] + 1].sum() / y.sum()), len(g))
-    return model, limits, measures
-
-
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    rows = examples(found).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if rows.where("not held").select("label").distinct().count() < 2:
+            return None, {}, {}
+        model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, seed=5, cacheNodeIds=False).fit(rows.where("not held"))
+        p = vector_to_array("probability")[1]
+        scores = model.transform(rows.where("held")).groupBy("kind", p.alias("p")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+        above = Window.partitionBy("kind").orderBy(F.desc("p"))  # a row a score
+        reached = scores.select("kind", "p", F.sum("n").over(above).alias("n"), F.sum("y").over(above).alias("y"), F.sum("n").over(Window.partitionBy("kind")).alias("all"), F.sum("y").over(Window.partitionBy("kind")).alias("true"))
+        good = reached.where((F.col("p") >= LEAST) & (F.col("true") > 0) & (F.col("y") >= PRECISION * F.col("n")))
+        best = good.groupBy("kind").agg(F.min_by(F.struct("p", "n", "y", "all", "true"), "p").alias("b")).select("kind", "b.*").collect()
+    finally:
+        rows.unpersist()
+    return model, {r["kind"]: r["p"] for r in best}, {r["kind"]: (r["y"] / r["n"], r["y"] / r["true"], r["all"]) for r in best}
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, kind, start, end, base, score) of every selected span; row tells texts apart.
 
     Offsets are code points, the end is exclusive. Base spans have score 1. Of selected spans of a kind
@@ -269,7 +268,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     spans. An empty table gives none.
     """
     found = Store(docs.sparkSession).put(candidates(docs, id_col, text_col), "candidates")
-    model, limits, _ = fit_selector(found, sample)
+    model, limits, _ = fit_selector(found)
     found = found.where("start is not null").dropDuplicates(["id", "row", "kind", "start", "end"])
     base = found.where("base").select("id", "row", "kind", "start", "end", "base", F.lit(1.0).alias("score"))
     if model is None or not limits:
@@ -284,13 +283,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return base.union(rest.join(better, over & (rank("o", "s", "a", "b") > rank("base", "score", "start", "end")), "left_anti"))
 
 
-def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row of docs.
 
     The first four count base spans, n_spans all. Null and empty texts count nothing. Ids may be null or
     repeated: one row per row. Other columns are not read.
     """
-    spans = find_pii(docs, id_col, text_col, sample)
+    spans = find_pii(docs, id_col, text_col)
     each = F.struct("start", "kind", "end", "base").alias("s")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
     grouped = spans.groupBy("id", "row").agg(F.array_sort(F.collect_list(each)).alias("all"))
