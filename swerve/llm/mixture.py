@@ -39,8 +39,9 @@ def topic_of(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Runs of anything but white space; 0 for no text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Runs of anything but white space; 0 for no text. Each becomes one letter and the white space goes, so no text is
+    held as an array of its words."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "x"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def rake_cells(at: list[np.ndarray], w: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:

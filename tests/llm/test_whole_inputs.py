@@ -1,8 +1,11 @@
-"""All examples teach and calibrate."""
+"""All rows teach and count, and no text is held as an array of its words."""
 
 import random
+import re
 
-from swerve.llm import pii
+from pyspark.sql import functions as F
+
+from swerve.llm import mixture, pii
 
 
 def test_pii_selector_uses_all_examples(spark):
@@ -12,3 +15,10 @@ def test_pii_selector_uses_all_examples(spark):
     found = spark.createDataFrame(rows, pii.SCHEMA)
     model, limits, measures = pii.fit_selector(found)
     assert pii.examples(found).count() == 6000 and measures[0] == (1.0, 1.0, 1200) and limits[0] >= 0.5
+
+
+def test_mixture_counts_words(spark):
+    texts = ["", None, " ", "a", " a", "a ", "\t\n a\x0bb\x0cc\r d  ", "x" * 5000 + " y", "é    z", "$1 \\ x", "\x1f a\x00b"]
+    out = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixture.n_words(F.col("text")).alias("n"))
+    assert [x["n"] for x in out.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert "extract_all" not in out._jdf.queryExecution().toString()
