@@ -50,16 +50,19 @@ def savgol(df: DataFrame, keys: list[str], order: list[str], value: str, window:
     near = F.array(*[F.coalesce(F.lead(value, k).over(w) if k >= 0 else F.lag(value, -k).over(w), F.lit(0.0)) for k in range(-2 * half, 2 * half + 1)])
     rows = df.withColumn("_near", near).withColumn("_n", n).withColumn("_i", i - 1)
     sizes = [s for s in range(window, degree, -2) if s > degree]
-    size = F.coalesce(*[F.when(c("_n") >= s, F.lit(s)) for s in sizes], F.lit(0))
-    out = c(value)
+    # the weights of every size and place in one literal, so a frame costs one sum however many sizes there are
+    weights, begins = [], {}
     for s in sizes:
-        h = s // 2
+        begins[s] = len(weights) // window
         for at in range(s):
-            place = (c("_i") == at) if at < h else (c("_i") == c("_n") - s + at) if at > h else (c("_i") >= h) & (c("_i") <= c("_n") - 1 - h)
-            weights = polynomial_row(s, at, degree)
-            fit = sum((c("_near")[2 * half + k - at] * weights[k] for k in range(s)), F.lit(0.0))
-            out = F.when((size == s) & place, fit).otherwise(out)
-    return rows.withColumn("smooth", out).drop("_near", "_n", "_i")
+            weights += polynomial_row(s, at, degree) + [0.0] * (window - s)
+    rows = rows.withColumn("_s", F.coalesce(*[F.when(c("_n") >= s, F.lit(s)) for s in sizes], F.lit(0)))
+    h = F.floor(c("_s") / 2).cast("int")
+    rows = rows.withColumn("_at", F.when(c("_i") < h, c("_i")).when(c("_i") > c("_n") - 1 - h, c("_i") - c("_n") + c("_s")).otherwise(h).cast("int"))
+    rows = rows.withColumn("_w", (F.coalesce(*[F.when(c("_s") == s, F.lit(b)) for s, b in begins.items()], F.lit(0)) + c("_at")) * window)
+    term = lambda k: F.when(c("_s") > k, F.get("_near", 2 * half - c("_at") + k) * F.get(F.lit(weights), c("_w") + k)).otherwise(0.0)
+    out = F.when(c("_s") > 0, sum((term(k) for k in range(window)), F.lit(0.0))).otherwise(c(value)) if sizes else c(value)
+    return rows.withColumn("smooth", out).drop("_near", "_n", "_i", "_s", "_at", "_w")
 
 
 def per_track(df: DataFrame, keys: list[str], cols: list[str], out: list[str], of) -> DataFrame:
@@ -80,8 +83,8 @@ def per_track(df: DataFrame, keys: list[str], cols: list[str], out: list[str], o
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def kalman(df: DataFrame, keys: list[str], t: str, value: str, q: float, r: float) -> DataFrame:
-    """Constant-velocity Kalman filter and RTS smoother, forwards and back over each track."""
+def _kalman(q: float, r: float):
+    """(times, values) of a track, by time, to (times, smoothed values, rates)."""
 
     def smooth(ts: np.ndarray, z: np.ndarray) -> tuple[list[float], ...]:
         x, v, a, b, d = float(z[0]), 0.0, r, 0.0, 1.0
@@ -104,7 +107,29 @@ def kalman(df: DataFrame, keys: list[str], t: str, value: str, q: float, r: floa
             vs.append(v + (f21 * dp - f22 * bp) / det * ex + (f22 * ap - f21 * bp) / det * ev)
         return ts, xs[::-1], vs[::-1]
 
-    return per_track(df, keys, [t, value], [t, "smooth", "rate"], smooth)
+    return smooth
+
+
+def kalman(df: DataFrame, keys: list[str], t: str, value: str, q: float, r: float) -> DataFrame:
+    """Constant-velocity Kalman filter and RTS smoother, forwards and back over each track."""
+    return per_track(df, keys, [t, value], [t, "smooth", "rate"], _kalman(q, r))
+
+
+def with_kalman(df: DataFrame, keys: list[str], t: str, values: dict[str, str], q: float, r: float) -> DataFrame:
+    """df with several columns smoothed as by kalman, {column: smoothed column}: one pass over each track, no join."""
+    smooth, schema = _kalman(q, r), T.StructType([*df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in values.values()]])
+
+    def run(group):
+        read = lambda k: group.column(k).cast(pa.float64()).to_numpy()
+        ts = read(t)
+        order = np.argsort(ts, kind="stable")
+        for v, out in values.items():
+            new = np.empty(len(ts))
+            new[order] = smooth(ts[order], read(v)[order])[1]
+            group = group.append_column(out, pa.array(new))
+        return group
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def gradient(value: Column, t: Column, w: Window) -> Column:
@@ -185,7 +210,8 @@ def smoother_diagnostics(long: DataFrame, accel_cap: float, phase: float, least_
     root mean square distance from the smoothers' median speed. Eligible smoothers keep both limits; the one nearest to
     the median among them is recommended, or, if there is none, the one that exceeds the cap least.
 
-    long is (smoother, track, us, h, speed, heading) with the same frames for all smoothers. One window per track and one per frame.
+    long is (smoother, track, us, h, speed, heading) with the same frames for all smoothers. One window per track and one per frame; neither
+    shuffles rows that are partitioned by track.
     """
     col = F.col
     w, whole = Window.partitionBy("smoother", "track").orderBy("us"), Window.partitionBy("smoother", "track")

@@ -23,37 +23,46 @@ def triggers(df: DataFrame, keys: list[str], width: int, least_turn: float, leas
     return df.withColumn("score", score).withColumn("top", F.max("speed").over(w.rowsBetween(0, width))).where((c("score") >= least_turn) & (c("top") >= least_speed))
 
 
-def accepted(df: DataFrame, keys: list[str], apart: int) -> DataFrame:
-    """Greedy suppression: best score first (ties by frame), none nearer than `apart` frames to a kept one.
+def accepted(df: DataFrame, keys: list[str], apart: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy suppression: best score first (ties by frame), none nearer than `apart` frames to a kept one. The columns
+    of `carry` stay with their frame.
 
     Frames that lie `apart` or more from the one before begin a new run; runs don't touch each other, so
     each is settled by itself and no array holds a whole track.
     """
     w = Window.partitionBy(*keys).orderBy("i")
     run = F.sum((c("i") - F.coalesce(F.lag("i").over(w), c("i")) >= apart).cast("long")).over(w)
-    arrays = df.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "i"))).alias("cand"))
+    arrays = df.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "i", *carry))).alias("cand"))
 
     def step(acc: Column, x: Column) -> Column:
         near = F.exists(acc, lambda k: F.abs(k["i"] - x["i"]) < apart)
         return F.when(near, acc).otherwise(F.concat(acc, F.array(x)))
 
     kept = F.aggregate("cand", F.slice("cand", 1, 0), step)
-    return arrays.select(*keys, F.explode(kept).alias("k")).select(*keys, c("k.i").alias("i"), (-c("k.s")).alias("score"))
+    return arrays.select(*keys, F.explode(kept).alias("_k")).select(*keys, c("_k.i").alias("i"), (-c("_k.s")).alias("score"), *[f"_k.{x}" for x in carry])
 
 
-def segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
-    """One row per hit: its apex (slowest frame in the window) and the frames around it over which
-    speed keeps rising away from the apex, `longest` frames at most on each side.
+def reaches(frames: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
+    """frames with walk and window: the turn (apex, first, last) of each frame if it were a hit.
 
-    What an apex and a turn around it would be is known of every frame from windows over its
-    neighbours; hits look theirs up by frame number.
+    Both have the slowest frame of the frame and `width` after it as apex. window is these frames; walk the frames around the apex over
+    which speed keeps rising away from it, `longest` frames at most on each side. All windows share one order, so no hit looks its turn up by a join.
     """
-    w, at = Window.partitionBy(*keys).orderBy("i"), F.struct("speed", "i")
-    rows = frames.select(*keys, "i", "speed", F.min(at).over(w.rowsBetween(0, width))["i"].alias("apex"), (c("speed") < F.lag("speed").over(w)).alias("falls"), (c("speed") < F.lead("speed").over(w)).alias("falls_back"))
+    w = Window.partitionBy(*keys).orderBy("i")
+    rows = frames.withColumns({"_falls": c("speed") < F.lag("speed").over(w), "_falls_back": c("speed") < F.lead("speed").over(w)})
     # the first frame after the apex that is slower than the one before ends the turn, and likewise before it
-    end, start = F.min(F.when(c("falls"), c("i") - 1)).over(w.rowsBetween(1, longest)), F.max(F.when(c("falls_back"), c("i") + 1)).over(w.rowsBetween(-longest, -1))
-    reach = rows.select(*keys, c("i").alias("apex"), F.coalesce(start, F.min("i").over(w.rowsBetween(-longest, 0))).alias("first"), F.coalesce(end, F.max("i").over(w.rowsBetween(0, longest))).alias("last"))
-    return hits.join(rows.select(*keys, "i", "apex"), [*keys, "i"]).join(reach, [*keys, "apex"]).select(*keys, c("i").alias("hit"), "score", "apex", "first", "last")
+    end, start = F.min(F.when(c("_falls"), c("i") - 1)).over(w.rowsBetween(1, longest)), F.max(F.when(c("_falls_back"), c("i") + 1)).over(w.rowsBetween(-longest, -1))
+    rows = rows.withColumns({"_first": F.coalesce(start, F.min("i").over(w.rowsBetween(-longest, 0))), "_last": F.coalesce(end, F.max("i").over(w.rowsBetween(0, longest)))})
+    rows = rows.withColumns({"_a": F.min(F.struct("speed", "i", "_first", "_last")).over(w.rowsBetween(0, width)), "_end": F.max("i").over(w.rowsBetween(0, width))})
+    walk, window = F.struct(c("_a.i").alias("apex"), c("_a._first").alias("first"), c("_a._last").alias("last")), F.struct(c("_a.i").alias("apex"), c("i").alias("first"), c("_end").alias("last"))
+    return rows.withColumns({"walk": walk, "window": window}).drop("_falls", "_falls_back", "_first", "_last", "_a", "_end")
+
+
+def segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
+    """One row per hit: its apex (slowest frame in the window) and the frames around it over which
+    speed keeps rising away from the apex, `longest` frames at most on each side."""
+    rows = reaches(frames.select(*keys, "i", "speed"), keys, width, longest)
+    return hits.join(rows, [*keys, "i"]).select(*keys, c("i").alias("hit"), "score", "walk.*")
 
 
 def window_segments(frames: DataFrame, hits: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -77,7 +86,7 @@ def without_overlap(seg: DataFrame, keys: list[str], share: float = 0.5) -> Data
         return F.when(inside, acc).otherwise(F.concat(acc, F.array(x)))
 
     kept = F.aggregate("segs", F.slice("segs", 1, 0), step)
-    return arrays.select(*keys, F.explode(kept).alias("k")).select(*keys, (-c("k.s")).alias("score"), "k.hit", "k.apex", "k.first", "k.last")
+    return arrays.select(*keys, F.explode(kept).alias("_k")).select(*keys, (-c("_k.s")).alias("score"), "_k.hit", "_k.apex", "_k.first", "_k.last")
 
 
 def points(frames: DataFrame, found: DataFrame, keys: list[str], behind: int = 0, cols: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -91,8 +100,16 @@ def detect(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float
     apex) or 'window' (the trigger's window)."""
     if segmentation not in ("walk", "window"):
         raise ValueError(f"unknown segmentation {segmentation!r}")
-    hits = accepted(triggers(frames, keys, width, least_turn, least_speed), keys, apart)
-    return without_overlap(segments(frames, hits, keys, width, longest) if segmentation == "walk" else window_segments(frames, hits, keys, width), keys)
+    hits = located(frames, keys, width, least_turn, least_speed, apart, longest)
+    return without_overlap(hits.select(*keys, "hit", "score", f"{segmentation}.*"), keys)
+
+
+def located(frames: DataFrame, keys: list[str], width: int = 4, least_turn: float = 60.0, least_speed: float = 2.0, apart: int = 5, longest: int = 6) -> DataFrame:
+    """Trigger and suppress: one row per hit with its score and its turn by each segmentation. Frames without a key have none.
+    Rows that are partitioned by some of the keys are not shuffled."""
+    rows = frames.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, "i", "speed", "turned")
+    hits = accepted(triggers(reaches(rows, keys, width, longest), keys, width, least_turn, least_speed), keys, apart, ("walk", "window"))
+    return hits.withColumnRenamed("i", "hit")
 
 
 def ends(frames: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,9 +15,9 @@ K = ["play", "line", "player", "part"]
 W = "WINDOW w AS (PARTITION BY track ORDER BY us, id)"
 
 
-def in_track() -> Window:
-    """The order of frames in their track."""
-    return Window.partitionBy("track").orderBy("us", "id")
+def in_track(*more: str) -> Window:
+    """The order of frames in their track, of each value of the columns `more`."""
+    return Window.partitionBy(*more, "track").orderBy("us", "id")
 
 
 @query("win_lag_dt", f"WITH {FRAMES}, s AS (SELECT track, h - lag(h) OVER w AS dt FROM e {W}) SELECT track, count(*) FILTER (WHERE abs(dt - round(dt)) < 0.05) AS on_grid, count(*) FILTER (WHERE dt > 24) AS gaps, count(dt) AS n FROM s GROUP BY 1")

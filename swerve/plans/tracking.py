@@ -22,8 +22,8 @@ ONE = f"{FRAMES}, o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY
 
 
 def one(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("track", "us").orderBy("id"))
-    return frames(spark, d).withColumn("_n", n).where("_n = 1").drop("_n")
+    w = in_track()
+    return frames(spark, d).withColumn("_new", (F.row_number().over(w) == 1) | ~c("us").eqNullSafe(F.lag("us").over(w))).where("_new").drop("_new")
 
 
 def grad_sql(v: str, t: str = "h") -> str:
@@ -63,8 +63,10 @@ def headed(spark: SparkSession, d: str) -> DataFrame:
     return headed_from(one(spark, d))
 
 
-def headed_from(rows: DataFrame) -> DataFrame:
-    q = rows.withColumn("vx", T.gradient(c("x"), c("h"), in_track())).withColumn("vy", T.gradient(c("y"), c("h"), in_track()))
+def headed_from(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows with velocity, heading and speed in their track, of each value of the columns `more`."""
+    w = in_track(*more)
+    q = rows.withColumn("vx", T.gradient(c("x"), c("h"), w)).withColumn("vy", T.gradient(c("y"), c("h"), w))
     return q.withColumn("heading", X.heading(c("vx"), c("vy"))).withColumn("speed", F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")))
 
 
@@ -75,8 +77,8 @@ def turned(spark: SparkSession, d: str) -> DataFrame:
     return turned_from(one(spark, d))
 
 
-def turned_from(rows: DataFrame) -> DataFrame:
-    return headed_from(rows).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(in_track())), F.lit(0.0)))
+def turned_from(rows: DataFrame, *more: str) -> DataFrame:
+    return headed_from(rows, *more).withColumn("dh", F.coalesce(X.wrap(c("heading") - F.lag("heading").over(in_track(*more))), F.lit(0.0)))
 
 
 @query("ts_unwrap_rate", f"WITH {HEAD}, {UNWRAP} SELECT track, round(sum(dh), 3) AS net, round(sum(abs(dh)), 3) AS total FROM u GROUP BY 1")
@@ -229,24 +231,24 @@ def ts_kinematics_crosscheck(spark: SparkSession, d: str) -> DataFrame:
 SMOOTHERS = ("raw", "savgol5", "savgol7", "kalman")
 
 
-def smoothed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Frames, one per track and time, with their positions smoothed."""
-    o = one(spark, d)
-    if name == "kalman":
-        both = [T.kalman(o, ["track"], "h", v, 0.5, 4.0).select("track", "h", c("smooth").alias(v)) for v in ("x", "y")]
-        return o.drop("x", "y").join(both[0], ["track", "h"]).join(both[1], ["track", "h"])
-    for v in ("x", "y") if name != "raw" else ():
-        o = T.savgol(o, ["track"], ["us", "id"], v, int(name[-1]), 2).drop(v).withColumnRenamed("smooth", v)
-    return o
+def smoothed(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, one per track and time, with their positions by each smoother: (smoother, track, id, us, h, x, y).
+
+    Tables are read once for all smoothers and rows stay partitioned by track. Kalman needs a track and a time.
+    """
+    o = T.with_kalman(one(spark, d).select("track", "id", "us", "h", "x", "y"), ["track"], "h", {"x": "x_kalman", "y": "y_kalman"}, 0.5, 4.0)
+    for name in ("savgol5", "savgol7"):
+        for v in ("x", "y"):
+            o = T.savgol(o, ["track"], ["us", "id"], v, int(name[-1]), 2).withColumnRenamed("smooth", f"{v}_{name}")
+    of = lambda v, name: c(v if name == "raw" else f"{v}_{name}").alias(v)
+    o = o.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(name).alias("smoother"), of("x", name), of("y", name)) for name in SMOOTHERS])))
+    return o.where("_s.smoother != 'kalman' or (track is not null and h is not null)").select("_s.smoother", "track", "id", "us", "h", "_s.x", "_s.y")
 
 
 @query("ts_smoother_diagnostics")
 def ts_smoother_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Smoothers by what they make of each track, and the one to take."""
-    long = None
-    for name in SMOOTHERS:
-        s = headed_from(smoothed(spark, d, name)).select(F.lit(name).alias("smoother"), "track", "us", "h", "speed", "heading")
-        long = s if long is None else long.union(s)
+    long = headed_from(smoothed(spark, d), "smoother").select("smoother", "track", "us", "h", "speed", "heading")
     out = T.smoother_diagnostics(long, accel_cap=50.0, phase=0.3, least_speed=5.0, most_exceed=0.3, least_rising=0.4)
     return out.select("smoother", "tracks", *[R(k, 4).alias(k) for k in ("exceed_share", "rising_share", "peak_speed", "time_to_peak", "heading_sd", "rms_to_ensemble")], "eligible", "recommended")
 

@@ -14,15 +14,15 @@ from swerve.sources.tables import FRAMES, TURNS, frames, read, turns
 from .aggregating import R
 from .ordering import in_track
 from .registry import query
-from .tracking import HEAD, SMOOTHERS, UNWRAP, grad_sql, smoothed, turned, turned_from
+from .tracking import HEAD, SMOOTHERS, UNWRAP, grad_sql, headed, smoothed, turned, turned_from
 
 c = F.col
 RUN = f"{HEAD}, {UNWRAP}, r AS (SELECT *, row_number() OVER w - 1 AS i, sum(dh) OVER w AS turned FROM u WINDOW w AS (PARTITION BY track ORDER BY us, id))"
 TRIG = "tr AS (SELECT *, abs(lead(turned, 4) OVER w - turned) AS score, max(speed) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS top FROM r WINDOW w AS (PARTITION BY track ORDER BY i))"
 
 
-def run_of(t: DataFrame) -> DataFrame:
-    return U.indexed(t.withColumn("turned", F.sum("dh").over(in_track())), ["track"], ["us", "id"])
+def run_of(t: DataFrame, *more: str) -> DataFrame:
+    return U.indexed(t.withColumn("turned", F.sum("dh").over(in_track(*more))), [*more, "track"], ["us", "id"])
 
 
 def running(spark: SparkSession, d: str) -> DataFrame:
@@ -80,17 +80,12 @@ def turn_plant_class(spark: SparkSession, d: str) -> DataFrame:
 MEASURES = ("score", "angle", "entry", "exit", "retention", "apex_retention")
 
 
-def by_smoother(spark: SparkSession, d: str, measured: bool = False) -> DataFrame:
-    """Turns found after each smoother, and in the shuffled increments of each (dealt); measured: with their MEASURES, without the dealt ones."""
-    out = None
-    for name in SMOOTHERS:
-        r = run_of(turned_from(smoothed(spark, d, name)))
-        r = r if measured else settled(r)  # read by two detections
-        for dealt, rows in ((False, r),) if measured else ((False, r), (True, shuffled(r))):
-            f = U.detect(rows, ["track"])
-            f = (U.ends(rows, f, ["track"]) if measured else f).select(F.lit(name).alias("smoother"), F.lit(dealt).alias("dealt"), "track", "apex", *(MEASURES if measured else ("score",)))
-            out = f if out is None else out.union(f)
-    return out
+BY_SMOOTHER = ["smoother", "track"]
+
+
+def by_smoother(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered frames of each track by each smoother, with their running heading."""
+    return run_of(turned_from(smoothed(spark, d), "smoother"), "smoother").select(*BY_SMOOTHER, "i", "speed", "dh", "turned")
 
 
 def smoother_range(found: DataFrame, reach: int = 3) -> DataFrame:
@@ -107,7 +102,8 @@ def smoother_range(found: DataFrame, reach: int = 3) -> DataFrame:
 
 @query("turn_smoother_range")
 def turn_smoother_range(spark: SparkSession, d: str) -> DataFrame:
-    return smoother_range(settled(by_smoother(spark, d, measured=True)))
+    r = settled(by_smoother(spark, d))  # read by detection and by the measures
+    return smoother_range(settled(U.ends(r, U.detect(r, BY_SMOOTHER), BY_SMOOTHER).select(*BY_SMOOTHER, "apex", *MEASURES)))
 
 
 SPEED_CAP, ACCEL_CAP = 200.0, 50.0
@@ -117,23 +113,32 @@ SPEED_CAP, ACCEL_CAP = 200.0, 50.0
 def turn_attempt_table(spark: SparkSession, d: str) -> DataFrame:
     """A row per track, turns or not: frames, frames above the caps of speed and acceleration, turns after each smoother and in each one's
     shuffled increments, and turns of the raw track by each segmentation."""
-    count = lambda rows, kind: rows.select("track", F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"))
-    r = settled(running(spark, d))
-    kinds = count(by_smoother(spark, d), F.concat(F.when(c("dealt"), "null_").otherwise("turns_"), "smoother"))
-    for name in ("walk", "window"):
-        kinds = kinds.union(count(U.detect(r, ["track"], segmentation=name), f"seg_{name}"))
-    names = [f"{k}_{s}" for k in ("turns", "null") for s in SMOOTHERS] + ["seg_walk", "seg_window"]
-    n = kinds.groupBy("track").pivot("kind", names).agg(F.count(F.lit(1)))
+    keys = [*BY_SMOOTHER, "dealt"]
+    both = F.explode(F.array(F.struct(F.lit(False).alias("dealt"), "turned"), F.struct(F.lit(True).alias("dealt"), c("dealt_turned").alias("turned"))))
+    rows = shuffled(by_smoother(spark, d), BY_SMOOTHER, out="dealt_turned").select(*BY_SMOOTHER, "i", "speed", both.alias("_b")).select(*BY_SMOOTHER, "_b.dealt", "i", "speed", "_b.turned")
+    # a turn of the raw track by both segmentations, any other by the walk
+    ways = F.array(F.struct(F.lit("walk").alias("way"), "walk.*"), F.struct(F.lit("window").alias("way"), "window.*"))
+    hits = U.located(rows, keys).select(*keys, "hit", "score", F.explode(ways).alias("_w")).where("_w.way = 'walk' or (smoother = 'raw' and not dealt)").select(*keys, "hit", "score", "_w.*")
+    kind = F.when(c("way") == "window", "seg_window").otherwise(F.concat(F.when(c("dealt"), "null_").otherwise("turns_"), "smoother"))
+    names = [f"{k}_{s}" for k in ("turns", "null") for s in SMOOTHERS] + ["seg_window"]
+    n = U.without_overlap(hits, [*keys, "way"]).groupBy("track").agg(*[F.count_if(kind == k).alias(k) for k in names]).withColumn("seg_walk", c("turns_raw"))
     accel = T.gradient(c("speed"), c("h"), in_track())
-    all_ = r.withColumn("a", accel).groupBy("track").agg(F.count("*").alias("n_frames"), F.count_if(c("speed") > SPEED_CAP).alias("speed_above_cap"), F.count_if(F.abs("a") > ACCEL_CAP).alias("accel_above_cap"))
-    return all_.join(n, "track", "left").select("track", "n_frames", "speed_above_cap", "accel_above_cap", *[F.coalesce(c(k), F.lit(0).cast("long")).alias(k) for k in names])
+    all_ = headed(spark, d).withColumn("a", accel).groupBy("track").agg(F.count("*").alias("n_frames"), F.count_if(c("speed") > SPEED_CAP).alias("speed_above_cap"), F.count_if(F.abs("a") > ACCEL_CAP).alias("accel_above_cap"))
+    return all_.join(n, "track", "left").select("track", "n_frames", "speed_above_cap", "accel_above_cap", *[F.coalesce(c(k), F.lit(0).cast("long")).alias(k) for k in [*names[:-1], "seg_walk", "seg_window"]])
 
 
-def shuffled(r: DataFrame, seed: int = 7) -> DataFrame:
-    """Heading increments dealt anew within each track; speeds stay where they are."""
-    order = Window.partitionBy("track").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "track", "i")))
-    dealt = r.select("track", c("dh").alias("new_dh"), (F.row_number().over(order) - 1).cast("long").alias("i"))
-    return r.drop("turned").join(dealt, ["track", "i"]).withColumn("turned", F.sum("new_dh").over(Window.partitionBy("track").orderBy("i")))
+def shuffled(r: DataFrame, keys: list[str] = ["track"], seed: int = 7, out: str = "turned") -> DataFrame:  # noqa: B006
+    """Heading increments dealt anew within each track, their running sum as `out`; speeds stay where they are. Frames without a key go.
+
+    A frame stands at its own number and, for its increment, at its number in the new order; so each meets the
+    increment it is dealt as the next row, without a join.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "track", "i")))
+    rows = r.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("_at", (F.row_number().over(order) - 1).cast("long"))
+    cols = [x for x in rows.columns if x not in ("i", "_at", out)]
+    twice = rows.select(*cols, F.posexplode(F.array("i", "_at")).alias("_dealt", "i"))
+    met = twice.withColumn("new_dh", F.lead("dh").over(Window.partitionBy(*keys).orderBy("i", "_dealt"))).where("_dealt = 0").drop("_dealt")
+    return met.withColumn(out, F.sum("new_dh").over(Window.partitionBy(*keys).orderBy("i")))
 
 
 @query("turn_null_shuffle")
