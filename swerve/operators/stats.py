@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,9 +174,30 @@ def quantile_fits(df: DataFrame, models: dict[str, tuple[list[str], Column]], y:
     return beta
 
 
+#: Rows of a key that are held in one row of arrays at most.
+PACKED_ROWS = 1024
+
+
+def _packed(cols: list[str]):
+    """Batches of rows ordered by key, to rows of a key and arrays of its values, of PACKED_ROWS at most."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n = batch.column("_key"), batch.num_rows
+            begins = np.append(0, np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1)
+            ends = np.append(begins[1:], n)
+            cuts = np.concatenate([np.arange(i, j, PACKED_ROWS) for i, j in zip(begins, ends, strict=True)])
+            offsets = pa.array(np.append(cuts, n), pa.int32())
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(cuts)), *[pa.ListArray.from_arrays(offsets, batch.column(k)) for k in cols]], names=["_key", *cols])
+
+    return run
+
+
 def _reweighed(xs: list[str], y: str, beta: np.ndarray, tau: float, eps: float, lam: float):
-    """Batches of rows, each with its key's sums of the round before (g0_j; null at first), to cross products weighted by
-    the rows' residuals, summed by key within the batch."""
+    """Batches of packed rows, each with its key's sums of the round before (g0_j; null at first), to cross products weighted by
+    the residuals, summed by key within the batch."""
     p = len(xs) + 1
 
     def run(batches):
@@ -183,12 +205,20 @@ def _reweighed(xs: list[str], y: str, beta: np.ndarray, tau: float, eps: float,
             if not batch.num_rows:
                 continue
             read = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            cols = [np.ones(batch.num_rows), *[read(x) for x in xs], read(y)]
+            sizes = pc.list_value_length(batch.column(y)).to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            x, v = [pc.list_flatten(batch.column(k)).to_numpy() for k in xs], pc.list_flatten(batch.column(y)).to_numpy()
             left = sum(float(b) * read(f"g0_{k}") for k, b in enumerate(beta))
             u = np.nan_to_num((read(f"g0_{p}") - left) / (read("g0_0") + lam))
-            r = cols[p] - sum(float(b) * x for b, x in zip(beta, cols, strict=False)) - u
+            r = v - float(beta[0]) - np.repeat(u, sizes)
+            for b, k in zip(beta[1:], x, strict=True):
+                r -= float(b) * k
             w = np.where(r > 0, tau, 1 - tau) / np.maximum(np.abs(r), eps)
-            sums = {f"g{i}_{j}": w * cols[i] * cols[j] for i in range(p + 1) for j in range(i, p + 1)}
+            cols, sums = [None, *x, v], {}
+            for i in range(p + 1):
+                part = w * cols[i] if i else w
+                for j in range(i, p + 1):
+                    sums[f"g{i}_{j}"] = np.add.reduceat(part * cols[j] if j else part, begins)
             by_key = pa.table({"_key": batch.column("_key"), **sums}).group_by("_key").aggregate([(k, "sum") for k in sums])
             yield from by_key.select(["_key", *[f"{k}_sum" for k in sums]]).rename_columns(["_key", *sums]).to_batches()
 
@@ -198,30 +228,36 @@ def _reweighed(xs: list[str], y: str, beta: np.ndarray, tau: float, eps: float,
 def quantile_regression(df: DataFrame, xs: list[str], y: str, key: str, tau: float, tau2: float, rounds: int = 40, eps: float = 1e-3) -> tuple[np.ndarray, DataFrame]:
     """(coefficients, (key, u)): a conditional quantile with a random intercept u of variance tau2 per key.
 
-    Each round weighs rows by their residuals, sums cross products per key (one aggregation, begun within
-    batches of rows), eliminates the intercepts from the normal equations, solves for the few coefficients on the
-    driver and gives every key its intercept, shrunk by 1 / tau2. Nothing of the size of the keys
-    leaves the executors; a key's sums are written once a round, and rows find them by a join that Spark
-    broadcasts only below its size limit. Ends when no coefficient moves by more than a millionth. Rows with a null
+    Each round weighs rows by their residuals, sums cross products per key, eliminates the intercepts from the normal
+    equations, solves for the few coefficients on the driver and gives every key its intercept, shrunk by 1 / tau2.
+    Rows are shuffled by key, packed into arrays and kept once; a round reads them where they are and only sums, a
+    row a key, are shuffled to them. Nothing of the size of the keys leaves the executors; a round's sums are written, so
+    that no round depends on the plan of the one before. Ends when no coefficient moves by more than a millionth. Rows with a null
     key, value or column take no part.
     """
-    p, lam = len(xs) + 1, 1.0 / tau2
-    rows = stored(df.select(c(key).alias("_key"), *[c(x).cast("double").alias(x) for x in xs], c(y).cast("double").alias(y)).dropna())
+    p, lam, spark = len(xs) + 1, 1.0 / tau2, df.sparkSession
+    rows = df.select(c(key).alias("_key"), *[c(x).cast("double").alias(x) for x in xs], c(y).cast("double").alias(y)).dropna()
     names = [f"g{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)]
+    arrays = T.StructType([rows.schema["_key"], *[T.StructField(k, T.ArrayType(T.DoubleType())) for k in (*xs, y)]])
     out = T.StructType([rows.schema["_key"], *[T.StructField(k, T.DoubleType()) for k in names]])
     g = lambda i, j: c(f"g{i}_{j}")
     own = [f"g0_{j}" for j in range(p + 1)]
     d = g(0, 0) + lam
     less = [F.sum(g(i, j) - g(0, i) * g(0, j) / d).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.repartition(parts, "_key").sortWithinPartitions("_key").mapInArrow(_packed([*xs, y]), arrays).repartition(parts, "_key").persist()
     beta, sums = solve(*unpack(gram(rows, xs, y).first(), p)[:2]), None
-    for _ in range(rounds):
-        known = rows.join(sums.select("_key", *own), "_key") if sums is not None else rows.withColumns({k: F.lit(None).cast("double") for k in own})
-        sums = stored(known.mapInArrow(_reweighed(xs, y, beta, tau, eps, lam), out).groupBy("_key").agg(*[F.sum(k).alias(k) for k in names]))
-        new = solve(*unpack(sums.agg(*less).first(), p)[:2])
-        done = float(np.abs(new - beta).max()) < 1e-6 * (1 + float(np.abs(beta).max()))
-        beta = new
-        if done:
-            break
+    try:
+        for _ in range(rounds):
+            known = packed.join(sums.select("_key", *own).hint("shuffle_hash"), "_key") if sums is not None else packed.withColumns({k: F.lit(None).cast("double") for k in own})
+            sums = stored(known.mapInArrow(_reweighed(xs, y, beta, tau, eps, lam), out).groupBy("_key").agg(*[F.sum(k).alias(k) for k in names]))
+            new = solve(*unpack(sums.agg(*less).first(), p)[:2])
+            done = float(np.abs(new - beta).max()) < 1e-6 * (1 + float(np.abs(beta).max()))
+            beta = new
+            if done:
+                break
+    finally:
+        packed.unpersist()
     return beta, sums.select(c("_key").alias(key), ((g(0, p) - sum((g(0, k) * float(b) for k, b in enumerate(beta)), F.lit(0.0))) / d).alias("u"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swerve.plans import registry  # isort: skip  (first: it imports the plans)
+from swerve.operators import stats
 from swerve.operators import tracks as T
 from swerve.operators import turns as U
 from swerve.plans import turning
@@ -64,3 +65,23 @@ def test_shuffled(spark):
         for v, other in zip(sorted((v for v in got if v.track == k), key=lambda v: v.i), order, strict=True):
             total += other.dh
             assert (v.new_dh, v.turned) == (other.dh, total)
+
+
+def test_quantile_regression_shuffles_rows_once(spark, monkeypatch):
+    """Keys of one row, of several arrays and of several batches: the same fit whatever the packing; rounds shuffle sums only."""
+    r = random.Random(8)
+    rows = [(k, float(x), 3 * x + k + r.expovariate(0.5)) for k, n in ((1, 1), (2, 130), (3, 45), (4, 7)) for x in (r.uniform(0, 9) for _ in range(n))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), (2, None, 1.0), (2, 1.0, None)], "g long, x double, y double")
+    plans, real, fits = [], stats.stored, []
+    monkeypatch.setattr(stats, "stored", lambda t: plans.append(t._jdf.queryExecution().executedPlan().toString()) or real(t))
+    for rows_of_array, batch in ((1024, "10000"), (10, "64")):
+        monkeypatch.setattr(stats, "PACKED_ROWS", rows_of_array)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            beta, u = stats.quantile_regression(df, ["x"], "y", "g", 0.7, 2.0)
+            fits.append([*beta, *[v.u for v in u.orderBy("g").collect()]])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(fits[0]) == 2 + 4 and fits[0] == pytest.approx(fits[1], abs=1e-4)
+    later = plans[1].split("InMemoryTableScan")
+    assert len(later) == 2 and "Exchange" not in later[0].split("MapInArrow")[1] and "SortMergeJoin" not in plans[1]
