@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHasher, free_name, keyed_text, mix, once, shingles_of, slices, text_arrays
+from .common import U64, WordHasher, free_name, keyed_text, mix, once, shingles_of, slices, sparing, text_arrays
 
 SIZE, SIMILARITY, RADIUS, BLOCK_BITS = 5, 0.75, 23, 8
 #: Items that are looked up at once; larger benchmarks go in several rounds.
@@ -174,6 +174,7 @@ FOUND = {"items": pa.list_(pa.int64()), "similarities": pa.list_(pa.float64()),
 
 
 def _scan(shared, carried: list[str], text_col: str, similarity: float, size: int):
+    @sparing
     def run(batches):
         bench = once(shared, lambda rows: Benchmark(rows, size))
         hasher = WordHasher()

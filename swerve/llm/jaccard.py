@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Store, WordHasher, batch_of, keyed_text, mix, shingles_of, slices
+from .common import U64, Store, WordHasher, batch_of, free_name, keyed_text, mix, shingles_of, slices, sparing
 from .graph import components, merged_labels
 
 SIZE, NUM, DEN = 5, 75, 100
@@ -97,6 +97,7 @@ def _bound(num: int, den: int):
     """Leave out pairs whose bitmaps prove that they can't reach the threshold."""
     schema = {k: pa.int64() for k in ("a", "b", "rep_a", "rep_b")}
 
+    @sparing
     def run(batches):
         for batch in batches:
             cols = {c: batch.column(c) for c in batch.schema.names}
@@ -116,6 +117,7 @@ def _bound(num: int, den: int):
 def _first_pass(size: int):
     schema = {"kind": pa.int32(), "a": pa.int64(), "n": pa.int64(), "b": pa.int64(), "bits": pa.binary()}
 
+    @sparing
     def run(batches):
         kept, total, seen, rows = [], 0, set(), []
 
@@ -164,6 +166,7 @@ def short_lists(n: int, num: int, den: int) -> int:
 def _second_pass(size: int, num: int, den: int, buckets: int, shared):
     schema = {"bucket": pa.int32(), "h": pa.list_(pa.int64()), "s": pa.list_(pa.int64()), "left": pa.list_(pa.int32())}
 
+    @sparing
     def run(batches):
         hot, df = shared.value
         cold_h, cold_s, cold_n, cold_left, hot_h, hot_s, hot_n, hot_left, total, seen = [], [], [], [], [], [], [], [], 0, set()
@@ -243,6 +246,7 @@ def _merge(buckets: int):
 def _as_sets(size: int):
     schema = {"sig": pa.int64(), "set": pa.list_(pa.int64())}
 
+    @sparing
     def run(batches):
         sigs, sets, total = [], [], 0
         for _, s in sets_of(batches, size):
@@ -261,6 +265,7 @@ def _count(num: int, den: int):
     """Keep the pairs whose shared shingles, counted by probing one set in the other, reach the threshold."""
     schema = {"a": pa.int64(), "b": pa.int64()}
 
+    @sparing
     def run(batches):
         for batch in batches:
             sides = []
@@ -398,11 +403,28 @@ def _search_blocks(num: int, den: int):
     return run
 
 
+def _place_of(key: Column) -> tuple[Column, Column]:
+    """The word of the bit table that tells of a key, and the key's bit in it."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+
+
+def split_by(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose id is surely not in ids(id), and those that may be in it; a null id is in neither. A bit
+    table of ids, of at most SLOTS bits, is broadcast, so that a join need not shuffle the first ones."""
+    word, bit = _place_of(F.col("id"))
+    at, bits = free_name("word", docs.columns), free_name("bits", docs.columns)
+    table = ids.groupBy(word.alias(at)).agg(F.bit_or(bit).alias(bits))
+    word, bit = _place_of(F.col(id_col).cast("long"))
+    rows = docs.where(F.col(id_col).isNotNull()).join(F.broadcast(table), word == F.col(at), "left")
+    held = F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    return rows.where(~held).select(*docs.columns), rows.where(held).select(*docs.columns)
+
+
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of texts whose id is in wanted(id), which holds an id once. A bit table of the wanted ids, of
     at most SLOTS bits, is broadcast first, so that nearly no other text is shuffled for the exact join."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
-    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    word, bit = _place_of(F.col("id"))
     table = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return texts.join(F.broadcast(table), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select(*texts.columns).join(wanted, "id")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, Store, batch_of, free_name, once
+from .common import SPACE, U64, Store, batch_of, free_name, once, sparing
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -36,6 +36,7 @@ def line_hashes(text: str) -> tuple[list[str], np.ndarray]:
     return lines, np.fromiter((xxhash.xxh3_64_intdigest(k, SEED) | 1 if k else 0 for k in keys), U64, len(keys))
 
 
+@sparing
 def _count_lines(batches):
     schema, kept, total = {"h": pa.int64(), "c": pa.int64()}, [], 0
 
@@ -83,6 +84,7 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 def _drop(columns: list[str], text_col: str, shards: int, shared, listed_in: str = ""):
     """Rows with their text cut; which lines go is probed in the shared shards or listed in a column."""
 
+    @sparing
     def run(batches) -> Iterator[pa.RecordBatch]:
         index = once(shared, lambda rows: {k: Shard(r) for k, r in rows.items()}) if shared else {}
         for batch in batches:

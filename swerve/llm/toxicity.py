@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, batch_of, crc_mod, once
+from .common import Store, batch_of, crc_mod, once, sparing
 
 #: Labelled rows that the classifier is fitted on at most; the smallest hashes of their ids are taken.
 SAMPLE = 12_000
@@ -138,6 +138,7 @@ def features_of(words: set[str]) -> set[str]:
     return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
 
 
+@sparing
 def _count_words(batches):
     schema, counts = {"w": pa.string(), "n": pa.int64()}, Counter()
 
@@ -157,6 +158,7 @@ def _count_words(batches):
     yield out()
 
 
+@sparing
 def _trigrams(batches):
     counts: Counter = Counter()
     for batch in batches:
@@ -185,6 +187,7 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 def _featurise(shared):
     schema = {"toxic": pa.int32(), "features": pa.list_(pa.string())}
 
+    @sparing
     def run(batches):
         model = shared.value
         memory = once(shared, lambda model: Memory(lambda token: words_in(token, model)))
@@ -265,6 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score(columns: list[str], text_col: str, shared):
+    @sparing
     def run(batches):
         model = shared.value
         memory = once(shared, ToxicityModel.memory)
