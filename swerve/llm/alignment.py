@@ -8,7 +8,7 @@ the pair's documents are counted over the OR of its planes, its links over the p
 back the same way: a pair's bitmaps give its count to their documents, chunk by chunk.
 
 Neither vocabulary's tokens cross the border between a word and white space or signs behind it, so a text is cut there and each
-distinct segment is encoded and aligned once by a worker. That the files allow it is looked up in their vocabularies;
+distinct segment is encoded and aligned once by a worker, thousands at a time by arrays over all their tokens. That the files allow it is looked up in their vocabularies;
 texts with other white space, and files that don't allow it, are encoded whole.
 """
 
@@ -18,8 +18,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from .common import Store, batch_of
 #: Pairs that a task gathers before it writes their bitmaps, and characters of texts that it cuts at once: these bound its memory.
 LINKS, CHARACTERS = 1 << 21, 1 << 19
 #: Segments, and characters of one, that a worker remembers.
-KNOWN, LONGEST = 1 << 18, 64
+KNOWN, LONGEST = 1 << 19, 64
 #: A pair's chunks are dealt to so many join keys, so that a pair of all documents isn't one task.
 SALTS = 32
 #: Bitmaps of a batch that are decoded at once.
@@ -43,6 +43,9 @@ LETTER, SIGN = "a-zA-ZÀ-ÖØ-öø-ÿ", r"!-/:-@\[-^`{-~"
 SEGMENT = re.compile(rf"[ \n\t]{{2,}}[^ \n\t]*| ?[{LETTER}]++(?![^{SIGN} \n\t])| ?[^ \n\t]+?(?:(?<=[{LETTER}])(?=[{SIGN}])|(?![^ \n\t]))| |[\n\t]")
 OTHER_SPACE = re.compile(r"[^\S \n\t]")
 
+#: In place of a segment's number: not encoded yet, and bytes of its A and B tokens that differ.
+UNKNOWN, DIFFERS = -1, -2
+
 _state: dict = {}
 
 
@@ -68,6 +71,11 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        n_a, self.n_b = max(self.a_bytes) + 1, len(pieces)
+        self.a_size, self.b_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(n_a)]), np.array([len(p) for p in self.b_bytes])
+        self.step = max(n_a, self.n_b)
+        #: Ids as text with what follows them: a token of the same side, the other side, a group, a segment.
+        self.names = [f"{i}{c}" for c in ",|;\n" for i in range(self.step)]
         own = json.loads(self.a.to_str())
         pre = own.get("pre_tokenizer") or {}
         plain = own.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -75,13 +83,20 @@ class Aligner:
         whole = self.b.decode(self.b.encode(odd)) == odd.replace("▁", " ") and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"]
         self.cuts = plain and whole and not any(re.search(rf".[▁\n\t]|[\n\t].|[{LETTER}][{SIGN}]", p.lstrip("▁"), re.S) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         self.space = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known.clear()
-        self.pair_of: dict[int, int] = {}
-        self.pairs: list[int] = []
+        """Segments have numbers; size and held say how many segments and pairs the arrays hold."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.size = self.held = 0
+        self.counts, self.begins = np.zeros((1024, 4), np.int64), np.zeros(1025, np.int64)
+        self.pairs, self.times = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
+
+    def keep(self, size: int) -> None:
+        """Drops the segments from that number on."""
+        del self.groups[size:]
+        self.size, self.held = size, int(self.begins[size])
 
     def encode_b(self, segments: list[str]) -> list[list[int]]:
         """Ids of segments as they stand in a text: the library puts a space before what it encodes."""
@@ -91,80 +106,94 @@ class Aligner:
     def encode_a(self, segments: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
 
-    def align(self, a: list[int], b: list[int]) -> tuple | None:
-        """(A tokens, B tokens, groups, links, the groups as text, links by pair); None if their bytes differ."""
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_parts) != b"".join(b_parts):
-            return None
-        if len(a) == 1 and len(b) == 1:
-            return 1, 1, 1, 1, f"{a[0]}|{b[0]}", {a[0] << 32 | b[0]: 1}
-        i = j = ia = jb = x = y = n_groups = n_links = 0
-        parts, links = [], {}
-        for p in a_parts:
-            x += len(p)
-            i += 1
-            while y < x:
-                y += len(b_parts[j])
-                j += 1
-            if x != y:
-                continue
-            n_groups += 1
-            n_links += (i - ia) * (j - jb)
-            if i - ia == 1 == j - jb:
-                pair = a[ia] << 32 | b[jb]
-                parts.append(f"{a[ia]}|{b[jb]}")
-                links[pair] = links.get(pair, 0) + 1
-            else:
-                left, right = a[ia:i], b[jb:j]
-                parts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                if (i - ia) * (j - jb) > 64:  # many tokens: by distinct ids
-                    left, right = Counter(left).items(), Counter(right).items()
-                else:
-                    left, right = [(k, 1) for k in left], [(k, 1) for k in right]
-                for p_id, n in left:
-                    for q_id, m in right:
-                        pair = p_id << 32 | q_id
-                        links[pair] = links.get(pair, 0) + n * m
-            ia, jb = i, j
-        return len(a), len(b), n_groups, n_links, ";".join(parts), links
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple | None:
-        """What align gives, with the links as pair numbers of this worker and their counts."""
-        done = self.align(a, b)
-        if done is None:
-            return None
-        numbers = []
-        for pair in done[5]:
-            k = self.pair_of.get(pair)
-            if k is None:
-                k = self.pair_of[pair] = len(self.pairs)
-                self.pairs.append(pair)
-            numbers.append(k)
-        return (*done[:5], numbers, list(done[5].values()))
-
-    def full(self) -> bool:
-        return len(self.known) >= KNOWN or len(self.pairs) >= 4 * KNOWN
-
-    def segments(self, texts: list[str]) -> list[list[str] | None]:
-        """The segments of " " + text, None where it has to be encoded whole; those not known yet are encoded."""
-        cut = [SEGMENT.findall(f" {t}") if self.cuts and not OTHER_SPACE.search(t) else None for t in texts]
-        new = list(dict.fromkeys(s for x in cut if x for s in x if s not in self.known and len(s) <= LONGEST))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for s, a, b in zip(some, self.encode_a(some), self.encode_b(some), strict=True):
-                self.known[s] = self.aligned(a, b)
-        return cut
-
-    def parts_of(self, text: str, cut: list[str] | None) -> list[tuple]:
-        """Results of the parts of a text in order; none if it has no tokens."""
-        if not text:
-            return []
-        if cut is not None:
-            out = [self.known[s] if len(s) <= LONGEST else self.aligned(self.encode_a([s])[0], self.encode_b([s])[0]) for s in cut]
-            if None not in out:
-                return out
-        done = self.aligned(self.encode_a([f" {text}"])[0], self.b.encode(text))
-        return [] if done is None else [done]
+    def add(self, a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """Aligns the ids of segments; the number of each, DIFFERS where the bytes of a and b differ."""
+        left, right = (b"".join(map(of.__getitem__, chain.from_iterable(x))) for of, x in ((self.a_bytes, a), (self.b_bytes, b)))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        a_cut, b_cut = (np.append(0, end)[np.append(0, np.cumsum(n))] for end, n in ((a_end, n_a), (b_end, n_b)))
+        if left != right or (a_cut != b_cut).any():
+            if len(a) == 1:
+                return [DIFFERS]
+            fits = [left[p:q] == right[r:s] for p, q, r, s in zip(a_cut[:-1].tolist(), a_cut[1:].tolist(), b_cut[:-1].tolist(), b_cut[1:].tolist(), strict=True)]
+            found = iter(self.add(list(compress(a, fits)), list(compress(b, fits))) if any(fits) else [])
+            return [next(found) if x else DIFFERS for x in fits]
+
+        ends = np.zeros(len(left) + 1, np.int8)  # bytes where tokens of A (1) and of B (2) end
+        ends[a_end] = 1
+        ends[b_end] += 2
+        a_last, b_last = ends[a_end] == 3, ends[b_end] == 3
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        k_a, k_b = np.bincount(a_group), np.bincount(b_group)
+        a_first, b_first = np.cumsum(k_a) - k_a, np.cumsum(k_b) - k_b
+        links = k_a * k_b
+        segment = np.repeat(np.arange(len(a)), n_a)[a_first]
+
+        some = np.flatnonzero(links <= 64)
+        n = links[some]
+        group = np.repeat(some, n)
+        p, q = np.divmod(np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n), k_b[group])
+        pairs, times, owner = a_ids[a_first[group] + p] * self.n_b + b_ids[b_first[group] + q], np.ones(len(group), np.int64), segment[group]
+        many = np.flatnonzero(links > 64)
+        if len(many):  # many tokens: by distinct ids
+            more = []
+            for g in many.tolist():
+                p, p_n = np.unique(a_ids[a_first[g] : a_first[g] + k_a[g]], return_counts=True)
+                q, q_n = np.unique(b_ids[b_first[g] : b_first[g] + k_b[g]], return_counts=True)
+                more.append(((p[:, None] * self.n_b + q).ravel(), (p_n[:, None] * q_n).ravel(), np.full(len(p) * len(q), segment[g])))
+            pairs, times, owner = (np.concatenate(x) for x in zip((pairs, times, owner), *more, strict=True))
+            order = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[order], times[order], owner[order]
+
+        name = np.empty(len(a_ids) + len(b_ids), np.int64)  # a group's A tokens, then its B tokens
+        name[np.arange(len(a_ids)) + b_first[a_group]] = a_ids + self.step * a_last
+        b_after = 2 * b_last
+        b_after[np.cumsum(n_b) - 1] = 3
+        name[np.arange(len(b_ids)) + (a_first + k_a)[b_group]] = b_ids + self.step * b_after
+        self.groups += "".join(map(self.names.__getitem__, name.tolist()))[:-1].split("\n")
+
+        size, held = self.size + len(a), self.held + len(pairs)
+        if size > len(self.counts):
+            self.counts, self.begins = np.resize(self.counts, (2 * size, 4)), np.resize(self.begins, 2 * size + 1)
+        if held > len(self.pairs):
+            self.pairs, self.times = np.resize(self.pairs, 3 * held // 2), np.resize(self.times, 3 * held // 2)
+        self.counts[self.size : size] = np.stack([n_a, n_b, np.bincount(segment), np.add.reduceat(links, np.flatnonzero(np.diff(segment, prepend=-1)))], 1)
+        self.begins[self.size + 1 : size + 1] = self.held + np.cumsum(np.bincount(owner))
+        self.pairs[self.held : held], self.times[self.held : held] = pairs, times
+        out = list(range(self.size, size))
+        self.size, self.held = size, held
+        return out
+
+    def learn(self, segments: list[str], known: dict[str, int]) -> None:
+        for k in range(0, len(segments), 4096):
+            some = segments[k : k + 4096]
+            known.update(zip(some, self.add(self.encode_a(some), self.encode_b(some)), strict=True))
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the segments of " " + text, how many each text has (none: no tokens), and the size to keep afterwards."""
+        cuts = [SEGMENT.findall(f" {t}") if t and self.cuts and not OTHER_SPACE.search(t) else [] for t in texts]
+        flat = list(chain.from_iterable(cuts))
+        numbers = np.fromiter(map(self.known.get, flat, repeat(UNKNOWN)), np.int64, len(flat))
+        missing = np.flatnonzero(numbers == UNKNOWN)
+        new = dict.fromkeys([flat[k] for k in missing.tolist()])
+        self.learn([s for s in new if len(s) <= LONGEST], self.known)
+        size, long = self.size, {}
+        for s in new:
+            if len(s) > LONGEST:
+                self.learn([s], long)
+        for k in missing.tolist():
+            numbers[k] = long[flat[k]] if flat[k] in long else self.known[flat[k]]
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        bad = np.append(0, np.cumsum(numbers == DIFFERS))
+        end = np.cumsum(n)
+        whole = [k for k in np.flatnonzero((n == 0) | (bad[end] > bad[end - n])).tolist() if texts[k]]
+        if whole:
+            parts = np.split(numbers, end[:-1])
+            for k in whole:
+                parts[k] = np.array([x for x in self.add(self.encode_a([f" {texts[k]}"]), [self.b.encode(texts[k])]) if x != DIFFERS], np.int64)
+            numbers, n = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return numbers, n, size
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -182,11 +211,11 @@ def filled(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in SCAN.items()], names=list(SCAN))
 
 
-def inverted(pairs: np.ndarray, chunk: int, pair: list, place: list, times: list) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of the links gathered: arrays of pair numbers, of documents in the chunk and of links."""
-    if not pair:
+def inverted(n_b: int, chunk: int, keys: list, times: list) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the links gathered: arrays of (a * n_b + b) << 16 | document in the chunk, and of links."""
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    if not len(key):
         return
-    key = np.concatenate(pair) << 16 | np.concatenate(place)
     order = np.argsort(key)
     key, n = key[order], np.concatenate(times)[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -197,50 +226,49 @@ def inverted(pairs: np.ndarray, chunk: int, pair: list, place: list, times: list
             owner = some >> 16
             begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             bits, dense = bitmaps.encode(some & 0xFFFF, begins)
-            ids = pairs[owner[begins]]
-            yield filled(len(begins), a=(ids >> 32).astype(np.int32), b=(ids & 0xFFFFFFFF).astype(np.int32), chunk=np.full(len(begins), chunk), plane=np.full(len(begins), plane, np.int32), dense=dense, bits=bits)
+            a, b = np.divmod(owner[begins], n_b)
+            yield filled(len(begins), a=a.astype(np.int32), b=b.astype(np.int32), chunk=np.full(len(begins), chunk), plane=np.full(len(begins), plane, np.int32), dense=dense, bits=bits)
 
 
 def _scan(a_path: str, b_path: str, most: int):
     def run(batches):
         made, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 40
-        if made.full():
-            made.forget()
-        gathered, n_gathered, chunk = ([], [], []), 0, row >> 16
+        keys, times, n_gathered = [], [], 0
 
         def flush():
-            yield from inverted(np.array(made.pairs, np.int64), chunk, *gathered)
-            for x in gathered:
-                x.clear()
+            yield from inverted(made.n_b, (row - 1) >> 16, keys, times)
+            keys.clear()
+            times.clear()
 
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            ids, texts = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
             k = 0
             while k < len(texts):
                 end, size = k, 0
-                while end < len(texts) and (end == k or size + len(texts[end]) <= CHARACTERS):
+                while end < len(texts) and (end == k or size + len(texts[end]) <= min(most, CHARACTERS) and (row + end - k) & 0xFFFF):
                     size += len(texts[end])
                     end += 1
-                cuts, out = made.segments(texts[k:end]), []
-                for i, text, cut in zip(ids[k:end], texts[k:end], cuts, strict=True):
-                    if n_gathered > most or row >> 16 != chunk:
-                        yield from flush()
-                        n_gathered, chunk = 0, row >> 16
-                    parts = made.parts_of(text, cut)
-                    groups = ";".join([p[4] for p in parts])
-                    out.append((row, i, *(sum([p[k] for p in parts]) for k in range(4)), hashlib.sha256(groups.encode()).hexdigest() if parts else ""))
-                    pair = np.array([x for p in parts for x in p[5]], np.int64)
-                    gathered[0].append(pair)
-                    gathered[1].append(np.full(len(pair), row & 0xFFFF, np.int64))
-                    gathered[2].append(np.array([x for p in parts for x in p[6]], np.int64))
-                    n_gathered += len(pair)
-                    row += 1
-                yield filled(len(out), **dict(zip(list(SCAN)[:7], map(list, zip(*out, strict=True)), strict=True)))
-                k = end
-                if made.full():
+                numbers, n, kept = made.numbered(texts[k:end])
+                rows = np.arange(row, row + end - k)
+                sums = np.zeros((len(numbers) + 1, 4), np.int64)
+                np.cumsum(made.counts[numbers], axis=0, out=sums[1:])
+                stop = np.cumsum(n)
+                sums = sums[stop] - sums[stop - n]
+                groups = list(map(made.groups.__getitem__, numbers.tolist()))
+                hashes = [hashlib.sha256(";".join(groups[e - m : e]).encode()).hexdigest() if m else "" for e, m in zip(stop.tolist(), n.tolist(), strict=True)]
+                begins, pairs = made.begins[numbers], made.begins[numbers + 1] - made.begins[numbers]
+                at = np.repeat(begins - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())
+                keys.append(made.pairs[at] << 16 | np.repeat(np.repeat(rows & 0xFFFF, n), pairs))
+                times.append(made.times[at])
+                n_gathered += len(at)
+                yield filled(len(rows), row=rows, id=ids.slice(k, end - k), n_a=sums[:, 0], n_b=sums[:, 1], n_groups=sums[:, 2], n_links=sums[:, 3], groups_sha256=hashes)
+                row, k = row + end - k, end
+                made.keep(kept)
+                if made.size >= KNOWN:
+                    made.forget()
+                if n_gathered > most or not row & 0xFFFF:
                     yield from flush()
                     n_gathered = 0
-                    made.forget()
         yield from flush()
 
     return run

@@ -98,6 +98,21 @@ def test_alignment_merges_bitmaps():
         assert [(r["a"], r["b"], r["chunk"], r["plane"], r["docs"], r["links"]) for r in out] == [(1, 2, 0, 0, 3, 3), (1, 2, 0, 1, 0, 2), (1, 2, 7, 0, 1, 1), (1, 3, 0, 2, 2, 8)]
 
 
+def test_alignment_encodes_a_segment_once(monkeypatch):
+    """Segments of many texts are encoded once by a worker, not each time that they come again."""
+    paths = queries.vocabulary_path(), queries.vocabulary_path(queries.PIECES)
+    made, encoded = alignment.Aligner(*paths), []
+    monkeypatch.setattr(made, "encode_a", lambda x, f=made.encode_a: encoded.extend(x) or f(x))
+    monkeypatch.setattr(alignment, "_state", {"paths": paths, "made": made})
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 1})())
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(300_000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "text": [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]})
+    out = pa.Table.from_batches(list(alignment._scan(*paths, 1 << 21)([batch, batch]))).to_pylist()
+    assert len(encoded) == len(set(encoded)) == len(words)
+    hashes = [r["groups_sha256"] for r in out if r["row"] is not None]
+    assert len(hashes) == 600 and hashes[:300] == hashes[300:]
+
+
 def test_alignment_of_odd_tables(spark):
     paths = queries.vocabulary_path(), queries.vocabulary_path(queries.PIECES)
     found, pairs = alignment.align_tokens(docs(spark, []), *paths)
