@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import Store, batch_of
+from .common import Store, batch_of, give_back, sparing
 
 #: Pairs that a task gathers before it writes their bitmaps, and characters of texts that it cuts at once: these bound its memory.
 LINKS, CHARACTERS = 1 << 21, 1 << 19
@@ -56,6 +56,13 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def longer(x: np.ndarray, n: int) -> np.ndarray:
+    """x with zeros behind it; those take memory when they are written."""
+    out = np.zeros((n, *x.shape[1:]), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Aligner:
     """Both vocabularies, and what they make of segments and texts."""
 
@@ -155,9 +162,9 @@ class Aligner:
 
         size, held = self.size + len(a), self.held + len(pairs)
         if size > len(self.counts):
-            self.counts, self.begins = np.resize(self.counts, (2 * size, 4)), np.resize(self.begins, 2 * size + 1)
+            self.counts, self.begins = longer(self.counts, 2 * size), longer(self.begins, 2 * size + 1)
         if held > len(self.pairs):
-            self.pairs, self.times = np.resize(self.pairs, 3 * held // 2), np.resize(self.times, 3 * held // 2)
+            self.pairs, self.times = longer(self.pairs, 2 * held), longer(self.times, 2 * held)
         self.counts[self.size : size] = np.stack([n_a, n_b, np.bincount(segment), np.add.reduceat(links, np.flatnonzero(np.diff(segment, prepend=-1)))], 1)
         self.begins[self.size + 1 : size + 1] = self.held + np.cumsum(np.bincount(owner))
         self.pairs[self.held : held], self.times[self.held : held] = pairs, times
@@ -212,12 +219,15 @@ def filled(n: int, **columns) -> pa.RecordBatch:
 
 
 def inverted(n_b: int, chunk: int, keys: list, times: list) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of the links gathered: arrays of (a * n_b + b) << 16 | document in the chunk, and of links."""
-    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    """Bitmaps of the links gathered: arrays of (a * n_b + b) << 16 | document in the chunk, and of links. The lists are emptied."""
+    key, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, times))
+    keys.clear()
+    times.clear()
     if not len(key):
         return
     order = np.argsort(key)
-    key, n = key[order], np.concatenate(times)[order]
+    key, n = key[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, n = key[first], np.add.reduceat(n, first)
     for plane in range(int(n.max()).bit_length()):
@@ -235,11 +245,6 @@ def _scan(a_path: str, b_path: str, most: int):
         made, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 40
         keys, times, n_gathered = [], [], 0
 
-        def flush():
-            yield from inverted(made.n_b, (row - 1) >> 16, keys, times)
-            keys.clear()
-            times.clear()
-
         for batch in batches:
             ids, texts = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
             k = 0
@@ -267,11 +272,12 @@ def _scan(a_path: str, b_path: str, most: int):
                 if made.size >= KNOWN:
                     made.forget()
                 if n_gathered > most or not row & 0xFFFF:
-                    yield from flush()
+                    yield from inverted(made.n_b, (row - 1) >> 16, keys, times)
                     n_gathered = 0
-        yield from flush()
+                    give_back()
+        yield from inverted(made.n_b, (row - 1) >> 16, keys, times)
 
-    return run
+    return sparing(run)
 
 
 MERGED = {"a": pa.int32(), "b": pa.int32(), "chunk": pa.int64(), "plane": pa.int32(), "docs": pa.int64(), "links": pa.int64(), "dense": pa.bool_(), "bits": pa.binary()}
